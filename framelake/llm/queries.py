@@ -1,6 +1,6 @@
 """The corpus queries by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import toxicity
+from . import toxicity, warc
 
-QUERIES = {"op1_toxicity": toxicity.op1_toxicity}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_toxicity": toxicity.op1_toxicity, "op2_warc": warc.op2_warc}
+ORACLES: dict[str, str] = {"op2_warc": warc.OP2_SQL}
