@@ -1,6 +1,6 @@
 """The corpus queries by name, and the DuckDB SQL of those that SQL can express."""
 
-from . import toxicity, warc
+from . import toxicity, urlfilter, warc
 
-QUERIES = {"op1_toxicity": toxicity.op1_toxicity, "op2_warc": warc.op2_warc}
+QUERIES = {"op1_toxicity": toxicity.op1_toxicity, "op2_warc": warc.op2_warc, "op3_urlfilter": urlfilter.op3_urlfilter}
 ORACLES: dict[str, str] = {"op2_warc": warc.OP2_SQL}
