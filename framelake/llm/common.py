@@ -155,3 +155,28 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
             texts, first, held = [], i + 1, 0
     if texts:
         yield first, texts
+
+
+def running(df: DataFrame, keys: list[str], levels: list[str], tie: list[Column], value: str, name: str, per_bucket: int = 10_000) -> DataFrame:
+    """Adds the sum of `value` over the rows before, within `keys`, ordered by `levels` and then by a hash of `tie`.
+
+    Hash buckets keep any one window below about `per_bucket` rows; sums of whole buckets come first.
+    """
+    buckets = max(1, -(-df.count() // per_bucket))
+    at = df.withColumn("_h", F.xxhash64(*tie)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
+    group = [*keys, *levels, "_b"]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy(*group).agg(F.sum(value).alias("_s"))
+    sums = sums.select(*group, F.coalesce(F.sum("_s").over(before(Window.partitionBy(*keys).orderBy(*levels, "_b"))), F.lit(0)).alias("_o"))
+    inner = F.coalesce(F.sum(value).over(before(Window.partitionBy(*group).orderBy("_h", *tie))), F.lit(0))
+    return at.withColumn("_i", inner).join(sums, group).withColumn(name, F.col("_o") + F.col("_i")).drop("_h", "_b", "_i", "_o")
+
+
+def ordered(df: DataFrame, column: str, name: str, per_part: int = 10_000) -> DataFrame:
+    """Adds a gapless rank from 0 by the values of `column`, nulls last, through range partitions."""
+    parts = max(1, -(-df.count() // per_part))
+    ranged = cut(df.repartitionByRange(parts, F.col(column).isNull(), F.col(column)).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(column).asc_nulls_last())) - 1
+    return ranged.withColumn("_r", within).join(starts, "_p").withColumn(name, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")
