@@ -271,6 +271,7 @@ def decode(media: DataFrame, column: str = "media") -> DataFrame:
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as a GIF and read back; the payload is the frames' samples in order."""
     read = decode(to_gif(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    grey = [F.aggregate("frames", F.lit(0).cast("long"), lambda a, f, g=g: a + F.get(f["histogram"], F.lit(21 * g))).cast("string") for g in range(4)]
+    level = lambda g: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + F.get(f["histogram"], F.lit(21 * g))).cast("string")
+    grey = [level(g) for g in range(4)]
     feature = F.concat_ws(";", F.concat(F.lit("frames="), F.col("n_frames").cast("string")), F.concat(F.lit("ms="), F.col("duration_ms").cast("string")), F.concat(F.lit("grey="), F.concat_ws(",", *grey)))
     return read.select("doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -WIDTH, WIDTH)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
