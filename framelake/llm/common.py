@@ -180,3 +180,12 @@ def ordered(df: DataFrame, column: str, name: str, per_part: int = 10_000) -> Da
     starts = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(column).asc_nulls_last())) - 1
     return ranged.withColumn("_r", within).join(starts, "_p").withColumn(name, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")
+
+
+#: A table of at most so many slim rows is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the counted rows allow it; `df` should be a written table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
