@@ -1,2 +1,72 @@
+"""From documents to a sharded training corpus in five stages, each one of the corpus operators.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next one's docs. All but the last return the columns of documents.
+
+1. language: documents without a letter go, and those of which no language holds REJECT of the letters.
+2. near_duplicates: of each class of linked documents the one with the least id stays.
+3. decontamination: documents that hold half or more of a benchmark item go.
+4. mixing: a document appears as often as the mix holds it (0, 1 or 2 times).
+5. sharding: every row gets a shard and its place there.
+
+Rows with a null id pass stages 2 and 3 unless another row's class holds them; of rows equal in id
+and text one stays in stage 2. Other rows with equal ids share one number of repeats in stage 4.
+Empty documents go in stage 1; an empty table passes all stages.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.llm import decontaminate, jaccard, mixing, sharding
+from framelake.llm import language as languages
+from framelake.llm.common import cut, small
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of a document's letters that its main language must hold.
+REJECT = 0.35
+#: SQL cannot express Viterbi spans or chosen paths; the stages are tested against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = languages.identify(docs, languages.learn(docs), keep=("text", "lang", "source", "n_chars"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT)).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = jaccard.jaccard_join(docs)
+    gone = cut(classes.where("class_id is not null and not (doc_id <=> class_id) and doc_id is not null").select("doc_id").distinct())
+    kept = docs.select(COLUMNS).join(small(gone), "doc_id", "left_anti")
+    again = cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(again), "doc_id", "left_anti").unionByName(once)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = cut(decontaminate.contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct())
+    return docs.select(COLUMNS).join(small(leaks), "doc_id", "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    repeats = cut(mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").cast("int").alias("repeats")).where("repeats > 0"))
+    held = docs.select(COLUMNS).alias("d").join(small(repeats).alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("d.*", "r.repeats")
+    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(COLUMNS)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`; what one stage keeps is a table that the next one reads."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if k == len(STAGES) - 1 else cut(docs)
+    return docs
