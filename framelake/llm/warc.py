@@ -32,6 +32,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Copies of one payload are dealt over so many keys before they meet their response.
 SALTS = 32
+#: A table of at most so many slim rows is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -46,9 +52,12 @@ def classified(pages: DataFrame, id: str, payload: str, least_bytes: int = 0) ->
     rows = pages.withColumn("_payload", F.coalesce(F.col(payload).cast("string"), F.lit("")))
     rows = rows.withColumn("_bytes", F.octet_length("_payload").cast("long")).withColumn("_digest", base32_sha1(F.col("_payload").cast("binary")))
     kept = rows.where(F.col("_bytes") >= least_bytes).groupBy("_digest").agg(F.max(id).alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    kept = kept.select("_digest", "_kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id)), F.lit(SALTS)).cast("int"))
-    rows = rows.join(kept, ["_digest", "_salt"], "left")
+    kept = cut(kept.select("_digest", "_kept"))
+    if kept.count() <= BROADCAST_ROWS:  # payloads then need not move
+        rows = rows.withColumn("_salt", F.lit(0)).join(F.broadcast(kept), "_digest", "left")
+    else:
+        kept = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id)), F.lit(SALTS)).cast("int")).join(kept, ["_digest", "_salt"], "left")
     return rows.withColumn("_refers", F.when(F.col("_kept").isNotNull() & ~F.col("_kept").eqNullSafe(F.col(id)), F.col("_kept"))).drop("_salt", "_kept")
 
 
@@ -56,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
     """Writes one record per row into the folder `path`, one WARC file per partition."""
     rows = classified(pages.select(F.col(id).alias("_id"), F.col(url).cast("string").alias("_url"), F.col(payload).alias("_body")), "_id", "_body", least_bytes)
     is_revisit = F.col("_refers").isNotNull()
-    target = F.regexp_replace(F.trim("_url"), r"[\x00-\x20\x7f<>]", "%20")
+    target = F.regexp_replace(F.regexp_replace("_url", r"^\s+|\s+$", ""), r"[\x00-\x20\x7f<>]", "%20")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("_bytes").cast("string"), F.lit(END))
@@ -164,13 +173,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     owners = hits.join(carried, ["file", "block"]).withColumn("owner", F.coalesce(F.last(F.when(F.col("hit"), F.col("at")), True).over(upto), "carry"))
     owners = owners.where("owner is not null").select("file", "block", (F.col("at") + step - F.col("base")).alias("rel"), "at", "owner")
-    many = owners.groupBy("file", "owner").count().where("count > 1").select("file", "owner", F.lit(True).alias("many"))
-    owners = cut(owners.join(many, ["file", "owner"], "left"))
-
-    full = _offsets(pieces.withColumn("len", F.octet_length("value").cast("long")), ["value"])
-    parts = full.join(owners, ["file", "block", "rel"]).select("file", "owner", "at", "value", "many")
-    whole = parts.where("many is null").select("file", "owner", "value")
-    joined = parts.where("many").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"))
+    # a record that fills its piece needs no join; what is left are false candidates and records in several pieces
+    own = cands.select("file", "block", "at", F.coalesce(F.col("next") == F.col("at") + step + F.col("len"), F.lit(False)).alias("fills"))
+    odd = cut(owners.join(own, ["file", "block", "at"]).where(~((F.col("owner") == F.col("at")) & F.col("fills"))))
+    ends = cands.select("file", F.col("at").alias("owner"), F.col("next").alias("upto"))
+    odd = cut(odd.join(ends, ["file", "owner"]).withColumn("odd", F.col("at") < F.col("upto")))  # false: after the end of a broken chain
+    full = _offsets(pieces.select("*", F.octet_length("value").cast("long").alias("len"), needs.alias("needs")), ["value", "needs"])
+    full = full.join(small(cut(blocks.select("file", "block", "base"))), ["file", "block"])
+    parts = full.join(small(odd.select("file", "block", "rel", "owner", "at", "odd")), ["file", "block", "rel"], "left")
+    lost = cut(hits.join(owners.select("file", "block", "at"), ["file", "block", "at"], "left_anti").select("file", "block", "at"))  # before any true record
+    if not lost.isEmpty():
+        parts = parts.withColumn("at2", F.col("base") + F.col("rel") - step).join(lost.withColumnRenamed("at", "at2"), ["file", "block", "at2"], "left_anti")
+    whole = parts.where("odd is null and needs = len").select("file", (F.col("base") + F.col("rel") - step).alias("owner"), "value")
+    joined = parts.where("odd").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"))
     whole = whole.union(joined.select("file", "owner", F.array_join(F.transform("p", lambda x: x["value"]), MAGIC)))
     records = whole.withColumn("head", head).withColumn("body", F.substr("value", F.length("head") + len(END) + 1))
     payload = F.substr("body", F.instr("body", END) + len(END))
