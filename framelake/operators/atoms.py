@@ -92,8 +92,8 @@ def classify_atoms(points: DataFrame, k: int | None = None, cuts: list[float] |
     return model.transform(packed).withColumn("class", F.element_at(rank, F.col("_c"))).drop("_v", "_c")
 
 
-def predict_atoms(tiles: DataFrame, model: str | Callable[[np.ndarray], list[np.ndarray]], threshold: float) -> DataFrame:
-    """POINTS from a model over tiles: an ONNX file of (n, 1, h, w) -> (n, 1, h, w) scores, or a function of (n, h, w) that gives arrays of (y, x, score) rows.
+def predict_atoms(tiles: DataFrame, model: str | Callable[[np.ndarray], list[np.ndarray]], threshold: float, size: int) -> DataFrame:
+    """POINTS from a model over tiles of core `size`: an ONNX file of (n, 1, h, w) -> (n, 1, h, w) scores, or a function of (n, h, w) that gives arrays of (y, x, score) rows.
 
     The model is loaded once for each batch iterator. Points in a tile's halo belong to its neighbour and are dropped.
     """
@@ -118,16 +118,13 @@ def predict_atoms(tiles: DataFrame, model: str | Callable[[np.ndarray], list[np.
             rows = []
             for (h, w), part in pdf.groupby(["h", "w"], sort=False):
                 for row, found in zip(part.itertuples(index=False), score(stacked(part, int(h), int(w))), strict=True):
-                    top, left = (row.halo if row.y0 > 0 else 0), (row.halo if row.x0 > 0 else 0)
                     for y, x, s in found:
                         gy, gx = y + row.y0, x + row.x0
-                        if s > threshold and top <= y and left <= x and (row.y0 + top) <= gy < row.y0 + top + row.core and (row.x0 + left) <= gx < row.x0 + left + row.core:
+                        if s > threshold and gy // size == row.ty and gx // size == row.tx:
                             rows.append((row.stack_id, row.frame, int(gy) << 32 | int(gx), float(gy), float(gx), float(s)))
             yield pd.DataFrame(rows, columns=["stack_id", "frame", "point_id", "y", "x", "intensity"])
 
-    core = F.max(F.when((F.col("y0") > 0) & (F.col("x0") > 0), F.greatest("h", "w") - 2 * F.col("halo")).otherwise(F.greatest("h", "w") - F.col("halo")))
-    size = tiles.groupBy("stack_id", "frame").agg(core.alias("core"))
-    return tiles.join(size, KEYS).mapInPandas(run, "stack_id long, frame long, point_id long, y double, x double, intensity double")
+    return tiles.mapInPandas(run, "stack_id long, frame long, point_id long, y double, x double, intensity double")
 
 
 def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> DataFrame:

@@ -51,9 +51,10 @@ def repair_shifts(shifts: DataFrame, min_ncc: float, half_window: int) -> DataFr
     for c in ("dy", "dx"):
         out = out.withColumn(f"_{c}", F.percentile(F.when(F.col("_good"), F.col(c)), F.lit(0.5)).over(near))
     flag = F.when(F.col("_good"), "kept").when(F.col("_dy").isNotNull(), "median").otherwise("zero")
+    out = out.withColumn("repaired", flag)
     for c in ("dy", "dx"):
         out = out.withColumn(f"_{c}", F.when(F.col("_good"), F.col(c)).otherwise(F.coalesce(F.col(f"_{c}"), F.lit(0.0))))
-    return out.withColumn("repaired", flag).withColumn("dy", F.col("_dy")).withColumn("dx", F.col("_dx")).drop("_good", "_dy", "_dx")
+    return out.withColumn("dy", F.col("_dy")).withColumn("dx", F.col("_dx")).drop("_good", "_dy", "_dx")
 
 
 def apply_shift(frames: DataFrame, drift: DataFrame, crop: bool = True) -> DataFrame:

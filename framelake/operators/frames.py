@@ -30,7 +30,7 @@ def select_frames(frames: DataFrame, every_n: int | None = None, every_s: float
         at = F.row_number().over(Window.partitionBy("stack_id").orderBy("ts", "frame")) - 1
         chosen = keys.withColumn("_at", at).where(F.col("_at") % every_n == 0)
     else:
-        bucket = F.floor(F.unix_micros("ts") / F.lit(int(every_s * 1_000_000)))
+        bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(int(every_s * 1_000_000)))
         first = keys.groupBy("stack_id", bucket.alias("_bucket")).agg(F.min(F.struct("ts", "frame")).alias("_first"))
         chosen = first.select("stack_id", F.col("_first.frame").alias("frame"))
     return frames.join(chosen.select("stack_id", "frame"), ["stack_id", "frame"], "left_semi")
@@ -91,7 +91,7 @@ def to_pixels(frames: DataFrame) -> DataFrame:
 def from_pixels(pixels: DataFrame) -> DataFrame:
     """Packed frames; pixels that are not there are NaN up to the largest y and x."""
     out = pixels.groupBy("stack_id", "frame").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.map_from_entries(F.collect_list(F.struct(F.struct("y", "x"), "v"))).alias("m"))
-    cell = lambda i: F.coalesce(F.element_at("m", F.struct(F.floor(i / F.col("width")).cast("int"), (i % F.col("width")).cast("int"))), F.lit(float("nan")))
+    cell = lambda i: F.coalesce(F.element_at("m", F.struct(F.floor(i / F.col("width")).cast("int").alias("y"), (i % F.col("width")).cast("int").alias("x"))), F.lit(float("nan")))
     return out.select("stack_id", "frame", "height", "width", F.transform(F.expr("sequence(0, height * width - 1)"), cell).alias("px"))
 
 

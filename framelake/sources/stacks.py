@@ -57,7 +57,7 @@ def decode_stacks(files: DataFrame, decoder: Decoder = decode_npy) -> tuple[Data
 
     out = "stack_id long, frame long, ts timestamp, height int, width int, dtype string, px array<double>, path string, error string"
     both = files.select("stack_id", "path", "content").mapInPandas(run, out)
-    names = [f.name for f in schema.FRAMES]
+    names = ["stack_id", "frame", "ts", "height", "width", "dtype", "px"]
     return both.where("error is null").select(*names), both.where("error is not null").select("stack_id", "path", "error")
 
 
