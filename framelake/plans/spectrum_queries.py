@@ -52,11 +52,11 @@ def f3(spark: SparkSession, sf: str) -> DataFrame:
     g AS (SELECT scan_id, ky, kx, q.i AS iy, ix, q.q AS qy, qx, sum(re*cos({fx.TWO_PI}*q.i*sy/8) + im*sin({fx.TWO_PI}*q.i*sy/8)) AS re, sum(im*cos({fx.TWO_PI}*q.i*sy/8) - re*sin({fx.TWO_PI}*q.i*sy/8)) AS im FROM r, q GROUP BY ALL),
     b AS (SELECT scan_id, iy, ix, sum(re) AS re, sum(im) AS im FROM g WHERE (iy = 0 AND ix = 0) OR ((ky-qy)*(ky-qy) + (kx-qx)*(kx-qx) <= 9 AND (ky+qy)*(ky+qy) + (kx+qx)*(kx+qx) > 9) GROUP BY ALL),
     z AS (SELECT scan_id, sy, sx, sum(re*cos({fx.TWO_PI}*(iy*sy + ix*sx)/8) - im*sin({fx.TWO_PI}*(iy*sy + ix*sx)/8)) / 64 AS re, sum(re*sin({fx.TWO_PI}*(iy*sy + ix*sx)/8) + im*cos({fx.TWO_PI}*(iy*sy + ix*sx)/8)) / 64 AS im FROM b, (SELECT range AS sy FROM range(8)), (SELECT range AS sx FROM range(8)) GROUP BY ALL)
-    SELECT {POS_SQL}, round(sqrt(re*re + im*im), 3) + 0.0 AS amplitude, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM z""",
+    SELECT {POS_SQL}, round(sqrt(re*re + im*im), 6) + 0.0 AS amplitude, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM z""",
 )
 def f4(spark: SparkSession, sf: str) -> DataFrame:
     out = fourd.ssb(fx.patterns(spark, sf), 1.0, 3.0, 0.125, 1.0, (4.0, 4.0))
-    return rounded(out.select(*POS, "amplitude", (F.col("amplitude") * F.cos("phase")).alias("re"), (F.col("amplitude") * F.sin("phase")).alias("im")), 3)
+    return rounded(out.select(*POS, "amplitude", (F.col("amplitude") * F.cos("phase")).alias("re"), (F.col("amplitude") * F.sin("phase")).alias("im")), 6)
 
 
 @query(
