@@ -27,7 +27,8 @@ def by_size(pdf: pd.DataFrame, h: str, w: str) -> Iterator[tuple[pd.DataFrame, i
 def map_images(df: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame], dict], out: str, keep: list[str], px: str = "px", h: str = "height", w: str = "width", extra: list[str] = ()) -> DataFrame:
     """Runs kernel(images, rows) on each Arrow batch; it gives one value a row for each column of `out`.
 
-    Only the columns that are kept or needed go to Python.
+    Only the columns that are kept or needed go to Python. A NaN that a kernel gives for a row comes
+    back as null, which counts as missing too.
     """
     kinds = dict(df.dtypes)
     needed = list(dict.fromkeys([*keep, h, w, px, *extra]))

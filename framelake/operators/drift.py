@@ -16,7 +16,7 @@ def pair_shifts(frames: DataFrame, max_shift: int, upsample: bool = False, again
     """stack_id, frame, dy, dx, ncc of each frame against the previous or the first of its stack.
 
     An equi join on keys pairs the payloads, so no window holds images. A frame whose previous
-    number is missing has no row. ncc is NaN where the overlap is constant.
+    number is missing has no row. ncc is null where the overlap is constant.
     """
     keys = frames.select("stack_id", "frame", "height", "width", "px")
     if against == "previous":
@@ -24,7 +24,7 @@ def pair_shifts(frames: DataFrame, max_shift: int, upsample: bool = False, again
         pairs = keys.join(other, ["stack_id", "frame"])
     elif against == "first":
         first = keys.groupBy("stack_id").agg(F.min("frame").alias("f0"))
-        other = keys.join(first, (keys.stack_id == first.stack_id) & (keys.frame == first.f0)).select(first.stack_id, "f0", F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
+        other = keys.join(first.select("stack_id", "f0", F.col("f0").alias("frame")), ["stack_id", "frame"]).select("stack_id", "f0", F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
         pairs = keys.join(other, "stack_id").where("frame > f0")
     else:
         raise ValueError("against is 'previous' or 'first'")
