@@ -147,4 +147,52 @@ def seeded(url: Column) -> Column:
 
 def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged; the tables hold no labels of URLs, so seed words give them."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad=seeded(F.col("_url")))
+    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad=seeded(F.col("_url")))
+    return out.withColumn("purity", F.round("purity", 6) + F.lit(0.0))
+
+
+def _oracle() -> str:
+    """The same judgement in DuckDB SQL, level by level."""
+    form = "(CASE WHEN regexp_matches({m}, '^\\d+$') THEN '{{n}}' WHEN regexp_matches({m}, '^\\d{{4}}-\\d{{1,2}}(-\\d{{1,2}})?$') THEN '{{date}}' WHEN regexp_matches({m}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({m}, '\\d') THEN '{{hex}}' WHEN regexp_matches({m}, '\\d{{2,}}') OR length({m}) > 40 THEN '{{slug}}' ELSE {m} END || lower({e}))"
+    ends = lambda d: f"regexp_extract(seg[{d}], '(\\.[A-Za-z]{{1,5}})$', 1)"
+    stem = lambda d: f"substr(seg[{d}], 1, length(seg[{d}]) - length({ends(d)}))"
+    segments = ", ".join(f"coalesce({form.format(m=stem(d), e=ends(d))}, '') AS s{d}" for d in range(1, DEPTH + 1))
+    fits = lambda rule: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}'))".format(*rule.split("/", 1))
+    ordered_rules = sorted(RULES, key=lambda r: -len(r[0]))
+    case = lambda at: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[at]}'" for r in ordered_rules) + " END"
+    names, t = ", ".join(SEGMENTS), [f"t{d}" for d in range(1, DEPTH + 1)]
+    sql = f"""WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM a),
+c AS (SELECT page_id, url, coalesce(translate(raw, '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1), '') AS path FROM b),
+d AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, coalesce(regexp_matches(lower(url), '(^|[^a-z])({'|'.join(SEED_WORDS)})([^a-z]|$)'), false) AS bad FROM c),
+u AS (SELECT page_id, host, path, bad, {case(0)} AS rule, {case(1)} AS says, {segments} FROM d),
+tree0 AS (SELECT host, {names}, {', '.join(f's{k} AS t{k}' for k in range(1, DEPTH + 1))}, count(*) AS n, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS bad, count(*) AS labelled FROM u GROUP BY ALL)"""
+    for d in range(1, DEPTH + 1):
+        parent, own = ", ".join(["host", *t[: d - 1]]), f"t{d}"
+        others = ", ".join(x for x in t if x != own)
+        sql += f""",
+wild{d} AS (SELECT {parent}, true AS w FROM (SELECT {parent}, {own}, sum(n) AS n FROM tree{d - 1} WHERE {own} <> '' GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 10 AND count(*) > 0.5 * sum(n)),
+wilded{d} AS (SELECT host, {names}, {others}, CASE WHEN w AND {own} <> '' THEN '*' ELSE {own} END AS {own}, n, bad, labelled FROM tree{d - 1} LEFT JOIN wild{d} USING ({parent}))"""
+        if d == DEPTH:
+            sql += f", tree{d} AS (SELECT * FROM wilded{d})"
+            break
+        sql += f""",
+branch{d} AS (SELECT {parent}, {own}, s{d + 1} AS below, sum(n)::DOUBLE AS n, sum(bad) AS b, sum(labelled) AS l FROM wilded{d} WHERE {own} <> '' GROUP BY ALL),
+pooled{d} AS (SELECT {parent}, below, sum(n) AS pn FROM branch{d} GROUP BY ALL),
+own{d} AS (SELECT {parent}, {own}, sum(n) AS bn, sum(b)::DOUBLE AS bb, sum(l)::DOUBLE AS bl FROM branch{d} GROUP BY ALL),
+par{d} AS (SELECT {parent}, sum(bn) AS an, sum(bb) AS ab, sum(bl) AS al, count(*) AS k FROM own{d} GROUP BY ALL),
+over{d} AS (SELECT {parent}, {own}, sum(least(n / bn, pn / an)) AS o FROM branch{d} JOIN pooled{d} USING ({parent}, below) JOIN own{d} USING ({parent}, {own}) JOIN par{d} USING ({parent}) GROUP BY ALL),
+merged{d} AS (SELECT {parent}, {own}, true AS m FROM over{d} JOIN own{d} USING ({parent}, {own}) JOIN par{d} USING ({parent}) WHERE k > 1 AND o >= 0.7::DOUBLE - 0.5::DOUBLE / sqrt(bn) AND abs((bb + 0.5) / (bl + 1) - (ab + 0.5) / (al + 1)) <= 2 * sqrt((ab + 0.5) / (al + 1) * (1 - (ab + 0.5) / (al + 1)) / (bl + 1))),
+tree{d} AS (SELECT host, {names}, {others}, CASE WHEN m THEN '~' ELSE {own} END AS {own}, n, bad, labelled FROM wilded{d} LEFT JOIN merged{d} USING ({parent}, {own}))"""
+    levels = ", ".join(t)
+    label = " || ".join(f"(CASE WHEN {x} <> '' THEN '/' || {x} ELSE '' END)" for x in t)
+    return sql + f""",
+leaf AS (SELECT host, {levels}, sum(bad)::DOUBLE AS bad, sum(labelled)::DOUBLE AS labelled FROM tree{DEPTH} GROUP BY ALL),
+hosts AS (SELECT host, sum(bad) AS hb, sum(labelled) AS hl FROM leaf GROUP BY ALL),
+prior AS (SELECT sum(bad) / greatest(sum(labelled), 1) AS p FROM leaf),
+judged AS (SELECT host, {levels}, {label} AS template, round((bad + 5.0::DOUBLE * (hb + 5.0::DOUBLE * p) / (hl + 5)) / (labelled + 5), 6) + 0.0 AS purity FROM leaf JOIN hosts USING (host), prior),
+placed AS (SELECT host, {names}, template, purity FROM tree{DEPTH} JOIN judged USING (host, {levels}))
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= 0.7 THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM u JOIN placed USING (host, {names})"""
+
+
+OP3_SQL = _oracle()
