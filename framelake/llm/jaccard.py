@@ -163,10 +163,11 @@ def _compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     column = np.cumsum(shared) - 1
     row, col = row[shared[col]], column[col[shared[col]]]
     both = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(256, (1 << 23) // len(sets))
+    columns = int(shared.sum())
+    step = max(1, min(columns, max(256, (1 << 23) // len(sets))))
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for start in range(0, int(shared.sum()), step):
+    for start in range(0, columns, step):
         s, e = np.searchsorted(col, [start, start + step])
         dense = np.zeros((len(sets), step), np.float32)
         dense[row[s:e], col[s:e] - start] = 1
