@@ -44,32 +44,37 @@ def dpc(patterns: DataFrame, centre: tuple[float, float] | None = None) -> DataF
     return out.withColumn("magnitude", F.sqrt(F.col("dy") ** 2 + F.col("dx") ** 2)).withColumn("angle", F.atan2("dy", "dx"))
 
 
-def ssb(patterns: DataFrame, wavelength: float, semi_angle: float, step: float, dk: float, centre: tuple[float, float]) -> DataFrame:
+def ssb(patterns: DataFrame, wavelength: float, semi_angle: float, step: float, dk: float, centre: tuple[float, float], values: int = 1 << 20) -> DataFrame:
     """Single-side-band phase per scan position: scan_id, sy, sx, phase, amplitude (Pennycook et al. 2015, without aberrations).
 
     wavelength * dk is the angle of one detector pixel, `step` the scan step. Detector pixels outside
-    the aperture's reach are dropped first; then the volume is transposed by one shuffle: each
-    detector pixel's scan is Fourier transformed in its own group, the side band is summed over
-    detector pixels, and one inverse transform per scan gives the phase.
+    the aperture's reach are dropped first; then the volume is transposed by one shuffle: a group holds
+    some detector pixels over the whole scan (about `values` values), transforms each and sums their
+    side bands; the groups' sums are added, and one inverse transform per scan gives the phase.
     """
     cy, cx = centre
     a = semi_angle / wavelength / dk  # aperture radius in detector pixels
+    size = patterns.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), (F.max("sy") + 1).alias("h"), (F.max("sx") + 1).alias("w"))
+    most = size.agg(F.max("n")).first()[0] or 0
+    groups = max(1, int(most * np.pi * a * a / values))
     px = long_form(patterns, POS, w="kw").withColumn("ky", F.col("y") - cy).withColumn("kx", F.col("x") - cx)
-    px = px.where(F.col("ky") ** 2 + F.col("kx") ** 2 <= a * a).select("scan_id", "ky", "kx", "sy", "sx", "v")
+    px = px.where(F.col("ky") ** 2 + F.col("kx") ** 2 <= a * a).join(size.select("scan_id", "h", "w"), "scan_id")
+    px = px.select("scan_id", F.pmod(F.xxhash64("ky", "kx"), F.lit(groups)).alias("part"), "ky", "kx", "sy", "sx", "v", "h", "w")
 
     def side_band(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(part["sy"].max()) + 1, int(part["sx"].max()) + 1
-        image = np.zeros((h, w))
-        image[part["sy"], part["sx"]] = part["v"]
+        h, w = int(part["h"].iloc[0]), int(part["w"].iloc[0])
+        at, which = np.unique(part[["ky", "kx"]].to_numpy(), axis=0, return_inverse=True)
+        image = np.zeros((len(at), h, w))
+        image[which.ravel(), part["sy"], part["sx"]] = part["v"]
         g = np.fft.fft2(image)
         qy, qx = np.meshgrid(np.fft.fftfreq(h, step * dk), np.fft.fftfreq(w, step * dk), indexing="ij")  # in detector pixels
-        inside = lambda y, x: y * y + x * x <= a * a
-        ky, kx = keys[1], keys[2]
-        right = inside(ky - qy, kx - qx) & ~inside(ky + qy, kx + qx) & inside(ky, kx)
-        y, x = np.nonzero(right | ((qy == 0) & (qx == 0)))
-        return pd.DataFrame({"scan_id": keys[0], "h": h, "w": w, "qy": y, "qx": x, "re": g.real[y, x], "im": g.imag[y, x]})
+        ky, kx = at[:, 0, None, None], at[:, 1, None, None]
+        band = ((ky - qy) ** 2 + (kx - qx) ** 2 <= a * a) & ((ky + qy) ** 2 + (kx + qx) ** 2 > a * a) & (ky**2 + kx**2 <= a * a)
+        total = np.where(band | ((qy == 0) & (qx == 0)), g, 0).sum(0)
+        y, x = np.nonzero(total)
+        return pd.DataFrame({"scan_id": keys[0], "h": h, "w": w, "qy": y, "qx": x, "re": total.real[y, x], "im": total.imag[y, x]})
 
-    bands = px.groupBy("scan_id", "ky", "kx").applyInPandas(side_band, "scan_id long, h int, w int, qy int, qx int, re double, im double")
+    bands = px.groupBy("scan_id", "part").applyInPandas(side_band, "scan_id long, h int, w int, qy int, qx int, re double, im double")
     total = bands.groupBy("scan_id", "h", "w", "qy", "qx").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
     def back(part: pd.DataFrame) -> pd.DataFrame:

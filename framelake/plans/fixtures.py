@@ -34,9 +34,14 @@ def blob_value(s: str, f: str, y: str, x: str) -> str:
     return f"(20 + {noise(s, f, y, x)} + {first} + {second})"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deals slim rows over all cores before large values are made of them; a number keeps them from being merged again."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _frames(spark: SparkSession, sf_dir: str, value) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr(f"sequence(0L, {FRAMES - 1}L)")).alias("f"))
-    rows = rows.repartition(F.col("s"), F.col("f"))  # the source is a small table: spread the images that are made of it
+    rows = spread(rows, "s", "f")
     px = f"transform(sequence(0L, {N * N - 1}L), i -> cast({value('s', 'f', f'(i div {N})', f'(i % {N})')} as double))"
     return rows.select(F.col("s").alias("stack_id"), F.col("f").alias("frame"), F.expr("timestamp_seconds(1704067200 + f)").alias("ts"), F.lit(N).alias("height"), F.lit(N).alias("width"), F.lit("uint8").alias("dtype"), F.expr(px).alias("px"))
 
@@ -87,7 +92,8 @@ def _pattern_value(s: str, sy: str, sx: str, ky: str, kx: str) -> str:
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 scans of 9 x 9 patterns with a disk moved by a known step."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 63L)")).alias("p"))
-    rows = rows.select("s", F.expr("p div 8").alias("sy"), F.expr("p % 8").alias("sx")).repartition(F.col("s"), F.col("sy"))
+    rows = rows.select("s", F.expr("p div 8").alias("sy"), F.expr("p % 8").alias("sx"))
+    rows = spread(rows, "s", "sy")
     px = f"transform(sequence(0L, 80L), i -> cast({_pattern_value('s', 'sy', 'sx', '(i div 9)', '(i % 9)')} as double))"
     return rows.select(F.col("s").alias("scan_id"), F.col("sy").cast("int").alias("sy"), F.col("sx").cast("int").alias("sx"), F.lit(9).alias("kh"), F.lit(9).alias("kw"), F.expr(px).alias("px"))
 
@@ -107,6 +113,7 @@ def _double(text: str) -> str:
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4 x 4 scans of core-loss spectra (two known references over a power law from e = 50) and their low-loss partners."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 15L)")).alias("p")).selectExpr("s", "p div 4 as sy", "p % 4 as sx")
+    rows = spread(rows, "s", "sy")
     core = f"(1 + (s+sx)%3)*{R1} + (1 + sy%3)*{R2}"
     whole = _double(f"({core})*(CASE WHEN e >= 50 THEN 1 ELSE 0 END) + 1000000000.0*pow(400.0+e, -3)".replace("{e}", "e"))
     low = _double("1000.0/(1 + (e - 10 - s%3)*(e - 10 - s%3))")
