@@ -34,15 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, per_bucket: int = 20_000) -> DataFrame:
+def bucket_count(rows: int) -> int:
+    """Buckets for a window over `rows` rows: of about 1,000 rows each up to 1,000 buckets, then of up to 100,000 rows."""
+    return max(1, min(-(-rows // 1_000), 1_000), -(-rows // 100_000))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds a gapless rank from 0 within `keys`, in an order drawn from a hash of `order`.
 
-    No key is gathered in one task: rows are dealt over hash buckets, as many as keep a bucket of
-    one key below about `per_bucket` rows; a bucket's rank starts after the buckets before it.
+    No key is gathered in one task: rows are dealt over hash buckets, their number following the
+    largest key's rows; a bucket's rank starts after the buckets before it.
     Rows with equal `order` values share a bucket, and any of them may come first.
     """
     most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-most // per_bucket))
+    buckets = bucket_count(most)
     at = df.withColumn("_h", F.xxhash64(*order)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
     rows = at.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *order)) - 1)
     if buckets == 1:
@@ -157,12 +162,12 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         yield first, texts
 
 
-def running(df: DataFrame, keys: list[str], levels: list[str], tie: list[Column], value: str, name: str, per_bucket: int = 10_000) -> DataFrame:
+def running(df: DataFrame, keys: list[str], levels: list[str], tie: list[Column], value: str, name: str) -> DataFrame:
     """Adds the sum of `value` over the rows before, within `keys`, ordered by `levels` and then by a hash of `tie`.
 
-    Hash buckets keep any one window below about `per_bucket` rows; sums of whole buckets come first.
+    Rows are dealt over hash buckets, so that no window holds a key; sums of whole buckets come first.
     """
-    buckets = max(1, -(-df.count() // per_bucket))
+    buckets = bucket_count(df.count())
     at = df.withColumn("_h", F.xxhash64(*tie)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
     group = [*keys, *levels, "_b"]
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -172,9 +177,9 @@ def running(df: DataFrame, keys: list[str], levels: list[str], tie: list[Column]
     return at.withColumn("_i", inner).join(sums, group).withColumn(name, F.col("_o") + F.col("_i")).drop("_h", "_b", "_i", "_o")
 
 
-def ordered(df: DataFrame, column: str, name: str, per_part: int = 10_000) -> DataFrame:
+def ordered(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds a gapless rank from 0 by the values of `column`, nulls last, through range partitions."""
-    parts = max(1, -(-df.count() // per_part))
+    parts = bucket_count(df.count())
     ranged = cut(df.repartitionByRange(parts, F.col(column).isNull(), F.col(column)).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))

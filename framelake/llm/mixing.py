@@ -90,7 +90,7 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str =
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     plan = counts.where("size > 0").alias("c").join(goals.alias("t"), same("c", "t")).select("c.*", "t.target")
     plan = cut(plan.groupBy("source").applyInPandas(_plan, "source string, size long, whole long, extra long"))
-    order = ranked(rows, ["source", "size"], [F.lit(seed), F.col("id")], "r", per_bucket=1000)
+    order = ranked(rows, ["source", "size"], [F.lit(seed), F.col("id")], "r")
     out = order.alias("d").join(plan.alias("p"), same("d", "p") & (F.col("d.size") == F.col("p.size")), "left").join(F.broadcast(goals.alias("t")) if goals.count() <= 100_000 else goals.alias("t"), same("d", "t"))
     repeats = F.coalesce(F.col("p.whole") + F.when(F.col("d.r") < F.col("p.extra"), 1).otherwise(0), F.lit(0))
     return out.select(F.col("d.id").alias(id), F.col("d.source").alias(source), "d.size", "t.source_size", "t.target", repeats.alias("repeats"), (repeats * F.col("d.size")).alias("taken"))

@@ -29,7 +29,7 @@ def balanced_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
         "id", (F.coalesce(F.octet_length("_t"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.col("_t").cast("binary")), F.lit(0)).cast("long").alias("crc"),
         F.unhex(F.coalesce(F.md5(F.concat(F.lit("t"), F.col("_t")).cast("binary")), F.md5(F.lit("null")))).alias("g"),
     )
-    rows = cut(ranked(rows, ["g"], [F.col("id")], "r", per_bucket=1000))
+    rows = cut(ranked(rows, ["g"], [F.col("id")], "r"))
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     each = range(shards)
@@ -46,7 +46,7 @@ def balanced_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
         asks = cut(asks.select("g", "to", "level", F.col("p.s").alias("from"), (-F.col("p.n")).alias("n")))
         if asks.isEmpty():
             break
-        granted = running(asks, ["to"], ["level"], [F.col("g"), F.col("from")], "n", "before", per_bucket=5000)
+        granted = running(asks, ["to"], ["level"], [F.col("g"), F.col("from")], "n", "before")
         give = F.least(F.col("n"), F.get(F.array(*(F.lit(f) for f in free)), F.col("to")) - F.col("before"))
         granted = granted.withColumn("give", give).where("give > 0").groupBy("g").agg(F.first("to").alias("to"), F.sum("give").alias("sum"), F.map_from_entries(F.collect_list(F.struct("from", "give"))).alias("m"))
         moved = groups.join(granted, "g", "left")
@@ -57,7 +57,7 @@ def balanced_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
             break
     # places: parts of groups first, the larger before the smaller; what exceeds the quota is let loose
     cells = groups.select("g", F.posexplode("a").alias("s", "n")).where("n > 0").withColumn("level", (-F.floor(F.log2("n"))).cast("int"))
-    cells = running(cells, ["s"], ["level"], [F.col("g")], "n", "at", per_bucket=5000)
+    cells = running(cells, ["s"], ["level"], [F.col("g")], "n", "at")
     keep = F.greatest(F.lit(0), F.least(F.col("n"), F.get(F.array(*(F.lit(q) for q in quota)), F.col("s")) - F.col("at")))
     cells = cells.withColumn("keep", keep.cast("long")).where("keep > 0")
     held = {r["s"]: r["k"] for r in cells.groupBy("s").agg(F.sum("keep").alias("k")).collect()}
@@ -66,7 +66,7 @@ def balanced_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
     placed = rows.join(places, "g", "left")
     placed = placed.withColumn("p", F.get(F.filter("c", lambda x: (F.col("r") >= x["from"]) & (F.col("r") < x["from"] + x["keep"])), F.lit(0)))
     placed = cut(placed.select("id", "size", "crc", "r", F.col("p.s").alias("shard"), (F.col("p.at") + F.col("r") - F.col("p.from")).alias("slot")))
-    loose = ranked(placed.where("shard is null").drop("shard", "slot"), [], [F.col("id"), F.col("crc"), F.col("r")], "q", per_bucket=10_000)
+    loose = ranked(placed.where("shard is null").drop("shard", "slot"), [], [F.col("id"), F.col("crc"), F.col("r")], "q")
     where, slot, done = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
     for s in each:
         room = quota[s] - held.get(s, 0)
