@@ -52,7 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeats = cut(mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").cast("int").alias("repeats")).where("repeats > 0"))
-    held = docs.select(COLUMNS).alias("d").join(small(repeats).alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("d.*", "r.repeats")
+    # about as many rows as there are documents: always a shuffle, which hashes the slim side
+    held = docs.select(COLUMNS).alias("d").join(repeats.alias("r").hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("d.*", "r.repeats")
     return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(COLUMNS)
 
 
