@@ -149,7 +149,7 @@ def shingles(h: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray,
     return mixed(total), out
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """The batch's texts (null: empty) in runs of about `most` characters, with the first row of each."""
     texts, first, held = [], 0, 0
     for i, text in enumerate(batch.column(column).to_pylist()):
