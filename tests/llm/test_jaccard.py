@@ -74,3 +74,13 @@ def test_planted_pairs_at_the_threshold(spark, threshold):
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join([*a[:25], "new", *a[26:]]))]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
     assert all(got[2 * k] == (2 * k, 1) and got[2 * k + 1] == (2 * k, 1) for k in range(30))
+
+
+def test_pairs_exactly_at_the_threshold_are_links(spark):
+    """40 of 50 shingles shared (similarity 0.8) in texts of many sizes: rounding must not lose one."""
+    rows = []
+    for k in range(1, 40):  # k * 4 shared shingles of k * 5: the first text has them all
+        a = [f"t{k}x{j}" for j in range(5 * k + 4)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[: 4 * k + 4]))]
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {1}
