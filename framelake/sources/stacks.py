@@ -64,7 +64,7 @@ def decode_stacks(files: DataFrame, decoder: Decoder = decode_npy) -> tuple[Data
 def read_stacks(spark: SparkSession, path: str, decoder: Decoder = decode_npy, pattern: str = "*.npy") -> tuple[DataFrame, DataFrame]:
     """Frames and errors of a folder of files; a file's stack_id is a hash of its path, so it does not depend on listing order.
 
-    A file is read whole by one task; files larger than an executor's memory are split by the user beforehand.
+    A file is read whole by one task; for large .npy files on a mounted file system see `large`, which reads frame ranges.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return decode_stacks(files.select(F.xxhash64("path").alias("stack_id"), "path", "content"), decoder)

@@ -8,7 +8,7 @@ from framelake import schema
 from framelake.functions import kernels
 from framelake.operators import atoms, drift, eels, filters, fourd, frames, regions, strain
 from framelake.plans import fixtures as fx
-from framelake.sources import stacks
+from framelake.sources import large, stacks
 from framelake.streaming import frames as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,17 @@ def test_files_are_read_and_a_broken_one_is_reported(spark, tmp_path):
             stacks.write_frames(found, clash, [out])
 
 
+def test_large_files_are_read_by_ranges(spark, tmp_path):
+    a, b = rng(11).normal(size=(7, 3, 4)), rng(12).integers(0, 9, (2, 5)).astype(np.uint8)
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "b.npy", b)
+    large.register(spark)
+    df = spark.read.format("npy_frames").option("path", str(tmp_path)).option("frames", 3).load()
+    got = {(r.stack_id, r.frame): (image(r), r.dtype) for r in df.collect()}
+    assert len(got) == 8 and df.rdd.getNumPartitions() == 4
+    assert all((got[0, k][0] == a[k]).all() for k in range(7)) and (got[1, 0][0] == b).all() and got[1, 0][1] == "uint8"
+
+
 def test_selection(spark):
     f = stack(spark, [np.zeros((1, 1))] * 10)
     assert sorted(r.frame for r in frames.select_frames(f, every_n=3).collect()) == [0, 3, 6, 9]
