@@ -53,7 +53,7 @@ def balanced_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
         change = [F.coalesce(F.element_at("m", F.lit(s)), F.lit(0)) for s in each]
         groups = cut(moved.select("g", F.array(*(F.get("a", F.lit(s)) - change[s] + F.when(F.col("to") == s, F.col("sum")).otherwise(0) for s in each)).alias("a")))
         before, load = load, _loads(groups, shards)
-        if before == load and granted.isEmpty():
+        if before == load:  # nothing was granted
             break
     # places: parts of groups first, the larger before the smaller; what exceeds the quota is let loose
     cells = groups.select("g", F.posexplode("a").alias("s", "n")).where("n > 0").withColumn("level", (-F.floor(F.log2("n"))).cast("int"))

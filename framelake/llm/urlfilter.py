@@ -71,10 +71,6 @@ def generalised(segment: Column) -> Column:
     return F.concat(form, F.lower(ends))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys, "left")
-
-
 def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: float = 0.7, weight: float = 5.0) -> DataFrame:
     """The judged tree: host, SEGMENTS (as generalised by form), template, n, bad, labelled, purity.
 
@@ -92,7 +88,7 @@ def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: flo
         values = tree.groupBy(*parent, own).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
         stats = values.where(F.col(own) != "").groupBy(*parent).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_all"))
         wild = stats.where((F.col("_all") >= least) & (F.col("_k") > variety * F.col("_all"))).select(*parent, F.lit(True).alias("_w"))
-        tree = _joined(tree, wild, parent).withColumn(own, F.when(F.col("_w") & (F.col(own) != ""), "*").otherwise(F.col(own))).drop("_w")
+        tree = tree.join(wild, parent, "left").withColumn(own, F.when(F.col("_w") & (F.col(own) != ""), "*").otherwise(F.col(own))).drop("_w")
         if d == DEPTH:
             break
         below = f"s{d + 1}"
@@ -106,7 +102,7 @@ def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: flo
         near = F.abs(share - pool) <= 2 * F.sqrt(pool * (1 - pool) / (F.col("_bl") + 1))
         merged = overlap.join(of_branch, [*parent, own]).join(of_parent, parent).where((F.col("_k") > 1) & (F.col("_o") >= alike - 0.5 / F.sqrt("_bn")) & near)
         merged = merged.select(*parent, own, F.lit(True).alias("_m"))
-        tree = cut(_joined(tree, merged, [*parent, own]).withColumn(own, F.when(F.col("_m"), "~").otherwise(F.col(own))).drop("_m"))
+        tree = cut(tree.join(merged, [*parent, own], "left").withColumn(own, F.when(F.col("_m"), "~").otherwise(F.col(own))).drop("_m"))
     levels = [f"t{d}" for d in range(1, DEPTH + 1)]
     leaves = tree.groupBy("host", *levels).agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled")))
     hosts = leaves.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum("labelled").alias("_hl"))
