@@ -5,9 +5,10 @@ as `SKETCH` minhash values. In every run a node follows the values that a hash o
 chooses, 1 / `spread` of them on average; nodes on one path form a bucket. Buckets of at most
 `LIMIT` nodes are compared by brute force on their sketches, larger ones are split again, and those
 still large after `LEVELS` levels (their nodes agree on as many chosen values) are taken whole.
-`runs` runs reach the target recall: at similarity 0.8 a pair meets with probability 0.80 a run
-where buckets are small and 0.66 where all four levels are needed, so that in fourteen runs fewer
-than one pair in a million is missed.
+`runs` runs reach the target recall: at similarity 0.8 a pair meets with probability 0.68 a run
+where buckets are small and 0.41 where all four levels are needed: in ten runs one pair in a hundred
+thousand is missed, and one in two hundred where four levels stand between it and its family and no
+other member joins them.
 
 What meets forms families (components of meetings), a superset of the links. Within a family every
 pair is compared exactly, in tiles of bounded size: a family of any size is cut into tiles and
@@ -214,7 +215,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str,
     return cut(dealt.select("bin", "root", "node", "copies", "tile", "p", "q", "shingles").groupBy("bin").applyInPandas(compare, "node long, links long, low long"))
 
 
-def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, runs: int = 14, spread: float = 0.5) -> DataFrame:
+def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, runs: int = 10, spread: float = 0.7) -> DataFrame:
     """Every row of `docs`: id, class_id (the least id of its component of links) and n_links (documents linked to it, copies included)."""
     base = cut(sketches(docs, id, text, width))
     nodes = base.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "h")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
