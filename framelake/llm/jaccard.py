@@ -7,8 +7,11 @@ chooses, 1 / `spread` of them on average; nodes on one path form a bucket. Bucke
 still large after `LEVELS` levels (their nodes agree on as many chosen values) are taken whole.
 `runs` runs reach the target recall: at similarity 0.8 a pair meets with probability 0.68 a run
 where buckets are small and 0.41 where all four levels are needed: in ten runs one pair in a hundred
-thousand is missed, and one in two hundred where four levels stand between it and its family and no
-other member joins them.
+thousand is missed where buckets are small. By paths alone one in two hundred would be missed where
+four levels stand between two nodes, so nodes of a large bucket of the first level are also joined
+exactly, by a prefix filter: of n shingles in one order of all (rare ones first, as counted over these
+nodes) the first n - ceil(threshold * n) + 1 hold one of any node at the threshold. Nodes that share
+such a shingle meet by their sketches, more than `WIDE` of about one size without a look.
 
 What meets forms families (components of meetings), a superset of the links. Within a family every
 pair is compared exactly, in tiles of bounded size: a family of any size is cut into tiles and
@@ -25,6 +28,7 @@ class that has another; an empty table gives no rows. Only the id and the text a
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,8 @@ from .common import Words, components, cut, mixed, pieces, shingles, small
 SKETCH, LIMIT, LEVELS = 64, 64, 4
 #: Agreement of two sketches from which a small bucket's pair counts as a meeting: at similarity 0.8 fewer than 1 in a million pairs fall below.
 MEETING = 0.55
+#: Cells in which shingles are counted for their order; nodes of a prefix bucket that are compared by their sketches.
+CELLS, WIDE = 1 << 20, 512
 #: Nodes and shingles of one tile.
 TILE_NODES, TILE_SHINGLES = 512, 1 << 19
 
@@ -111,7 +117,7 @@ def _meetings(buckets: DataFrame) -> DataFrame:
             for bucket in batch.column("bucket").to_pylist():
                 bucket = sorted({x["node"]: x["sketch"] for x in bucket}.items())
                 table = np.frombuffer(b"".join(s for _, s in bucket), np.uint32).reshape(-1, SKETCH)
-                near = (table[:, None, :] == table[None, :, :]).mean(2) >= MEETING
+                near = np.concatenate([(table[s : s + LIMIT, None, :] == table[None, :, :]).mean(2) >= MEETING for s in range(0, len(table), LIMIT)])
                 low = _least(near)
                 a += [bucket[i][0] for i in np.flatnonzero(low != np.arange(len(low)))]
                 b += [bucket[j][0] for i, j in enumerate(low) if i != j]
@@ -131,8 +137,78 @@ def _least(near: np.ndarray) -> np.ndarray:
         low = new
 
 
-def families(nodes: DataFrame, runs: int, spread: float) -> DataFrame:
-    """(node, root): the components of all meetings of all runs; nodes that meet none are left out."""
+def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
+    """_text and the columns of `wanted` beside its _id and h, for the rows of those ids and hashes of texts."""
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("h", F.xxhash64("_text"))
+    rows = rows.alias("d").join(wanted.alias("w"), (F.col("d.h") == F.col("w.h")) & F.col("d._id").eqNullSafe(F.col("w._id")))
+    return rows.select("_text", *(F.col(f"w.{c}") for c in wanted.columns if c not in ("_id", "h")))
+
+
+def _cell_counts(rows: DataFrame, width: int, parts: int) -> np.ndarray:
+    """How many of the sets hold a shingle of each cell. A task returns one packed row, `parts` tasks add these up."""
+
+    def add(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["packed"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, texts in pieces(batch, "_text"):
+                counts += np.bincount(_cells(_sets(texts, width)[0]), minlength=CELLS)
+        if counts.any():
+            yield from add(counts)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for packed in batch.column("packed"):
+                counts += np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
+        yield from add(counts)
+
+    counts = np.zeros(CELLS, np.int64)
+    for row in rows.select("_text").mapInArrow(count, "packed binary").repartition(parts).mapInArrow(total, "packed binary").toLocalIterator():
+        counts += np.frombuffer(zlib.decompress(row["packed"]), np.int64)
+    return counts
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mixed(h) % np.uint64(CELLS)).astype(np.int64)
+
+
+def prefix_meetings(docs: DataFrame, nodes: DataFrame, hot: DataFrame, id: str, text: str, width: int, threshold: float) -> DataFrame:
+    """(node, low): meetings of the nodes `hot` that leave out no pair at the threshold, up to what MEETING leaves out."""
+    wanted = cut(nodes.join(hot, "node").select("node", F.col("id").alias("_id"), "h"))
+    many = wanted.count()
+    rows = _texts(docs, small(wanted), id, text)
+    counts = docs.sparkSession.sparkContext.broadcast(_cell_counts(rows, width, 1 + many // 50_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in pieces(batch, "_text"):
+                sets, bounds = _sets(texts, width)
+                n = np.diff(bounds)
+                doc = np.repeat(np.arange(len(texts)), n)
+                order = np.lexsort((sets, counts.value[_cells(sets)], doc))
+                most = n - np.ceil(threshold * n - 1e-6).astype(np.int64) + 1
+                at = order[np.arange(len(order)) - bounds[doc] < most[doc]]
+                held = batch.column("node").slice(first, len(texts)).to_numpy()
+                sizes = np.floor(np.log(np.maximum(n, 1)) / np.log(1 / threshold)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), pa.array(held[doc[at]]), pa.array(sizes[doc[at]])], names=["path", "node", "size"])
+
+    paths = cut(rows.mapInArrow(run, "path long, node long, size int").distinct())
+    shared = paths.join(cut(paths.groupBy("path").count().where("count > 1")), "path")
+    buckets = shared.where(F.col("count") <= WIDE).groupBy("path").agg(F.sort_array(F.collect_list("node")).alias("members"))
+    buckets = cut(buckets.select("members").distinct().select(F.monotonically_increasing_id().alias("path"), "members"))
+    held = buckets.select("path", F.explode("members").alias("node")).join(nodes.select("node", "sketch"), "node")
+    met = _meetings(held.groupBy("path").agg(F.collect_list(F.struct("node", "sketch")).alias("bucket")).select("bucket"))
+    # sizes of two nodes at the threshold fall in one class or in neighbours
+    large = cut(shared.where(F.col("count") > WIDE).select("path", "node", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size")))
+    lows = large.groupBy("path", "size").agg(F.min("node").alias("low"))
+    return cut(met.union(large.join(lows, ["path", "size"]).where("node <> low").select("node", "low")).distinct())
+
+
+def families(docs: DataFrame, nodes: DataFrame, runs: int, spread: float, id: str, text: str, width: int, threshold: float) -> DataFrame:
+    """(node, root): the components of all meetings; nodes that meet none are left out."""
     edges, frontier = None, nodes.select("node", "sketch")
     for level in range(1, LEVELS + 1):
         paths = cut(_children(frontier, runs, spread))
@@ -148,6 +224,8 @@ def families(nodes: DataFrame, runs: int, spread: float) -> DataFrame:
         edges = met if edges is None else edges.union(met)
         if large.isEmpty():
             break
+        if level == 1:
+            edges = edges.union(prefix_meetings(docs, nodes, cut(large.select("node").distinct()), id, text, width, threshold))
         frontier = large.join(nodes.select("node", "sketch"), "node")
     return components(edges, "node", "low").select("node", "root")
 
@@ -189,8 +267,7 @@ def _compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str, text: str, width: int, threshold: float) -> DataFrame:
     """(node, links, low) per tile, from the exact sets of the families' nodes."""
     wanted = small(cut(nodes.join(family, "node").select("node", "root", "copies", F.col("id").alias("_id"), "h")))
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("h", F.xxhash64("_text"))
-    rows = rows.alias("d").join(wanted.alias("w"), (F.col("d.h") == F.col("w.h")) & F.col("d._id").eqNullSafe(F.col("w._id"))).select("_text", "node", "root", "copies")
+    rows = _texts(docs, wanted, id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +297,7 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     base = cut(sketches(docs, id, text, width))
     nodes = base.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "h")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes.select("key", F.col("m._id").alias("id"), F.col("m.h").alias("h"), "copies", "sketch", F.monotonically_increasing_id().alias("node")))
-    family = cut(families(nodes, runs, spread))
+    family = cut(families(docs, nodes, runs, spread, id, text, width, threshold))
     found = linked_nodes(docs, nodes, family, id, text, width, threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select("node", "low"), "node", "low")

@@ -84,3 +84,15 @@ def test_pairs_exactly_at_the_threshold_are_links(spark):
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[: 4 * k + 4]))]
     got = {r.doc_id: r.n_links for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {1}
+
+
+def test_pairs_inside_shared_passages_are_not_lost(spark, monkeypatch):
+    """Pairs just above the threshold, most of whose shingles stand in a passage that many other texts hold, with few runs."""
+    monkeypatch.setattr(jaccard, "LIMIT", 8)
+    rows = []
+    for k in range(1000):  # 84 of 94 shingles shared: similarity 84 / 104; with the other texts of the passage far below
+        held = [f"p{k // 10}x{j}" for j in range(62)] + [f"o{k}x{j}" for j in range(26)]
+        rows += [(2 * k + t, " ".join([*held, *(f"n{k}x{t}x{j}" for j in range(10))])) for t in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs, runs=8).collect()}
+    assert [k for k in range(1000) if {got[2 * k], got[2 * k + 1]} != {(2 * k, 1)}] == []
