@@ -4,13 +4,15 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 read again as the next one's docs. All but the last return the columns of documents.
 
 1. language: documents without a letter go, and those of which no language holds REJECT of the letters.
-2. near_duplicates: of each class of linked documents the one with the least id stays.
+2. near_duplicates: of each class of linked documents the one with the least id stays (of equal ids
+   the one with the least hash of the text; a null id comes last).
 3. decontamination: documents that hold half or more of a benchmark item go.
 4. mixing: a document appears as often as the mix holds it (0, 1 or 2 times).
 5. sharding: every row gets a shard and its place there.
 
-Rows with a null id pass stages 2 and 3 unless another row's class holds them; of rows equal in id
-and text one stays in stage 2. Other rows with equal ids share one number of repeats in stage 4.
+Stages 2 and 3 decide per row, by id and text: rows that share an id, or have none, do not share a
+verdict. Of rows equal in id and text one stays in stage 2. Other rows with equal ids share one
+number of repeats in stage 4.
 Empty documents go in stage 1; an empty table passes all stages.
 """
 
@@ -33,21 +35,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT)).select(COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """COLUMNS and _key: the id (nulls last) and a hash of the text, without nulls inside."""
+    id = F.col("doc_id")
+    some = F.coalesce(id, F.lit(0).cast(docs.schema["doc_id"].dataType))
+    return docs.select(*COLUMNS, F.struct(id.isNull().alias("none"), some.alias("id"), F.xxhash64("text").alias("h")).alias("_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.jaccard_join(docs)
-    gone = cut(classes.where("class_id is not null and not (doc_id <=> class_id) and doc_id is not null").select("doc_id").distinct())
-    kept = docs.select(COLUMNS).join(small(gone), "doc_id", "left_anti")
-    again = cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    rows = keyed(docs)
+    gone = cut(jaccard.jaccard_join(rows, id="_key").where("class_id is not null and _key <> class_id").select("_key").distinct())
+    kept = rows.join(small(gone), "_key", "left_anti")
+    again = cut(rows.groupBy("_key").count().where("count > 1").select("_key"))
     if again.isEmpty():
-        return kept
-    once = kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small(again), "doc_id", "left_anti").unionByName(once)
+        return kept.select(COLUMNS)
+    once = kept.join(small(again), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(small(again), "_key", "left_anti").unionByName(once).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = cut(decontaminate.contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct())
-    return docs.select(COLUMNS).join(small(leaks), "doc_id", "left_anti")
+    rows = keyed(docs)
+    leaks = cut(decontaminate.contaminated(rows, benchmark, id="_key").select("_key").distinct())
+    return rows.join(small(leaks), "_key", "left_anti").select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

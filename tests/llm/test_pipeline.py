@@ -62,3 +62,16 @@ def test_an_empty_table_passes_all_stages(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_apart(spark, tmp_path):
+    """Ids 1 and null stand for several texts: of each class one row stays, and only the rows that hold the passage go."""
+    r = random.Random(4)
+    a, b, c, d = (" ".join(f"{k}{r.randrange(500)}" for _ in range(40)) for k in "abcd")
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, a), (7, a), (0, b), (1, b), (2, b), (None, c), (None, c), (None, d), (3, d), (4, "clean " + c[:50]), (4, PASSAGE), (None, PASSAGE + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    kept = [(x.doc_id, x.text) for x in p.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert Counter(kept) == Counter([(1, a), (0, b), (None, c), (3, d), (4, "clean " + c[:50]), (4, PASSAGE)])
+    clean = [(x.doc_id, x.text) for x in p.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert Counter(clean) == Counter(x for x in rows if PASSAGE not in x[1])
