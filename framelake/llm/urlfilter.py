@@ -30,7 +30,7 @@ from .common import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are kept in the plan, so their number is bounded; more are an error.
 MAX_RULES = 1000
-#: Levels of the tree; deeper segments share the last level.
+#: Levels of the tree at least; deeper paths add levels, one for each segment. The SQL has these levels only.
 DEPTH = 4
 SEGMENTS = [f"s{d}" for d in range(1, DEPTH + 1)]
 #: Words of host names and paths that mark a URL as bad where no labels are at hand.
@@ -72,24 +72,25 @@ def generalised(segment: Column) -> Column:
 
 
 def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: float = 0.7, weight: float = 5.0) -> DataFrame:
-    """The judged tree: host, SEGMENTS (as generalised by form), template, n, bad, labelled, purity.
+    """The judged tree: host, segments s1, s2... (as generalised by form), template, purity.
 
-    `urls` has host, SEGMENTS, n, bad and labelled, one row per distinct combination. A level is a
+    `urls` has host, the segments, n, bad and labelled, one row per distinct combination. A level is a
     wildcard where a parent has at least `least` URLs and more than `variety` different values per
     URL. Branches merge when the overlap of their children's distribution with their siblings' is
     `alike` or more, and their labelled share is within two standard errors. All statistics are
     grouped sums with partial aggregation; the only joins are with one row per parent.
     """
-    tree = urls
-    for d in range(1, DEPTH + 1):  # the path so far, with what earlier levels became
+    tree, depth = urls, len(urls.columns) - 4
+    segments = [f"s{d}" for d in range(1, depth + 1)]
+    for d in range(1, depth + 1):  # the path so far, with what earlier levels became
         tree = tree.withColumn(f"t{d}", F.col(f"s{d}"))
-    for d in range(1, DEPTH + 1):
+    for d in range(1, depth + 1):
         parent, own = ["host", *(f"t{k}" for k in range(1, d))], f"t{d}"
         values = tree.groupBy(*parent, own).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
         stats = values.where(F.col(own) != "").groupBy(*parent).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_all"))
         wild = stats.where((F.col("_all") >= least) & (F.col("_k") > variety * F.col("_all"))).select(*parent, F.lit(True).alias("_w"))
         tree = tree.join(wild, parent, "left").withColumn(own, F.when(F.col("_w") & (F.col(own) != ""), "*").otherwise(F.col(own))).drop("_w")
-        if d == DEPTH:
+        if d == depth:
             break
         below = f"s{d + 1}"
         branch = tree.where(F.col(own) != "").groupBy(*parent, own, below).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
@@ -103,7 +104,7 @@ def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: flo
         merged = overlap.join(of_branch, [*parent, own]).join(of_parent, parent).where((F.col("_k") > 1) & (F.col("_o") >= alike - 0.5 / F.sqrt("_bn")) & near)
         merged = merged.select(*parent, own, F.lit(True).alias("_m"))
         tree = cut(tree.join(merged, [*parent, own], "left").withColumn(own, F.when(F.col("_m"), "~").otherwise(F.col(own))).drop("_m"))
-    levels = [f"t{d}" for d in range(1, DEPTH + 1)]
+    levels = [f"t{d}" for d in range(1, depth + 1)]
     leaves = tree.groupBy("host", *levels).agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled")))
     hosts = leaves.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum("labelled").alias("_hl"))
     total = leaves.groupBy().agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
@@ -112,7 +113,7 @@ def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: flo
     leaves = leaves.join(hosts, "host").withColumn("purity", (F.col("bad") + weight * of_host) / (F.col("labelled") + weight))
     names = F.concat(*(F.when(F.col(t) != "", F.concat(F.lit("/"), F.col(t))).otherwise("") for t in levels))
     leaves = leaves.select("host", *levels, names.alias("template"), "purity")
-    return tree.join(leaves, ["host", *levels]).select("host", *SEGMENTS, "template", "purity")
+    return tree.join(leaves, ["host", *levels]).select("host", *segments, "template", "purity")
 
 
 def judge(pages: DataFrame, id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, bad: Column | None = None, reject: float = 0.7) -> DataFrame:
@@ -126,12 +127,14 @@ def judge(pages: DataFrame, id: str = "page_id", url: str = "url", rules: tuple[
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("_says", says)
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    for d, name in enumerate(SEGMENTS, 1):
+    deepest = rows.agg(F.max(F.size(parts))).first()[0] or 0
+    segments = [f"s{d}" for d in range(1, max(DEPTH, deepest) + 1)]
+    for d, name in enumerate(segments, 1):
         rows = rows.withColumn(name, F.coalesce(generalised(F.get(parts, F.lit(d - 1))), F.lit("")))
     label = F.col("_bad") if bad is not None else F.col("_says") == "block"
-    seen = rows.groupBy("host", *SEGMENTS).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(label, 1).otherwise(0)).alias("bad"), F.count(label).alias("labelled"))
+    seen = rows.groupBy("host", *segments).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(label, 1).otherwise(0)).alias("bad"), F.count(label).alias("labelled"))
     judged = templates(cut(seen))
-    out = rows.join(judged, ["host", *SEGMENTS], "left")
+    out = rows.join(judged, ["host", *segments], "left")
     verdict = F.coalesce("_says", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return out.select(F.col("_id").alias(id), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 

@@ -77,6 +77,14 @@ def test_templates_generalise_and_reject_by_purity(spark):
     assert urlfilter.judge(pages.limit(0)).collect() == []
 
 
+def test_segments_beyond_the_fourth_are_judged(spark):
+    """Paths that agree in four segments and part in the fifth get templates and verdicts of their own."""
+    rows = [(i, f"http://h.org/a/b/c/d/{'bad' if i % 2 else 'good'}/e/x{chr(97 + i % 5)}") for i in range(80)]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=(), bad=F.col("_url").contains("/bad/")).collect()
+    assert len(got) == 80 and {(x.page_id % 2, x.verdict) for x in got} == {(0, "allow"), (1, "block")}
+    assert all(x.template.startswith("/a/b/c/d/" + ("bad" if x.page_id % 2 else "good")) for x in got)
+
+
 # ---------------------------------------------------------------- sharding
 
 
