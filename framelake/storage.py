@@ -1,5 +1,7 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the folder that the driver and all executors share, and joins whose sent sides are counted first."""
 
+import functools
+import operator
 import tempfile
 import uuid
 
@@ -8,14 +10,20 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many slim rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: A key with more than one in so many of all rows is hot; fewer keys than this can be.
+HOT = 10_000
+
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set."""
+    """The session's spark.checkpoint.dir. Where none is set, a local session gets a temporary folder; a cluster's raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="framelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="framelake-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -24,7 +32,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df and reads it back, which ends its lineage."""
+    """Writes df and reads it back, which ends its lineage. The files stay as long as the shared folder does."""
     path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -33,3 +41,30 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """A broadcast hint for a written table, if its counted rows allow it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def attach(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`rows` (written) joined with `table` (written; one row per value of `on`, nulls are equal), inner or left.
+
+    A small table is broadcast. Beyond that, rows of hot keys meet a broadcast of their keys' rows,
+    fewer than HOT, and only the other rows are shuffled: no key fills a task.
+    """
+    more = [c for c in table.columns if c not in on]
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = functools.reduce(operator.and_, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on))
+        return left.alias("l").join(right.alias("r"), same, how).select("l.*", *(F.col(f"r.{c}") for c in more))
+
+    if table.count() <= BROADCAST_ROWS:
+        return joined(rows, F.broadcast(table))
+    counts = cut(rows.groupBy(*on).count().withColumnRenamed("count", "_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = cut(counts.where(F.col("_n") * HOT > total).select(*on))
+    if hot.isEmpty():
+        return joined(rows, table)
+
+    def part(df: DataFrame, kind: str) -> DataFrame:
+        same = functools.reduce(operator.and_, (F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}")) for c in on))
+        return df.alias("l").join(F.broadcast(hot).alias("h"), same, kind)
+
+    return joined(part(rows, "left_semi"), F.broadcast(part(table, "left_semi"))).unionByName(joined(part(rows, "left_anti"), table))
