@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_ROWS, attach, cut, new_path, shared_dir, small  # noqa: F401  for the operators
+
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="framelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and executors may go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket_count(rows: int) -> int:
     """Buckets for a window over `rows` rows: of about 1,000 rows each up to 1,000 buckets, then of up to 100,000 rows."""
     return max(1, min(-(-rows // 1_000), 1_000), -(-rows // 100_000))
@@ -64,28 +47,43 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected edges: (node, root), the root being the least node.
 
     Each round every node takes the least root among its neighbours', then its root's root.
-    Rounds end when no root changes; each round is a written table.
+    Rounds end when no root changes; each round is a written table. A node with very many
+    neighbours, or a root with very many nodes, meets its rows by a broadcast (`attach`).
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col(a) != F.col(b)).distinct())
-    both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col(a) != F.col(b)).distinct()
+    both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     roots = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
     while True:
-        near = both.join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
-        moved = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("mid"))
-        above = roots.select(F.col("node").alias("mid"), F.col("root").alias("up"))
-        moved = cut(moved.join(above, "mid").select("node", F.least("mid", "up").alias("root"), (F.least("mid", "up") != F.col("old")).alias("changed")))
+        near = attach(both, roots.select(F.col("node").alias("v"), "root"), ["v"]).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
+        moved = cut(roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("mid")))
+        above = attach(moved, roots.select(F.col("node").alias("mid"), F.col("root").alias("up")), ["mid"])
+        moved = cut(above.select("node", F.least("mid", "up").alias("root"), (F.least("mid", "up") != F.col("old")).alias("changed")))
         roots = moved.select("node", "root")
         if moved.where("changed").isEmpty():
             return roots
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """(node, low) edges, low being the smaller end, with the same components and few more rows than nodes.
+
+    A node keeps its least partner, and its other smaller partners are tied to that one instead; the
+    partners of many nodes are the same, so their ties fall together. A node's smaller partners, at most
+    one for each bucket or tile that it was compared in, stand in one row for that.
+    """
+    for _ in range(2):
+        stars = edges.where("node <> low").groupBy("node").agg(F.min("low").alias("least"), F.collect_set("low").alias("lows"))
+        kept = F.concat(F.array("node"), F.filter("lows", lambda x: x != F.col("least")))
+        edges = stars.select(F.explode(kept).alias("node"), F.col("least").alias("low"))
+    return cut(edges.distinct())
+
+
 # ---------------------------------------------------------------- words, vectorised over a batch
 
 
 @lru_cache(1)
 def word_points() -> np.ndarray:
     """True for the code points that make words: letters, marks and numbers of any script."""
-    return np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x30000)] + [False] * 0xE0000)
+    return np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)])
 
 
 @lru_cache(2)
@@ -185,12 +183,3 @@ def ordered(df: DataFrame, column: str, name: str) -> DataFrame:
     starts = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(column).asc_nulls_last())) - 1
     return ranged.withColumn("_r", within).join(starts, "_p").withColumn(name, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")
-
-
-#: A table of at most so many slim rows is sent to all executors; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the counted rows allow it; `df` should be a written table."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

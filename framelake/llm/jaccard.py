@@ -5,13 +5,17 @@ as `SKETCH` minhash values. In every run a node follows the values that a hash o
 chooses, 1 / `spread` of them on average; nodes on one path form a bucket. Buckets of at most
 `LIMIT` nodes are compared by brute force on their sketches, larger ones are split again, and those
 still large after `LEVELS` levels (their nodes agree on as many chosen values) are taken whole.
-`runs` runs reach the target recall: at similarity 0.8 a pair meets with probability 0.68 a run
-where buckets are small and 0.41 where all four levels are needed: in ten runs one pair in a hundred
-thousand is missed where buckets are small. By paths alone one in two hundred would be missed where
-four levels stand between two nodes, so nodes of a large bucket of the first level are also joined
-exactly, by a prefix filter: of n shingles in one order of all (rare ones first, as counted over these
-nodes) the first n - ceil(threshold * n) + 1 hold one of any node at the threshold. Nodes that share
-such a shingle meet by their sketches, more than `WIDE` of about one size without a look.
+
+Runs are repeated, `batch` at a time, until the target recall. It is measured on planted partners:
+`PLANTS` nodes or more, drawn by a hash, each get one partner whose sketch agrees with theirs in as many values
+as that of a text exactly at the threshold does on average. A partner takes part in the buckets,
+links to nothing, and counts as found once it meets its node. Runs end when `recall` of them are
+found, so hot passages, under which paths are deeper and pairs meet less often, add runs.
+
+Nodes of a large bucket of the first level are also joined exactly, by a prefix filter: of n
+shingles in one order of all (rare ones first, as counted over these nodes) the first
+n - ceil(threshold * n) + 1 hold one of any node at the threshold. Nodes that share such a shingle
+meet by their sketches, more than `WIDE` of about one size without a look.
 
 What meets forms families (components of meetings), a superset of the links. Within a family every
 pair is compared exactly, in tiles of bounded size: a family of any size is cut into tiles and
@@ -37,15 +41,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, mixed, pieces, shingles, small
+from .common import Words, attach, components, contracted, cut, mixed, pieces, shingles, small
 
 SKETCH, LIMIT, LEVELS = 64, 64, 4
+#: Planted partners by which recall is measured, about; all nodes have one where there are fewer nodes.
+PLANTS = 8_192
 #: Agreement of two sketches from which a small bucket's pair counts as a meeting: at similarity 0.8 fewer than 1 in a million pairs fall below.
 MEETING = 0.55
 #: Cells in which shingles are counted for their order; nodes of a prefix bucket that are compared by their sketches.
 CELLS, WIDE = 1 << 20, 512
-#: Nodes and shingles of one tile.
-TILE_NODES, TILE_SHINGLES = 512, 1 << 19
+#: Nodes and shingles of one tile (a task holds two), and nodes of one product of matrices within it.
+TILE_NODES, TILE_SHINGLES, PRODUCT = 2048, 1 << 20, 512
+#: Shingles that small families bring to one task together.
+BIN_SHINGLES = 1 << 19
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +94,28 @@ def sketches(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, h long, key binary, n long, sketch binary")
 
 
-def _children(rows: DataFrame, runs: int, spread: float) -> DataFrame:
+def planted(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Partners of about PLANTS nodes: node is -1 less the node's, the sketch agrees with the node's in a `threshold` share of values."""
+    share = min(1.0, PLANTS / max(nodes.count(), 1))
+    drawn = nodes.where(F.pmod(F.xxhash64(F.lit("plant"), "key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("node", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(SKETCH, dtype=np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
+            table = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+            with np.errstate(over="ignore"):
+                draw = mixed(mixed(node.astype(np.uint64) + np.uint64(1))[:, None] + mixed(place + np.uint64(77)))
+            other = (mixed(draw) >> np.uint64(32)).astype(np.uint32)
+            kept = np.argsort(np.argsort(draw, axis=1), axis=1) < round(threshold * SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - node), pa.array([r.tobytes() for r in np.where(kept, table, other)], pa.binary())], names=["node", "sketch"])
+
+    return cut(drawn.mapInArrow(run, "node long, sketch binary"))
+
+
+def _children(rows: DataFrame, runs: range, spread: float) -> DataFrame:
     """(path, node) of the next level; rows has node and sketch, and path unless it is the first level."""
     chance = np.uint64(int(2**64 / (spread * SKETCH)))
     first = "path" not in rows.columns
@@ -99,7 +128,7 @@ def _children(rows: DataFrame, runs: int, spread: float) -> DataFrame:
             values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH).astype(np.uint64)
             nodes = batch.column("node").to_numpy()
             tokens = mixed(values + place)
-            paths = [np.full(len(nodes), r + 1, np.uint64) for r in range(runs)] if first else [batch.column("path").to_numpy().view(np.uint64)]
+            paths = [np.full(len(nodes), r + 1, np.uint64) for r in runs] if first else [batch.column("path").to_numpy().view(np.uint64)]
             for path in paths:
                 key = mixed(tokens ^ mixed(path * np.uint64(0xD6E8FEB86659FD93))[:, None])
                 row, col = np.nonzero(key < chance)
@@ -109,7 +138,7 @@ def _children(rows: DataFrame, runs: int, spread: float) -> DataFrame:
 
 
 def _meetings(buckets: DataFrame) -> DataFrame:
-    """(node, low): each node with the least node of its component among the sketches of a small bucket."""
+    """(node, low) of small buckets: each node with the least node of its component by sketches, each planted partner with its node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,14 +147,30 @@ def _meetings(buckets: DataFrame) -> DataFrame:
                 bucket = sorted({x["node"]: x["sketch"] for x in bucket}.items())
                 table = np.frombuffer(b"".join(s for _, s in bucket), np.uint32).reshape(-1, SKETCH)
                 near = np.concatenate([(table[s : s + LIMIT, None, :] == table[None, :, :]).mean(2) >= MEETING for s in range(0, len(table), LIMIT)])
-                low = _least(near)
-                a += [bucket[i][0] for i in np.flatnonzero(low != np.arange(len(low)))]
-                b += [bucket[j][0] for i, j in enumerate(low) if i != j]
+                plants = sum(n < 0 for n, _ in bucket)
+                at = {n: i for i, (n, _) in enumerate(bucket)}
+                for i in range(plants):
+                    n = bucket[i][0]
+                    if (j := at.get(-1 - n)) is not None and near[i, j]:
+                        a.append(n)
+                        b.append(-1 - n)
+                low = _least(near[plants:, plants:])
+                a += [bucket[plants + i][0] for i in np.flatnonzero(low != np.arange(len(low)))]
+                b += [bucket[plants + j][0] for i, j in enumerate(low) if i != j]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "low"])
 
     return buckets.mapInArrow(run, "node long, low long")
 
 
+def _linked(groups: DataFrame, by: list[str], count: str) -> DataFrame:
+    """(node, low): ties all nodes of each group through the least nodes of about sqrt(count) parts, so that no node gets more partners than that from a group."""
+    parts = groups.select(*by, "node", F.pmod(F.xxhash64(F.lit("part"), "node"), F.ceil(F.sqrt(count)).cast("int")).alias("_part"))
+    lows = cut(parts.groupBy(*by, "_part").agg(F.min("node").alias("low")))
+    least = lows.groupBy(*by).agg(F.min("low").alias("least"))
+    own = attach(cut(parts), lows, [*by, "_part"]).select("node", "low")
+    return own.union(lows.join(least, by).select(F.col("low").alias("node"), F.col("least").alias("low"))).where("node <> low")
+
+
 def _least(near: np.ndarray) -> np.ndarray:
     """The least index of each row's component in a symmetric boolean matrix with a true diagonal."""
     low = np.arange(len(near))
@@ -202,66 +247,128 @@ def prefix_meetings(docs: DataFrame, nodes: DataFrame, hot: DataFrame, id: str,
     held = buckets.select("path", F.explode("members").alias("node")).join(nodes.select("node", "sketch"), "node")
     met = _meetings(held.groupBy("path").agg(F.collect_list(F.struct("node", "sketch")).alias("bucket")).select("bucket"))
     # sizes of two nodes at the threshold fall in one class or in neighbours
-    large = cut(shared.where(F.col("count") > WIDE).select("path", "node", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size")))
-    lows = large.groupBy("path", "size").agg(F.min("node").alias("low"))
-    return cut(met.union(large.join(lows, ["path", "size"]).where("node <> low").select("node", "low")).distinct())
+    large = cut(shared.where(F.col("count") > WIDE).select("path", "node", "count", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size")))
+    return cut(met.union(_linked(large, ["path", "size"], "count")).distinct())
 
 
-def families(docs: DataFrame, nodes: DataFrame, runs: int, spread: float, id: str, text: str, width: int, threshold: float) -> DataFrame:
-    """(node, root): the components of all meetings; nodes that meet none are left out."""
-    edges, frontier = None, nodes.select("node", "sketch")
+def _run(nodes: DataFrame, members: DataFrame, runs: range, spread: float) -> tuple[DataFrame, DataFrame | None]:
+    """(node, low) of all meetings in these runs, and the nodes of large buckets of the first level (none: None).
+
+    `members` are the nodes and their planted partners: node, sketch.
+    """
+    edges, hot, frontier = None, None, members
     for level in range(1, LEVELS + 1):
         paths = cut(_children(frontier, runs, spread))
         sizes = cut(paths.groupBy("path").count().where("count > 1"))
         shared = paths.join(sizes, "path")
-        held = shared.where(F.col("count") <= LIMIT).join(nodes.select("node", "sketch"), "node")
+        held = shared.where(F.col("count") <= LIMIT).join(members, "node")
         met = _meetings(held.groupBy("path").agg(F.collect_list(F.struct("node", "sketch")).alias("bucket")).select("bucket"))
-        large = cut(shared.where(F.col("count") > LIMIT).select("path", "node"))
+        large = cut(shared.where(F.col("count") > LIMIT).select("path", "node", "count"))
         if level == LEVELS:
-            lows = large.groupBy("path").agg(F.min("node").alias("low"))
-            met = met.union(large.join(lows, "path").where("node <> low").select("node", "low"))
+            met = met.union(_linked(large.where("node >= 0"), ["path"], "count"))
+            plants = large.where("node < 0").select("path", "node", (-1 - F.col("node")).alias("low"))
+            met = met.union(plants.join(large.select("path", F.col("node").alias("low")), ["path", "low"]).select("node", "low"))
         met = cut(met.distinct())
         edges = met if edges is None else edges.union(met)
         if large.isEmpty():
             break
         if level == 1:
-            edges = edges.union(prefix_meetings(docs, nodes, cut(large.select("node").distinct()), id, text, width, threshold))
-        frontier = large.join(nodes.select("node", "sketch"), "node")
-    return components(edges, "node", "low").select("node", "root")
+            hot = large.where("node >= 0").select("node").distinct()
+        frontier = large.select("path", "node").join(members, "node")
+    return edges, hot
+
+
+def families(docs: DataFrame, nodes: DataFrame, recall: float, batch: int, spread: float, id: str, text: str, width: int, threshold: float) -> DataFrame:
+    """(node, root): the components of all meetings; nodes that meet none are left out."""
+    plants = planted(nodes, threshold)
+    many = plants.count()
+    members = cut(nodes.select("node", "sketch").union(plants))
+    edges, hot, found, first = None, None, None, 0
+    while True:
+        met, large = _run(nodes, members, range(first, first + batch), spread)
+        first += batch
+        partners = met.where("node < 0").select("node")
+        found = cut((partners if found is None else found.union(partners)).distinct())
+        edges = met.where("node >= 0") if edges is None else edges.union(met.where("node >= 0"))
+        if large is not None:
+            hot = large if hot is None else hot.union(large)
+        if found.count() >= recall * many:
+            break
+    if hot is not None:
+        edges = edges.union(prefix_meetings(docs, nodes, cut(hot.distinct()), id, text, width, threshold))
+    return components(contracted(edges), "node", "low").select("node", "root")
 
 
 def _compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Exact similarities within one family's tile, or between its two tiles: links by node, and the least node of its local component."""
-    first, second = (frame["p"].iloc[0], frame["q"].iloc[0])
-    frame = frame.sort_values("node")
+    frame = frame.sort_values(["tile", "node"])
     sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
     n = np.array([len(s) for s in sets], np.float64)
-    every = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, col, times = np.unique(every, return_inverse=True, return_counts=True)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1  # a shingle of one set only is in no intersection
-    column = np.cumsum(shared) - 1
-    row, col = row[shared[col]], column[col[shared[col]]]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    columns = int(shared.sum())
-    step = max(1, min(columns, max(256, (1 << 23) // len(sets))))
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for start in range(0, columns, step):
-        s, e = np.searchsorted(col, [start, start + step])
-        dense = np.zeros((len(sets), step), np.float32)
-        dense[row[s:e], col[s:e] - start] = 1
-        both += dense @ dense.T
-    linked = both.astype(np.float64) * (1 + threshold) >= threshold * (n[:, None] + n[None, :]) - 1e-6
-    if first != second:
-        tile = frame["tile"].to_numpy()
-        linked &= tile[:, None] != tile[None, :]
-    np.fill_diagonal(linked, False)
-    weight = frame["copies"].to_numpy(np.float64)
-    links = (linked @ weight).astype(np.int64)
-    np.fill_diagonal(linked, True)
+    column = (np.cumsum(shared) - 1).astype(np.int32)
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sets = [column[c[shared[c]]] for c in (col[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True))]
+    tile, weight = frame["tile"].to_numpy(), frame["copies"].to_numpy(np.float64)
+    apart = frame["p"].iloc[0] != frame["q"].iloc[0]
+    links, low = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    starts = range(0, len(sets), PRODUCT)
+    for a in starts:
+        for b in (b for b in starts if b >= a):
+            x, y = slice(a, min(a + PRODUCT, len(sets))), slice(b, min(b + PRODUCT, len(sets)))
+            if apart and tile[x][0] == tile[y][-1]:
+                continue  # both lie in one tile, which another task compares
+            linked = _overlaps(sets[x], sets[y]) * (1 + threshold) >= threshold * (n[x][:, None] + n[y][None, :]) - 1e-6
+            if apart:
+                linked &= tile[x][:, None] != tile[y][None, :]
+            if a == b:
+                np.fill_diagonal(linked, False)
+            links[x] += (linked @ weight[y]).astype(np.int64)
+            if a != b:
+                links[y] += (weight[x] @ linked).astype(np.int64)
+            _merge(low, *(at + s for at, s in zip(np.nonzero(linked), (a, b), strict=True)))
     nodes = frame["node"].to_numpy()
-    return pd.DataFrame({"node": nodes, "links": links, "low": nodes[_least(linked)]})
+    return pd.DataFrame({"node": nodes, "links": links, "low": nodes[low]})
+
+
+def _overlaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets of small numbers, by products of 0-1 matrices over blocks of columns."""
+    both = np.zeros((len(first), len(second)))
+    here = np.intersect1d(np.concatenate(first), np.concatenate(second))
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(here, col)
+        ok = here[np.minimum(at, len(here) - 1)] == col
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order]
+
+    if not len(here):
+        return both
+    (ra, ca), (rb, cb) = placed(first), placed(second)
+    step = 1 << 13
+    for start in range(0, len(here), step):
+        a, b = (np.zeros((len(sets), step), np.float32) for sets in (first, second))
+        for dense, row, col in ((a, ra, ca), (b, rb, cb)):
+            s, e = np.searchsorted(col, [start, start + step])
+            dense[row[s:e], col[s:e] - start] = 1
+        both += a @ b.T
+    return both
+
+
+def _merge(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of a[i] and b[i] in `low`, which holds the least member of each one's component."""
+    while len(a):
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        root = np.arange(len(low))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+        low[:] = root[low]
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str, text: str, width: int, threshold: float) -> DataFrame:
@@ -280,10 +387,10 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str,
     size = F.octet_length("shingles") / 8
     tiles = exact.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum(size) / TILE_SHINGLES)).cast("int").alias("tiles"), F.sum(size).alias("size"))
     tiles = cut(tiles.withColumn("tiles", F.when(F.col("tiles") < 1, 1).otherwise(F.col("tiles"))))
-    bins = max(1, int((tiles.where("tiles = 1").agg(F.sum("size")).first()[0] or 0) / TILE_SHINGLES) + 1)
-    dealt = exact.join(small(tiles.select("root", "tiles")), "root").withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))
+    bins = max(1, int((tiles.where("tiles = 1").agg(F.sum("size")).first()[0] or 0) / BIN_SHINGLES) + 1)
+    dealt = attach(exact, tiles.select("root", "tiles"), ["root"]).withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("p", F.least("tile", "other")).withColumn("q", F.greatest("tile", "other"))
-    # families of one tile share bins of about one tile's size
+    # families of one tile share bins
     dealt = dealt.withColumn("bin", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "p", "q")))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -292,20 +399,20 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str,
     return cut(dealt.select("bin", "root", "node", "copies", "tile", "p", "q", "shingles").groupBy("bin").applyInPandas(compare, "node long, links long, low long"))
 
 
-def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, runs: int = 10, spread: float = 0.7) -> DataFrame:
+def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9995, batch: int = 5, spread: float = 0.7) -> DataFrame:
     """Every row of `docs`: id, class_id (the least id of its component of links) and n_links (documents linked to it, copies included)."""
     base = cut(sketches(docs, id, text, width))
     nodes = base.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "h")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes.select("key", F.col("m._id").alias("id"), F.col("m.h").alias("h"), "copies", "sketch", F.monotonically_increasing_id().alias("node")))
-    family = cut(families(docs, nodes, runs, spread, id, text, width, threshold))
+    family = cut(families(docs, nodes, recall, batch, spread, id, text, width, threshold))
     found = linked_nodes(docs, nodes, family, id, text, width, threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(found.select("node", "low"), "node", "low")
+    parts = components(contracted(found.select("node", "low")), "node", "low")
     named = nodes.select("node", "key", "id", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.where("copies > 1 or links > 0"))
     classes = named.groupBy("root").agg(F.min("id").alias("class_id"))
     named = named.join(classes, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = base.select("_id", "key").join(small(cut(named)), "key", "left")
+    out = attach(base.select("_id", "key"), cut(named), ["key"], "left")
     return out.select(F.col("_id").alias(id), F.when(F.col("n_links").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
