@@ -7,10 +7,18 @@ repeats of all its documents, a proportional number of each length, and bounded-
 programming over the counts for the remaining budget; within a length the documents with the
 least seeded hash are taken.
 
+The proportional choice is undone as far as that takes. If no sum of the documents it left free meets the budget,
+2, 4, 8... documents of each length are given back to the search, until the budget is met or
+the search covers what can matter: all documents, or as many of each length as twice the longest
+length (some best choice differs from one near the budget by no more). So the largest sum up to
+the budget is taken, if that search fits into `BITS` bits of sums; a search that does not is not
+made, and the best sum of the last one is taken. That needs lengths of which very
+many sums miss the budget, with documents of millions of words.
+
 Defined results: the size of a null text is 0; documents of size 0 are never taken (taken 0);
 a source of size 0 has target 0; rows with equal ids are separate rows, and of rows equal in all
-that orders them any may be taken; an empty table gives no rows. Where no subset fits exactly, the
-largest sum below the budget is taken. Only the id, the source and the text are read.
+that orders them any may be taken; an empty table gives no rows. Only the id, the source and the
+text are read.
 """
 
 from __future__ import annotations
@@ -20,11 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ordered, ranked
+from .common import attach, cut, ordered, ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that greedy choice leaves to dynamic programming, besides one longest document.
 FIT = 1 << 15
+#: Bits of all the sums that one search may hold (256 MB in one task).
+BITS = 1 << 31
+#: Rows of one source and length that meet their row of the plan under one key.
+HOT_ROWS = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -47,20 +59,42 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length sum up to `budget` words, or as near below as can be."""
+    """How many documents of each length sum up to the largest sum that does not exceed `budget` words."""
+    unit = int(np.gcd.reduce(lengths)) if len(lengths) else 1
+    lengths, budget = lengths // unit, budget // unit
     size = int((lengths * counts).sum())
-    take = np.array([int(c) * budget // size for c in counts], np.int64) if size else np.zeros(len(counts), np.int64)
+    if size <= budget:
+        return counts.astype(np.int64)
+    take = np.array([int(c) * budget // size for c in counts], np.int64)
     left = budget - int((lengths * take).sum())
     for i in np.argsort(-lengths):  # the bulk of what rounding left over, down to what the exact search covers
         more = min(int(counts[i] - take[i]), max(0, left - FIT) // int(lengths[i]))
         take[i] += more
         left -= more * int(lengths[i])
+    best, back = _search(lengths, counts, take, budget), 1
+    while best is not None:
+        take, given = best, np.maximum(best - back, 0)
+        if int((lengths * take).sum()) == budget or back > 4 * int(lengths.max()):
+            break
+        best = _search(lengths, counts, given, budget)
+        if not given.any():
+            take = take if best is None else best
+            break
+        back *= 2
+    return take
+
+
+def _search(lengths: np.ndarray, counts: np.ndarray, base: np.ndarray, budget: int) -> np.ndarray | None:
+    """The best choice that takes at least `base`; None where its sums would exceed BITS."""
+    take, left = base.copy(), budget - int((lengths * base).sum())
     sums, mask, steps = 1, (1 << (left + 1)) - 1, []
     for i in np.argsort(-(counts - take), kind="stable"):
         n, k = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
         while n > 0 and not sums >> left & 1:
             k = min(k, n)
             steps.append((i, k, sums))
+            if len(steps) * left > BITS:
+                return None
             sums |= sums << (k * int(lengths[i])) & mask
             n, k = n - k, 2 * k
         if sums >> left & 1:
@@ -76,9 +110,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 def _plan(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("size")
     lengths, counts = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
+    some = lengths > 0
     size, goal = int((lengths * counts).sum()), int(round(float(frame["target"].iloc[0])))
     whole = goal // size if size else 0
-    return frame[["source", "size"]].assign(whole=whole, extra=fit(lengths, counts, goal - whole * size))
+    extra = np.zeros(len(frame), np.int64)
+    extra[some] = fit(lengths[some], counts[some], goal - whole * size)
+    return frame.assign(whole=np.where(some, whole, 0), extra=extra)
 
 
 def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
@@ -87,13 +124,14 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str =
     rows = cut(rows)
     counts = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    plan = counts.where("size > 0").alias("c").join(goals.alias("t"), same("c", "t")).select("c.*", "t.target")
-    plan = cut(plan.groupBy("source").applyInPandas(_plan, "source string, size long, whole long, extra long"))
-    order = ranked(rows, ["source", "size"], [F.lit(seed), F.col("id")], "r")
-    out = order.alias("d").join(plan.alias("p"), same("d", "p") & (F.col("d.size") == F.col("p.size")), "left").join(F.broadcast(goals.alias("t")) if goals.count() <= 100_000 else goals.alias("t"), same("d", "t"))
-    repeats = F.coalesce(F.col("p.whole") + F.when(F.col("d.r") < F.col("p.extra"), 1).otherwise(0), F.lit(0))
-    return out.select(F.col("d.id").alias(id), F.col("d.source").alias(source), "d.size", "t.source_size", "t.target", repeats.alias("repeats"), (repeats * F.col("d.size")).alias("taken"))
+    plan = counts.alias("c").join(goals.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.*", "t.source_size", "t.target")
+    plan = cut(plan.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, whole long, extra long"))
+    # a length's rows meet their row of the plan in pieces of HOT_ROWS, by their rank within it
+    plan = plan.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / HOT_ROWS)))).drop("n")
+    order = cut(ranked(rows, ["source", "size"], [F.lit(seed), F.col("id")], "r").withColumn("piece", F.floor(F.col("r") / HOT_ROWS)))
+    out = attach(order, cut(plan), ["source", "size", "piece"])
+    repeats = F.col("whole") + F.when(F.col("r") < F.col("extra"), 1).otherwise(0)
+    return out.select(F.col("id").alias(id), "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
