@@ -2,19 +2,28 @@
 
 Words are hashed; runs of `seed` words shared with the benchmark are joined map-side against a
 table of the benchmark's seeds whose size is bounded: a larger benchmark is taken in blocks, each
-a pass over all documents. For each document and item the shared seeds on one diagonal form
-matches, kept as running Karp-Rabin hashes of runs say they are equal; the longest match whose
-words are all unmarked is marked again and again until none of `seed` words is left. The share of
-the item's words that are marked is its coverage: passages in another order count in full.
-
-Defined results: null or empty documents and items match nothing; items with fewer than `seed`
-words cannot be matched and are left out; repeated items and documents each give their own rows;
-ties among equally long matches go to the earlier place in the document, then in the item; empty
-tables give no rows. Documents are read whole. Only ids and texts are read.
+a pass over all documents that is written before the next block is sent. An item of fewer words
+than `seed` is one seed of its own length, so it matches where it stands as a whole. For each
+document and item the shared seeds on one diagonal form matches, kept as running Karp-Rabin hashes
+of runs say they are equal; the longest match whose words are all unmarked is marked again and
+again until none of `seed` words is left. The share of the item's words that are marked is its
+coverage: passages in another order count in full.
+
+Only an item's probing seeds look for documents: its most frequent seeds, as counted over the block's
+items, are left out as long as all that are left out together cover less than `coverage` of its
+words. A document that holds none of the probing seeds cannot reach the threshold, so a preamble
+that many items share makes no pairs, and no pair is lost. Found pairs are then tiled from all their seeds.
+
+Defined results: null or empty documents and items match nothing, nor do items without words;
+repeated items and documents each give their own rows; ties among equally long matches go to the
+earlier place in the document, then in the item; empty tables give no rows. Documents are read
+whole; a document and an item that repeat one run of words a and b times hold a * b matches in
+memory while they are tiled. Only ids and texts are read.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -23,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, pieces, shingles
+from .common import Words, cut, pieces, shingles
 
 #: Words of benchmark items in one block; its seeds, places and hashes take about 40 bytes a word on each executor core.
 BLOCK_WORDS = 2_000_000
@@ -62,47 +71,93 @@ def tiles(doc: np.ndarray, item: np.ndarray, length: int) -> list[tuple[int, int
     return out
 
 
+def _widths(h: np.ndarray, bounds: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of every run of each of `widths` words."""
+    parts = []
+    for w in widths:
+        runs, at = shingles(h, bounds, w)
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
+        whole = np.diff(bounds)[text] >= w
+        parts.append((runs[whole] ^ np.uint64(w), text[whole], (np.arange(len(runs)) - at[text])[whole]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 class Seeds:
-    """A block of the benchmark: sorted seed hashes with item and place of each."""
+    """A block of the benchmark: its items' seeds in order of item and place, and the probing ones in order of hash."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.seed = seed
+    def __init__(self, items: list[tuple[int, str]], seed: int, coverage: float):
         words = Words([t for _, t in items])
-        self.length = np.diff(words.bounds)
         self.ids = [i for i, _ in items]
-        h, bounds = shingles(words.hash, words.bounds, seed)
-        item = np.repeat(np.arange(len(items)), np.diff(bounds))
-        place = np.arange(len(h)) - bounds[item]
-        long = self.length[item] >= seed
-        order = np.argsort(h[long], kind="stable")
-        self.hash, self.item, self.place = h[long][order], item[long][order], place[long][order]
+        self.length = np.diff(words.bounds)
+        self.seed = np.minimum(self.length, seed)
+        self.widths = sorted(set(self.seed[self.seed > 0].tolist())) or [seed]
+        h, item, place = _widths(words.hash, words.bounds, self.widths)
+        own = np.flatnonzero(self.widths_of(h, item))
+        own = own[np.lexsort((place[own], item[own]))]
+        self.hash, self.item, self.place = h[own], item[own], place[own]
+        self.bounds = np.searchsorted(self.item, np.arange(len(items) + 1))
+        probe = self._probing(coverage)
+        order = probe[np.argsort(self.hash[probe], kind="stable")]
+        self.probe, self.probe_item = self.hash[order], self.item[order]
+
+    def widths_of(self, h: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which runs have their item's own width: `_widths` lists them width by width, and only an item's own width is a seed."""
+        counts = [int(np.maximum(self.length - w + 1, 0).sum()) for w in self.widths]
+        return np.repeat(self.widths, counts) == self.seed[item]
+
+    def _probing(self, coverage: float) -> np.ndarray:
+        """Places in hash, item, place of the seeds that must find a document."""
+        _, at, times = np.unique(self.hash, return_inverse=True, return_counts=True)
+        often = times[at]
+        probing = np.ones(len(self.hash), bool)
+        for i, (s, e) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
+            if e - s < 2 or often[s:e].max() == 1:
+                continue
+            covered, need, width = np.zeros(self.length[i], bool), coverage * self.length[i], self.seed[i]
+            total = 0
+            for k in s + np.argsort(-often[s:e], kind="stable"):
+                place = self.place[k]
+                total += int((~covered[place : place + width]).sum())
+                if total >= need or often[k] == 1:
+                    break
+                covered[place : place + width] = True
+                probing[k] = False
+        return np.flatnonzero(probing)
 
 
 def _matches(texts: list[str], seeds: Seeds, coverage: float) -> list[tuple[int, int, float, int, list[dict]]]:
     """(text, item, coverage, words covered, tiles) of each pair at or above the threshold."""
     words = Words(texts)
-    h, bounds = shingles(words.hash, words.bounds, seeds.seed)
-    lo, hi = np.searchsorted(seeds.hash, h, "left"), np.searchsorted(seeds.hash, h, "right")
+    h, text, place = _widths(words.hash, words.bounds, seeds.widths)
+    lo, hi = np.searchsorted(seeds.probe, h, "left"), np.searchsorted(seeds.probe, h, "right")
     at = np.flatnonzero(hi > lo)
     if not len(at):
         return []
-    n = hi[at] - lo[at]
-    spot = np.repeat(at, n)
-    hit = np.repeat(lo[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    text = np.searchsorted(bounds, spot, "right") - 1
-    place, item, there = spot - bounds[text], seeds.item[hit], seeds.place[hit]
-    order = np.lexsort((item, text))
-    text, place, item, there = text[order], place[order], item[order], there[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0)]))
+    # a seed that a text repeats looks up its items once
+    first = np.unique(np.stack([text[at].astype(np.uint64), lo[at].astype(np.uint64)]), axis=1).astype(np.int64)
+    ends = np.searchsorted(seeds.probe, seeds.probe[first[1]], "right")
+    n = ends - first[1]
+    hit = np.repeat(first[1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    pairs = np.unique(np.repeat(first[0], n) * len(seeds.ids) + seeds.probe_item[hit])
+    found_in = np.unique(pairs // len(seeds.ids))
+    keep = np.isin(text, found_in)
+    h, text, place = h[keep], text[keep], place[keep]
+    order = np.lexsort((place, h, text))
+    h, text, place = h[order], text[order], place[order]
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     out = []
-    for s, e in zip(new, np.concatenate([new[1:], [len(text)]]), strict=True):
-        length = int(seeds.length[item[s]])
-        if len(np.unique((there[s:e][:, None] + np.arange(seeds.seed)).ravel())) < coverage * length:
+    for t, i in zip((pairs // len(seeds.ids)).tolist(), (pairs % len(seeds.ids)).tolist(), strict=True):
+        own, length, width = h[bounds[t] : bounds[t + 1]], int(seeds.length[i]), int(seeds.seed[i])
+        s, e = seeds.bounds[i], seeds.bounds[i + 1]
+        lo, hi = np.searchsorted(own, seeds.hash[s:e], "left"), np.searchsorted(own, seeds.hash[s:e], "right")
+        n = hi - lo
+        if len(np.unique((seeds.place[s:e][n > 0][:, None] + np.arange(width)).ravel())) < coverage * length:
             continue  # even all seeds together cover too little
-        found = tiles(place[s:e], there[s:e], seeds.seed)
-        covered = sum(t[2] for t in found)
+        spot = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        found = tiles(place[bounds[t] : bounds[t + 1]][spot], np.repeat(seeds.place[s:e], n), width)
+        covered = sum(x[2] for x in found)
         if covered >= coverage * length:
-            out.append((int(text[s]), seeds.ids[item[s]], covered / length, covered, [{"doc_word": a, "item_word": b, "words": k} for a, b, k in found]))
+            out.append((t, seeds.ids[i], covered / length, covered, [{"doc_word": a, "item_word": b, "words": k} for a, b, k in found]))
     return out
 
 
@@ -125,11 +180,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     kind = dict(rows.dtypes)["_id"]
     tile = pa.list_(pa.struct([("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())]))
     schema = f"_id {kind}, item_id long, coverage double, words long, tiles array<struct<doc_word: long, item_word: long, words: long>>"
-    found = None
-    for block in blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Seeds(block, seed))
+    def matched(block: list[tuple[int, str]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(Seeds(block, seed, coverage))
+        held.append(shared)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, texts in pieces(batch, "_text"):
                     if hits := _matches(texts, shared.value, coverage):
@@ -137,11 +192,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
                         ids = batch.column("_id").take(pa.array([first + r for r in rows_]))
                         yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(rest, (pa.int64(), pa.float64(), pa.int64(), tile), strict=True))], names=["_id", "item_id", "coverage", "words", "tiles"])
 
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], schema)
-    return found.withColumnRenamed("_id", id)
+        return rows.mapInArrow(run, schema)
+
+    held, done = [], []
+    todo = blocks(benchmark, item_id, item_text)
+    block, following = next(todo, None), next(todo, None)
+    while following is not None:
+        done.append(cut(matched(block)))
+        held.pop().destroy()
+        block, following = following, next(todo, None)
+    last = matched(block) if block is not None else rows.sparkSession.createDataFrame([], schema)
+    return functools.reduce(DataFrame.union, [*done, last]).withColumnRenamed("_id", id)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

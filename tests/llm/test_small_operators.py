@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -150,18 +151,18 @@ def plain_tiling(doc, item, least):
 def test_tiling_equals_its_definition(spark):
     r = random.Random(3)
     words = [f"w{i}" for i in range(40)]
-    items = [(k, [r.choice(words) for _ in range(r.randint(3, 30))]) for k in range(8)]
+    items = [(k, [r.choice(words) for _ in range(r.randint(1, 30))]) for k in range(12)]
     docs = []
     for i in range(60):
         text = [r.choice(words) for _ in range(r.randint(0, 60))]
         for _, item in r.sample(items, 2):
-            cut = r.randrange(1, len(item))
+            cut = r.randrange(len(item))
             text += item[cut:] + [r.choice(words)] * r.randrange(3) + item[:cut]  # in another order
         docs.append((i, text))
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs] + [(100, None), (101, "")], "doc_id long, text string")
     b = spark.createDataFrame([(k, " ".join(t)) for k, t in items] + [(50, None), (51, "")], "item_id long, text string")
     got = {(x.doc_id, x.item_id): x.words for x in decontaminate.contaminated(d, b, coverage=0.4, seed=3).collect()}
-    want = {(i, k): n for i, t in docs for k, item in items if len(item) >= 3 for n in [sum(x[0] for x in plain_tiling(t, item, 3))] if n >= 0.4 * len(item)}
+    want = {(i, k): n for i, t in docs for k, item in items for n in [sum(x[0] for x in plain_tiling(t, item, min(3, len(item))))] if n >= 0.4 * len(item)}
     assert got == want and want
 
 
@@ -175,6 +176,36 @@ def test_decontamination_in_blocks_and_of_nothing(spark, monkeypatch):
     assert decontaminate.contaminated(odd_docs(spark), b).collect() == []
 
 
+def test_short_items_match_as_a_whole(spark):
+    b = spark.createDataFrame([(1, "What is love"), (2, "stone"), (3, " "), (4, "one two three four five")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "so what is love? they ask"), (2, "what is a stone"), (3, "love is what"), (4, "one two three four"), (5, "x one two three four five")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.item_id, x.coverage) for x in decontaminate.contaminated(d, b).collect()) == [(1, 1, 1.0), (2, 2, 1.0), (5, 4, 1.0)]
+
+
+def test_a_preamble_of_all_items_makes_no_pairs():
+    """5,000 items begin with the same seven words; texts that hold only those look at no item."""
+    items = [(k, "read the passage and answer the question " + " ".join(f"i{k}w{j}" for j in range(15))) for k in range(5000)]
+    seeds = decontaminate.Seeds(items, 5, 0.5)
+    texts = [f"read the passage and answer the question of {i} now" for i in range(400)] + [items[7][1]]
+    start = time.time()
+    assert [(t, i, c) for t, i, c, *_ in decontaminate._matches(texts, seeds, 0.5)] == [(400, 7, 1.0)]
+    assert time.time() - start < 1
+
+
+@pytest.mark.parametrize("coverage", [0.3, 0.5, 0.9, 1.0])
+def test_probing_seeds_lose_no_pair(coverage):
+    """Items that share passages and repeat words: the same pairs and tiles as from all seeds."""
+    r = random.Random(int(coverage * 10))
+    words = [f"w{i}" for i in range(12)]
+    shared = [[r.choice(words) for _ in range(8)] for _ in range(3)]
+    items = [(k, " ".join(r.choice(shared) + [r.choice(words) for _ in range(r.randint(0, 9))] + r.choice(shared)[: r.randint(0, 8)])) for k in range(30)]
+    texts = [" ".join([r.choice(words) for _ in range(5)] + r.choice(shared) + items[r.randrange(30)][1].split()[r.randint(0, 9) :]) for _ in range(60)]
+    some, every = decontaminate.Seeds(items, 4, coverage), decontaminate.Seeds(items, 4, 0.0)
+    assert len(some.probe) < len(every.probe) == len(every.hash)
+    got = decontaminate._matches(texts, some, coverage)
+    assert got == decontaminate._matches(texts, every, coverage) and got
+
+
 # ---------------------------------------------------------------- mixing
 
 
