@@ -2,22 +2,31 @@
 
 A page is cut into blocks at block-level tags. Pass one labels a block by itself: boilerplate
 elements and names, link density, length and stop-word density make it good, bad, near (middling)
-or short. Pass two gives near and short blocks the label of their nearest decided neighbours: the
-same label on both sides, else the nearer side, the one after for headings. Without a decided
-neighbour a block inside an article or main element is good, and bad elsewhere. Inside an article
-a block is never bad for lack of stop words alone, so texts of any language stay whole.
+or short. Stop words judge only blocks in Latin script of pages that hold known stop words at all;
+texts in other languages are judged by length and links. Pass two gives near and short blocks the
+label of their nearest decided neighbours: the same label on both sides, else the nearer side, the
+one after for headings. Boilerplate elements around or within an article say nothing about its own
+blocks; nor do they on a page on which no block is good. Without a decided neighbour a block inside
+an article or main element is good, a near block too, and a short one if the page has no good block.
+Inside an article a block is never bad for lack of stop words alone.
+
+Inline boilerplate (buttons, labels, choices, and inline elements with a boilerplate name) loses
+its own text only; the paragraph around it stays one block.
 
 Defined results: a null or empty page, and one without main text, has the text "" and 0
 characters; unclosed tags, quotes and comments end with the page; character references are decoded
 once, unknown ones stay as they are; equal pages get equal texts; every row is kept; an empty
-table gives no rows. Only the given columns are read.
+table gives no rows. A page takes time in proportion to its length. Only the given columns are read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +39,18 @@ STOP = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque",
 }
 STOP_WORDS = frozenset(w for words in STOP.values() for w in words.split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BOILERPLATE = frozenset("head title nav aside footer form button menu dialog select label".split())
-#: What a class, an id or a role names that is no main text.
+#: Elements that are no main text: whole blocks, and inline ones, of which only the own text goes.
+BOILERPLATE = frozenset("head title nav aside footer form fieldset menu dialog".split())
+INLINE = frozenset("button select label datalist optgroup option output".split())
+#: What a class, an id or a role names that is no main text; "has-sidebar" and the like name something else, as do names of a whole page.
 NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|newsletter|subscribe|popup|modal|comments?|commentlist|disqus|repl(?:y|ies)|social|share|sharing|related|widget|login|signup|toolbar|pagination|pager|complementary|contentinfo|search)(?=$|[\s_-])"
+    r"(?i)(?:^|\s|(?<!has)(?<!with)(?<!no)(?<!without)[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|newsletter|subscribe|popup|modal|comments?|commentlist|disqus|repl(?:y|ies)|social|share|sharing|related|widget|login|signup|toolbar|pagination|pager|complementary|contentinfo|search)(?=$|[\s_-])"
 )
+PAGE = frozenset("html body main".split())
+#: Words of notices, which mark a text without stop words as bad outside articles.
+NOTICE = re.compile(r"(?i)\u00a9|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|\bnewsletter\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,92 +61,136 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An unquoted value that ends with a slash, which then closes nothing.
+VALUE = re.compile(r"=[^\s\"']*/\Z")
 WORD = re.compile(r"\w+")
 #: Lengths in characters, link density, stop-word densities.
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.4, 0.10, 0.25
 
 
+class Open(NamedTuple):
+    """An open element, and what holds inside it."""
+
+    tag: str
+    bad: bool
+    article: bool
+    link: bool
+    #: Text inside is left out without ending the block.
+    dropped: bool
+    #: The innermost block-level tag.
+    block: str
+    #: Only a form makes it boilerplate; an article in it may stand in a form around the whole page.
+    form: bool
+
+
+OUTSIDE = Open("", False, False, False, False, "body", False)
+
+
 def blocks_of(page: str) -> list[tuple[str, str, bool, bool, float]]:
     """(text, tag, boilerplate, in an article, link density) of each block with text, in page order."""
     out: list[tuple[str, str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, in an article, in a link
-    state = ("", False, False, False)
+    stack: list[Open] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked = 0
-    tag_of = "body"
+    state, linked = OUTSIDE, 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append((whole, tag_of, state[1], state[2], min(1.0, linked / len(whole))))
+                out.append((whole, state.block, state.bad, state.article, min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
+    def close(tag: str) -> Open:
+        while True:
+            last = stack.pop()
+            opened[last.tag] -= 1
+            if last.tag == tag:
+                return stack[-1] if stack else OUTSIDE
+
     for m in TOKEN.finditer(page):
         words = m.group(5)
         if words is not None:
-            piece = html.unescape(words) if "&" in words else words
-            text.append(piece)
-            if state[3]:
-                linked += len(piece.strip())
+            if not state.dropped:
+                piece = html.unescape(words) if "&" in words else words
+                text.append(piece)
+                if state.link:
+                    linked += len(piece.strip())
             continue
         tag = m.group(3)
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br":
-            text.append(" ")
-            continue
+        block = tag in BLOCKS and not state.dropped
         if m.group(2):
-            if tag in BLOCKS:
+            if block:
                 flush()
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                state = stack[-1] if stack else ("", False, False, False)
-            if tag in BLOCKS:
-                tag_of = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "body")
+            if opened[tag]:
+                if tag in BLOCKS and state.dropped:
+                    flush()  # a block that ends with an inline element still open
+                state = close(tag)
+            continue
+        if tag == "br":
+            text.append(" ")
             continue
-        block = tag in BLOCKS
-        named = bool(m.group(4)) and any(NAMES.search(a or b or c) for a, b, c in ATTRIBUTE.findall(m.group(4)))
         if block:
             flush()
-            tag_of = tag
-            if stack and any(s[0] == "p" for s in stack[-3:]):  # a block ends an open paragraph
-                while stack.pop()[0] != "p":
-                    pass
-            state = stack[-1] if stack else ("", False, False, False)
+            if state.block == "p" and opened["p"]:  # a block ends an open paragraph
+                state = close("p")
             if tag == "body":
-                stack, state = [s for s in stack if s[0] == "html"], ("", False, False, False)
-        if tag in VOID or m.group(4).endswith("/") and not block:
+                stack = [x for x in stack if x.tag == "html"]
+                opened = Counter(x.tag for x in stack)
+                state = OUTSIDE
+        if tag in VOID or m.group(4).endswith("/") and tag not in BLOCKS and not VALUE.search(m.group(4)):
             continue
-        if block or tag == "a" or named or tag in BOILERPLATE:
-            inside = state[2] or tag in ("article", "main")
-            only_form = tag in ("article", "main") and not any(s[1] and s[0] != "form" for s in stack)
-            bad = named or tag in BOILERPLATE or (tag == "header" and not inside) or (state[1] and not only_form)
-            state = (tag, bad, inside, state[3] or tag == "a")
+        named = tag not in PAGE and bool(m.group(4)) and any(NAMES.search(a or b or c) for a, b, c in ATTRIBUTE.findall(m.group(4)))
+        inline = tag in INLINE or named and tag not in BLOCKS
+        if tag in BLOCKS or tag == "a" or inline:
+            body = tag in ("article", "main")
+            own = named or inline or (tag in BOILERPLATE and tag != "form") or (tag == "header" and not state.article)
+            form = not own and not body and (state.form or (tag == "form" and not state.bad))
+            bad = own or form or (state.bad and not (body and state.form))
+            state = Open(tag, bad, state.article or body, state.link or tag == "a", state.dropped or inline, tag if block else state.block, form)
             stack.append(state)
+            opened[tag] += 1
     flush()
     return out
 
 
-def first_label(text: str, boilerplate: bool, article: bool, links: float) -> str:
+def weighed(text: str) -> tuple[int, int, int, bool]:
+    """Length (characters of scripts without blanks between words count three times), words, stop words, and whether it is mostly Latin."""
+    words = WORD.findall(text.lower())
+    wide = 0 if text.isascii() else sum(c >= "\u2e80" for c in text)
+    other = 0 if text.isascii() else sum(c >= "\u0250" and c.isalpha() for c in text)
+    return len(text) + 2 * wide, len(words), sum(w in STOP_WORDS for w in words), 2 * other < sum(c.isalpha() for c in text) if other else True
+
+
+def first_label(text: str, boilerplate: bool, article: bool, links: float, weights: tuple[int, int, int, bool], known: bool) -> str:
+    """Pass one. `known`: the page holds stop words, so its Latin blocks can be judged by them."""
+    size, words, stops, latin = weights
     if boilerplate or links > LINKS:
         return "bad"
-    if len(text) < SHORT:
+    if size < SHORT:
         return "bad" if links > 0 and not article else "short"
-    words = WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    if not (known and latin):
+        return "good" if size > LONG else "near"
+    density = stops / max(words, 1)
     if density >= STOP_HIGH:
-        return "good" if len(text) > LONG else "near"
-    return "near" if density >= STOP_LOW or article else "bad"
+        return "good" if size > LONG else "near"
+    if density >= STOP_LOW or article:
+        return "near"
+    return "bad" if links > 0 or NOTICE.search(text) else "near"
 
 
 def labels_of(found: list[tuple[str, str, bool, bool, float]]) -> list[bool]:
     """Whether each block is main text."""
-    first = [first_label(t, bad, inside, links) for t, _, bad, inside, links in found]
+    weights = [weighed(b[0]) for b in found]
+    own = [w for w, b in zip(weights, found, strict=True) if not b[2] and b[4] <= LINKS]
+    known = 2 * sum(w[2] for w in own) >= STOP_LOW * sum(w[1] for w in own)
+    first = [first_label(t, bad, inside, links, w, known) for (t, _, bad, inside, links), w in zip(found, weights, strict=True)]
+    ends = [0, *accumulate(len(b[0]) for b in found)]
     n, left, right = len(first), [], [None] * len(first)
     last = None
     for i, label in enumerate(first):
@@ -142,23 +200,23 @@ def labels_of(found: list[tuple[str, str, bool, bool, float]]) -> list[bool]:
     for i in range(n - 1, -1, -1):
         right[i] = last
         last = i if first[i] in ("good", "bad") else last
+    none_good = "good" not in first
     out = []
     for i, label in enumerate(first):
         inside = found[i][3]
         if label in ("good", "bad"):
             out.append(label == "good")
             continue
-        # boilerplate around or within an article says nothing about the article's own blocks
-        near = [j for j in (left[i], right[i]) if j is not None and not (inside and (found[j][2] or not found[j][3]))]
+        near = [j for j in (left[i], right[i]) if j is not None and not (inside and (found[j][2] or not found[j][3])) and not (none_good and found[j][2])]
         if not near:
-            out.append(inside)
+            out.append(inside or label == "near" or none_good)
         elif len({first[j] for j in near}) == 1:
             out.append(first[near[0]] == "good" or (label == "near" and inside))
         elif found[i][1] in HEADINGS:
-            out.append(first[right[i]] == "good" if right[i] in near else first[near[0]] == "good")
+            out.append(first[near[1]] == "good")
         else:
-            gap = [sum(len(found[k][0]) for k in range(min(i, j) + 1, max(i, j))) for j in near]
-            out.append(first[near[gap.index(min(gap))]] == "good" or (label == "near" and inside))
+            before, after = ends[i] - ends[near[0] + 1], ends[near[1]] - ends[i + 1]
+            out.append(first[near[0] if before <= after else near[1]] == "good" or (label == "near" and inside))
     return out
 
 

@@ -352,6 +352,89 @@ def test_html_odd_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("inner", ["<button>BAD</button>", "<select><option>BAD<option>BAD</select>", "<label>BAD <b>BAD</b></label>", "<dialog>BAD</dialog>", "<menu><li>BAD</menu>", '<span class="ad">BAD</span>', "<span class='share'>BAD <b>BAD</b></span>", "<a class=reply href=/>BAD</a>"])
+def test_html_drops_controls_and_named_parts_only(inner):
+    """Between and inside paragraphs; what stands around an inline part stays one block."""
+    got = html.main_text(f"<article><p>{LONG}</p>{inner}<p>one {inner} two</p><p>{LONG}</p></article>")
+    middle = ["one", "two"] if inner[:3] in ("<di", "<me") else ["one two"]
+    assert got == "\n\n".join([LONG.strip(), *middle, LONG.strip()])
+
+
+def test_html_of_languages_without_stop_words():
+    ru = "\u042d\u0442\u043e \u0434\u043b\u0438\u043d\u043d\u044b\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e \u0440\u0435\u043a\u0435. " * 12
+    zh = "\u8fd9\u662f\u4e00\u4e2a\u5f88\u957f\u7684\u6bb5\u843d\u3002" * 12
+    links = "".join(f"<a href=/{i}>some link text here</a> " for i in range(9))
+    assert html.main_text(f"<nav>{links}</nav><div><p>{ru}</p><p>{zh}</p></div><div>{links}</div><footer>{ru}</footer>") == "\n\n".join([ru.strip(), zh])
+    items = "apples, pears, oranges, lemons, " * 4
+    assert html.main_text(f"<div>{links}</div><div>{LONG}</div><div>{items}</div><div>{LONG}</div>") == "\n\n".join([LONG.strip(), items.strip(), LONG.strip()])
+    assert html.main_text(f"<nav>{links}</nav><p>Only a short one.</p><footer>x</footer>") == "Only a short one."
+    assert html.main_text(f"<body class='has-sidebar search'><div class=with-sidebar><p>{LONG}</p></div><div class=sidebar>{LONG}</div>") == LONG.strip()
+    assert html.main_text(f"<form><div><article><p>{LONG}</p><form>BAD</form></article>BAD</div></form>") == LONG.strip()
+
+
+def test_html_takes_time_in_proportion():
+    start = time.time()
+    html.main_text("<div>" * 8000 + "x" + "</i></b></section></div>" * 8000)
+    html.main_text("<article>" + "<p>short one</p>" * 10000 + "</article>")
+    html.main_text("<form><article>" * 5000 + "<a>" * 5000 + "<p>" * 5000)
+    assert time.time() - start < 2.5
+
+
+def plain_labels(blocks):
+    """The two passes, written out from their description: each undecided block looks outwards."""
+    stats = []
+    for text, *_ in blocks:
+        words = re.findall(r"\w+", text.lower())
+        stats.append((len(words), sum(w in html.STOP_WORDS for w in words)))
+    judged = [s for s, b in zip(stats, blocks, strict=True) if not b[2] and b[4] <= 0.4]
+    known = sum(s for _, s in judged) >= 0.05 * sum(n for n, _ in judged)
+    first = []
+    for (n, stops), (text, _, bad, inside, links) in zip(stats, blocks, strict=True):
+        share = stops / max(n, 1)
+        if bad or links > 0.4:
+            first.append("bad")
+        elif len(text) < 70:
+            first.append("bad" if links and not inside else "short")
+        elif not known or share >= 0.25:
+            first.append("good" if len(text) > 200 else "near")
+        else:
+            first.append("near" if share >= 0.1 or inside or not links else "bad")
+    out = []
+    for i, (_, tag, _, inside, _) in enumerate(blocks):
+        if first[i] in ("good", "bad"):
+            out.append(first[i] == "good")
+            continue
+        sides = []
+        for step in (-1, 1):
+            j, gap = i + step, 0
+            while 0 <= j < len(blocks) and first[j] not in ("good", "bad"):
+                gap += len(blocks[j][0])
+                j += step
+            if not 0 <= j < len(blocks):
+                continue
+            silent = inside and (blocks[j][2] or not blocks[j][3]) or "good" not in first and blocks[j][2]
+            if not silent:
+                sides.append((first[j], gap))
+        says = {s for s, _ in sides}
+        if not sides:
+            out.append(inside or first[i] == "near" or "good" not in first)
+        elif len(says) == 1:
+            out.append(says == {"good"} or first[i] == "near" and inside)
+        elif tag.startswith("h"):
+            out.append(sides[1][0] == "good")
+        else:
+            out.append(min(sides, key=lambda s: s[1])[0] == "good" or first[i] == "near" and inside)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_html_labels_equal_plain_ones(seed):
+    r = random.Random(seed)
+    words = "the of and house river stone garden walk lamp roof".split()[r.choice([0, 0, 3]) :]
+    blocks = [(" ".join(r.choice(words) for _ in range(r.choice([2, 8, 20, 60]))), r.choice(["p", "p", "h2", "div"]), r.random() < 0.15, r.random() < 0.4, r.choice([0, 0, 0, 0.1, 0.9])) for _ in range(r.randint(1, 25))]
+    assert html.labels_of(blocks) == plain_labels(blocks)
+
+
 # ---------------------------------------------------------------- language
 
 
