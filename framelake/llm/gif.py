@@ -7,8 +7,9 @@ of indices) is kept too, so payloads come back without loss.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal payloads give equal
 bytes and columns; a very long text becomes more frames of at most 64 KiB each; a decoded value
-that is null or no GIF gives no frames and an error text; an empty table gives no rows. Only the
-id and the text (or media) column are read.
+that is null or no GIF, whose code stream ends before its frame is full, or whose canvas or frame
+has more than `PIXELS` pixels, gives no frames and an error text; an empty table gives no rows. Only
+the id and the text (or media) column are read. A text is held whole, with its GIF, in one task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Samples across; payloads are multiples of it. Rows of a frame at most. Hundredths of a second that a frame shows.
 WIDTH, ROWS, DELAY = 64, 1024, 4
+#: Pixels of a canvas or frame that the decoder takes (4 bytes each); a header can claim 65535 x 65535.
+PIXELS = 1 << 26
 #: Colour histogram: the two high bits of red, green and blue.
 BINS = 64
 
@@ -76,10 +79,10 @@ def lzw_decode(data: bytes, least: int, size: int) -> bytes:
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
     clear, end, roots = 1 << least, (1 << least) + 1, [bytes([i]) for i in range(1 << least)] + [b"", b""]
     table, out, at, width, before = list(roots), [], 0, least + 1, b""
-    add, put = table.append, out.append
-    while True:
+    add, put, held, counted = table.append, out.append, 0, 0
+    while held < size:
         # as many codes of this width as fill the table; the first after a clear code makes no entry
-        n = min((len(bits) - at) // width, max(1, (1 << width) - len(table) + (not before)) if width < 12 else 4096)
+        n = min((len(bits) - at) // width, max(1, (1 << width) - len(table) + (not before)) if width < 12 else 2048)
         if n <= 0:
             break
         codes = (bits[at : at + n * width].reshape(n, width).astype(np.uint16) << np.arange(width, dtype=np.uint16)).sum(1, dtype=np.uint16)
@@ -100,6 +103,8 @@ def lzw_decode(data: bytes, least: int, size: int) -> bytes:
                 add(before + entry[:1])
             before = entry
             put(entry)
+        held += sum(map(len, out[counted:]))
+        counted = len(out)
         used = min(n, stop + 1)
         code = int(codes[stop]) if stop < n else -1
         at += used * width
@@ -154,6 +159,8 @@ def frames_of(data: bytes) -> Iterator[tuple[int, bytes, np.ndarray]]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if width * height > PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((height, width), np.uint32)
     delay, disposal, clear = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
@@ -173,10 +180,16 @@ def frames_of(data: bytes) -> Iterator[tuple[int, bytes, np.ndarray]]:
             n = 2 << (packed & 7)
             palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
+        if w * h > PIXELS:
+            raise ValueError("a frame is too large")
         least = data[at]
+        if not 1 <= least <= 8:
+            raise ValueError("no code size of samples")
         stream, at = _blocks(data, at + 1)
         samples = lzw_decode(stream, least, w * h)
-        index = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        if len(samples) < w * h:
+            raise ValueError("the code stream ends before the frame is full")
+        index = np.frombuffer(samples, np.uint8).reshape(h, w)
         index = _interlaced(index) if packed & 0x40 else index
         if palette is None:
             raise ValueError("no palette")

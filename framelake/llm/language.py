@@ -3,13 +3,14 @@
 A word's score in a language is the log probability of its letter trigrams (with word ends), learned
 by counting. The script of a word's first letter leaves only languages seen in that script. Viterbi
 over the words, with a penalty for each switch, gives the spans; the language with most letters is
-the document's, and its share of the letters the score.
-
-Defined results: a null text, or one without a letter, is `und` with score 0; letters in a script
-that no learned language uses count for none, and a text of such letters alone gets the language
-most often learned, with score 0; ties go to the language first in code-point order; with nothing
-to learn from, every text is `und`. Texts are read whole. Equal texts get equal results. Only the
-id, the text and the label are read.
+the document's, and its share of the letters the score. The score tells how much of a text is in
+its main language; it is no measure of how well the text fits that language.
+
+Defined results: a null text, or one without a letter, is `und` with score 0; combining marks
+belong to words but are no letters; letters in a script that no learned language uses count for
+none, and a text of such letters alone gets the language most often learned, with score 0; ties go
+to the language first in code-point order; with nothing to learn from, every text is `und`. Texts
+are read whole. Equal texts get equal results. Only the id, the text and the label are read.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces
+from .common import cut, mixed, pieces, small
 
 #: First and last code points of scripts (fixed values of the Unicode blocks, main ranges only).
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F),
     ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F),
-    ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("ethiopic", 0x1200, 0x139F), ("kana", 0x3040, 0x30FF), ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x3400, 0x9FFF), ("han", 0x20000, 0x2FFFF),
+    ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("ethiopic", 0x1200, 0x139F), ("kana", 0x3040, 0x30FF), ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x3400, 0x9FFF), ("han", 0x20000, 0x3FFFF),
 )
 NAMES = ["other", *dict.fromkeys(s[0] for s in SCRIPTS)]
 #: Trigrams are hashed into so many bins; after them come one bin per script.
@@ -41,20 +42,21 @@ SEEN = 0.001
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    letters = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x30000)] + [False] * 0xE0000)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: whether it belongs to words (letters and marks), whether it is a letter, and its script."""
+    kinds = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.uint8)
     script = np.zeros(0x110000, np.uint8)
     for name, first, last in SCRIPTS:
         script[first : last + 1] = NAMES.index(name)
-    return letters, script
+    return (kinds == ord("L")) | (kinds == ord("M")), kinds == ord("L"), script
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Trigram bin at each letter, the letters' bounds by word, script by word, words' bounds by text, words' places in the texts."""
-    letters, script = _tables()
+    """Trigram bin at each letter or mark, their bounds by word, script by word, words' bounds by text, words' places in the texts, letters by word."""
+    parts, letters, script = _tables()
     low = [t.lower() for t in texts]
     points = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
-    inside = letters[points]
+    inside = parts[points]
     at = np.flatnonzero(inside)
     padded = np.zeros(len(points) + 2, np.uint64)
     padded[1:-1] = np.where(inside, points, 0)
@@ -63,7 +65,8 @@ def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     cuts = np.searchsorted(at, start)
     text_at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])])
-    return grams.astype(np.int64), cuts, script[points[start]] if len(start) else np.zeros(0, np.uint8), np.searchsorted(start, text_at), start, end, text_at
+    letter = np.concatenate([[0], np.cumsum(letters[points])])
+    return grams.astype(np.int64), cuts, script[points[start]] if len(start) else np.zeros(0, np.uint8), np.searchsorted(start, text_at), start, end, text_at, letter[end] - letter[start]
 
 
 class Model:
@@ -78,16 +81,17 @@ class Model:
         self.usual = int(np.argmax(scripts.sum(1))) if counts else -1
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", may_learn: Column | None = None, sample: int = 12_000) -> Model:
-    """Counts trigrams per language over a sample of about `sample` labelled documents, drawn by a hash of id and text.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", may_learn: Column | None = None, sample: int = 3_000) -> Model:
+    """Counts trigrams per language over about `sample` labelled documents of each language, drawn by a hash of id and text.
 
+    A language with fewer documents is learned from all of them, so every label is learned.
     Tasks sum what they read before the shuffle; at most (bins x languages) sums reach the driver.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows if may_learn is None else rows.where(may_learn)
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("language"), id, F.length(text)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    rows = rows.select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.pmod(F.xxhash64(F.lit("language"), id, F.length(text)), F.lit(1_000_000)).alias("_u"))
+    shares = cut(rows.groupBy("_lang").count().select(F.col("_lang").alias("_l"), (1_000_000 * F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))).alias("_most")))
+    rows = rows.join(small(shares), F.col("_lang") == F.col("_l")).where("_u < _most").select("_text", "_lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -104,7 +108,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bin", "n"])
 
-    found = rows.select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).mapInArrow(count, "lang string, bin int, n long")
+    found = rows.mapInArrow(count, "lang string, bin int, n long")
     counts: dict[str, np.ndarray] = {}
     table = found.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     for k, b, c in zip(*(table.column(x).to_pylist() for x in ("lang", "bin", "n")), strict=True):
@@ -160,20 +164,19 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
 
 def label(texts: list[str], model: Model) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans) of each text; a span is a run of words in one language."""
-    grams, cuts, scripts, bounds, start, end, text_at = _words(texts)
+    grams, cuts, scripts, bounds, start, end, text_at, size = _words(texts)
     if not len(cuts) or not model.languages:
         return [("und", 0.0, [])] * len(texts)
     scores = np.add.reduceat(model.logp[grams], cuts, axis=0)
     may = model.may[scripts]
-    known = may.any(1)
+    known = may.any(1) & (size > 0)
     scores = np.where(known[:, None], np.where(may, scores, -1e4), 0).astype(np.float32)
     scores -= scores.max(1, keepdims=True)
     path = viterbi(scores, bounds)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    size = (end - start).astype(np.float64)
     share = np.zeros((len(texts), len(model.languages)))
     np.add.at(share, (doc[known], path[known]), size[known])
-    letters = np.bincount(doc, size, len(texts))
+    letters = np.bincount(doc, size.astype(np.float64), len(texts))
     new = np.flatnonzero(np.concatenate([[True], (np.diff(path) != 0) | (np.diff(doc) != 0)]))
     last = np.concatenate([new[1:], [len(path)]]) - 1
     first_of = np.searchsorted(doc[new], np.arange(len(texts) + 1))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake import storage
-from framelake.llm import decontaminate, gif, html, language, mixing, sharding, toxicity, urlfilter
+from framelake.llm import common, decontaminate, gif, html, language, mixing, sharding, toxicity, urlfilter
 
 ODD_ROWS = [(1, None), (2, ""), (3, "   "), (4, "x"), (4, "x"), (None, "y z"), (5, "long " * 60000), (6, "e\u0301 \U0001f600 \u4e2d\u6587"), (7, "x")]
 
@@ -328,6 +328,69 @@ def test_gif_columns_of_odd_rows(spark):
     assert gif.to_gif(odd_docs(spark).limit(0)).collect() == []
 
 
+#: A GIF of 10 x 10 pixels made elsewhere: white, red, blue and black, 2-bit samples (fixed values).
+FOREIGN = bytes.fromhex(
+    "47494638396 10a000a00910000ffffffff00000000ff00000021f90400000000002c000000000a000a000002168c2d99872a1cdc33a00275ec95faa8de608c04914c01003b".replace(" ", "")
+)
+#: What it shows, a digit for each pixel's palette entry.
+SHOWN = "1111122222 1111122222 1111122222 1110000222 1110000222 2220000111 2220000111 2222211111 2222211111 2222211111".split()
+
+
+def plain_lzw(stream, least):
+    """The codes of a stream read bit by bit, by the textbook's table."""
+    bits = [b >> k & 1 for b in stream for k in range(8)]
+    clear, table, width, before, out, at = 1 << least, {}, least + 1, None, [], 0
+    while at + width <= len(bits):
+        code = sum(b << k for k, b in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, width, before = {i: (i,) for i in range(clear)}, least + 1, None
+            free = clear + 2
+            continue
+        if code == clear + 1:
+            return out
+        entry = table[code] if code in table else before + before[:1]
+        out += entry
+        if before is not None and free < 4096:
+            table[free] = before + entry[:1]
+            free += 1
+        if free == 1 << width and width < 12:
+            width += 1
+        before = entry
+    return out
+
+
+def test_gif_of_foreign_bytes():
+    frame = next(gif.frames_of(FOREIGN))
+    palette = [0xFFFFFFFF, 0xFFFF0000, 0xFF0000FF, 0xFF000000]
+    assert [[palette.index(int(v)) for v in row] for row in frame[2]] == [[int(c) for c in row] for row in SHOWN]
+    assert gif.histogram(frame[2])[[0x3F, 0x30, 0x03]].tolist() == ["".join(SHOWN).count(c) for c in "012"]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_lzw_equals_a_plain_decoder(seed):
+    r = random.Random(seed)
+    data = bytes(r.choice(b"ab\xff\0" if seed % 2 else range(256)) for _ in range(r.choice([1, 64, 5000, 40000])))
+    stream = gif.lzw_encode(data)
+    assert bytes(plain_lzw(stream, 8)) == data == gif.lzw_decode(stream, 8, len(data))
+
+
+def test_gif_of_claims_and_broken_streams():
+    """A huge canvas or frame, a stream that ends early, and one that would grow without end."""
+    import struct
+
+    good = gif.encode(bytes(range(64)) * 8)
+    huge = good[:6] + struct.pack("<HH", 60000, 60000) + good[10:]
+    at = good.index(b"\x2c\0\0\0\0")
+    wide = good[: at + 5] + struct.pack("<HH", 60000, 60000) + good[at + 9 :]
+    taller = good[: at + 7] + struct.pack("<H", 9) + good[at + 9 :]
+    for broken in (huge, wide, taller):
+        with pytest.raises(ValueError):
+            list(gif.frames_of(broken))
+    stream = gif.lzw_encode(bytes(4_000_000))
+    assert gif.lzw_decode(stream, 8, 100) == bytes(100)
+
+
 # ---------------------------------------------------------------- HTML
 
 
@@ -448,6 +511,10 @@ def plain_viterbi(scores, switch):
     return best.max()
 
 
+def test_words_of_the_last_planes():
+    assert len(common.Words(["a \U00030001\U00030002 b", "\U000323af"]).hash) == 4
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_viterbi_finds_the_best_path(seed):
     r = np.random.default_rng(seed)
@@ -468,11 +535,13 @@ def test_languages_spans_and_odd_rows(spark):
     train = [(i, mixed_up((en, de, ru)[i % 3]), ("en", "de", "ru")[i % 3]) for i in range(90)]
     model = language.learn(spark.createDataFrame([*train, (None, None, "en"), (91, "x", None)], "doc_id long, text string, lang string"))
     assert model.languages == ["de", "en", "ru"]
-    rows = [*ODD_ROWS, (10, mixed_up(en)), (11, mixed_up(de)), (12, mixed_up(ru)), (13, mixed_up(en) + " " + " ".join([mixed_up(de)] * 2)), (14, "1234 !?"), (15, "\u4e2d\u6587")]
+    rows = [*ODD_ROWS, (10, mixed_up(en)), (11, mixed_up(de)), (12, mixed_up(ru)), (13, mixed_up(en) + " " + " ".join([mixed_up(de)] * 2)), (14, "1234 !?"), (15, "\u4e2d\u6587"), (16, "\u0301\u0302 \u0303"), (17, "\U00030001\U00030002")]
     out = {x.doc_id: x for x in language.identify(spark.createDataFrame([(*x, "u") for x in rows], "doc_id long, text string, spans string"), model).collect()}
     assert [out[i].lang_pred for i in (10, 11, 12, 13)] == ["en", "de", "ru", "de"]
     assert [s.lang for s in out[13].spans] == ["en", "de"] and 0.5 < out[13].score < 0.8
-    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (1, 2, 3, 14))
-    assert out[15].lang_pred in model.languages and out[15].score == 0
+    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (1, 2, 3, 14, 16))
+    assert all(out[i].lang_pred in model.languages and out[i].score == 0 for i in (15, 17))
+    few = language.learn(spark.createDataFrame([*train, *((1000 + i, mixed_up(en), "en") for i in range(400)), (2000, "ein kleiner satz", "nds")], "doc_id long, text string, lang string"), sample=20)
+    assert few.languages == ["de", "en", "nds", "ru"]  # a rare language is learned beside frequent ones
     nothing = language.learn(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {x.lang_pred for x in language.identify(odd_docs(spark), nothing).collect()} == {"und"}
