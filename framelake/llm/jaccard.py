@@ -225,7 +225,7 @@ def prefix_meetings(docs: DataFrame, nodes: DataFrame, hot: DataFrame, id: str,
     wanted = cut(nodes.join(hot, "node").select("node", F.col("id").alias("_id"), "h"))
     many = wanted.count()
     rows = _texts(docs, small(wanted), id, text)
-    counts = docs.sparkSession.sparkContext.broadcast(_cell_counts(rows, width, 1 + many // 50_000))
+    counts = docs.sparkSession.sparkContext.broadcast(_cell_counts(rows, width, 1 + int((many / 1000) ** 0.5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,7 +399,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str,
     return cut(dealt.select("bin", "root", "node", "copies", "tile", "p", "q", "shingles").groupBy("bin").applyInPandas(compare, "node long, links long, low long"))
 
 
-def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9995, batch: int = 5, spread: float = 0.7) -> DataFrame:
+def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9995, batch: int = 3, spread: float = 0.7) -> DataFrame:
     """Every row of `docs`: id, class_id (the least id of its component of links) and n_links (documents linked to it, copies included)."""
     base = cut(sketches(docs, id, text, width))
     nodes = base.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "h")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
