@@ -4,6 +4,12 @@ Features of a text: densities of a seed lexicon and of a learned lexicon (whole
 five-letter beginnings), the densest window, lexicon words near second-person words, capitals,
 punctuation, and obfuscated spellings (digits or signs for letters).
 
+Learning takes a bounded sample: up to half of `sample` labelled documents of each class, so that a
+rare class is learned from all its labels. Within each class the sample is dealt into four parts by
+rank, two for the lexicon, one for the trees, one for the calibration; a class of fewer than four
+documents is used whole for each. The calibration weighs rows by how many of their class were
+left out, so scores stand for the shares among all labels.
+
 Defined results: a null or empty text has all features 0 and is scored like any other; equal
 texts get equal scores; rows are neither merged nor dropped; labels without a text, texts
 without a label and labels of null are not learned from; with labels of one class only, or with
@@ -21,10 +27,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, pieces
+from .common import Words, cut, pieces, small
 
 SEED = "idiot idiots moron morons stupid dumb scum trash loser losers worthless pathetic disgusting clown freak imbecile vermin filth garbage ugly bastard dumbass jerk pig swine cretin".split()
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros".split()
@@ -72,11 +78,12 @@ def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def features(docs: DataFrame, id: str, text: str, lexicon: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], keep: list[str] = ()) -> DataFrame:
     """The dense features of every text: id, keep..., FEATURES as doubles."""
-    keys, values, start_keys, start_values = lexicon
+    learned_words = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), *keep)
     kept = ["_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, start_keys, start_values = learned_words.value
         seed, you = _hashes(SEED), _hashes(YOU)
         for batch in batches:
             for first, texts in pieces(batch, "_text"):
@@ -121,11 +128,10 @@ def features(docs: DataFrame, id: str, text: str, lexicon: tuple[np.ndarray, np.
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", id)
 
 
-def learn_lexicon(train: DataFrame, text: str, label: str, size: int = 2048, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def learn_lexicon(train: DataFrame, text: str, label: str, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words and five-letter word beginnings that mark label 1, with smoothed log odds of document frequencies.
 
-    Counts cover all of `train`. At most `size` of each kind are kept, those with the strongest
-    evidence, so what reaches the driver is bounded.
+    Counts cover all of `train`, which is a bounded sample; all words with enough evidence are kept.
     """
     rows = train.select(F.col(text).alias("_text"), F.col(label).cast("int").alias("_label"))
 
@@ -147,12 +153,13 @@ def learn_lexicon(train: DataFrame, text: str, label: str, size: int = 2048, lea
     found = rows.mapInArrow(count, "kind int, h long, bad long, good long").groupBy("kind", "h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(bad_docs + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(good_docs + 1.0))
     found = found.where((F.col("bad") >= least) & (F.col("bad") > F.col("good"))).withColumn("odds", odds).where("odds > 2")
+    best = found.select("kind", "h", "odds").toArrow()
+    kinds, keys, odds = (best.column(c).to_numpy() for c in ("kind", "h", "odds"))
     out = []
     for kind in (0, 1):
-        best = found.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.col("bad")), "h").limit(size).select("h", "odds").collect()
-        keys = np.array([r[0] for r in best], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        out += [keys[order], np.array([r[1] for r in best], np.float32)[order]]
+        own = keys[kinds == kind].astype(np.int64).view(np.uint64)
+        order = np.argsort(own)
+        out += [own[order], odds[kinds == kind].astype(np.float32)[order]]
     return tuple(out)
 
 
@@ -160,32 +167,31 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Scores every text of `docs`: id, keep..., score (0 to 1), predicted (1 from 0.5).
 
     Labels are learned only from ids for which `may_learn` holds. The learners fit on a sample of
-    about `sample` labelled rows, drawn by a hash of the id, in three parts that share no row: the
-    lexicon on half, the trees on a quarter and the isotonic calibration on a quarter. All rows
-    are scored in one pass over `docs` without a shuffle.
+    about `sample` labelled rows, drawn by a hash of the id, which is sent to the texts. All rows are
+    scored in one pass over `docs` without a shuffle.
     """
     usable = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1))
     if may_learn is not None:
         usable = usable.withColumnRenamed("_id", id).where(may_learn).withColumnRenamed(id, "_id")
-    n = usable.count()
-    drawn = usable.withColumn("_u", F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1_000_000)))
-    drawn = drawn.where(F.col("_u") < int(1_000_000 * min(1.0, sample / max(n, 1)))) if n > sample else drawn
-    drawn = drawn.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(4)))
     texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    train = cut(texts.join(drawn, "_id").select("_id", "_text", "_label", "_part"))
-    counts = {r["_part"]: (r["n"], r["bad"]) for r in train.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("bad")).collect()}
-    both = lambda *parts: 0 < sum(counts.get(p, (0, 0))[1] for p in parts) < sum(counts.get(p, (0, 0))[0] for p in parts)
-    if not (both(2) and both(3)):
-        total, bad = (sum(c[i] for c in counts.values()) for i in (0, 1))
-        out = docs.select(id, *keep).withColumn("score", F.lit(float(bad) / max(total, 1)))
+    share = {r["_label"]: min(1.0, sample / 2 / r["count"]) for r in usable.groupBy("_label").count().collect()}
+    of_class = lambda f: F.when(F.col("_label") == 1, f(share.get(1, 1.0))).otherwise(f(share.get(0, 1.0)))
+    drawn = cut(usable.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1_000_000)) < of_class(lambda x: 1_000_000 * x)))
+    train = texts.join(small(drawn), "_id").select("_id", "_text", "_label")
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(F.lit("part"), "_id"), "_id", F.xxhash64("_text")))
+    train = cut(train.withColumn("_part", F.pmod(rank, F.lit(4))).withColumn("_weight", of_class(lambda x: 1 / x)))
+    held = {r["_label"]: r["count"] for r in train.groupBy("_label").count().collect()}
+    if not (held.get(0) and held.get(1)):
+        shared = float(held.get(1, 0)) / max(sum(held.values()), 1)
+        out = docs.select(id, *keep).withColumn("score", F.lit(shared))
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    lexicon = learn_lexicon(train.where("_part < 2"), "_text", "_label")
+    of = lambda *parts: F.col("_part").isin(*parts) | F.col("_label").isin([k for k, n in held.items() if n < 4])
+    lexicon = learn_lexicon(train.where(of(0, 1)), "_text", "_label")
     pack = VectorAssembler(inputCols=FEATURES, outputCol="_v")
-    fit = cut(features(train.where("_part >= 2"), "_id", "_text", lexicon, ["_label", "_part"]).repartitionByRange(8, "_id").sortWithinPartitions("_id"))
-    few = counts[2][0] < 2000  # a small sample: shallower trees, fewer of them
-    trained = GBTClassifier(featuresCol="_v", labelCol="_label", maxIter=max(8, trees // 2) if few else trees, maxDepth=2 if few else depth, stepSize=0.2, seed=7).fit(pack.transform(fit.where("_part = 2")))
+    fit = cut(features(train.where(of(2, 3)), "_id", "_text", lexicon, ["_label", "_part", "_weight"]).repartitionByRange(8, "_id").sortWithinPartitions("_id"))
+    trained = GBTClassifier(featuresCol="_v", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(pack.transform(fit.where(of(2))))
     raw = lambda df: trained.transform(pack.transform(df)).withColumn("_x", vector_to_array("probability")[1])
-    calibrated = IsotonicRegression(featuresCol="_x", labelCol="_label", predictionCol="_s").fit(raw(fit.where("_part = 3")).select("_x", F.col("_label").cast("double").alias("_label")))
+    calibrated = IsotonicRegression(featuresCol="_x", labelCol="_label", weightCol="_weight", predictionCol="_s").fit(raw(fit.where(of(3))).select("_x", "_weight", F.col("_label").cast("double").alias("_label")))
     out = calibrated.transform(raw(features(docs, id, text, lexicon, list(keep))).select(id, *keep, "_x"))
     out = out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s")))).drop("_x", "_s")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

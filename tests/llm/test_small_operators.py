@@ -45,6 +45,98 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert toxicity.score(docs.limit(0), marks.limit(0)).collect() == []
 
 
+def plain_features(text, seed, you, learned, starts):
+    """The features by their description, a word at a time; learned and starts: odds by folded word and by five-letter beginning."""
+    low = text.lower()
+    fold = "".join(toxicity.LEET.get(c, c) for c in low)
+    words = [m.span() for m in re.finditer(r"[^\W_]+", fold)]
+    n = max(len(words), 1)
+    own = [fold[a:b] for a, b in words]
+    odds, begin = [learned.get(w, 0) for w in own], [starts.get(w[:5], 0) for w in own]
+    bad = [w in seed or o > 0 or s > 0 for w, o, s in zip(own, odds, begin, strict=True)]
+    yous = [w in you for w in own]
+    near = [b and any(yous[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, b in enumerate(bad)]
+    caps = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text)
+    chars = max(len(text), 1)
+    return {
+        "words": np.log1p(len(words)), "seed": sum(w in seed for w in own) / n, "learned": sum(o > 0 for o in odds) / n, "starts": sum(s > 0 for s in begin) / n,
+        "weight": sum(max(a, b) for a, b in zip(odds, begin, strict=True)) / n, "window": max((sum(bad[i : i + toxicity.WINDOW]) for i in range(len(bad))), default=0), "near_you": sum(near) / n, "you": sum(yous) / n,
+        "capitals": caps / chars, "all_caps": sum(x.isupper() for x in text.split()) / n if caps > 2 else 0, "punct": sum(c in ".,;:!?*%&#$" for c in text) / chars, "bangs": sum(c in "!?" for c in text) / chars,
+        "obfuscated": sum(b and low[s:e] != fold[s:e] for b, (s, e) in zip(bad, words, strict=True)) / n, "word_length": sum(map(len, own)) / n,
+    }
+
+
+def test_toxicity_features_equal_plain_ones(spark):
+    r = random.Random(7)
+    pool = "idiot 1d10t scum house river you your YOU GARDEN zorkish zorkly stone! a,b (pig) what? lamp 42 $tupid light_walk".split()
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 70))) for _ in range(60)] + ["", " ", "!!", "IDIOT"]
+    words = {"zorkish": 3.0, "lamp": 2.5}
+    starts = {"zorkl": 2.25, "zorki": 4.0}
+    keys = toxicity._hashes(sorted(words))
+    by_hash = {int(toxicity._words([w]).hash[0]): v for w, v in words.items()}
+    of_start = {int(toxicity._starts(toxicity._words([w]))[0]): v for w, v in starts.items()}
+    start_keys = np.array(sorted(of_start), np.uint64)
+    lexicon = (keys, np.array([by_hash[int(k)] for k in keys], np.float32), start_keys, np.array([of_start[int(k)] for k in start_keys], np.float32))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in toxicity.features(docs, "doc_id", "text", lexicon).collect():
+        want = plain_features(texts[x.doc_id], set(toxicity.SEED), set(toxicity.YOU), words, starts)
+        assert all(abs(x[k] - v) < 1e-9 for k, v in want.items()), (texts[x.doc_id], {k: (x[k], v) for k, v in want.items() if abs(x[k] - v) >= 1e-9})
+
+
+def test_toxicity_lexicon_equals_plain_counts(spark):
+    r = random.Random(12)
+    rows = [(" ".join(r.choice(f"w{i % 2}a w{i % 2}b both{r.randrange(3)}".split()) for _ in range(6)), i % 2) for i in range(40)]
+    keys, odds, *_ = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"), "text", "label")
+    want = {}
+    for w in {w for t, _ in rows for w in t.split()}:
+        bad, good = (sum(w in t.split() for t, k in rows if k == of) for of in (1, 0))
+        value = np.log((bad + 0.5) / 21) - np.log((good + 0.5) / 21)
+        if bad >= 3 and bad > good and value > 2:
+            want[int(toxicity._words([w]).hash[0])] = value
+    assert dict(zip(keys.tolist(), np.round(odds, 4).tolist(), strict=True)) == pytest.approx(want, abs=1e-3) and want
+
+
+def pooled(rows):
+    """Pool adjacent violators over (x, label, weight), equal x first put together; gives (x, value)."""
+    at = {}
+    for x, y, w in rows:
+        s, n = at.get(x, (0, 0))
+        at[x] = (s + y * w, n + w)
+    blocks = []
+    for x in sorted(at):
+        blocks.append([*at[x], [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return {x: s / n for s, n, xs in blocks for x in xs}
+
+
+def test_toxicity_of_rare_labels_and_calibration(spark, monkeypatch):
+    """Six toxic labels of 3,000 are learned from a sample of 200, and the calibration is that of pooled adjacent violators."""
+    r = random.Random(13)
+    words = "the of and to in house river stone walk light green".split()
+    docs = [(i, " ".join(["idiot"] * 3 * (i % 500 == 0) + [r.choice(words) for _ in range(20)])) for i in range(3000)]
+    seen = []
+    real = toxicity.IsotonicRegression.fit
+
+    def watched(self, df):
+        model = real(self, df)
+        seen.append(([tuple(x) for x in df.select("_x", "_label", "_weight").collect()], model))
+        return model
+
+    monkeypatch.setattr(toxicity.IsotonicRegression, "fit", watched)
+    d, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 500 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score(d, marks, sample=200).collect()}
+    assert [i for i in got if got[i]] == [i for i in range(0, 3000, 500)]
+    rows, model = seen[0]
+    want = pooled(rows)
+    assert len(rows) < 60 and {w for _, y, w in rows if y == 0} != {1.0}
+    have = dict(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
+    assert all(abs(want[x] - v) < 1e-9 for x, v in have.items())
+    one = toxicity.score(d, marks.where("toxic = 0"), sample=200)
+    assert {(x.score, x.predicted) for x in one.collect()} == {(0.0, 0)}
+
+
 # ---------------------------------------------------------------- URL filter
 
 
