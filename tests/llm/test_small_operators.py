@@ -217,6 +217,52 @@ def test_shards_of_odd_and_few_rows(spark):
     check_shards(sharding.balanced_shards(every).collect(), 83)
 
 
+def plain_propagation(groups, quota, tie, order):
+    """Label propagation under quotas, a group and a wish at a time."""
+    shards = range(len(quota))
+    groups = {g: list(a) for g, a in groups.items()}
+    while True:
+        free = [max(0, q - sum(a[s] for a in groups.values())) for s, q in zip(shards, quota, strict=True)]
+        asks = []
+        for g, a in groups.items():
+            liked = sorted((s for s in shards if a[s]), key=lambda s: (-a[s], tie[g, s], s))
+            best = next((s for s in liked if free[s]), None)
+            if best is not None:
+                asks += [(best, -(a[best].bit_length() - 1), order(g, s), g, s, a[s]) for s in liked[liked.index(best) + 1 :]]
+        if not asks:
+            return groups
+        for to, _, _, g, s, n in sorted(asks):
+            give = min(n, free[to])
+            free[to] -= give
+            groups[g][s] -= give
+            groups[g][to] += give
+
+
+def test_propagation_equals_a_plain_one(spark):
+    r = random.Random(21)
+    start = {k: [r.choice([0, 0, 1, 2, 5]) for _ in range(4)] for k in range(120)}
+    start = {g: a for g, a in start.items() if sum(a) > 1}
+    total = sum(map(sum, start.values()))
+    quota = [total // 4 + 12 + s for s in range(4)]
+    table = spark.createDataFrame([(bytearray([g]), a) for g, a in start.items()], "g binary, a array<bigint>")
+    tie = {(x.g[0], x.s): x.t for x in table.selectExpr("g", "explode(sequence(0, 3)) s").select("g", "s", F.pmod(F.xxhash64("g", "s"), F.lit(1 << 20)).alias("t")).collect()}
+    hashes = {(x.g[0], x.s): x.h for x in table.selectExpr("g", "explode(sequence(0, 3)) s").select("g", "s", F.xxhash64("g", "s").alias("h")).collect()}
+    got = {x.g[0]: list(x.a) for x in sharding.propagate(table, quota).collect()}
+    want = plain_propagation(start, quota, tie, lambda g, s: hashes[g, s])
+    assert got == want and all(sum(got[g]) == sum(a) for g, a in start.items())
+    kept = lambda groups: sum(n * (n - 1) // 2 for a in groups.values() for n in a)  # noqa: E731  uncut pairs
+    assert kept(got) > 2 * kept(start)
+
+
+def test_places_of_large_groups_in_pieces(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(40)] + [(100 + i, "hot") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, sharding.balanced_shards(docs).collect()))
+    monkeypatch.setattr(sharding, "HOT_ROWS", 8)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, sharding.balanced_shards(docs).collect())) == want
+
+
 # ---------------------------------------------------------------- decontamination
 
 
