@@ -5,12 +5,14 @@ Native: DataFrame functions only.
 1. A URL is cut into host and path; the longest rule whose host is the host or a parent domain of
    it, and whose path begins the path, decides.
 2. For the rest, path segments are generalised by form (numbers, hexadecimal ids, dates, mixed
-   slugs). A segment of a host's tree whose values are nearly all different under one parent
-   becomes the wildcard `*`.
+   slugs), which keeps the tree small. A segment of a host's tree whose values are nearly all
+   different under one parent becomes the wildcard `*`.
 3. Branches under one parent whose children are distributed alike, and whose labelled share is
-   alike, merge into `~`.
+   alike, merge into `~`. Levels go on as long as some parent has more than one path below it;
+   after that nothing can change, so a path of any depth is judged whole.
 4. A template's labels, smoothed by its host's and these by the share over all hosts, give its
-   purity; templates with a purity of `reject` or more are blocked.
+   purity; unlabelled URLs of a template or host count for the smoothing, so a few labels do not speak
+   for all. Templates with a purity of `reject` or more are blocked.
 
 Labels are the URLs that a rule decides, unless other labels are given.
 
@@ -22,19 +24,16 @@ read, so other columns, whatever their names, have no influence.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import attach, cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are kept in the plan, so their number is bounded; more are an error.
 MAX_RULES = 1000
-#: Levels of the tree at least; deeper paths add levels, one for each segment. The SQL has these levels only.
-DEPTH = 4
-SEGMENTS = [f"s{d}" for d in range(1, DEPTH + 1)]
-#: Words of host names and paths that mark a URL as bad where no labels are at hand.
-SEED_WORDS = "casino pills viagra poker bets betting adult porn xxx spam ads adserver loans replica warez".split()
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -72,48 +71,56 @@ def generalised(segment: Column) -> Column:
 
 
 def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: float = 0.7, weight: float = 5.0) -> DataFrame:
-    """The judged tree: host, segments s1, s2... (as generalised by form), template, purity.
-
-    `urls` has host, the segments, n, bad and labelled, one row per distinct combination. A level is a
-    wildcard where a parent has at least `least` URLs and more than `variety` different values per
-    URL. Branches merge when the overlap of their children's distribution with their siblings' is
-    `alike` or more, and their labelled share is within two standard errors. All statistics are
-    grouped sums with partial aggregation; the only joins are with one row per parent.
+    """The judged tree: host, form, template, purity.
+
+    `urls` has host, form (the path of generalised segments), n, bad and labelled, one row per distinct
+    host and form. A level is a wildcard where a parent has at least `least` URLs and more than
+    `variety` different values per URL. Branches merge when the overlap of their children's
+    distribution with their siblings' is `alike` or more, and their labelled share is within two
+    standard errors. All statistics are grouped sums with partial aggregation; each level is a written
+    table, and rows meet their parent's statistics without a hot key (`attach`).
     """
-    tree, depth = urls, len(urls.columns) - 4
-    segments = [f"s{d}" for d in range(1, depth + 1)]
-    for d in range(1, depth + 1):  # the path so far, with what earlier levels became
-        tree = tree.withColumn(f"t{d}", F.col(f"s{d}"))
-    for d in range(1, depth + 1):
-        parent, own = ["host", *(f"t{k}" for k in range(1, d))], f"t{d}"
-        values = tree.groupBy(*parent, own).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
-        stats = values.where(F.col(own) != "").groupBy(*parent).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_all"))
-        wild = stats.where((F.col("_all") >= least) & (F.col("_k") > variety * F.col("_all"))).select(*parent, F.lit(True).alias("_w"))
-        tree = tree.join(wild, parent, "left").withColumn(own, F.when(F.col("_w") & (F.col(own) != ""), "*").otherwise(F.col(own))).drop("_w")
-        if d == depth:
+    parent, branch_key = ["host", "t"], ["host", "t", "own"]
+    columns = ["host", "form", "n", "bad", "labelled", "t"]
+    tree = cut(urls.select("host", "form", "n", "bad", "labelled", F.lit("").alias("t")))
+    done, depth = [], 0
+    while True:
+        segments = F.split("form", "/")
+        own = tree.select(*columns, F.get(segments, F.lit(depth + 1)).alias("own"), F.coalesce(F.get(segments, F.lit(depth + 2)), F.lit("")).alias("below"))
+        values = own.groupBy(*branch_key).agg(F.count(F.lit(1)).alias("_f"), F.sum("n").alias("_n"))
+        stats = values.groupBy(*parent).agg(F.sum("_f").alias("_f"), F.coalesce(F.sum(F.when(F.col("own").isNotNull(), F.col("_n"))), F.lit(0)).alias("_all"), F.count("own").alias("_k"))
+        wild = (F.col("_all") >= least) & (F.col("_k") > variety * F.col("_all"))
+        # under a parent with one path only, nothing merges and, unless it is a wildcard, nothing changes
+        stats = cut(stats.select(*parent, wild.alias("_w"), ((F.col("_f") == 1) & ~wild).alias("_s")))
+        here = cut(attach(own, stats, parent))
+        settled = F.col("own").isNull() | F.col("_s")
+        rest = F.array_join(F.slice(segments, depth + 2, 1 << 30), "/")
+        done.append(here.where(settled).select("host", "form", "n", "bad", "labelled", F.concat("t", F.when(F.col("own").isNotNull(), F.concat(F.lit("/"), rest)).otherwise("")).alias("t")))
+        tree = here.where(~settled).select(*columns, F.when(F.col("_w"), "*").otherwise(F.col("own")).alias("own"), "below")
+        if tree.isEmpty():
             break
-        below = f"s{d + 1}"
-        branch = tree.where(F.col(own) != "").groupBy(*parent, own, below).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
-        pooled = branch.groupBy(*parent, below).agg(F.sum("_n").alias("_pn"))
-        of_branch = branch.groupBy(*parent, own).agg(F.sum("_n").alias("_bn"), F.sum("_b").alias("_bb"), F.sum("_l").alias("_bl"))
-        of_parent = of_branch.groupBy(*parent).agg(F.sum("_bn").alias("_an"), F.sum("_bb").alias("_ab"), F.sum("_bl").alias("_al"), F.count(F.lit(1)).alias("_k"))
-        overlap = branch.join(pooled, [*parent, below]).join(of_branch.select(*parent, own, "_bn"), [*parent, own]).join(of_parent.select(*parent, "_an"), parent)
-        overlap = overlap.groupBy(*parent, own).agg(F.sum(F.least(F.col("_n") / F.col("_bn"), F.col("_pn") / F.col("_an"))).alias("_o"))
+        branch = cut(tree.groupBy(*branch_key, "below").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled"))))
+        pooled = cut(branch.groupBy(*parent, "below").agg(F.sum("n").alias("_pn")))
+        of_branch = cut(branch.groupBy(*branch_key).agg(F.sum("n").alias("_bn"), F.sum("bad").alias("_bb"), F.sum("labelled").alias("_bl")))
+        of_parent = cut(of_branch.groupBy(*parent).agg(F.sum("_bn").alias("_an"), F.sum("_bb").alias("_ab"), F.sum("_bl").alias("_al"), F.count(F.lit(1)).alias("_k")).where("_k > 1"))
         share, pool = (F.col("_bb") + 0.5) / (F.col("_bl") + 1), (F.col("_ab") + 0.5) / (F.col("_al") + 1)
         near = F.abs(share - pool) <= 2 * F.sqrt(pool * (1 - pool) / (F.col("_bl") + 1))
-        merged = overlap.join(of_branch, [*parent, own]).join(of_parent, parent).where((F.col("_k") > 1) & (F.col("_o") >= alike - 0.5 / F.sqrt("_bn")) & near)
-        merged = merged.select(*parent, own, F.lit(True).alias("_m"))
-        tree = cut(tree.join(merged, [*parent, own], "left").withColumn(own, F.when(F.col("_m"), "~").otherwise(F.col(own))).drop("_m"))
-    levels = [f"t{d}" for d in range(1, depth + 1)]
-    leaves = tree.groupBy("host", *levels).agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled")))
-    hosts = leaves.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum("labelled").alias("_hl"))
+        close = cut(attach(of_branch, of_parent, parent).where(near).select(*branch_key, "_bn", "_an"))
+        overlap = attach(cut(attach(branch, close, branch_key)), pooled, [*parent, "below"])
+        overlap = overlap.groupBy(*branch_key).agg(F.sum(F.least(F.col("n") / F.col("_bn"), F.col("_pn") / F.col("_an"))).alias("_o"), F.max("_bn").alias("_bn"))
+        merged = cut(overlap.where(F.col("_o") >= alike - 0.5 / F.sqrt("_bn")).select(*branch_key, F.lit(True).alias("_m")))
+        tree = attach(tree, merged, branch_key, "left").withColumn("t", F.concat("t", F.lit("/"), F.when(F.col("_m"), "~").otherwise(F.col("own"))))
+        tree = cut(tree.select(*columns))
+        depth += 1
+    whole = cut(functools.reduce(DataFrame.union, done))
+    leaves = cut(whole.groupBy("host", "t").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled"))))
+    hosts = cut(leaves.groupBy("host").agg(F.sum("n").alias("_hn"), F.sum("bad").alias("_hb"), F.sum("labelled").alias("_hl")))
     total = leaves.groupBy().agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
     prior = (total["b"] or 0) / max(total["l"] or 0, 1)
-    of_host = (F.col("_hb") + weight * prior) / (F.col("_hl") + weight)
-    leaves = leaves.join(hosts, "host").withColumn("purity", (F.col("bad") + weight * of_host) / (F.col("labelled") + weight))
-    names = F.concat(*(F.when(F.col(t) != "", F.concat(F.lit("/"), F.col(t))).otherwise("") for t in levels))
-    leaves = leaves.select("host", *levels, names.alias("template"), "purity")
-    return tree.join(leaves, ["host", *levels]).select("host", *segments, "template", "purity")
+    of_host = (F.col("_hb") + (weight + F.col("_hn") - F.col("_hl")) * prior) / (weight + F.col("_hn"))
+    purity = (F.col("bad") + (weight + F.col("n") - F.col("labelled")) * of_host) / (weight + F.col("n"))
+    judged = cut(attach(leaves, hosts, ["host"]).select("host", "t", purity.alias("purity")))
+    return attach(whole, judged, ["host", "t"]).select("host", "form", F.col("t").alias("template"), "purity")
 
 
 def judge(pages: DataFrame, id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, bad: Column | None = None, reject: float = 0.7) -> DataFrame:
@@ -125,29 +132,23 @@ def judge(pages: DataFrame, id: str = "page_id", url: str = "url", rules: tuple[
     rows = pages.select(F.col(id).alias("_id"), F.col(url).cast("string").alias("_url"), (F.lit(None).cast("boolean") if bad is None else bad).alias("_bad"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("_says", says)
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    deepest = rows.agg(F.max(F.size(parts))).first()[0] or 0
-    segments = [f"s{d}" for d in range(1, max(DEPTH, deepest) + 1)]
-    for d, name in enumerate(segments, 1):
-        rows = rows.withColumn(name, F.coalesce(generalised(F.get(parts, F.lit(d - 1))), F.lit("")))
+    segments = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), generalised)
+    rows = rows.withColumn("rule", rule).withColumn("_says", says).withColumn("form", F.concat_ws("", F.transform(segments, lambda x: F.concat(F.lit("/"), x))))
     label = F.col("_bad") if bad is not None else F.col("_says") == "block"
-    seen = rows.groupBy("host", *segments).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(label, 1).otherwise(0)).alias("bad"), F.count(label).alias("labelled"))
-    judged = templates(cut(seen))
-    out = rows.join(judged, ["host", *segments], "left")
+    seen = rows.groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(label, 1).otherwise(0)).alias("bad"), F.count(label).alias("labelled"))
+    judged = cut(templates(cut(seen)))
+    out = attach(rows, judged, ["host", "form"])
     verdict = F.coalesce("_says", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return out.select(F.col("_id").alias(id), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
-def seeded(url: Column) -> Column:
-    """A label for every URL: true where a seed word stands between separators."""
-    return F.coalesce(F.lower(url).rlike(rf"(^|[^a-z])({'|'.join(SEED_WORDS)})([^a-z]|$)"), F.lit(False))
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged; the rules' verdicts are the labels."""
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("purity", F.round("purity", 6) + F.lit(0.0))
 
 
-def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL judged; the tables hold no labels of URLs, so seed words give them."""
-    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad=seeded(F.col("_url")))
-    return out.withColumn("purity", F.round("purity", 6) + F.lit(0.0))
+#: Levels that the SQL writes out; it fails on a deeper path rather than judge a part of it.
+DEPTH = 4
 
 
 def _oracle() -> str:
@@ -159,13 +160,13 @@ def _oracle() -> str:
     fits = lambda rule: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}'))".format(*rule.split("/", 1))
     ordered_rules = sorted(RULES, key=lambda r: -len(r[0]))
     case = lambda at: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[at]}'" for r in ordered_rules) + " END"
-    names, t = ", ".join(SEGMENTS), [f"t{d}" for d in range(1, DEPTH + 1)]
+    names, t = ", ".join(f"s{d}" for d in range(1, DEPTH + 1)), [f"t{d}" for d in range(1, DEPTH + 1)]
     sql = f"""WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM a),
 c AS (SELECT page_id, url, coalesce(translate(raw, '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1), '') AS path FROM b),
-d AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, coalesce(regexp_matches(lower(url), '(^|[^a-z])({'|'.join(SEED_WORDS)})([^a-z]|$)'), false) AS bad FROM c),
-u AS (SELECT page_id, host, path, bad, {case(0)} AS rule, {case(1)} AS says, {segments} FROM d),
-tree0 AS (SELECT host, {names}, {', '.join(f's{k} AS t{k}' for k in range(1, DEPTH + 1))}, count(*) AS n, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS bad, count(*) AS labelled FROM u GROUP BY ALL)"""
+d AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM c),
+u AS (SELECT CASE WHEN len(seg) > {DEPTH} THEN error('a deeper path') ELSE page_id END AS page_id, host, path, {case(0)} AS rule, {case(1)} AS says, {segments} FROM d),
+tree0 AS (SELECT host, {names}, {', '.join(f's{k} AS t{k}' for k in range(1, DEPTH + 1))}, count(*) AS n, sum(CASE WHEN says = 'block' THEN 1 ELSE 0 END) AS bad, count(says) AS labelled FROM u GROUP BY ALL)"""
     for d in range(1, DEPTH + 1):
         parent, own = ", ".join(["host", *t[: d - 1]]), f"t{d}"
         others = ", ".join(x for x in t if x != own)
@@ -186,10 +187,10 @@ tree{d} AS (SELECT host, {names}, {others}, CASE WHEN m THEN '~' ELSE {own} END
     levels = ", ".join(t)
     label = " || ".join(f"(CASE WHEN {x} <> '' THEN '/' || {x} ELSE '' END)" for x in t)
     return sql + f""",
-leaf AS (SELECT host, {levels}, sum(bad)::DOUBLE AS bad, sum(labelled)::DOUBLE AS labelled FROM tree{DEPTH} GROUP BY ALL),
-hosts AS (SELECT host, sum(bad) AS hb, sum(labelled) AS hl FROM leaf GROUP BY ALL),
+leaf AS (SELECT host, {levels}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(labelled)::DOUBLE AS labelled FROM tree{DEPTH} GROUP BY ALL),
+hosts AS (SELECT host, sum(n) AS hn, sum(bad) AS hb, sum(labelled) AS hl FROM leaf GROUP BY ALL),
 prior AS (SELECT sum(bad) / greatest(sum(labelled), 1) AS p FROM leaf),
-judged AS (SELECT host, {levels}, {label} AS template, round((bad + 5.0::DOUBLE * (hb + 5.0::DOUBLE * p) / (hl + 5)) / (labelled + 5), 6) + 0.0 AS purity FROM leaf JOIN hosts USING (host), prior),
+judged AS (SELECT host, {levels}, {label} AS template, round((bad + (5.0::DOUBLE + n - labelled) * ((hb + (5.0::DOUBLE + hn - hl) * p) / (5.0::DOUBLE + hn))) / (5.0::DOUBLE + n), 6) + 0.0 AS purity FROM leaf JOIN hosts USING (host), prior),
 placed AS (SELECT host, {names}, template, purity FROM tree{DEPTH} JOIN judged USING (host, {levels}))
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= 0.7 THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM u JOIN placed USING (host, {names})"""
 

@@ -179,6 +179,77 @@ def test_segments_beyond_the_fourth_are_judged(spark):
     assert all(x.template.startswith("/a/b/c/d/" + ("bad" if x.page_id % 2 else "good")) for x in got)
 
 
+def plain_templates(urls, least=10, variety=0.5, alike=0.7, weight=5.0):
+    """The tree level by level over {(host, segments): (n, bad, labelled)}; gives template and purity of each."""
+    state = {k: () for k in urls}
+    for d in range(max((len(s) for _, s in urls), default=0)):
+        groups = defaultdict(list)
+        for k in urls:
+            if len(k[1]) > d:
+                groups[k[0], state[k]].append(k)
+        for keys in groups.values():
+            values = {k[1][d] for k in keys}
+            total = sum(urls[k][0] for k in keys)
+            wild = total >= least and len(values) > variety * total
+            own = {k: "*" if wild else k[1][d] for k in keys}
+            below = {k: k[1][d + 1] if len(k[1]) > d + 1 else "" for k in keys}
+            count = lambda at, which=lambda k: True: sum(urls[k][at] for k in keys if which(k))  # noqa: E731, B023
+            merged = set()
+            if len(set(own.values())) > 1:
+                pool = (count(1) + 0.5) / (count(2) + 1)
+                for b in set(own.values()):
+                    mine = lambda k, b=b: own[k] == b  # noqa: E731, B023
+                    n = count(0, mine)
+                    overlap = sum(min(count(0, lambda k, x=x: own[k] == b and below[k] == x) / n, count(0, lambda k, x=x: below[k] == x) / total) for x in {below[k] for k in keys if own[k] == b})  # noqa: B023
+                    share = (count(1, mine) + 0.5) / (count(2, mine) + 1)
+                    if overlap >= alike - 0.5 / n**0.5 and abs(share - pool) <= 2 * (pool * (1 - pool) / (count(2, mine) + 1)) ** 0.5:
+                        merged.add(b)
+            for k in keys:
+                state[k] += ("~" if own[k] in merged else own[k],)
+    sums = lambda match: [sum(v[i] for k, v in urls.items() if match(k)) for i in range(3)]
+    _, bad, labelled = sums(lambda k: True)
+    prior = bad / max(labelled, 1)
+    out = {}
+    for k in urls:
+        hn, hb, hl = sums(lambda x: x[0] == k[0])  # noqa: B023
+        n, b, m = sums(lambda x: x[0] == k[0] and state[x] == state[k])  # noqa: B023
+        host = (hb + (weight + hn - hl) * prior) / (weight + hn)
+        out[k] = ("".join("/" + x for x in state[k]), (b + (weight + n - m) * host) / (weight + n))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_trees_equal_plain_ones(spark, monkeypatch, seed):
+    """Paths of up to five segments on hosts of all sizes; at seed 1 every table meets by a shuffle."""
+    r = random.Random(seed)
+    if seed == 1:
+        monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    urls = {}
+    for _ in range(400):
+        host = r.choice(["a.test", "a.test", "b.test", "c.test", ""])
+        path = tuple(r.choice([r.choice("xyz"), f"v{r.choice('abcdefghijklmnopq')}{r.choice('abcdefghij')}w", "en"]) for _ in range(r.choice([0, 1, 2, 2, 3, 5 - 2 * seed])))
+        n, bad, labelled = urls.get((host, path), (0, 0, 0))
+        known = r.random() < 0.6
+        urls[host, path] = (n + 1, bad + (known and r.random() < (0.9 if "x" in path else 0.1)), labelled + known)
+    table = spark.createDataFrame([(h, "".join("/" + x for x in s), *map(int, v)) for (h, s), v in urls.items()], "host string, form string, n long, bad long, labelled long")
+    want = {(h, "".join("/" + x for x in s)): v for (h, s), v in plain_templates(urls).items()}
+    got = {(x.host, x.form): (x.template, x.purity) for x in urlfilter.templates(table).collect()}
+    assert got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want) and len({v[0] for v in want.values()}) < len(want)
+
+
+def test_rules_label_and_very_deep_paths_end(spark):
+    """Unlabelled URLs of a host that is nearly all blocked are blocked, of one with few labels not; long unbranched paths cost no levels."""
+    deep = "/a" * 3000
+    rows = [(i, f"http://bad.test/spam/{i}") for i in range(60)] + [(60, "http://bad.test/other"), (61, f"http://far.test{deep}")]
+    rows += [(100 + i, f"http://big.test/news/{i}") for i in range(60)] + [(200 + i, f"http://big.test/spam/{i}") for i in range(5)] + [(300 + i, f"http://good.test/{i}") for i in range(60)]
+    rules = (("bad.test/spam/", "block"), ("big.test/spam/", "block"), ("good.test/", "allow"))
+    got = {x.page_id: x for x in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert got[60].verdict == "block" and got[60].rule is None
+    assert {got[100 + i].verdict for i in range(60)} == {"allow"} and {got[200 + i].verdict for i in range(5)} == {"block"}
+    assert got[61].template == deep and got[61].verdict == "allow"
+
+
 # ---------------------------------------------------------------- sharding
 
 
