@@ -17,7 +17,6 @@ text, so archives hold valid UTF-8; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,19 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import attach, cut, new_path, small
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Copies of one payload are dealt over so many keys before they meet their response.
-SALTS = 32
-#: A table of at most so many slim rows is sent to all executors; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -52,13 +43,8 @@ def classified(pages: DataFrame, id: str, payload: str, least_bytes: int = 0) ->
     rows = pages.withColumn("_payload", F.coalesce(F.col(payload).cast("string"), F.lit("")))
     rows = rows.withColumn("_bytes", F.octet_length("_payload").cast("long")).withColumn("_digest", base32_sha1(F.col("_payload").cast("binary")))
     kept = rows.where(F.col("_bytes") >= least_bytes).groupBy("_digest").agg(F.max(id).alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    kept = cut(kept.select("_digest", "_kept"))
-    if kept.count() <= BROADCAST_ROWS:  # payloads then need not move
-        rows = rows.withColumn("_salt", F.lit(0)).join(F.broadcast(kept), "_digest", "left")
-    else:
-        kept = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id)), F.lit(SALTS)).cast("int")).join(kept, ["_digest", "_salt"], "left")
-    return rows.withColumn("_refers", F.when(F.col("_kept").isNotNull() & ~F.col("_kept").eqNullSafe(F.col(id)), F.col("_kept"))).drop("_salt", "_kept")
+    rows = attach(rows, cut(kept.select("_digest", "_kept")), ["_digest"], "left")  # payloads do not move where the table is small
+    return rows.withColumn("_refers", F.when(F.col("_kept").isNotNull() & ~F.col("_kept").eqNullSafe(F.col(id)), F.col("_kept"))).drop("_kept")
 
 
 def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -201,15 +187,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     records = read_warc(spark, path).select("page_id", "record_type", "digest", "refers_to", F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).alias("n"), F.when(F.col("record_type") == "response", base32_sha1(F.col("payload").cast("binary"))).alias("d"))
     records = cut(records)
     responses = records.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    firsts = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.first("payload_bytes").alias("payload_bytes"))
-    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    revisits = records.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    revisits = revisits.join(firsts, ["refers_to", "digest", "salt"]).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    revisits = cut(records.where("record_type = 'revisit'").select("page_id", "digest", "refers_to"))
+    wanted = cut(revisits.select("refers_to", "digest").distinct())
+    firsts = responses.alias("r").join(small(wanted).alias("w"), (F.col("r.page_id") == F.col("w.refers_to")) & (F.col("r.payload_digest") == F.col("w.digest")))
+    firsts = cut(firsts.groupBy("w.refers_to", "w.digest").agg(F.first("payload_bytes").alias("payload_bytes")))
+    revisits = attach(revisits, firsts, ["refers_to", "digest"]).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
     return responses.union(revisits)
 
 

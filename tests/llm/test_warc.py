@@ -43,3 +43,11 @@ def test_a_broken_chain_ends_the_file(spark, tmp_path):
 def test_an_empty_table(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string, _id int"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_query_of_repeated_ids_and_payloads(spark, tmp_path):
+    """Two rows of one payload share the largest id: both are responses, and the others refer to it."""
+    rows = [(9, "u", "same"), (9, "v", "same"), (3, "u", "same"), (None, "u", "same"), (4, "u", None), (5, "u", ""), (6, "u", "own")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.op2_warc(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(9, 4, "response", None), (9, 4, "response", None), (3, 4, "revisit", 9), (None, 4, "revisit", 9), (4, 0, "revisit", 5), (5, 0, "response", None), (6, 3, "response", None)], key=repr)
