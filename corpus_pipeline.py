@@ -3,17 +3,18 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents.
 
-1. language: documents without a letter go, and those of which no language holds REJECT of the letters.
+1. language: documents without a letter go, and those of which no language holds REJECT of the letters:
+   texts in scripts that no learned language uses, and mixtures of many languages. The score is the main
+   language's share of the letters, no measure of how well the text fits it.
 2. near_duplicates: of each class of linked documents the one with the least id stays (of equal ids
    the one with the least hash of the text; a null id comes last).
 3. decontamination: documents that hold half or more of a benchmark item go.
 4. mixing: a document appears as often as the mix holds it (0, 1 or 2 times).
 5. sharding: every row gets a shard and its place there.
 
-Stages 2 and 3 decide per row, by id and text: rows that share an id, or have none, do not share a
-verdict. Of rows equal in id and text one stays in stage 2. Other rows with equal ids share one
-number of repeats in stage 4.
-Empty documents go in stage 1; an empty table passes all stages.
+Stages 2 to 4 decide per row, by id, text and, in stage 4, source: rows that share an id, or have none, do
+not share a verdict. Of rows equal in id and text one stays in stage 2; given to stage 4 alone, rows equal
+in all three share one number of repeats. Empty documents go in stage 1; an empty table passes all stages.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +62,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    repeats = cut(mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").cast("int").alias("repeats")).where("repeats > 0"))
+    rows = keyed(docs)
+    repeats = cut(mixing.mix(rows, id="_key").groupBy("_key", "source").agg(F.max("repeats").cast("int").alias("repeats")).where("repeats > 0"))
     # about as many rows as there are documents: always a shuffle, which hashes the slim side
-    held = docs.select(COLUMNS).alias("d").join(repeats.alias("r").hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("d.*", "r.repeats")
+    same = (F.col("d._key") == F.col("r._key")) & F.col("d.source").eqNullSafe(F.col("r.source"))
+    held = rows.alias("d").join(repeats.alias("r").hint("shuffle_hash"), same).select("d.*", "r.repeats")
     return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(COLUMNS)
 
 
