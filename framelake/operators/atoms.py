@@ -71,14 +71,31 @@ def refine_centroids(points: DataFrame, frames: DataFrame, radius: int) -> DataF
 
 
 def atom_intensity(points: DataFrame, frames: DataFrame, radius: float) -> DataFrame:
-    """Sum, mean, max and count of the pixels within `radius` of each point: a range join made an equi join by grid cells."""
-    cell = int(np.ceil(radius)) or 1
-    near = F.expr("sequence(-1, 1)")
-    p = points.select(*KEYS, "point_id", F.col("y").alias("py"), F.col("x").alias("px_"), F.floor(F.col("y") / cell).alias("gy"), F.floor(F.col("x") / cell).alias("gx"))
-    p = p.withColumn("_a", F.explode(near)).withColumn("_b", F.explode(near)).withColumn("gy", F.col("gy") + F.col("_a")).withColumn("gx", F.col("gx") + F.col("_b")).drop("_a", "_b")
-    v = long_form(frames, KEYS).where(~F.isnan("v")).withColumn("gy", F.floor(F.col("y") / cell)).withColumn("gx", F.floor(F.col("x") / cell))
-    hit = p.join(v, [*KEYS, "gy", "gx"]).where((F.col("y") - F.col("py")) ** 2 + (F.col("x") - F.col("px_")) ** 2 <= radius * radius)
-    return hit.groupBy(*KEYS, "point_id").agg(F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.max("v").alias("max"), F.count("v").alias("n"))
+    """Sum, mean, max and count of the pixels within `radius` of each point; NaN does not count, a point without a pixel has no row.
+
+    A frame's points are gathered beside its image; both are bounded by the frame's size.
+    """
+    listed = points.groupBy(*KEYS).agg(F.collect_list(F.struct("point_id", "y", "x")).alias("_p"))
+    both = frames.select(*KEYS, "height", "width", "px").join(listed, KEYS)
+    reach = int(np.ceil(radius))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i in range(len(pdf)):
+                part = pdf.iloc[i : i + 1]
+                row = part.iloc[0]
+                a = stacked(part, int(row["height"]), int(row["width"]))[0]
+                for p in row["_p"]:
+                    y0, x0 = max(0, int(np.floor(p["y"])) - reach), max(0, int(np.floor(p["x"])) - reach)
+                    box = a[y0 : max(0, int(np.ceil(p["y"])) + reach + 1), x0 : max(0, int(np.ceil(p["x"])) + reach + 1)]
+                    y, x = np.ogrid[y0 : y0 + box.shape[0], x0 : x0 + box.shape[1]]
+                    v = box[((y - p["y"]) ** 2 + (x - p["x"]) ** 2 <= radius * radius) & ~np.isnan(box)]
+                    if len(v):
+                        rows.append((row["stack_id"], row["frame"], p["point_id"], v.sum(), v.mean(), v.max(), len(v)))
+            yield pd.DataFrame(rows, columns=["stack_id", "frame", "point_id", "sum", "mean", "max", "n"])
+
+    return both.mapInPandas(run, "stack_id long, frame long, point_id long, sum double, mean double, max double, n long")
 
 
 def classify_atoms(points: DataFrame, k: int | None = None, cuts: list[float] | None = None, seed: int = 7) -> DataFrame:

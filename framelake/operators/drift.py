@@ -9,23 +9,29 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import map_images, stacked
-from .frames import select_frames
+from ..sources.stacks import write_frames
+from .frames import select_frames, with_manifest
+
+#: Frame numbers of a stack that meet one copy of its first frame.
+PIECE = 256
 
 
 def pair_shifts(frames: DataFrame, max_shift: int, upsample: bool = False, against: str = "previous") -> DataFrame:
     """stack_id, frame, dy, dx, ncc of each frame against the previous or the first of its stack.
 
-    An equi join on keys pairs the payloads, so no window holds images. A frame whose previous
-    number is missing has no row. ncc is null where the overlap is constant.
+    An equi join on keys pairs the payloads, so no window holds images. Against the first, a stack's frames
+    meet copies of its first frame, one for each PIECE frame numbers, so no stack meets in one task. A frame
+    whose previous number is missing has no row. ncc is null where the overlap is constant.
     """
     keys = frames.select("stack_id", "frame", "height", "width", "px")
     if against == "previous":
         other = keys.select("stack_id", (F.col("frame") + 1).alias("frame"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
         pairs = keys.join(other, ["stack_id", "frame"])
     elif against == "first":
-        first = keys.groupBy("stack_id").agg(F.min("frame").alias("f0"))
-        other = keys.join(first.select("stack_id", "f0", F.col("f0").alias("frame")), ["stack_id", "frame"]).select("stack_id", "f0", F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
-        pairs = keys.join(other, "stack_id").where("frame > f0")
+        first = keys.groupBy("stack_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
+        piece = lambda f: F.expr(f"({f} - f0) div {PIECE}")
+        other = keys.join(first.withColumn("frame", F.col("f0")), ["stack_id", "frame"]).select("stack_id", F.explode(F.sequence(F.lit(0).cast("long"), piece("f1"))).alias("_piece"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
+        pairs = keys.join(first.select("stack_id", "f0"), "stack_id").where("frame > f0").withColumn("_piece", piece("frame")).join(other, ["stack_id", "_piece"])
     else:
         raise ValueError("against is 'previous' or 'first'")
     pairs = pairs.where("height = h0 and width = w0")
@@ -87,3 +93,14 @@ def video_pipeline(frames: DataFrame, select: dict, max_shift: int, min_ncc: flo
     chosen = chosen.join(order, ["stack_id", "frame"]).drop("frame").withColumnRenamed("_new", "frame")
     drift = accumulate(repair_shifts(pair_shifts(chosen, max_shift), min_ncc, half_window))
     return apply_shift(chosen, drift, crop)
+
+
+def video_run(frames: DataFrame, out: str, select: dict, max_shift: int, min_ncc: float = 0.5, half_window: int = 2, crop: bool = True, source: str = "") -> tuple[DataFrame, DataFrame]:
+    """The video pipeline to files: corrected frames stamped with their run, written by stack and read back, and the run's manifest, written beside them at `out`-run."""
+    spark = frames.sparkSession
+    params = {**select, "max_shift": max_shift, "min_ncc": min_ncc, "half_window": half_window, "crop": crop}
+    rows, run = with_manifest(video_pipeline(frames, select, max_shift, min_ncc, half_window, crop), "video_pipeline", "1", params, {"max_shift": "px", "half_window": "frames"}, source)
+    write_frames(rows, out, [source] if source else [])
+    run.write.mode("errorifexists").parquet(f"{out.rstrip('/')}-run")
+    written = spark.read.parquet(out)
+    return written.withColumn("stack_id", F.col("stack_id").cast("long")), spark.read.parquet(f"{out.rstrip('/')}-run")

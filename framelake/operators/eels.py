@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import attach, cut
+
 POS = ["scan_id", "sy", "sx"]
 
 
@@ -131,25 +133,25 @@ def valence(fit: DataFrame, valence_of_ref: dict[int, float]) -> tuple[DataFrame
     return here, here.groupBy("scan_id").agg(F.avg("valence").alias("valence"), F.stddev_samp("valence").alias("std"), F.count("valence").alias("n"))
 
 
-def draws(sizes: DataFrame, group: str, reps: int, seed: int) -> DataFrame:
-    """(group, rep, i, j): for each position i of each replicate the drawn position j, a stable hash of (seed, rep, group, i) modulo the group's size n."""
-    each = sizes.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
+def draws(rows: DataFrame, group: str, index: str, reps: int, seed: int) -> DataFrame:
+    """(group, rep, i, j): for each position i of each replicate the drawn position j, a stable hash of (seed, rep, group, i) modulo the group's size. The positions are those of `rows`, so no group is made in one task."""
+    at = cut(rows.select(group, F.col(index).alias("i")))
+    sizes = cut(at.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    each = attach(at, sizes, [group]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     text = F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"), F.lit(":"), F.col(group).cast("string"), F.lit(":"), F.col("i").cast("string"))
     return each.withColumn("j", F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")).select(group, "rep", "i", "j")
 
 
 def bootstrap(rows: DataFrame, group: str, index: str, value: str, reps: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Means of resamples with replacement within each group: group, mean, low, high. `index` numbers a group's rows gaplessly from 0."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    drawn = draws(sizes, group, reps, seed).join(rows.select(group, F.col(index).alias("j"), F.col(value).alias("v")), [group, "j"])
+    drawn = draws(rows, group, index, reps, seed).join(rows.select(group, F.col(index).alias("j"), F.col(value).alias("v")), [group, "j"])
     means = drawn.groupBy(group, "rep").agg(F.avg("v").alias("m"))
     return means.groupBy(group).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
 
 
 def bootstrap_fit(rows: DataFrame, group: str, index: str, statistic: Callable[[pd.DataFrame], float], reps: int, seed: int) -> DataFrame:
     """As `bootstrap`, for any statistic of a resample's rows: group, rep, value."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    drawn = draws(sizes, group, reps, seed).join(rows.withColumnRenamed(index, "j"), [group, "j"])
+    drawn = draws(rows, group, index, reps, seed).join(rows.withColumnRenamed(index, "j"), [group, "j"])
     kind = dict(rows.dtypes)[group]
 
     def one(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:

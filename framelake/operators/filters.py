@@ -66,11 +66,20 @@ def spatial_filter(frames: DataFrame, kind: str, size: int, tile: int | None = N
 
 def stretch(frames: DataFrame, p_lo: float, p_hi: float, gamma: float = 1.0, per: str = "frame") -> DataFrame:
     """Maps the percentiles p_lo and p_hi (0 to 1) of each frame or stack to 0 and 1, clips, and raises to gamma; a constant frame becomes 0."""
-    keys = KEYS if per == "frame" else ["stack_id"]
-    px = long_form(frames, KEYS).where(~F.isnan("v"))
-    ends = px.groupBy(*keys).agg(F.percentile("v", F.lit(p_lo)).alias("_lo"), F.percentile("v", F.lit(p_hi)).alias("_hi"))
+    if per == "frame":  # a frame is one row: its percentiles need no shuffle
+
+        def ends_of(a: np.ndarray, _) -> dict:
+            flat = [v[~np.isnan(v)] for v in a.reshape(len(a), -1)]
+            return {name: [float(np.quantile(v, q)) if len(v) else None for v in flat] for name, q in (("_lo", p_lo), ("_hi", p_hi))}
+
+        kept = [c for c in frames.columns if c not in ("height", "width", "px")]
+        frames = map_images(frames, ends_of, "_lo double, _hi double", [*kept, "height", "width", "px"]).where("_lo is not null").select(*frames.columns, "_lo", "_hi")
+    else:
+        px = long_form(frames, KEYS).where(~F.isnan("v"))
+        ends = px.groupBy("stack_id").agg(F.percentile("v", F.lit(p_lo)).alias("_lo"), F.percentile("v", F.lit(p_hi)).alias("_hi"))
+        frames = frames.join(ends, "stack_id")
     scaled = lambda v: F.when(F.isnan(v), v).when(F.col("_hi") > F.col("_lo"), F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))), F.lit(gamma))).otherwise(0.0)
-    return frames.join(ends, keys).withColumn("px", F.transform("px", scaled)).drop("_lo", "_hi")
+    return frames.withColumn("px", F.transform("px", scaled)).drop("_lo", "_hi")
 
 
 def bin_of(v, lo: float, hi: float, bins: int):

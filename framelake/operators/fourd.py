@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.arrays import long_form, map_images
+from ..functions.arrays import long_form, map_images, stacked
 
 POS = ["scan_id", "sy", "sx"]
 
@@ -48,24 +48,39 @@ def ssb(patterns: DataFrame, wavelength: float, semi_angle: float, step: float,
     """Single-side-band phase per scan position: scan_id, sy, sx, phase, amplitude (Pennycook et al. 2015, without aberrations).
 
     wavelength * dk is the angle of one detector pixel, `step` the scan step. Detector pixels outside
-    the aperture's reach are dropped first; then the volume is transposed by one shuffle: a group holds
-    some detector pixels over the whole scan (about `values` values), transforms each and sums their
-    side bands; the groups' sums are added, and one inverse transform per scan gives the phase.
+    the aperture's reach are dropped first; then the volume is transposed by one shuffle of packed rows (a
+    position's values of one group of detector pixels). A group holds some detector pixels over the whole
+    scan (about `values` values), transforms each and sums their side bands; the groups' sums are added, and
+    one inverse transform per scan gives the phase.
     """
     cy, cx = centre
     a = semi_angle / wavelength / dk  # aperture radius in detector pixels
     size = patterns.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), (F.max("sy") + 1).alias("h"), (F.max("sx") + 1).alias("w"))
     most = size.agg(F.max("n")).first()[0] or 0
     groups = max(1, int(most * np.pi * a * a / values))
-    px = long_form(patterns, POS, w="kw").withColumn("ky", F.col("y") - cy).withColumn("kx", F.col("x") - cx)
-    px = px.where(F.col("ky") ** 2 + F.col("kx") ** 2 <= a * a).join(size.select("scan_id", "h", "w"), "scan_id")
-    px = px.select("scan_id", F.pmod(F.xxhash64("ky", "kx"), F.lit(groups)).alias("part"), "ky", "kx", "sy", "sx", "v", "h", "w")
+    def pixels(kh: int, kw: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat index, ky and kx of the detector pixels inside the aperture."""
+        ky, kx = np.divmod(np.arange(kh * kw), kw)
+        inside = np.flatnonzero((ky - cy) ** 2 + (kx - cx) ** 2 <= a * a)
+        return inside, ky[inside] - cy, kx[inside] - cx
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (kh, kw), rows in pdf.groupby(["kh", "kw"], sort=False):
+                inside, *_ = pixels(int(kh), int(kw))
+                images = stacked(rows, int(kh), int(kw)).reshape(len(rows), -1)[:, inside]
+                for k in range(groups):
+                    yield rows[["scan_id", "sy", "sx", "kh", "kw"]].assign(part=k, v=list(images[:, k::groups]))
+
+    packed = patterns.select(*POS, "kh", "kw", "px").mapInPandas(pack, "scan_id long, sy int, sx int, kh int, kw int, part int, v array<double>")
+    packed = packed.join(size.select("scan_id", "h", "w"), "scan_id")
 
     def side_band(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
         h, w = int(part["h"].iloc[0]), int(part["w"].iloc[0])
-        at, which = np.unique(part[["ky", "kx"]].to_numpy(), axis=0, return_inverse=True)
+        _, *at = pixels(int(part["kh"].iloc[0]), int(part["kw"].iloc[0]))
+        at = np.stack(at, 1)[int(keys[1]) :: groups]
         image = np.zeros((len(at), h, w))
-        image[which.ravel(), part["sy"], part["sx"]] = part["v"]
+        image[:, part["sy"], part["sx"]] = np.stack(part["v"].to_list()).T
         g = np.fft.fft2(image)
         qy, qx = np.meshgrid(np.fft.fftfreq(h, step * dk), np.fft.fftfreq(w, step * dk), indexing="ij")  # in detector pixels
         ky, kx = at[:, 0, None, None], at[:, 1, None, None]
@@ -74,7 +89,7 @@ def ssb(patterns: DataFrame, wavelength: float, semi_angle: float, step: float,
         y, x = np.nonzero(total)
         return pd.DataFrame({"scan_id": keys[0], "h": h, "w": w, "qy": y, "qx": x, "re": total.real[y, x], "im": total.imag[y, x]})
 
-    bands = px.groupBy("scan_id", "part").applyInPandas(side_band, "scan_id long, h int, w int, qy int, qx int, re double, im double")
+    bands = packed.groupBy("scan_id", "part").applyInPandas(side_band, "scan_id long, h int, w int, qy int, qx int, re double, im double")
     total = bands.groupBy("scan_id", "h", "w", "qy", "qx").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
     def back(part: pd.DataFrame) -> pd.DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import long_form, map_images
-from ..storage import cut
+from ..storage import cut, small
 from .filters import bin_of
 from .frames import to_tiles
 
@@ -17,14 +17,24 @@ KEYS = ["stack_id", "frame"]
 
 
 def contrast_stats(frames: DataFrame, rois: DataFrame | None = None) -> DataFrame:
-    """n, sum, mean, std (sample), min, max, median, std/mean and (max-min)/(max+min) of each frame, or of each frame and roi."""
-    px = long_form(frames, KEYS)
-    keys = KEYS
-    if rois is not None:
-        px, keys = in_roi(px, rois), [*KEYS, "roi_id"]
-    px = px.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    out = px.groupBy(*keys).agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.5)).alias("median"))
+    """n, sum, mean, std (sample), min, max, median, std/mean and (max-min)/(max+min) of each frame, or of each frame and roi.
+
+    Whole frames are measured where they lie, without a shuffle; only rois need pixels as rows. A frame or roi
+    without a number has no row.
+    """
     ratio = lambda a, b: F.when(b != 0, a / b)
+    if rois is None:
+
+        def kernel(a: np.ndarray, _) -> dict:
+            flat = [v[~np.isnan(v)] for v in a.reshape(len(a), -1)]
+            some = [v if len(v) else np.zeros(1) for v in flat]
+            std = [float(v.std(ddof=1)) if len(v) > 1 else None for v in flat]
+            return {"n": [len(v) for v in flat], "sum": [v.sum() for v in some], "mean": [v.mean() for v in some], "std": std, "min": [v.min() for v in some], "max": [v.max() for v in some], "median": [np.median(v) for v in some]}
+
+        out = map_images(frames, kernel, "n long, sum double, mean double, std double, min double, max double, median double", KEYS).where("n > 0")
+    else:
+        px = in_roi(long_form(frames, KEYS), rois).where(F.col("v").isNotNull() & ~F.isnan("v"))
+        out = px.groupBy(*KEYS, "roi_id").agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.5)).alias("median"))
     return out.withColumn("std_over_mean", ratio(F.col("std"), F.col("mean"))).withColumn("michelson", ratio(F.col("max") - F.col("min"), F.col("max") + F.col("min")))
 
 
@@ -61,7 +71,7 @@ def label_regions(mask: DataFrame, connectivity: int = 4, tile: int | None = Non
 
     Without `tile` a frame is labelled by one kernel call. With it, tiles are labelled apart, the
     labels that touch across borders are edges, and least labels spread over the edges in rounds
-    (each a written table) until none changes.
+    (each a written table), each label then taking its root's root, until none changes.
     """
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
@@ -91,7 +101,9 @@ def label_regions(mask: DataFrame, connectivity: int = 4, tile: int | None = Non
     roots = cut(edges.groupBy(*KEYS, "a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
     while True:
         low = edges.join(roots.select(*KEYS, F.col("a").alias("b"), "root"), [*KEYS, "b"]).groupBy(*KEYS, "a").agg(F.min("root").alias("low"))
-        new = cut(roots.join(low, [*KEYS, "a"]).select(*KEYS, "a", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("changed")))
+        mid = cut(roots.join(low, [*KEYS, "a"]).select(*KEYS, "a", F.col("root").alias("old"), F.least("root", "low").alias("mid")))
+        up = mid.join(roots.select(*KEYS, F.col("a").alias("mid"), F.col("root").alias("up")), [*KEYS, "mid"])
+        new = cut(up.select(*KEYS, "a", F.least("mid", "up").alias("root"), (F.least("mid", "up") < F.col("old")).alias("changed")))
         roots = new.drop("changed")
         if new.where("changed").isEmpty():
             break
@@ -181,16 +193,19 @@ def polygon_area(rois: DataFrame) -> DataFrame:
     return out.select("roi_id", F.when(F.col("vertices") >= 3, F.abs("a")).alias("area"), F.when(F.col("vertices") >= 3, F.col("perimeter")).alias("perimeter"), F.when(ok, F.col("my") / (6 * F.col("a"))).alias("cy"), F.when(ok, F.col("mx") / (6 * F.col("a"))).alias("cx"))
 
 
-def in_roi(pixels: DataFrame, rois: DataFrame) -> DataFrame:
+def in_roi(pixels: DataFrame, rois: DataFrame, cell: int = 64) -> DataFrame:
     """Pixels (any table with y, x) inside each polygon by the even-odd rule, edges half-open; a pixel in several polygons has several rows.
 
-    Polygons are drawn by hand, so there are few: each is one row with its edges, joined on the
-    bounding box and tested by an expression.
+    An equi join on grid cells of `cell` pixels: a polygon stands in the cells of its bounding box and is
+    tested by an expression. The polygons are sent to all executors only if their counted cells allow it.
     """
     e = _edges(rois).groupBy("roi_id").agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.collect_list(F.struct("y", "x", "y2", "x2")).alias("_e"), F.max("vertices").alias("_n")).where("_n >= 3")
-    both = pixels.join(F.broadcast(e), (F.col("y") >= F.col("_y0")) & (F.col("y") <= F.col("_y1")) & (F.col("x") >= F.col("_x0")) & (F.col("x") <= F.col("_x1")))
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    e = cut(e.withColumn("_gy", F.explode(cells("_y0", "_y1"))).withColumn("_gx", F.explode(cells("_x0", "_x1"))))
+    at = pixels.withColumn("_gy", F.floor(F.col("y") / cell)).withColumn("_gx", F.floor(F.col("x") / cell))
+    both = at.join(small(e), ["_gy", "_gx"])
     crosses = lambda s: ((s["y"] <= F.col("y")) != (s["y2"] <= F.col("y"))) & (F.col("x") < s["x"] + (F.col("y") - s["y"]) / (s["y2"] - s["y"]) * (s["x2"] - s["x"]))
-    return both.where(F.size(F.filter("_e", crosses)) % 2 == 1).drop("_y0", "_y1", "_x0", "_x1", "_e", "_n")
+    return both.where(F.size(F.filter("_e", crosses)) % 2 == 1).drop("_y0", "_y1", "_x0", "_x1", "_e", "_n", "_gy", "_gx")
 
 
 def classify_tiles(tiles: DataFrame, r_lo: float, r_hi: float, cut_at: float) -> DataFrame:

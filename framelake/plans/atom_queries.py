@@ -81,7 +81,10 @@ def d6(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(atoms.score_detections(pts.where("point_id % 9 <> 0").withColumn("y", F.col("y") + 0.5), pts, 2.0))
 
 
-PAIRS = f"{fx.POINTS_SQL}, pairs AS (SELECT p.stack_id, p.point_id, q.point_id AS nbr_id, q.y - p.y AS dy, q.x - p.x AS dx, CASE WHEN q.point_id = p.point_id + 8 THEN 1 ELSE 2 END AS axis FROM points p JOIN points q ON p.stack_id = q.stack_id AND (q.point_id = p.point_id + 8 OR (q.point_id = p.point_id + 1 AND p.point_id % 8 <> 7)))"
+#: Two equi joins: the neighbour a row further, and the one a place further in the row.
+PAIRS = f"""{fx.POINTS_SQL}, pairs AS (
+ SELECT p.stack_id, p.point_id, q.point_id AS nbr_id, q.y - p.y AS dy, q.x - p.x AS dx, 1 AS axis FROM points p JOIN points q ON p.stack_id = q.stack_id AND q.point_id = p.point_id + 8
+ UNION ALL SELECT p.stack_id, p.point_id, q.point_id, q.y - p.y, q.x - p.x, 2 FROM points p JOIN points q ON p.stack_id = q.stack_id AND q.point_id = p.point_id + 1 AND p.point_id % 8 <> 7)"""
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,25 +125,32 @@ def d10(spark: SparkSession, sf: str) -> DataFrame:
 GPA = f"""{fx.LATTICE_SQL}, k AS (SELECT range - 12 AS k FROM range(24)), z AS (SELECT stack_id, frame, y, x, v * cos({fx.TWO_PI} * x / 6) AS re, -v * sin({fx.TWO_PI} * x / 6) AS im FROM lattice),
  rows_ AS (SELECT stack_id, frame, y, k AS kx, sum(re*cos({fx.TWO_PI}*k*x/24) + im*sin({fx.TWO_PI}*k*x/24)) AS re, sum(im*cos({fx.TWO_PI}*k*x/24) - re*sin({fx.TWO_PI}*k*x/24)) AS im FROM z, k GROUP BY ALL),
  f AS (SELECT stack_id, frame, k AS ky, kx, sum(re*cos({fx.TWO_PI}*k*y/24) + im*sin({fx.TWO_PI}*k*y/24)) AS re, sum(im*cos({fx.TWO_PI}*k*y/24) - re*sin({fx.TWO_PI}*k*y/24)) AS im FROM rows_, k GROUP BY ALL),
- g AS (SELECT stack_id, frame, sum(re * exp(-2*9.869604401089358*9*(ky*ky + kx*kx)/576.0)) / 576 AS re, sum(im * exp(-2*9.869604401089358*9*(ky*ky + kx*kx)/576.0)) / 576 AS im FROM f GROUP BY ALL)"""
+ h AS (SELECT stack_id, frame, ky, kx, re * exp(-2*9.869604401089358*9*(ky*ky + kx*kx)/576.0) / 576 AS re, im * exp(-2*9.869604401089358*9*(ky*ky + kx*kx)/576.0) / 576 AS im FROM f),
+ cols AS (SELECT stack_id, frame, range AS y, kx, sum(re*cos({fx.TWO_PI}*ky*range/24) - im*sin({fx.TWO_PI}*ky*range/24)) AS re, sum(im*cos({fx.TWO_PI}*ky*range/24) + re*sin({fx.TWO_PI}*ky*range/24)) AS im FROM h, range(24) GROUP BY ALL),
+ g AS (SELECT stack_id, frame, y, range AS x, sum(re*cos({fx.TWO_PI}*kx*range/24) - im*sin({fx.TWO_PI}*kx*range/24)) AS re, sum(im*cos({fx.TWO_PI}*kx*range/24) + re*sin({fx.TWO_PI}*kx*range/24)) AS im FROM cols, range(24) GROUP BY ALL)"""
 
 
-@query("d11_gpa_phase", f"WITH {GPA} SELECT stack_id, frame, round(cos(atan2(im, re)), 3) + 0.0 AS cos0, round(sin(atan2(im, re)), 3) + 0.0 AS sin0, round(sqrt(re*re + im*im), 3) + 0.0 AS amplitude0 FROM g")
+@query("d11_gpa_phase", f"WITH {GPA} SELECT stack_id, frame, round(sum(re) / 571.3, 3) + 0.0 AS re, round(sum(im) / 571.3, 3) + 0.0 AS im, round(sum(re * (y*24 + x)) / 165431.7, 3) + 0.0 AS re_weighted, round(sum(im * (y*24 + x)) / 165431.7, 3) + 0.0 AS im_weighted, round(sum(sqrt(re*re + im*im) * (y*24 + x)) / 165431.7, 3) + 0.0 AS amplitude FROM g GROUP BY ALL")
 def d11(spark: SparkSession, sf: str) -> DataFrame:
-    """Phase (as its cosine and sine) and amplitude at the first pixel."""
+    """Phase and amplitude of all pixels: scaled sums, and sums weighted by the pixel's place."""
     at = strain.gpa_phase(fx.lattice(spark, sf), (0.0, 1 / 6), 3.0)
-    first = F.element_at("phase", 1)
-    return rounded(at.select(*KEYS, F.cos(first).alias("cos0"), F.sin(first).alias("sin0"), F.element_at("amplitude", 1).alias("amplitude0")), 3)
+    re, im = F.zip_with("amplitude", "phase", lambda a, p: a * F.cos(p)), F.zip_with("amplitude", "phase", lambda a, p: a * F.sin(p))
+    total = lambda c, weigh: F.aggregate(F.transform(c, lambda v, i: v * i / 165431.7 if weigh else v / 571.3), F.lit(0.0), lambda a, v: a + v)
+    at = at.withColumn("re", re).withColumn("im", im)
+    return rounded(at.select(*KEYS, total("re", False).alias("re"), total("im", False).alias("im"), total("re", True).alias("re_weighted"), total("im", True).alias("im_weighted"), total("amplitude", True).alias("amplitude")), 3)
 
 
-@query("d12_gpa_strain", "SELECT s_suppkey::BIGINT AS stack_id, range::BIGINT AS frame, 1::INT AS exx, 1::INT AS eyy, 1::INT AS exy, 1::INT AS rot FROM supplier, range(6)")
+@query(
+    "d12_gpa_strain",
+    "SELECT s_suppkey::BIGINT AS stack_id, f AS frame, 1 - (3 + (s_suppkey + f) % 3) / 4.0::DOUBLE AS exx, 0.0::DOUBLE AS eyy, ((s_suppkey + f) % 2) / 4.0::DOUBLE AS exy, ((s_suppkey + f) % 2) / 4.0::DOUBLE AS rot FROM supplier, (SELECT range AS f FROM range(6))",
+)
 def d12(spark: SparkSession, sf: str) -> DataFrame:
-    """The drifting lattice is rigid: the mean strain of its inner part is 0 (1: below 0.005)."""
+    """Two waves whose frequencies stand off the reference ones by whole steps: the mean of the strain over the inner part is the planted one, of both signs, and sheared in every other frame."""
     g1, g2 = (0.0, 1 / 6), (1 / 6, 0.0)
-    lat = fx.lattice(spark, sf)
-    out = strain.gpa_strain(strain.gpa_phase(lat, g1, 3.0), strain.gpa_phase(lat, g2, 3.0), g1, g2)
+    waves = fx.waves(spark, sf)
+    out = strain.gpa_strain(strain.gpa_phase(waves, g1, 3.0), strain.gpa_phase(waves, g2, 3.0), g1, g2)
     mean = lambda c: F.aggregate(F.transform(c, lambda v, i: F.when((F.floor(i / 24) >= 6) & (F.floor(i / 24) < 18) & (i % 24 >= 6) & (i % 24 < 18), v / 144).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
-    return out.select(*KEYS, *((F.abs(mean(c)) < 0.005).cast("int").alias(c) for c in ("exx", "eyy", "exy", "rot")))
+    return rounded(out.select(*KEYS, *(mean(c).alias(c) for c in ("exx", "eyy", "exy", "rot"))), 2)
 
 
 @query(

@@ -34,6 +34,12 @@ def blob_value(s: str, f: str, y: str, x: str) -> str:
     return f"(20 + {noise(s, f, y, x)} + {first} + {second})"
 
 
+def wave_value(s: str, f: str, y: str, x: str) -> str:
+    """Two waves near four steps a frame along x and along y: the first is off by -1, 0 or 1 step, the second leans back by 0 or 2. Their mean is 0, so nothing leaks from it."""
+    first, second = f"(3 + ({s}+{f}) % 3) * {x}", f"4 * {y} - 2 * (({s}+{f}) % 2) * {x}"
+    return f"(50*cos({TWO_PI} / {N} * ({first})) + 50*cos({TWO_PI} / {N} * ({second})))"
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Deals slim rows over all cores before large values are made of them; a number keeps them from being merged again."""
     return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
@@ -54,6 +60,10 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir, blob_value)
 
 
+def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir, wave_value)
+
+
 def _pixels_sql(name: str, value) -> str:
     return f"{name} AS (SELECT s AS stack_id, f AS frame, y, x, {value('s', 'f', 'y', 'x')} AS v FROM (SELECT s_suppkey::BIGINT AS s FROM supplier), (SELECT range AS f FROM range({FRAMES})), (SELECT range AS y FROM range({N})), (SELECT range AS x FROM range({N})))"
 

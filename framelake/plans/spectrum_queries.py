@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import eels, fourd
+from ..storage import numbered
 from . import fixtures as fx
 from .stack_queries import rounded
 
@@ -62,12 +63,16 @@ def f4(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "f5_orientation",
     """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(1, 65)) AS i FROM embeddings), c AS (SELECT vec_id, i, e - avg(e) OVER (PARTITION BY vec_id) AS e FROM v), n AS (SELECT vec_id, sqrt(sum(e*e)) AS n FROM c GROUP BY ALL),
-    s AS (SELECT a.vec_id, b.vec_id AS template_id, sum(a.e*b.e) / (na.n * nb.n) AS score FROM c a JOIN c b ON a.i = b.i AND b.vec_id < 10 JOIN n na ON na.vec_id = a.vec_id JOIN n nb ON nb.vec_id = b.vec_id GROUP BY a.vec_id, b.vec_id, na.n, nb.n)
+    m AS (SELECT label, i, avg(e) AS e FROM v JOIN embeddings USING (vec_id) GROUP BY ALL), t AS (SELECT label, i, e - avg(e) OVER (PARTITION BY label) AS e FROM m), tn AS (SELECT label, sqrt(sum(e*e)) AS n FROM t GROUP BY ALL),
+    s AS (SELECT a.vec_id, b.label::BIGINT AS template_id, sum(a.e*b.e) / (na.n * nb.n) AS score FROM c a JOIN t b ON a.i = b.i JOIN n na ON na.vec_id = a.vec_id JOIN tn nb ON nb.label = b.label GROUP BY a.vec_id, b.label, na.n, nb.n)
     SELECT vec_id, template_id, round(score, 4) + 0.0 AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, template_id))::INT AS rank FROM s) WHERE rank <= 2""",
 )
 def f5(spark: SparkSession, sf: str) -> DataFrame:
-    vec = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("px"))
-    templates = vec.where("vec_id < 10").withColumnRenamed("vec_id", "template_id")
+    """Every pattern against the mean pattern of each label."""
+    vec = fx.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("template_id"), F.col("embedding").cast("array<double>").alias("px"))
+    means = vec.select("template_id", F.posexplode("px").alias("i", "e")).groupBy("template_id", "i").agg(F.avg("e").alias("e"))
+    templates = means.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("px"))
+    vec = vec.drop("template_id")
     return rounded(fourd.orientation(vec, templates, top=2, key="vec_id"))
 
 
@@ -109,16 +114,16 @@ def g3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_cleaned(spark, sf).select(*POS, "exponent", (F.col("amplitude") / 1e9).alias("amplitude_1e9"), total.alias("total")), 3)
 
 
-@query("g4_remove_plural", "SELECT s_suppkey::BIGINT AS scan_id, sy::INT AS sy, sx::INT AS sx, 1::INT AS back, 100.0::DOUBLE AS peak FROM supplier, (SELECT range AS sy FROM range(4)), (SELECT range AS sx FROM range(4))")
+@query("g4_remove_plural", "SELECT s_suppkey::BIGINT AS scan_id, sy::INT AS sy, sx::INT AS sx, 100.0::DOUBLE AS total, 100.0 * (40 + s_suppkey % 5)::DOUBLE AS first_moment, 10000.0::DOUBLE AS squares, 100.0::DOUBLE AS at_line FROM supplier, (SELECT range AS sy FROM range(4)), (SELECT range AS sx FROM range(4))")
 def g4(spark: SparkSession, sf: str) -> DataFrame:
-    """A line blurred by a low loss with a plasmon echo comes back as the line: its total and its place."""
+    """A line blurred by a low loss with a plasmon echo comes back as the line and nothing else: its total, first moment, sum of squares and value at its place."""
     low = "transform(sequence(0L, 127L), e -> CASE WHEN e = 0 THEN 0.7D WHEN e = 9 THEN 0.2D WHEN e = 18 THEN 0.1D ELSE 0D END)"
     at = "(40 + s % 5)"
     core = f"transform(sequence(0L, 127L), e -> CASE WHEN e = {at} THEN 70D WHEN e = {at} + 9 THEN 20D WHEN e = {at} + 18 THEN 10D ELSE 0D END)"
     rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 15L)")).alias("p")).selectExpr("s", "s as scan_id", "cast(p div 4 as int) sy", "cast(p % 4 as int) sx", f"{core} as counts", f"{low} as low_counts")
     out = eels.remove_plural(rows, 0.0)
-    peak = F.array_max("counts")
-    return rounded(out.select(*POS, (F.array_position(F.transform("counts", lambda v: F.round(v, 3)), F.round(peak, 3)) - 1 == 40 + F.col("s") % 5).cast("int").alias("back"), peak.alias("peak")), 3)
+    total = lambda f: F.aggregate(F.transform("counts", f), F.lit(0.0), lambda a, v: a + v)
+    return rounded(out.withColumn("s", F.col("scan_id")).select(*POS, total(lambda v, i: v).alias("total"), total(lambda v, i: v * i).alias("first_moment"), total(lambda v, i: v * v).alias("squares"), F.element_at("counts", F.expr("cast(41 + s % 5 as int)")).alias("at_line")), 3)
 
 
 def _fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,10 +152,12 @@ def g7(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "g8_bootstrap",
     """WITH r AS (SELECT user_id % 8 AS g, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS i, value::DOUBLE AS v FROM events), n AS (SELECT g, count(*) AS n FROM r GROUP BY ALL),
-    d AS (SELECT g, rep, ('0x' || substr(md5('42:' || rep || ':' || g || ':' || i), 1, 8))::BIGINT % n AS j FROM n, (SELECT range AS rep FROM range(20)), (SELECT range AS i FROM range(100000)) WHERE i < n),
+    d AS (SELECT g, rep, ('0x' || substr(md5('42:' || rep || ':' || g || ':' || i), 1, 8))::BIGINT % n AS j FROM n, (SELECT range AS rep FROM range(20)), (SELECT unnest(range((SELECT max(n) FROM n))) AS i) WHERE i < n),
     m AS (SELECT d.g, rep, avg(v) AS m FROM d JOIN r ON r.g = d.g AND r.i = d.j GROUP BY ALL)
     SELECT g::BIGINT AS g, round(avg(m), 4) + 0.0 AS mean, round(quantile_cont(m, 0.025), 4) + 0.0 AS low, round(quantile_cont(m, 0.975), 4) + 0.0 AS high FROM m GROUP BY ALL""",
 )
 def g8(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.table(spark, sf, "events").selectExpr("cast(user_id % 8 as long) g", "cast(row_number() over (partition by user_id % 8 order by event_id) - 1 as long) i", "cast(value as double) v")
+    """Events are numbered within their group by event_id, over range partitions of all events."""
+    events = fx.table(spark, sf, "events").selectExpr("cast(user_id % 8 as long) g", "event_id", "cast(value as double) v")
+    rows = numbered(events, ["g"], ["event_id"], "i", 2 * spark.sparkContext.defaultParallelism)
     return rounded(eels.bootstrap(rows, "g", "i", "v", 20, 42))

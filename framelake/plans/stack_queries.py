@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, filters, frames
-from ..sources import stacks
+from ..sources import large, stacks
 from ..storage import new_path
 from . import fixtures as fx
 
@@ -43,18 +44,41 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("a1_read_stacks", f"WITH {fx.LATTICE_SQL} SELECT stack_id, frame, {SUMS}, 24::INT AS height, 'uint8' AS dtype FROM lattice GROUP BY stack_id, frame")
-def a1(spark: SparkSession, sf: str) -> DataFrame:
-    """Stacks packed as npy files in a binary column, with a broken one, then decoded."""
+A1_SQL = f"WITH {fx.LATTICE_SQL} SELECT stack_id, frame, {SUMS}, 24::INT AS height, 'uint8' AS dtype FROM lattice GROUP BY stack_id, frame"
+
+
+def _files(spark: SparkSession, sf: str, broken: bool) -> str:
+    """A folder of npy files, one for each stack, named by it, and one that is cut off, if wanted."""
+    folder = new_path(spark, "stacks").removeprefix("file://").removeprefix("file:")
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("frame")
         data = stacks.npy_bytes(np.stack([np.asarray(p).reshape(24, 24) for p in part["px"]]).astype(np.uint8))
-        return pd.DataFrame({"stack_id": [part["stack_id"].iloc[0]], "path": ["made"], "content": [data]})
+        os.makedirs(folder, exist_ok=True)
+        at = int(part["stack_id"].iloc[0])
+        for name, held in [(f"stack-{at:012d}.npy", data), *([("broken-7.npy", data[:100])] if broken and at == 7 else [])]:
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(held)
+        return pd.DataFrame({"stack_id": [at]})
+
+    fx.lattice(spark, sf).groupBy("stack_id").applyInPandas(pack, "stack_id long").count()
+    return folder
+
+
+@query("a1_read_stacks", A1_SQL)
+def a1(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of npy files, one of them broken, read by Spark and decoded; the error row names the broken one."""
+    found, errors = stacks.read_stacks(spark, _files(spark, sf, True), stack_id=F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long"))
+    if [(r.stack_id, "broken" in r.path) for r in errors.select("stack_id", "path").collect()] != [(7, True)]:
+        raise ValueError("the broken file has no error row, or a whole one has")
+    return rounded(summed(found, "height", "dtype"))
+
 
-    files = fx.lattice(spark, sf).groupBy("stack_id").applyInPandas(pack, "stack_id long, path string, content binary")
-    broken = files.withColumn("content", F.substring("content", 1, 100)).withColumn("stack_id", -F.col("stack_id"))
-    found, _ = stacks.decode_stacks(files.union(broken))
+@query("a1_read_ranges", A1_SQL)
+def a1_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files by frame ranges, four frames a task; a file's place in the listing is its stack, as suppliers count from 0."""
+    large.register(spark)
+    found = spark.read.format("npy_frames").option("path", _files(spark, sf, False)).option("frames", 4).load()
     return rounded(summed(found, "height", "dtype"))
 
 
@@ -156,12 +180,12 @@ def b4(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "b5_video_pipeline",
     f"""WITH {fx.LATTICE_SQL}, {fx.OFFSET_SQL}, k AS (SELECT stack_id, (frame // 3) AS f, oy, ox, frame FROM offsets WHERE frame % 3 = 0), d AS (SELECT a.stack_id, a.frame, a.f, a.oy - b.oy AS dy, a.ox - b.ox AS dx FROM k a JOIN k b ON a.stack_id = b.stack_id AND b.f = 0)
-    SELECT l.stack_id, d.f AS frame, count(*)::BIGINT AS n, sum(v)::DOUBLE AS total FROM lattice l JOIN d USING (stack_id, frame) GROUP BY ALL""",
+    SELECT l.stack_id, d.f AS frame, count(*)::BIGINT AS n, sum(v)::DOUBLE AS total, '3' AS every_n, 'video_pipeline' AS operator FROM lattice l JOIN d USING (stack_id, frame) GROUP BY ALL""",
 )
 def b5(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third frame: the planted drift repeats after three, so the corrected frames are whole."""
-    out = drift.video_pipeline(fx.lattice(spark, sf), {"every_n": 3}, 2)
-    return summed(out).select(*KEYS, "n", "total")
+    """Every third frame: the planted drift repeats after three, so the corrected frames are whole. Written with their run's manifest and read back."""
+    out, run = drift.video_run(fx.lattice(spark, sf), new_path(spark, "video"), {"every_n": 3}, 2, source=sf)
+    return summed(out.join(F.broadcast(run), "run_id"), F.col("params")["every_n"].alias("every_n"), "operator").select(*KEYS, "n", "total", "every_n", "operator")
 
 
 DFT = f"WITH {fx.LATTICE_SQL}, {fx.dft_sql('lattice')}"

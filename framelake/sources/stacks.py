@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -61,13 +61,13 @@ def decode_stacks(files: DataFrame, decoder: Decoder = decode_npy) -> tuple[Data
     return both.where("error is null").select(*names), both.where("error is not null").select("stack_id", "path", "error")
 
 
-def read_stacks(spark: SparkSession, path: str, decoder: Decoder = decode_npy, pattern: str = "*.npy") -> tuple[DataFrame, DataFrame]:
-    """Frames and errors of a folder of files; a file's stack_id is a hash of its path, so it does not depend on listing order.
+def read_stacks(spark: SparkSession, path: str, decoder: Decoder = decode_npy, pattern: str = "*.npy", stack_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Frames and errors of a folder of files. A file's stack_id is a long made of its `path`: a hash, so that it does not depend on listing order, unless an expression is given.
 
     A file is read whole by one task; for large .npy files on a mounted file system see `large`, which reads frame ranges.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return decode_stacks(files.select(F.xxhash64("path").alias("stack_id"), "path", "content"), decoder)
+    return decode_stacks(files.select((F.xxhash64("path") if stack_id is None else stack_id).alias("stack_id"), "path", "content"), decoder)
 
 
 def write_frames(frames: DataFrame, out: str, inputs: list[str] = ()) -> None:

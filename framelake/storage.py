@@ -5,7 +5,7 @@ import operator
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table of at most so many slim rows may be broadcast; a larger one is joined by a shuffle.
@@ -68,3 +68,12 @@ def attach(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner")
         return df.alias("l").join(F.broadcast(hot).alias("h"), same, kind)
 
     return joined(part(rows, "left_semi"), F.broadcast(part(table, "left_semi"))).unionByName(joined(part(rows, "left_anti"), table))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int) -> DataFrame:
+    """Adds a gapless number from 0 within `keys`, in the order of `order`, over `parts` range partitions of all rows: no key meets in one task."""
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "_p").count().select(*keys, "_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
+    rows = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)) - 1)
+    return attach(cut(rows), cut(starts), [*keys, "_p"]).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_p", "_r", "_o")

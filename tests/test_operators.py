@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake import schema
+from framelake import schema, storage
 from framelake.functions import kernels
 from framelake.operators import atoms, drift, eels, filters, fourd, frames, regions, strain
 from framelake.plans import fixtures as fx
@@ -324,3 +324,63 @@ def test_frames_on_a_stream(spark, tmp_path):
     q.stop()
     got = {r.start.second: (r.n, r["mean"]) for r in spark.table("contrast").collect()}
     assert got == {0: (8, 128.5), 2: (8, 642.5), 4: (8, 1156.5)}
+
+
+# ---------------------------------------------------------------- joins and numbers without hot keys
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_attach_joins_hot_and_null_keys(spark, monkeypatch, sent):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(storage, "HOT", 3)
+    rows = [(i, "hot" if i % 2 else None if i % 10 == 0 else f"k{i}") for i in range(200)]
+    table = [("hot", 1), (None, 2), *((f"k{i}", i) for i in range(0, 200, 4))]
+    want = dict(table)
+    left, right = spark.createDataFrame(rows, "i long, k string"), spark.createDataFrame(table, "k string, v long")
+    got = {r.i: r.v for r in storage.attach(left, right, ["k"], "left").collect()}
+    assert got == {i: want.get(k) for i, k in rows}
+    assert {r.i: r.v for r in storage.attach(left, right, ["k"]).collect()} == {i: want[k] for i, k in rows if k in want}
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    rows = [(i * 37 % 211, i % 3 if i % 7 else 0) for i in range(200)]
+    got = storage.numbered(spark.createDataFrame(rows, "e long, g long"), ["g"], ["e"], "n", 5).collect()
+    for g in range(3):
+        assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: r.e)] == list(range(sum(x[1] == g for x in rows)))
+
+
+def test_shifts_against_the_first_frame_in_pieces(spark, monkeypatch):
+    base = np.random.default_rng(4).integers(0, 99, (16, 16)).astype(float)
+    frames = [(s, f, 16, 16, np.roll(base, (f % 3, -(f % 2)), (0, 1)).ravel().tolist()) for s in (1, 2) for f in range(3, 12) if f != 5]
+    df = spark.createDataFrame(frames, "stack_id long, frame long, height int, width int, px array<double>")
+    want = sorted(map(tuple, drift.pair_shifts(df, 3, against="first").collect()))
+    monkeypatch.setattr(drift, "PIECE", 2)
+    assert sorted(map(tuple, drift.pair_shifts(df, 3, against="first").collect())) == want and len(want) == 14
+    assert {(r[1], r[2], r[3]) for r in want if r[1] in (4, 7)} == {(4, 1.0, 1.0), (7, 1.0, 0.0)}
+
+
+def test_polygons_over_many_cells(spark, monkeypatch):
+    """The same pixels whatever the cells are, sent or shuffled."""
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    px = spark.createDataFrame([(y, x) for y in range(30) for x in range(30)], "y int, x int")
+    rois = spark.createDataFrame([(1, 0, 2.5, 3.5), (1, 1, 25.5, 6.5), (1, 2, 11.5, 28.5), (2, 0, 0.0, 0.0), (2, 1, 0.0, 5.0), (2, 2, 5.0, 0.0)], "roi_id long, vertex int, y double, x double")
+    found = [sorted((r.roi_id, r.y, r.x) for r in regions.in_roi(px, rois, cell).collect()) for cell in (4, 7, 64)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+
+
+def test_a_winding_region_gets_one_label_over_its_tiles(spark):
+    mask = np.zeros((24, 24))
+    mask[::2] = 1
+    mask[1::4, -1] = mask[3::4, 0] = 1
+    df = spark.createDataFrame([(1, 0, 24, 24, "float64", mask.ravel().tolist())], "stack_id long, frame long, height int, width int, dtype string, px array<double>").withColumn("ts", F.lit(None).cast("timestamp"))
+    labels = regions.label_regions(df, tile=5).first()["px"]
+    assert (np.array(labels).reshape(24, 24) == np.where(mask > 0, 0, -1)).all()
+
+
+def test_stats_and_stretch_of_odd_frames(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 0, 1, 4, [1.0, nan, 3.0, 5.0]), (1, 1, 1, 2, [nan, nan]), (1, 2, 1, 1, [7.0])], "stack_id long, frame long, height int, width int, px array<double>")
+    got = {r.frame: r for r in regions.contrast_stats(df).collect()}
+    assert sorted(got) == [0, 2] and (got[0].n, got[0].median, got[0].min, got[0].max, got[0].std) == (3, 3.0, 1.0, 5.0, 2.0) and got[2].std is None
+    px = {r.frame: r.px for r in filters.stretch(df, 0.0, 1.0).collect()}
+    assert sorted(px) == [0, 2] and [px[0][i] for i in (0, 2, 3)] == [0.0, 0.5, 1.0] and px[2] == [0.0]
