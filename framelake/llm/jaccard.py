@@ -241,7 +241,7 @@ def prefix_meetings(docs: DataFrame, nodes: DataFrame, hot: DataFrame, id: str,
                 yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), pa.array(held[doc[at]]), pa.array(sizes[doc[at]])], names=["path", "node", "size"])
 
     paths = cut(rows.mapInArrow(run, "path long, node long, size int").distinct())
-    shared = paths.join(cut(paths.groupBy("path").count().where("count > 1")), "path")
+    shared = attach(paths, cut(paths.groupBy("path").count().where("count > 1")), ["path"])
     buckets = shared.where(F.col("count") <= WIDE).groupBy("path").agg(F.sort_array(F.collect_list("node")).alias("members"))
     buckets = cut(buckets.select("members").distinct().select(F.monotonically_increasing_id().alias("path"), "members"))
     held = buckets.select("path", F.explode("members").alias("node")).join(nodes.select("node", "sketch"), "node")
@@ -259,11 +259,10 @@ def _run(nodes: DataFrame, members: DataFrame, runs: range, spread: float) -> tu
     edges, hot, frontier = None, None, members
     for level in range(1, LEVELS + 1):
         paths = cut(_children(frontier, runs, spread))
-        sizes = cut(paths.groupBy("path").count().where("count > 1"))
-        shared = paths.join(sizes, "path")
+        shared = cut(attach(paths, cut(paths.groupBy("path").count().where("count > 1")), ["path"]))
         held = shared.where(F.col("count") <= LIMIT).join(members, "node")
         met = _meetings(held.groupBy("path").agg(F.collect_list(F.struct("node", "sketch")).alias("bucket")).select("bucket"))
-        large = cut(shared.where(F.col("count") > LIMIT).select("path", "node", "count"))
+        large = shared.where(F.col("count") > LIMIT).select("path", "node", "count")
         if level == LEVELS:
             met = met.union(_linked(large.where("node >= 0"), ["path"], "count"))
             plants = large.where("node < 0").select("path", "node", (-1 - F.col("node")).alias("low"))
@@ -399,7 +398,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str,
     return cut(dealt.select("bin", "root", "node", "copies", "tile", "p", "q", "shingles").groupBy("bin").applyInPandas(compare, "node long, links long, low long"))
 
 
-def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9995, batch: int = 3, spread: float = 0.7) -> DataFrame:
+def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9995, batch: int = 4, spread: float = 0.7) -> DataFrame:
     """Every row of `docs`: id, class_id (the least id of its component of links) and n_links (documents linked to it, copies included)."""
     base = cut(sketches(docs, id, text, width))
     nodes = base.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "h")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))

@@ -111,6 +111,17 @@ def pooled(rows):
     return {x: s / n for s, n, xs in blocks for x in xs}
 
 
+def test_held_out_accuracy_on_given_tables(spark):
+    """Documents that nothing was learned from: languages at sf0.01, toxicity at sf0.1 (whose labels are partly noise)."""
+    out = language.op9_language(spark, "/root/testdata/sf0.01").where("held_out")
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null and text rlike '[A-Za-z]{3}'").select("doc_id", "lang")
+    right = out.join(known, "doc_id").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("r")).agg(F.avg("r"), F.count("r")).first()
+    assert right[0] > 0.95 and right[1] > 150
+    scored = toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    caught, alone = (scored.where(F.col("toxic") == k).agg(F.avg((F.col("predicted") == k).cast("int"))).first()[0] for k in (1, 0))
+    assert caught > 0.85 and alone > 0.98
+
+
 def test_toxicity_of_rare_labels_and_calibration(spark, monkeypatch):
     """Six toxic labels of 3,000 are learned from a sample of 200, and the calibration is that of pooled adjacent violators."""
     r = random.Random(13)
