@@ -20,7 +20,7 @@ def rows():
         out.append((i, " ".join(copy), "en", "s1", None))
     out += [(200 + i, out[i][1], out[i][2], "s2", 1) for i in range(5)]  # exact copies
     out += [(300, None, None, None, None), (301, "", "en", "s1", 0), (302, "12 34", None, "s1", 5), (303, text("en", 30) + " " + PASSAGE, "en", "s3", 9), (304, "short leak " + " ".join(PASSAGE.split()[12:] + PASSAGE.split()[:12]), None, "s3", 9)]
-    out += [(305, "\u4e2d\u6587 " * 40, None, "s1", 1), (306, "\u4e2d\u6587 " * 60 + "the house", "en", "s1", 1)]  # no, and hardly any, letters of a learned language
+    out += [(305, "\u4e2d\u6587 " * 40, None, "s1", 1), (306, "\u4e2d\u6587 " * 60 + "the house", None, "s1", 1)]  # no, and hardly any, letters of a learned language
     return out + [out[7], (None, text("de", 40), "de", "s0", 1)]
 
 
@@ -50,9 +50,9 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
         elif name == "decontamination":
             assert Counter(after) == Counter(x for x in before if "secret5" not in x[1])
         elif name == "mixing":
-            rows = p.keyed(spark.createDataFrame(before, SCHEMA))
-            key = {x._key: (x.doc_id, x.text) for x in rows.collect()}
-            times = {key[x._key]: x.repeats for x in mixing.mix(rows, id="_key").collect()}
+            keyed = p.keyed(spark.createDataFrame(before, SCHEMA))
+            key = {x._key: (x.doc_id, x.text) for x in keyed.collect()}
+            times = {key[x._key]: x.repeats for x in mixing.mix(keyed, id="_key").collect()}
             assert Counter(after) == Counter({x: times[x[:2]] for x in before if times[x[:2]]}) and max(times.values()) <= 2
             held = after
         else:
