@@ -8,8 +8,8 @@ Native: DataFrame functions only.
    slugs), which keeps the tree small. A segment of a host's tree whose values are nearly all
    different under one parent becomes the wildcard `*`.
 3. Branches under one parent whose children are distributed alike, and whose labelled share is
-   alike, merge into `~`. Levels go on as long as some parent has more than one path below it;
-   after that nothing can change, so a path of any depth is judged whole.
+   alike, merge into `~`. Levels go on as long as some parent has more than one path below it,
+   from where these paths part; after that nothing can change, so a path of any depth is judged whole.
 4. A template's labels, smoothed by its host's and these by the share over all hosts, give its
    purity; unlabelled URLs of a template or host count for the smoothing, so a few labels do not speak
    for all. Templates with a purity of `reject` or more are blocked.
@@ -83,21 +83,25 @@ def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: flo
     parent, branch_key = ["host", "t"], ["host", "t", "own"]
     columns = ["host", "form", "n", "bad", "labelled", "t"]
     tree = cut(urls.select("host", "form", "n", "bad", "labelled", F.lit("").alias("t")))
-    done, depth = [], 0
+    done = []
+    depth = F.length("t") - F.length(F.replace(F.col("t"), F.lit("/"), F.lit("")))  # segments that t has taken
     while True:
-        segments = F.split("form", "/")
-        own = tree.select(*columns, F.get(segments, F.lit(depth + 1)).alias("own"), F.coalesce(F.get(segments, F.lit(depth + 2)), F.lit("")).alias("below"))
-        values = own.groupBy(*branch_key).agg(F.count(F.lit(1)).alias("_f"), F.sum("n").alias("_n"))
-        stats = values.groupBy(*parent).agg(F.sum("_f").alias("_f"), F.coalesce(F.sum(F.when(F.col("own").isNotNull(), F.col("_n"))), F.lit(0)).alias("_all"), F.count("own").alias("_k"))
+        rest = tree.select(*columns, F.slice(F.split("form", "/"), depth + 2, F.lit(1 << 30)).alias("rest"))
+        own = rest.select("*", F.get("rest", F.lit(0)).alias("own"), F.coalesce(F.get("rest", F.lit(1)), F.lit("")).alias("below"))
+        values = own.groupBy(*branch_key).agg(F.count(F.lit(1)).alias("_f"), F.sum("n").alias("_n"), F.min("rest").alias("_lo"), F.max("rest").alias("_hi"))
+        stats = values.groupBy(*parent).agg(F.sum("_f").alias("_f"), F.coalesce(F.sum(F.when(F.col("own").isNotNull(), F.col("_n"))), F.lit(0)).alias("_all"), F.count("own").alias("_k"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
         wild = (F.col("_all") >= least) & (F.col("_k") > variety * F.col("_all"))
-        # under a parent with one path only, nothing merges and, unless it is a wildcard, nothing changes
-        stats = cut(stats.select(*parent, wild.alias("_w"), ((F.col("_f") == 1) & ~wild).alias("_s")))
+        # where all paths go the same way nothing becomes a wildcard and nothing merges: a path that is alone has its end, several go on to where they part
+        apart = F.array_position(F.zip_with("_lo", "_hi", lambda a, b: ~a.eqNullSafe(b)), True)
+        alike_for = F.when(apart > 0, apart - 1).otherwise(F.size("_lo")).cast("int")
+        stats = cut(stats.select(*parent, wild.alias("_w"), ((F.col("_f") == 1) & ~wild).alias("_s"), F.when((F.col("_k") == 1) & ~wild, alike_for).otherwise(0).alias("_same")))
         here = cut(attach(own, stats, parent))
         settled = F.col("own").isNull() | F.col("_s")
-        rest = F.array_join(F.slice(segments, depth + 2, 1 << 30), "/")
-        done.append(here.where(settled).select("host", "form", "n", "bad", "labelled", F.concat("t", F.when(F.col("own").isNotNull(), F.concat(F.lit("/"), rest)).otherwise("")).alias("t")))
-        tree = here.where(~settled).select(*columns, F.when(F.col("_w"), "*").otherwise(F.col("own")).alias("own"), "below")
-        if tree.isEmpty():
+        onward = lambda n: F.concat("t", F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", F.lit(1), n), "/"))).otherwise(""))
+        done.append(here.where(settled).select("host", "form", "n", "bad", "labelled", onward(F.size("rest")).alias("t")))
+        skipped = here.where(~settled & (F.col("_same") > 0)).select("host", "form", "n", "bad", "labelled", onward(F.col("_same")).alias("t"))
+        tree = here.where(~settled & (F.col("_same") == 0)).select(*columns, F.when(F.col("_w"), "*").otherwise(F.col("own")).alias("own"), "below")
+        if here.where(~settled).isEmpty():
             break
         branch = cut(tree.groupBy(*branch_key, "below").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled"))))
         pooled = cut(branch.groupBy(*parent, "below").agg(F.sum("n").alias("_pn")))
@@ -110,8 +114,7 @@ def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: flo
         overlap = overlap.groupBy(*branch_key).agg(F.sum(F.least(F.col("n") / F.col("_bn"), F.col("_pn") / F.col("_an"))).alias("_o"), F.max("_bn").alias("_bn"))
         merged = cut(overlap.where(F.col("_o") >= alike - 0.5 / F.sqrt("_bn")).select(*branch_key, F.lit(True).alias("_m")))
         tree = attach(tree, merged, branch_key, "left").withColumn("t", F.concat("t", F.lit("/"), F.when(F.col("_m"), "~").otherwise(F.col("own"))))
-        tree = cut(tree.select(*columns))
-        depth += 1
+        tree = cut(tree.select(*columns).union(skipped))
     whole = cut(functools.reduce(DataFrame.union, done))
     leaves = cut(whole.groupBy("host", "t").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled"))))
     hosts = cut(leaves.groupBy("host").agg(F.sum("n").alias("_hn"), F.sum("bad").alias("_hb"), F.sum("labelled").alias("_hl")))

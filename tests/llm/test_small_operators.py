@@ -252,13 +252,14 @@ def test_trees_equal_plain_ones(spark, monkeypatch, seed):
 def test_rules_label_and_very_deep_paths_end(spark):
     """Unlabelled URLs of a host that is nearly all blocked are blocked, of one with few labels not; long unbranched paths cost no levels."""
     deep = "/a" * 3000
-    rows = [(i, f"http://bad.test/spam/{i}") for i in range(60)] + [(60, "http://bad.test/other"), (61, f"http://far.test{deep}")]
+    rows = [(i, f"http://bad.test/spam/{i}") for i in range(60)] + [(60, "http://bad.test/other"), (61, f"http://far.test{deep}"), (62, f"http://two.test{deep}/x"), (63, f"http://two.test{deep}/y"), (64, f"http://two.test{deep}")]
     rows += [(100 + i, f"http://big.test/news/{i}") for i in range(60)] + [(200 + i, f"http://big.test/spam/{i}") for i in range(5)] + [(300 + i, f"http://good.test/{i}") for i in range(60)]
     rules = (("bad.test/spam/", "block"), ("big.test/spam/", "block"), ("good.test/", "allow"))
     got = {x.page_id: x for x in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
     assert got[60].verdict == "block" and got[60].rule is None
     assert {got[100 + i].verdict for i in range(60)} == {"allow"} and {got[200 + i].verdict for i in range(5)} == {"block"}
-    assert got[61].template == deep and got[61].verdict == "allow"
+    assert got[61].template == got[64].template == deep and got[61].verdict == "allow"
+    assert {got[62].template, got[63].template} in ({deep + "/x", deep + "/y"}, {deep + "/~"})
 
 
 # ---------------------------------------------------------------- sharding
