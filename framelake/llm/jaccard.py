@@ -50,8 +50,9 @@ PLANTS = 8_192
 MEETING = 0.55
 #: Cells in which shingles are counted for their order; nodes of a prefix bucket that are compared by their sketches.
 CELLS, WIDE = 1 << 20, 512
-#: Nodes and shingles of one tile (a task holds two), and nodes of one product of matrices within it.
-TILE_NODES, TILE_SHINGLES, PRODUCT = 2048, 1 << 20, 512
+#: Nodes and shingles of one tile (a task holds two): up to sixteen tiles of the first size, then larger ones up to
+#: the second size, so that a family spreads over many tasks but is not sent too often; and nodes of one product of matrices within it.
+TILE_NODES, TILE_SHINGLES, PRODUCT = (512, 4096), (1 << 19, 1 << 21), 512
 #: Shingles that small families bring to one task together.
 BIN_SHINGLES = 1 << 19
 
@@ -384,7 +385,9 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, family: DataFrame, id: str,
 
     exact = cut(rows.mapInArrow(run, "node long, root long, copies long, shingles binary").dropDuplicates(["node"]))
     size = F.octet_length("shingles") / 8
-    tiles = exact.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum(size) / TILE_SHINGLES)).cast("int").alias("tiles"), F.sum(size).alias("size"))
+    parts = lambda n, ends: F.ceil(n / F.least(F.lit(ends[1]), F.greatest(F.lit(ends[0]), n / 16)))
+    tiles = exact.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    tiles = tiles.select("root", "size", F.greatest(parts(F.col("n"), TILE_NODES), parts(F.col("size"), TILE_SHINGLES)).cast("int").alias("tiles"))
     tiles = cut(tiles.withColumn("tiles", F.when(F.col("tiles") < 1, 1).otherwise(F.col("tiles"))))
     bins = max(1, int((tiles.where("tiles = 1").agg(F.sum("size")).first()[0] or 0) / BIN_SHINGLES) + 1)
     dealt = attach(exact, tiles.select("root", "tiles"), ["root"]).withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))

@@ -56,7 +56,7 @@ def test_classes_and_links_equal_all_pairs(spark):
 
 
 def test_tiles_do_not_change_links(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE_NODES", 16)
+    monkeypatch.setattr(jaccard, "TILE_NODES", (4, 16))
     monkeypatch.setattr(jaccard, "PRODUCT", 5)
     rows = corpus()[60:150]
     got = [tuple(r) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
