@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, running, small
+from .common import cut, ranked, running
 
 #: Rows of one group that meet their group's places under one key.
 HOT_ROWS = 100_000
@@ -73,7 +73,7 @@ def balanced_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
     places = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("s", "at", "keep"))).alias("c")).select("g", ends.alias("c"))
     pieces = F.floor((F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["keep"]) - 1) / HOT_ROWS)
     places = cut(places.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces))))
-    placed = rows.withColumn("piece", F.floor(F.col("r") / HOT_ROWS)).join(small(places), ["g", "piece"], "left")
+    placed = rows.withColumn("piece", F.floor(F.col("r") / HOT_ROWS)).join(places, ["g", "piece"], "left")
     placed = placed.withColumn("p", F.get(F.filter("c", lambda x: (F.col("r") >= x["from"]) & (F.col("r") < x["from"] + x["keep"])), F.lit(0)))
     placed = cut(placed.select("id", "size", "crc", "r", F.col("p.s").alias("shard"), (F.col("p.at") + F.col("r") - F.col("p.from")).alias("slot")))
     loose = ranked(placed.where("shard is null").drop("shard", "slot"), [], [F.col("id"), F.col("crc"), F.col("r")], "q")
