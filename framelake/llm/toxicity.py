@@ -6,8 +6,8 @@ punctuation, and obfuscated spellings (digits or signs for letters).
 
 Learning takes a bounded sample: up to half of `sample` labelled documents of each class, so that a
 rare class is learned from all its labels. Within each class the sample is dealt into four parts by
-rank, two for the lexicon, one for the trees, one for the calibration; a class of fewer than four
-documents is used whole for each. The calibration weighs rows by how many of their class were
+rank, two for the lexicon, one for the trees, one for the calibration; a class too small to have a
+document in each is used whole for each. The calibration weighs rows by how many of their class were
 left out, so scores stand for the shares among all labels.
 
 Defined results: a null or empty text has all features 0 and is scored like any other; equal
@@ -176,16 +176,17 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     share = {r["_label"]: min(1.0, sample / 2 / r["count"]) for r in usable.groupBy("_label").count().collect()}
     of_class = lambda f: F.when(F.col("_label") == 1, f(share.get(1, 1.0))).otherwise(f(share.get(0, 1.0)))
-    drawn = cut(usable.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1_000_000)) < of_class(lambda x: 1_000_000 * x)))
-    train = texts.join(small(drawn), "_id").select("_id", "_text", "_label")
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(F.lit("part"), "_id"), "_id", F.xxhash64("_text")))
-    train = cut(train.withColumn("_part", F.pmod(rank, F.lit(4))).withColumn("_weight", of_class(lambda x: 1 / x)))
-    held = {r["_label"]: r["count"] for r in train.groupBy("_label").count().collect()}
-    if not (held.get(0) and held.get(1)):
-        shared = float(held.get(1, 0)) / max(sum(held.values()), 1)
-        out = docs.select(id, *keep).withColumn("score", F.lit(shared))
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1_000_000)) < of_class(lambda x: 1_000_000 * x))
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(F.lit("part"), "_id"), "_id"))
+    drawn = cut(drawn.withColumn("_part", F.pmod(rank, F.lit(4))).withColumn("_weight", of_class(lambda x: 1 / x)))
+    train = cut(texts.join(small(drawn), "_id").select("_id", "_text", "_label", "_part", "_weight"))
+    held = {(r["_label"], r["_part"]): r["count"] for r in train.groupBy("_label", "_part").count().collect()}
+    good, bad = (sum(n for (k, _), n in held.items() if k == label) for label in (0, 1))
+    if not (good and bad):
+        out = docs.select(id, *keep).withColumn("score", F.lit(float(bad) / max(good + bad, 1)))
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    of = lambda *parts: F.col("_part").isin(*parts) | F.col("_label").isin([k for k, n in held.items() if n < 4])
+    few = [k for k in (0, 1) if not ((held.get((k, 0)) or held.get((k, 1))) and held.get((k, 2)) and held.get((k, 3)))]
+    of = lambda *parts: F.col("_part").isin(*parts) | F.col("_label").isin(few)
     lexicon = learn_lexicon(train.where(of(0, 1)), "_text", "_label")
     pack = VectorAssembler(inputCols=FEATURES, outputCol="_v")
     fit = cut(features(train.where(of(2, 3)), "_id", "_text", lexicon, ["_label", "_part", "_weight"]).repartitionByRange(8, "_id").sortWithinPartitions("_id"))
