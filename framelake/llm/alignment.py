@@ -51,7 +51,7 @@ PACKED = "<u2"
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a blank and the text, each without the blank that it starts with."""
+    """The words of a blank and the text (not empty), each without the blank that it starts with."""
     if text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and "\n " not in text and not RARE.search(text):
         return text.split(" ")
     first, *rest = BETWEEN.split(" " + text)
