@@ -149,7 +149,7 @@ class Numbers:
         seps = [upto(kind == k) for k in range(8)]
         lead = np.where(d[at[:-1]] >= 3, d[at[:-1]] <= 6, False)
         parts = []
-        for size in range(1, RUNS + 1):
+        for size in range(1, min(RUNS, len(zone)) + 1):
             i = np.flatnonzero(zone[size - 1 :] == zone[: len(zone) - size + 1])
             j = i + size - 1
             n = at[j + 1] - at[i]
