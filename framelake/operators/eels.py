@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import attach, cut
+from ..storage import attach, cut, numbered
 
 POS = ["scan_id", "sy", "sx"]
+#: Numbers that a task of `bootstrap_mlls` holds before it hands them on.
+SUMS = 1 << 24
 
 
 def pair_dual(spectra: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,33 +90,44 @@ def mlls(spectra: DataFrame, references: DataFrame, e_from: float, e_to: float,
     """
     ids, axis, refs = _references(references)
 
-    def solve(m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def positive(m: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
         active = list(range(m.shape[1]))
-        while True:
+        while active and x.min() < 0:
+            active.remove(int(x.argmin()))
             x = np.zeros(m.shape[1])
             if active:
                 x[active] = np.linalg.lstsq(m[:, active], y, rcond=None)[0]
-            if not non_negative or not active or x.min() >= 0:
-                return x
-            active.remove(int(x.argmin()))
+        return x
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                y = np.asarray(row.counts, float)
-                e = row.e0 + row.de * np.arange(len(y))
-                m = np.stack([np.interp(e, a + d * np.arange(len(r)), r) for (a, d), r in zip(axis, refs, strict=True)], 1)
-                ok = (e >= e_from) & (e < e_to) & ~np.isnan(y)
-                x = solve(m[ok], y[ok])
-                rest = y[ok] - m[ok] @ x
-                spread = ((y[ok] - y[ok].mean()) ** 2).sum() if ok.any() else 0.0
-                rows.append((row.scan_id, row.sy, row.sx, dict(zip(ids, map(float, x), strict=True)), float(np.sqrt((rest**2).sum())), float(1 - (rest**2).sum() / spread) if spread > 0 else None))
-            yield pd.DataFrame(rows, columns=[*POS, "coefficients", "residual", "r2"])
+            for part, m, y in _systems(pdf, axis, refs, e_from, e_to):
+                x = np.linalg.lstsq(m, y.T, rcond=None)[0].T
+                if non_negative:
+                    for k in np.flatnonzero((x < 0).any(1)):
+                        x[k] = positive(m, y[k], x[k])
+                squares = ((y - x @ m.T) ** 2).sum(1)
+                spread = ((y - y.mean(1, keepdims=True)) ** 2).sum(1) if y.shape[1] else np.zeros(len(y))
+                r2 = [float(1 - a / b) if b > 0 else None for a, b in zip(squares, spread, strict=True)]
+                yield part[POS].assign(coefficients=[dict(zip(ids, map(float, row), strict=True)) for row in x], residual=np.sqrt(squares), r2=pd.Series(r2, part.index, object))
 
     return spectra.select(*POS, "e0", "de", "counts").mapInPandas(run, "scan_id long, sy int, sx int, coefficients map<int,double>, residual double, r2 double")
 
 
+def _systems(pdf: pd.DataFrame, axis: np.ndarray, refs: np.ndarray, e_from: float, e_to: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows that share an axis and the channels without a count: the rows, the references on these channels (channels x references) and the counts (rows x channels)."""
+    size = pdf["counts"].map(len)
+    for (e0, de, n), part in pdf.groupby([pdf["e0"], pdf["de"], size], sort=False):
+        e = e0 + de * np.arange(int(n))
+        m = np.stack([np.interp(e, a + d * np.arange(len(r)), r) for (a, d), r in zip(axis, refs, strict=True)], 1)
+        y = np.stack([np.asarray(c, float) for c in part["counts"]])
+        used = ((e >= e_from) & (e < e_to)) & ~np.isnan(y)
+        patterns, which = np.unique(used, axis=0, return_inverse=True)
+        for k, ok in enumerate(patterns):
+            rows = np.flatnonzero(which.ravel() == k)
+            yield part.iloc[rows], m[ok], y[rows][:, ok]
+
+
 def edge_ratio(spectra: DataFrame, w1: tuple[float, float], w2: tuple[float, float]) -> DataFrame:
     """Integrals over two half-open windows and their ratio (null for an empty second one)."""
     part = lambda w: F.sum(F.when((F.col("e") >= w[0]) & (F.col("e") < w[1]), F.col("c") * F.col("de")).otherwise(0.0))
@@ -124,12 +137,13 @@ def edge_ratio(spectra: DataFrame, w1: tuple[float, float], w2: tuple[float, flo
 
 
 def valence(fit: DataFrame, valence_of_ref: dict[int, float]) -> tuple[DataFrame, DataFrame]:
-    """Fractions and weighted mean valence per position, and the scan's means; a sum of coefficients of 0 gives null."""
+    """Fractions and weighted mean valence per position, and the scan's means; a sum of coefficients of 0 gives null. Of `bootstrap_mlls`, per replicate."""
+    at = [c for c in (*POS, "rep") if c in fit.columns]
     parts = {k: F.coalesce(F.element_at("coefficients", F.lit(k)), F.lit(0.0)) for k in valence_of_ref}
     total = sum(parts.values(), F.lit(0.0))
     each = [F.when(total != 0, p / total).alias(f"fraction_{k}") for k, p in parts.items()]
     mean = F.when(total != 0, sum((p * v for p, v in zip(parts.values(), valence_of_ref.values(), strict=True)), F.lit(0.0)) / total)
-    here = fit.select(*POS, *each, mean.alias("valence"))
+    here = fit.select(*at, *each, mean.alias("valence"))
     return here, here.groupBy("scan_id").agg(F.avg("valence").alias("valence"), F.stddev_samp("valence").alias("std"), F.count("valence").alias("n"))
 
 
@@ -149,6 +163,65 @@ def bootstrap(rows: DataFrame, group: str, index: str, value: str, reps: int, se
     return means.groupBy(group).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
 
 
+def normal_equations(spectra: DataFrame, references: DataFrame, e_from: float, e_to: float) -> DataFrame:
+    """Each position's least-squares fit as numbers that add up: `equations` holds the Gram matrix of the references on its axis over [e_from, e_to), row by row, then its right side."""
+    _, axis, refs = _references(references)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, m, y in _systems(pdf, axis, refs, e_from, e_to):
+                gram = np.broadcast_to((m.T @ m).ravel(), (len(part), m.shape[1] ** 2))
+                yield part[POS].assign(equations=list(np.concatenate([gram, y @ m], 1)))
+
+    return spectra.select(*POS, "e0", "de", "counts").mapInPandas(run, "scan_id long, sy int, sx int, equations array<double>")
+
+
+def bootstrap_mlls(spectra: DataFrame, references: DataFrame, e_from: float, e_to: float, reps: int, seed: int) -> DataFrame:
+    """The fit of `mlls` to each resample of a scan's positions, all its spectra at once: scan_id, rep, coefficients (by ref_id).
+
+    A scan's positions are numbered from 0 in the order of (sy, sx). No resampled spectrum is made: a
+    position's normal equations are worked out once and weighted by how often each replicate draws it.
+    Tasks add up what they hold of a scan, (replicates x equations) numbers, before these sums meet;
+    then a replicate is one small system, solved by least norm where it is singular.
+    """
+    ids, _, _ = _references(references)
+    k = len(ids)
+    size = k * k + k
+    # a written table: its numbers must be the same in both uses
+    own = cut(numbered(normal_equations(spectra, references, e_from, e_to), ["scan_id"], ["sy", "sx"], "i", 2 * spectra.sparkSession.sparkContext.defaultParallelism))
+    drawn = draws(own, "scan_id", "i", reps, seed).groupBy("scan_id", F.col("j").alias("i")).agg(F.collect_list("rep").alias("_reps"))
+    weighted = own.select("scan_id", "i", "equations").join(drawn, ["scan_id", "i"]).select("scan_id", "equations", "_reps")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        out = lambda: pd.DataFrame({"scan_id": list(sums), "sums": [v.ravel() for v in sums.values()]})
+        for pdf in batches:
+            for scan, part in pdf.groupby("scan_id", sort=False):
+                often = part["_reps"].map(len).to_numpy()
+                weights = np.zeros((reps, len(part)))
+                np.add.at(weights, (np.concatenate(part["_reps"].to_list()), np.repeat(np.arange(len(part)), often)), 1)
+                sums[scan] = sums.get(scan, 0) + weights @ np.stack(part["equations"].to_list())
+            if len(sums) * reps * size > SUMS:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    def solve(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.asarray(v) for v in part["sums"]], 0).reshape(reps, size)
+        x = (np.linalg.pinv(total[:, : k * k].reshape(reps, k, k), hermitian=True) @ total[:, k * k :, None])[:, :, 0]
+        return pd.DataFrame({"scan_id": keys[0], "rep": np.arange(reps), "coefficients": [dict(zip(ids, map(float, row), strict=True)) for row in x]})
+
+    parts = weighted.mapInPandas(add, "scan_id long, sums array<double>")
+    return parts.groupBy("scan_id").applyInPandas(solve, "scan_id long, rep int, coefficients map<int,double>")
+
+
+def percentiles(reps: DataFrame, group: str, values: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Mean and two percentiles of each value over a group's replicates: group, then value, value_low, value_high."""
+    each = lambda c: (F.avg(c).alias(c), F.percentile(c, F.lit(low)).alias(f"{c}_low"), F.percentile(c, F.lit(high)).alias(f"{c}_high"))
+    return reps.groupBy(group).agg(*(x for c in values for x in each(c)))
+
+
 def bootstrap_fit(rows: DataFrame, group: str, index: str, statistic: Callable[[pd.DataFrame], float], reps: int, seed: int) -> DataFrame:
     """As `bootstrap`, for any statistic of a resample's rows: group, rep, value."""
     drawn = draws(rows, group, index, reps, seed).join(rows.withColumnRenamed(index, "j"), [group, "j"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import long_form, map_images
-from ..storage import cut, small
+from ..storage import BROADCAST_ROWS, cut, small
 from .filters import bin_of
 from .frames import to_tiles
 
@@ -19,8 +21,10 @@ KEYS = ["stack_id", "frame"]
 def contrast_stats(frames: DataFrame, rois: DataFrame | None = None) -> DataFrame:
     """n, sum, mean, std (sample), min, max, median, std/mean and (max-min)/(max+min) of each frame, or of each frame and roi.
 
-    Whole frames are measured where they lie, without a shuffle; only rois need pixels as rows. A frame or roi
-    without a number has no row.
+    Frames are measured where they lie. With rois, bands of a frame's rows meet the x-spans of the polygons
+    in these rows (`roi_spans`): numbers and sums are differences of prefix sums over the packed band, and
+    only the medians gather values, those of one roi in one frame. No pixel becomes a row, and no polygon
+    is sent, only its spans. A frame or roi without a number has no row.
     """
     ratio = lambda a, b: F.when(b != 0, a / b)
     if rois is None:
@@ -33,11 +37,81 @@ def contrast_stats(frames: DataFrame, rois: DataFrame | None = None) -> DataFram
 
         out = map_images(frames, kernel, "n long, sum double, mean double, std double, min double, max double, median double", KEYS).where("n > 0")
     else:
-        px = in_roi(long_form(frames, KEYS), rois).where(F.col("v").isNotNull() & ~F.isnan("v"))
-        out = px.groupBy(*KEYS, "roi_id").agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.5)).alias("median"))
+        parts = _in_spans(frames, roi_spans(rois))
+        mean = F.col("sum") / F.col("n")
+        rows = parts.groupBy(*KEYS, "roi_id").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("m2").alias("_m2"), F.sum(F.col("sum") * F.col("sum") / F.col("n")).alias("_b2"), F.min("min").alias("min"), F.max("max").alias("max"), F.array_sort(F.flatten(F.collect_list("v"))).alias("_v"))
+        # squares about each part's mean, and of the parts' means about the whole mean
+        spread = F.greatest(F.lit(0.0), F.col("_m2") + F.col("_b2") - F.col("sum") * mean)
+        middle = lambda k: F.element_at("_v", F.floor((F.col("n") + k) / 2).cast("int"))
+        out = rows.select(*KEYS, "roi_id", "n", "sum", mean.alias("mean"), F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1))).alias("std"), "min", "max", ((middle(1) + middle(2)) / 2).alias("median"))
     return out.withColumn("std_over_mean", ratio(F.col("std"), F.col("mean"))).withColumn("michelson", ratio(F.col("max") - F.col("min"), F.col("max") + F.col("min")))
 
 
+#: Rows of a frame in one band, and spans of a band that meet it at once.
+BAND, SPANS = 64, 50_000
+
+
+def roi_spans(rois: DataFrame) -> DataFrame:
+    """The polygons as half-open spans of whole pixels: roi_id, y, x0, x1 (x0 <= x < x1), by the even-odd rule of `in_roi`.
+
+    Each edge gives one crossing for each row that it passes; a row's crossings, in order, open and close
+    spans in turn. Polygons of fewer than three vertices have none. Written, slim rows.
+    """
+    low, high = F.least("y", "y2"), F.greatest("y", "y2")
+    rows = F.sequence(F.ceil(low), F.ceil(high) - 1)
+    edges = _edges(rois).where("vertices >= 3").where(F.ceil(low) < F.ceil(high)).withColumn("row", F.explode(rows))
+    at = F.col("x") + (F.col("row") - F.col("y")) / (F.col("y2") - F.col("y")) * (F.col("x2") - F.col("x"))
+    order = Window.partitionBy("roi_id", "row").orderBy("x0")
+    crossings = edges.select("roi_id", F.col("row").cast("int").alias("row"), F.ceil(at).cast("int").alias("x0"))
+    spans = crossings.withColumn("x1", F.lead("x0").over(order)).withColumn("_k", F.row_number().over(order)).where("_k % 2 = 1 and x0 < x1")
+    return cut(spans.select("roi_id", F.col("row").alias("y"), "x0", "x1"))
+
+
+def _in_spans(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of each band of a frame and each roi: n, sum, m2 (squares about the part's mean), min, max and values of the pixels in the roi's spans.
+
+    Spans stand in lists of at most about SPANS for each band; few are sent to all executors, more are dealt with
+    the bands over copies, so that no band's number is one key.
+    """
+    rows = spans.where("y >= 0 and x1 > 0").withColumn("band", F.expr(f"y div {BAND}"))
+    sizes = rows.groupBy("band").count().agg(F.max("count"), F.sum("count"), F.count(F.lit(1))).first()
+    lists, total, bands = max(1, -(-(sizes[0] or 0) // SPANS)), sizes[1] or 0, max(1, sizes[2])
+    few = total <= BROADCAST_ROWS
+    copies = 1 if few else max(1, 2 * spans.sparkSession.sparkContext.defaultParallelism // bands)
+    packed = rows.groupBy("band", F.pmod(F.xxhash64("roi_id"), F.lit(lists)).alias("_l")).agg(F.collect_list(F.struct("roi_id", "y", "x0", "x1")).alias("spans")).drop("_l")
+    packed = packed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    cut_ = frames.select(*KEYS, "width", "height", "px", F.explode(F.expr(f"sequence(0L, cast((height - 1) div {BAND} as long))")).alias("band"))
+    cut_ = cut_.select(*KEYS, "width", "band", F.slice("px", F.col("band").cast("int") * BAND * F.col("width") + 1, F.col("width") * BAND).alias("px"), F.pmod(F.xxhash64(*KEYS), F.lit(copies)).cast("int").alias("_copy"))
+    both = cut_.join(F.broadcast(packed) if few else packed, ["band", "_copy"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                v = np.asarray(row.px, float)
+                width, ok = row.width, ~np.isnan(v)
+                roi, y, x0, x1 = (np.array([s[c] for s in row.spans], np.int64) for c in ("roi_id", "y", "x0", "x1"))
+                y, x0, x1 = y - row.band * BAND, np.maximum(x0, 0), np.minimum(x1, width)
+                there = (x0 < x1) & (y * width < len(v))
+                order = np.flatnonzero(there)[np.lexsort((x0[there], y[there], roi[there]))]
+                if not len(order):
+                    continue
+                roi, a, b = roi[order], y[order] * width + x0[order], y[order] * width + x1[order]
+                base = float(v[ok].mean()) if ok.any() else 0.0
+                off = np.where(ok, v - base, 0)
+                upto = [np.concatenate([[0], np.cumsum(c)]) for c in (ok, off, off * off)]
+                new = np.flatnonzero(np.diff(roi, prepend=roi[0] - 1))
+                n, s, q = (np.add.reduceat(c[b] - c[a], new) for c in upto)
+                place = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+                owner = np.repeat(np.arange(len(new)), np.add.reduceat(b - a, new))[ok[place]]
+                inside = v[place[ok[place]]]
+                values = np.split(inside, np.searchsorted(owner, np.arange(1, len(new))))
+                keep = np.flatnonzero(n > 0)
+                if len(keep):
+                    yield pd.DataFrame({"stack_id": row.stack_id, "frame": row.frame, "roi_id": roi[new][keep], "n": n[keep].astype(np.int64), "sum": (s + n * base)[keep], "m2": (q - s * s / np.maximum(n, 1))[keep], "min": [values[k].min() for k in keep], "max": [values[k].max() for k in keep], "v": [values[k] for k in keep]})
+
+    return both.select(*KEYS, "width", "band", "px", "spans").mapInPandas(run, "stack_id long, frame long, roi_id long, n long, sum double, m2 double, min double, max double, v array<double>")
+
+
 def histogram(frames: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
     """stack_id, frame, bin, n; bin -1 below lo, `bins` above hi. Empty bins have no row."""
     px = long_form(frames, KEYS).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -196,16 +270,23 @@ def polygon_area(rois: DataFrame) -> DataFrame:
 def in_roi(pixels: DataFrame, rois: DataFrame, cell: int = 64) -> DataFrame:
     """Pixels (any table with y, x) inside each polygon by the even-odd rule, edges half-open; a pixel in several polygons has several rows.
 
-    An equi join on grid cells of `cell` pixels: a polygon stands in the cells of its bounding box and is
-    tested by an expression. The polygons are sent to all executors only if their counted cells allow it.
+    Whole-numbered pixels meet the polygons' spans of their row (`roi_spans`), cut at multiples of `cell` to
+    spread rows over keys. Other places meet, in bands of `cell` rows, the edges that pass the band, and
+    are tested by an expression. Only spans or edges travel, to all executors if their count allows it.
     """
-    e = _edges(rois).groupBy("roi_id").agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.collect_list(F.struct("y", "x", "y2", "x2")).alias("_e"), F.max("vertices").alias("_n")).where("_n >= 3")
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    e = cut(e.withColumn("_gy", F.explode(cells("_y0", "_y1"))).withColumn("_gx", F.explode(cells("_x0", "_x1"))))
-    at = pixels.withColumn("_gy", F.floor(F.col("y") / cell)).withColumn("_gx", F.floor(F.col("x") / cell))
-    both = at.join(small(e), ["_gy", "_gx"])
+    kinds = dict(pixels.dtypes)
+    if {kinds["y"], kinds["x"]} <= {"int", "bigint", "smallint"}:
+        first, last = F.floor(F.col("x0") / cell), F.floor((F.col("x1") - 1) / cell)
+        spans = cut(roi_spans(rois).select("roi_id", F.col("y").alias("_y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.explode(F.sequence(first, last)).alias("_gx")))
+        at = pixels.withColumn("_y", F.col("y").cast("int")).withColumn("_gx", F.floor(F.col("x") / cell))
+        return at.join(small(spans), ["_y", "_gx"]).where("x >= _x0 and x < _x1").drop("_y", "_gx", "_x0", "_x1")
+    bands = F.sequence(F.floor(F.least("y", "y2") / cell), F.floor(F.greatest("y", "y2") / cell))
+    edges = cut(_edges(rois).where("vertices >= 3 and y <> y2").withColumn("_gy", F.explode(bands)))
+    listed = edges.groupBy("roi_id", "_gy").agg(F.min(F.least("x", "x2")).alias("_x0"), F.max(F.greatest("x", "x2")).alias("_x1"), F.collect_list(F.struct("y", "x", "y2", "x2")).alias("_e"))
+    listed = F.broadcast(listed) if edges.count() <= BROADCAST_ROWS else listed
+    both = pixels.withColumn("_gy", F.floor(F.col("y") / cell)).join(listed, "_gy").where("x >= _x0 and x < _x1")
     crosses = lambda s: ((s["y"] <= F.col("y")) != (s["y2"] <= F.col("y"))) & (F.col("x") < s["x"] + (F.col("y") - s["y"]) / (s["y2"] - s["y"]) * (s["x2"] - s["x"]))
-    return both.where(F.size(F.filter("_e", crosses)) % 2 == 1).drop("_y0", "_y1", "_x0", "_x1", "_e", "_n", "_gy", "_gx")
+    return both.where(F.size(F.filter("_e", crosses)) % 2 == 1).drop("_x0", "_x1", "_e", "_gy")
 
 
 def classify_tiles(tiles: DataFrame, r_lo: float, r_hi: float, cut_at: float) -> DataFrame:

@@ -258,6 +258,12 @@ def e9(spark: SparkSession, sf: str) -> DataFrame:
     return hit.groupBy(*KEYS, "roi_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
+@query("e1_contrast_rois", f"WITH {fx.BLOBS_SQL}, r AS (SELECT * FROM blobs, (SELECT unnest([1, 2, 3]) AS roi_id) WHERE (roi_id = 1 AND y < 10 AND x < 10) OR (roi_id = 2 AND y < 6 AND x < 8 - y * 8 / 6.0) OR (roi_id = 3 AND ((y < 4 AND x < 2) OR (y < 2 AND x < 4)))) SELECT stack_id, frame, roi_id::BIGINT AS roi_id, {STATS} FROM r GROUP BY stack_id, frame, roi_id")
+def e1_rois(spark: SparkSession, sf: str) -> DataFrame:
+    """Contrast in hand-drawn regions: their spans meet the packed rows of every frame."""
+    return rounded(regions.contrast_stats(fx.blobs(spark, sf), fx.rois(spark)))
+
+
 CRYSTAL = DFT.replace("WITH ", "WITH ", 1) + """, b AS (SELECT *, avg(p) OVER (PARTITION BY stack_id, frame, r) AS b FROM dft_p), c AS (SELECT stack_id, frame, sum(greatest(p - b, 0)) / sum(p) AS crystallinity FROM (SELECT * FROM b WHERE ky*ky + kx*kx BETWEEN 4 AND 64) GROUP BY ALL)"""
 
 

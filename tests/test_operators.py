@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -306,6 +307,42 @@ def test_spectra_without_partner_and_singular_references(spark):
     assert min(eels.mlls(y, minus, 0.0, 3.0, non_negative=True).first().coefficients.values()) >= 0
 
 
+def test_refits_equal_fits_of_resampled_spectra(spark, monkeypatch):
+    """Against the least-squares fit of the drawn spectra themselves; on two axes, with missing counts, and handed on in small parts."""
+    monkeypatch.setattr(eels, "SUMS", 1)
+    r, n = rng(8), 12
+    refs = [(k, f"r{k}", 0.0, 1.0, [float(v) for v in r.random(40)]) for k in (3, 5, 9)]
+    spectra = []
+    for scan in (1, 2):
+        for k in range(n if scan == 1 else 2):
+            de = 1.0 if k % 2 else 0.5
+            e = de * np.arange(30)
+            y = sum((k + j + 1) * np.interp(e, np.arange(40), refs[j][4]) for j in range(3)) + r.normal(0, 0.1, 30)
+            y[k] = np.nan if k % 3 == 0 else y[k]
+            spectra.append((scan, k // 4, k % 4, 0.0, de, [float(v) for v in y]))
+    df = spark.createDataFrame(spectra, "scan_id long, sy int, sx int, e0 double, de double, counts array<double>").repartition(3)
+    references = spark.createDataFrame(refs, "ref_id int, name string, e0 double, de double, counts array<double>")
+    got = {(x.scan_id, x.rep): x.coefficients for x in eels.bootstrap_mlls(df, references, 2.0, 12.0, 5, 42).collect()}
+    assert sorted(got) == [(s, k) for s in (1, 2) for k in range(5)]
+    for (scan, rep), found in got.items():
+        own = [x for x in spectra if x[0] == scan]
+        taken = [own[int(hashlib.md5(f"42:{rep}:{scan}:{i}".encode()).hexdigest()[:8], 16) % len(own)] for i in range(len(own))]
+        m, y = [], []
+        for _, _, _, _, de, counts in taken:
+            e = de * np.arange(30)
+            ok = (e >= 2) & (e < 12) & ~np.isnan(counts)
+            m.append(np.stack([np.interp(e, np.arange(40), ref[4]) for ref in refs], 1)[ok])
+            y.append(np.array(counts)[ok])
+        want = np.linalg.lstsq(np.concatenate(m), np.concatenate(y), rcond=None)[0]
+        assert sorted(found) == [3, 5, 9] and np.allclose([found[k] for k in (3, 5, 9)], want, atol=1e-6)
+    assert eels.bootstrap_mlls(df.limit(0), references, 2.0, 12.0, 5, 42).collect() == []
+    one = {(x.scan_id, x.sy, x.sx): x for x in eels.mlls(df, references, 2.0, 12.0).collect()}
+    e = 0.5 * np.arange(30)
+    ok = (e >= 2) & (e < 12) & ~np.isnan(spectra[0][5])
+    m = np.stack([np.interp(e, np.arange(40), ref[4]) for ref in refs], 1)[ok]
+    assert np.allclose([one[1, 0, 0].coefficients[k] for k in (3, 5, 9)], np.linalg.lstsq(m, np.array(spectra[0][5])[ok], rcond=None)[0])
+
+
 def test_a_statistic_on_resamples(spark):
     rows = spark.createDataFrame([(1, i, float(i)) for i in range(20)], "g long, i long, v double")
     means = eels.bootstrap_fit(rows, "g", "i", lambda p: p["v"].mean(), 10, 42).orderBy("rep").collect()
@@ -368,6 +405,59 @@ def test_polygons_over_many_cells(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) > 200
 
 
+def even_odd(polygon, y, x):
+    inside = False
+    for (y1, x1), (y2, x2) in zip(polygon, polygon[1:] + polygon[:1], strict=True):
+        if (y1 <= y) != (y2 <= y) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1):
+            inside = not inside
+    return inside
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_regions_by_spans_equal_the_even_odd_rule(spark, monkeypatch, sent):
+    """Winding, crossing and far polygons; whole pixels and places between them; statistics with NaN, over bands and lists of spans, sent and shuffled."""
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(regions, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(regions, "BAND", 7)
+    monkeypatch.setattr(regions, "SPANS", 5)
+    r = rng(21)
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    star = [(12 + (4 + 7 * (k % 2)) * np.sin(t), 14 + (5 + 8 * (k % 2)) * np.cos(t)) for k, t in enumerate(turn)]
+    polygons = {1: star, 2: [(float(y), float(x)) for y, x in r.uniform(-8, 40, (9, 2))], 3: [(-5.0, -5.0), (-5.0, 50.0), (50.0, 50.0), (50.0, -5.0)], 4: [(100.0, 100.0), (120.0, 100.0), (120.0, 130.0)], 5: [(1.0, 1.0), (9.0, 9.0)]}
+    rois = spark.createDataFrame([(k, i, float(y), float(x)) for k, p in polygons.items() for i, (y, x) in enumerate(p)], schema.ROIS)
+    real = [(i, float(y), float(x)) for i, (y, x) in enumerate(r.uniform(-3, 33, (150, 2)))]
+    got = {(x.i, x.roi_id) for x in regions.in_roi(spark.createDataFrame(real, "i int, y double, x double"), rois, 6).collect()}
+    assert got == {(i, k) for i, y, x in real for k, p in polygons.items() if len(p) > 2 and even_odd(p, y, x)}
+    images = [r.normal(1000, 3, (23, 31)) for _ in range(3)]
+    images[1][3:9, 4:20] = np.nan
+    images[2][:] = np.nan
+    frames_ = stack(spark, images).union(stack(spark, [r.normal(size=(9, 5))], 2))
+    whole = {(x.y, x.x, x.roi_id) for x in regions.in_roi(spark.createDataFrame([(y, x) for y in range(23) for x in range(31)], "y int, x int"), rois, 6).collect()}
+    inside = {k: {(y, x) for y in range(23) for x in range(31) if len(p) > 2 and even_odd(p, y, x)} for k, p in polygons.items()}
+    assert whole == {(y, x, k) for k, v in inside.items() for y, x in v} and all(inside[k] for k in (1, 2, 3))
+    stats = {(x.stack_id, x.frame, x.roi_id): x for x in regions.contrast_stats(frames_, rois).collect()}
+    for row in frames_.collect():
+        a = image(row)
+        for k, places in inside.items():
+            v = np.array([a[p] for p in places if p[0] < a.shape[0] and p[1] < a.shape[1]])
+            v = v[~np.isnan(v)]
+            found = stats.pop((row.stack_id, row.frame, k), None)
+            if not len(v):
+                assert found is None
+                continue
+            want = (len(v), v.sum(), v.mean(), v.min(), v.max(), np.median(v))
+            assert np.allclose((found.n, found.sum, found.mean, found.min, found.max, found.median), want)
+            assert found.std is None if len(v) == 1 else np.isclose(found.std, v.std(ddof=1))
+    assert not stats
+
+
+def test_a_polygon_of_many_vertices_sends_its_spans(spark):
+    turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    rois = spark.createDataFrame([(1, k, float(500 + 400 * np.sin(t)), float(500 + 400 * np.cos(t))) for k, t in enumerate(turn)], schema.ROIS)
+    spans = regions.roi_spans(rois)
+    assert 798 <= spans.count() <= 801 and abs(spans.agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] - np.pi * 400**2) < 400
+
+
 def test_a_winding_region_gets_one_label_over_its_tiles(spark):
     mask = np.zeros((24, 24))
     mask[::2] = 1
