@@ -49,53 +49,78 @@ def detect_peaks(frames: DataFrame, radius: int, threshold: float, border: int =
     return tiles.mapInPandas(run, "stack_id long, frame long, point_id long, y double, x double, intensity double")
 
 
-def refine_centroids(points: DataFrame, frames: DataFrame, radius: int) -> DataFrame:
-    """Moves each point to the intensity-weighted centre of its window, the window's minimum taken off.
+def _windows(points: DataFrame, frames: DataFrame, reach: int, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], out: str, tile: int | None) -> DataFrame:
+    """Runs a kernel on the windows of `reach` pixels around the pixel nearest each point.
 
-    A frame's points are gathered beside its image; both are bounded by the frame's size.
+    Points meet the image that owns their pixel by an equi join: the whole frame, or with `tile` the tile of
+    that core size whose halo holds the window, so that no frame need fit a task. Points beyond an edge
+    belong to the nearest tile. All windows of a batch are gathered by one index array: the kernel gets
+    values (points x pixels, NaN outside the frame), the pixels' y and x, and the points.
     """
-    listed = points.groupBy(*KEYS).agg(F.collect_list(F.struct("point_id", "y", "x", "intensity")).alias("_p"))
-    both = frames.select(*KEYS, "height", "width", "px").join(listed, KEYS)
+    columns = ["point_id", "y", "x", *(["intensity"] if "intensity" in points.columns else [])]
+    named = points.select(*KEYS, F.struct(*columns).alias("_p"))
+    if tile is None:
+        images = frames.select(*KEYS, "height", "width", F.lit(0).alias("y0"), F.lit(0).alias("x0"), F.col("height").alias("h"), F.col("width").alias("w"), "px")
+        keys = KEYS
+    else:
+        size = frames.select(*KEYS, "height", "width")
+        images = to_tiles(frames, tile, reach).join(size, KEYS).drop("halo")
+        owner = lambda c, n: F.expr(f"cast(greatest(0, least({n} - 1, floor(_p.{c} + 0.5D))) div {tile} as int)")
+        named = named.join(size, KEYS).select(*KEYS, owner("y", "height").alias("ty"), owner("x", "width").alias("tx"), "_p")
+        keys = [*KEYS, "ty", "tx"]
+    listed = named.groupBy(*keys).agg(F.collect_list("_p").alias("_p")).select(*keys, *(F.col(f"_p.{c}").alias(f"_{c}") for c in columns))
+    both = images.join(listed, keys).select(*KEYS, "height", "width", "y0", "x0", "h", "w", "px", *(f"_{c}" for c in columns))
+    dy, dx = (d.ravel() for d in np.mgrid[-reach : reach + 1, -reach : reach + 1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for i in range(len(pdf)):
-                part = pdf.iloc[i : i + 1]
-                row = part.iloc[0]
-                a = stacked(part, int(row["height"]), int(row["width"]))[0]
-                rows += [(row["stack_id"], row["frame"], p["point_id"], *kernels.centroid(a, p["y"], p["x"], radius), p["intensity"]) for p in row["_p"]]
-            yield pd.DataFrame(rows, columns=["stack_id", "frame", "point_id", "y", "x", "intensity"])
+            for (h, w), part in pdf.groupby(["h", "w"], sort=False):
+                image = stacked(part, int(h), int(w))
+                own = np.repeat(np.arange(len(part)), part["_y"].map(len).to_numpy())
+                p = pd.DataFrame({c: np.concatenate(part[f"_{c}"].to_list()) for c in columns})
+                for s in range(0, len(p), STEP):
+                    at, some = own[s : s + STEP], p.iloc[s : s + STEP]
+                    of = part.iloc[at]
+                    top, left, height, width = (of[c].to_numpy()[:, None] for c in ("y0", "x0", "height", "width"))
+                    y = np.floor(some["y"].to_numpy() + 0.5).astype(int)[:, None] + dy
+                    x = np.floor(some["x"].to_numpy() + 0.5).astype(int)[:, None] + dx
+                    inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+                    v = image[at[:, None], np.clip(y - top, 0, int(h) - 1), np.clip(x - left, 0, int(w) - 1)]
+                    made = kernel(np.where(inside, v, np.nan), y, x, some)
+                    yield of[KEYS].reset_index(drop=True).join(made.reset_index(drop=True), how="inner")
 
-    return both.mapInPandas(run, "stack_id long, frame long, point_id long, y double, x double, intensity double")
+    return both.mapInPandas(run, f"stack_id long, frame long, {out}")
 
 
-def atom_intensity(points: DataFrame, frames: DataFrame, radius: float) -> DataFrame:
-    """Sum, mean, max and count of the pixels within `radius` of each point; NaN does not count, a point without a pixel has no row.
+#: Points whose windows are gathered at once.
+STEP = 20_000
 
-    A frame's points are gathered beside its image; both are bounded by the frame's size.
-    """
-    listed = points.groupBy(*KEYS).agg(F.collect_list(F.struct("point_id", "y", "x")).alias("_p"))
-    both = frames.select(*KEYS, "height", "width", "px").join(listed, KEYS)
-    reach = int(np.ceil(radius))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i in range(len(pdf)):
-                part = pdf.iloc[i : i + 1]
-                row = part.iloc[0]
-                a = stacked(part, int(row["height"]), int(row["width"]))[0]
-                for p in row["_p"]:
-                    y0, x0 = max(0, int(np.floor(p["y"])) - reach), max(0, int(np.floor(p["x"])) - reach)
-                    box = a[y0 : max(0, int(np.ceil(p["y"])) + reach + 1), x0 : max(0, int(np.ceil(p["x"])) + reach + 1)]
-                    y, x = np.ogrid[y0 : y0 + box.shape[0], x0 : x0 + box.shape[1]]
-                    v = box[((y - p["y"]) ** 2 + (x - p["x"]) ** 2 <= radius * radius) & ~np.isnan(box)]
-                    if len(v):
-                        rows.append((row["stack_id"], row["frame"], p["point_id"], v.sum(), v.mean(), v.max(), len(v)))
-            yield pd.DataFrame(rows, columns=["stack_id", "frame", "point_id", "sum", "mean", "max", "n"])
-
-    return both.mapInPandas(run, "stack_id long, frame long, point_id long, sum double, mean double, max double, n long")
+def refine_centroids(points: DataFrame, frames: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
+    """Moves each point to the intensity-weighted centre of its window, the window's minimum taken off; a window without a number, or of one value, leaves it. With `tile`, in haloed tiles, with the same result."""
+
+    def kernel(v: np.ndarray, y: np.ndarray, x: np.ndarray, p: pd.DataFrame) -> pd.DataFrame:
+        some = ~np.isnan(v)
+        low = np.where(some, v, np.inf).min(1, keepdims=True)
+        v = np.where(some, v - np.where(np.isfinite(low), low, 0), 0)
+        total = v.sum(1)
+        moved = total > 0
+        safe = np.where(moved, total, 1)
+        return p[["point_id"]].assign(y=np.where(moved, (v * y).sum(1) / safe, p["y"]), x=np.where(moved, (v * x).sum(1) / safe, p["x"]), intensity=p["intensity"])
+
+    return _windows(points, frames, radius, kernel, "point_id long, y double, x double, intensity double", tile)
+
+
+def atom_intensity(points: DataFrame, frames: DataFrame, radius: float, tile: int | None = None) -> DataFrame:
+    """Sum, mean, max and count of the pixels within `radius` of each point; NaN does not count, a point without a pixel has no row. With `tile`, in haloed tiles, with the same result."""
+
+    def kernel(v: np.ndarray, y: np.ndarray, x: np.ndarray, p: pd.DataFrame) -> pd.DataFrame:
+        near = ((y - p["y"].to_numpy()[:, None]) ** 2 + (x - p["x"].to_numpy()[:, None]) ** 2 <= radius * radius) & ~np.isnan(v)
+        n, total = near.sum(1), np.where(near, v, 0).sum(1)
+        return p[["point_id"]].assign(sum=total, mean=total / np.maximum(n, 1), max=np.where(near, v, -np.inf).max(1), n=n)
+
+    out = _windows(points, frames, int(np.ceil(radius)) + 1, kernel, "point_id long, sum double, mean double, max double, n long", tile)
+    return out.where("n > 0")
 
 
 def classify_atoms(points: DataFrame, k: int | None = None, cuts: list[float] | None = None, seed: int = 7) -> DataFrame:

@@ -48,6 +48,18 @@ def d2(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(atoms.refine_centroids(_peaks(spark, sf), fx.lattice(spark, sf), 2).select(*KEYS, "point_id", "y", "x"))
 
 
+@query(
+    "d2_d3_in_tiles",
+    f"""WITH {PEAKS}, w AS (SELECT p.stack_id, p.frame, p.point_id, q.y, q.x, q.v, p.y AS py, p.x AS px, min(q.v) OVER (PARTITION BY p.stack_id, p.frame, p.point_id) AS m FROM peaks p JOIN lattice q ON p.stack_id = q.stack_id AND p.frame = q.frame AND abs(p.y - q.y) <= 2 AND abs(p.x - q.x) <= 2)
+    SELECT stack_id, frame, point_id::BIGINT AS point_id, round(sum((v - m) * y) / sum(v - m)::DOUBLE, 4) + 0.0 AS y, round(sum((v - m) * x) / sum(v - m)::DOUBLE, 4) + 0.0 AS x, sum(CASE WHEN (y-py)*(y-py) + (x-px)*(x-px) <= 4 THEN v ELSE 0 END)::DOUBLE AS sum FROM w GROUP BY ALL""",
+)
+def d2_d3(spark: SparkSession, sf: str) -> DataFrame:
+    """Centres and sums of atoms that meet haloed tiles instead of frames; windows reach over the tiles' borders."""
+    pts, lat = _peaks(spark, sf), fx.lattice(spark, sf)
+    moved = atoms.refine_centroids(pts, lat, 2, tile=7).select(*KEYS, "point_id", "y", "x")
+    return rounded(moved.join(atoms.atom_intensity(pts, lat, 2.0, tile=7).select(*KEYS, "point_id", "sum"), [*KEYS, "point_id"]))
+
+
 @query("d3_atom_intensity", f"WITH {PEAKS} SELECT p.stack_id, p.frame, p.point_id::BIGINT AS point_id, sum(q.v)::DOUBLE AS sum, round(avg(q.v), 4) + 0.0 AS mean, max(q.v)::DOUBLE AS max, count(*)::BIGINT AS n FROM peaks p JOIN lattice q ON p.stack_id = q.stack_id AND p.frame = q.frame AND (p.y-q.y)*(p.y-q.y) + (p.x-q.x)*(p.x-q.x) <= 4 GROUP BY ALL")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(atoms.atom_intensity(_peaks(spark, sf), fx.lattice(spark, sf), 2.0))

@@ -187,6 +187,33 @@ def test_peaks_by_definition_and_tiles(spark):
         assert {(r.y, r.x) for r in atoms.detect_peaks(f, 2, 3.0, tile=tile).collect()} == want
 
 
+@pytest.mark.parametrize("tile", [None, 5, 64])
+def test_windows_of_points_with_and_without_tiles(spark, tile):
+    """Each point by itself: near and beyond edges, over tile borders, between pixels, with NaN."""
+    r = rng(31)
+    images = [r.random((17, 23)), r.random((17, 23)), r.random((6, 4))]
+    images[1][4:9, 6:14] = np.nan
+    frames_ = stack(spark, images[:2]).union(stack(spark, images[2:], 2))
+    of = {(1, 0): images[0], (1, 1): images[1], (2, 0): images[2]}
+    pts = [(s, f, k, float(y), float(x), float(k)) for (s, f), a in of.items() for k, (y, x) in enumerate([*r.uniform(-3, 26, (60, 2)), (0.5, 4.5), (4.5, 5.0), (-9.0, 3.0), (6.0, 9.0)])]
+    points = spark.createDataFrame([*pts, (9, 9, 1, 1.0, 1.0, 1.0)], schema.POINTS).repartition(3)
+    refined = {(x.stack_id, x.frame, x.point_id): (x.y, x.x, x.intensity) for x in atoms.refine_centroids(points, frames_, 2, tile).collect()}
+    summed = {(x.stack_id, x.frame, x.point_id): (x.sum, x.mean, x.max, x.n) for x in atoms.atom_intensity(points, frames_, 2.5, tile).collect()}
+    assert len(refined) == len(pts)
+    for s, f, k, y, x, v in pts:
+        a = of[s, f]
+        cy, cx = int(np.floor(y + 0.5)), int(np.floor(x + 0.5))
+        box = {(p, q): a[p, q] for p in range(max(0, cy - 2), min(a.shape[0], cy + 3)) for q in range(max(0, cx - 2), min(a.shape[1], cx + 3)) if not np.isnan(a[p, q])}
+        low = min(box.values(), default=0)
+        total = sum(w - low for w in box.values())
+        want = (sum(p * (w - low) for (p, _), w in box.items()) / total, sum(q * (w - low) for (_, q), w in box.items()) / total) if total > 0 else (y, x)
+        assert np.allclose(refined[s, f, k], (*want, v))
+        disk = [a[p, q] for p in range(a.shape[0]) for q in range(a.shape[1]) if (p - y) ** 2 + (q - x) ** 2 <= 6.25 and not np.isnan(a[p, q])]
+        found = summed.pop((s, f, k), None)
+        assert (found is None) == (not disk) and (not disk or np.allclose(found, (sum(disk), np.mean(disk), max(disk), len(disk))))
+    assert not summed
+
+
 def test_strain_of_a_sheared_lattice(spark):
     e = np.array([[0.02, 0.01], [0.03, -0.01]])  # d(y, x) by (y, x)
     rows = []
