@@ -201,6 +201,53 @@ def phase_gradient(phase: np.ndarray, axis: int) -> np.ndarray:
     return np.angle(nxt * np.conj(prv)) / step.reshape(shape)
 
 
+class SortedWindow:
+    """The values of a sliding window at each of n places in order of size, at most `most` a place; NaN does not count. A value comes or goes by one shift of the values above it, so that nothing is sorted again."""
+
+    def __init__(self, most: int, n: int):
+        self.held, self.count = np.full((most + 1, n), np.inf), np.zeros(n, int)  # beyond the count: infinite, as the last row always is
+        self.row = np.arange(most + 1)[:, None]
+
+    def add(self, v: np.ndarray) -> None:
+        some = ~np.isnan(v)
+        at = np.where(some, (self.held < np.where(some, v, 0)).sum(0), len(self.held))
+        above = np.concatenate([self.held[:1], self.held[:-1]])
+        self.held = np.where(self.row < at, self.held, np.where(self.row == at, v, above))
+        self.count += some
+
+    def remove(self, v: np.ndarray) -> None:
+        some = ~np.isnan(v)
+        at = np.where(some, (self.held < np.where(some, v, 0)).sum(0), len(self.held))
+        below = np.concatenate([self.held[1:], np.full_like(self.held[:1], np.inf)])
+        self.held = np.where(self.row < at, self.held, below)
+        self.count -= some
+
+    def value(self) -> np.ndarray:
+        """The median, NaN where nothing counts."""
+        low, high = (np.take_along_axis(self.held, np.maximum(k, 0)[None], 0)[0] for k in ((self.count - 1) // 2, self.count // 2))
+        with np.errstate(invalid="ignore"):
+            return np.where(self.count > 0, np.where(low == high, low, low + (high - low) / 2), np.nan)
+
+
+class SummedWindow:
+    """The values of a sliding window at each place, and their mean; NaN does not count."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+
+    def add(self, v: np.ndarray) -> None:
+        self.held.append(v)
+
+    def remove(self, v: np.ndarray) -> None:
+        self.held.pop(0)  # the oldest leaves first; sums are made anew, as differences of sums would drift
+
+    def value(self) -> np.ndarray:
+        a = np.stack(self.held)
+        some = ~np.isnan(a)
+        n = some.sum(0)
+        return np.where(n > 0, np.where(some, a, 0).sum(0) / np.maximum(n, 1), np.nan)
+
+
 def components_of(mask: np.ndarray, eight: bool) -> np.ndarray:
     """Labels of the connected regions of one mask: the least y * width + x in each; -1 outside."""
     h, w = mask.shape

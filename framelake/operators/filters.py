@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import long_form, map_images
-from .frames import to_tiles
+from .frames import from_tiles, to_tiles
 
 KEYS = ["stack_id", "frame"]
 
@@ -100,23 +100,45 @@ def equalise(frames: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
     return frames.join(table, KEYS).withColumn("px", F.transform("px", look)).drop("_map")
 
 
-def temporal_denoise(frames: DataFrame, half_window: int, stat: str = "mean") -> DataFrame:
-    """Each pixel's mean or median over the frames from -half_window to half_window; missing frames are left out. A frame is sent to the frames it serves, so no stack meets in one task."""
+def temporal_denoise(frames: DataFrame, half_window: int, stat: str = "mean", chunk: int = 16, tile: int | None = None) -> DataFrame:
+    """Each pixel's mean or median over the frames of its size from -half_window to half_window; missing frames are left out.
+
+    Frame numbers are cut into chunks of `chunk`, and a frame goes to the chunks that its window reaches, so it
+    is sent 1 + 2 * half_window / chunk times on average, and a task holds chunk + 2 * half_window frames, of
+    which with `tile` only one tile. A chunk's frames are gone through in order, keeping the window's
+    frames, or for the median each pixel's values in order of size (`kernels.SortedWindow`).
+    """
     if stat not in ("mean", "median"):
         raise ValueError("stat is 'mean' or 'median'")
-    sent = frames.select("stack_id", "frame", "height", "width", "px", F.explode(F.sequence(F.col("frame") - half_window, F.col("frame") + half_window)).alias("_to"))
-    there = frames.select("stack_id", F.col("frame").alias("_to"))
-    sent = sent.join(there, ["stack_id", "_to"], "left_semi")
+    if tile is None:
+        parts, at = frames.select(*KEYS, "height", "width", F.col("height").alias("h"), F.col("width").alias("w"), "px"), []
+    else:
+        at = ["ty", "tx", "y0", "x0"]
+        parts = to_tiles(frames, tile).join(frames.select(*KEYS, "height", "width"), KEYS).select(*KEYS, "height", "width", "h", "w", "px", *at)
+    reach = F.sequence(F.expr(f"floor((frame - {half_window}) / {chunk})"), F.expr(f"floor((frame + {half_window}) / {chunk})"))
+    sent = parts.withColumn("_chunk", F.explode(reach))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        first = part[part["frame"] == part["_to"]].iloc[0]
-        same = part[(part["height"] == first["height"]) & (part["width"] == first["width"])]
-        a = np.stack([np.asarray(p, float) for p in same["px"]])
-        with np.errstate(all="ignore"):
-            px = np.nanmean(a, 0) if stat == "mean" else np.nanmedian(a, 0)
-        return pd.DataFrame({"stack_id": [first["stack_id"]], "frame": [first["_to"]], "height": [first["height"]], "width": [first["width"]], "px": [px]})
-
-    return sent.groupBy("stack_id", "_to").applyInPandas(run, "stack_id long, frame long, height int, width int, px array<double>")
+        part = part.sort_values("frame", kind="stable")
+        numbers, px = part["frame"].to_numpy(), part["px"].to_numpy()
+        first = part["_chunk"].iloc[0] * chunk
+        window = kernels.SortedWindow(2 * half_window + 1, len(px[0])) if stat == "median" else kernels.SummedWindow()
+        rows, out, begin, end = [], [], 0, 0
+        for k in np.flatnonzero((numbers >= first) & (numbers < first + chunk)):
+            while end < len(numbers) and numbers[end] <= numbers[k] + half_window:
+                window.add(np.asarray(px[end], float))
+                end += 1
+            while numbers[begin] < numbers[k] - half_window:
+                window.remove(np.asarray(px[begin], float))
+                begin += 1
+            rows.append(k)
+            out.append(window.value())
+        made = part.iloc[rows].drop(columns=["px", "_chunk"])
+        return made.assign(px=pd.Series(out, made.index, object))  # a chunk may hold other chunks' neighbours only
+
+    whole = ["stack_id", "frame", "height", "width", "h", "w", *at]
+    made = sent.groupBy("stack_id", "_chunk", "height", "width", *at[:2]).applyInPandas(run, ", ".join([*(f"{c} {'long' if c in KEYS else 'int'}" for c in whole), "px array<double>"]))
+    return made.select(*KEYS, "height", "width", "px") if tile is None else from_tiles(made.withColumn("halo", F.lit(0)), tile)
 
 
 def ctf(h: int, w: int, wavelength: float, cs: float, defocus: float) -> np.ndarray:

@@ -158,6 +158,27 @@ def test_temporal_denoise_over_a_gap(spark):
     assert got == {0: 2.0, 1: 2.0, 3: 8.0}
 
 
+@pytest.mark.parametrize(("chunk", "tile"), [(1, None), (4, 3), (16, None), (5, 50)])
+@pytest.mark.parametrize("stat", ["mean", "median"])
+def test_temporal_denoise_by_chunks_and_tiles(spark, stat, chunk, tile):
+    """Gaps, NaN, ties, infinite values, other sizes, negative numbers."""
+    r = rng(41)
+    images = [r.integers(0, 4, (7, 5)).astype(float) for _ in range(11)]
+    for a in images:
+        a[r.random((7, 5)) < 0.3] = np.nan
+    images[2][0, 0] = images[3][0, 0] = images[4][0, 0] = np.inf
+    images[5], images[8], images[9] = None, None, r.random((3, 4))
+    df = stack(spark, images, first=-3).union(stack(spark, [r.random((2, 2))], 2)).repartition(3)
+    got = {(x.stack_id, x.frame): np.array(x.px, float).reshape(x.height, x.width) for x in filters.temporal_denoise(df, 2, stat, chunk, tile).collect()}  # nulls: no number
+    assert len(got) == 10
+    for k, a in enumerate(images):
+        if a is not None:
+            near = np.stack([b for b in images[max(0, k - 2) : k + 3] if b is not None and b.shape == a.shape])
+            with np.errstate(all="ignore"):
+                want = np.nanmean(near, 0) if stat == "mean" else np.nanmedian(near, 0)
+            assert np.allclose(got[1, k - 3], want, equal_nan=True)
+
+
 def test_delocalisation_is_undone(spark):
     a = rng(7).normal(size=(24, 24)) + 5
     c = filters.ctf(24, 24, 0.5, 3.0, 20.0)
