@@ -6,7 +6,8 @@ or short. Stop words judge only blocks in Latin script of pages that hold known
 texts in other languages are judged by length and links. Pass two gives near and short blocks the
 label of their nearest decided neighbours: the same label on both sides, else the nearer side, the
 one after for headings. Boilerplate elements around or within an article say nothing about its own
-blocks; nor do they on a page on which no block is good. Without a decided neighbour a block inside
+blocks; nor do they on a page on which no block is good. A suspect name is no proof for a wrapper
+(`blocks_of`). Without a decided neighbour a block inside
 an article or main element is good, a near block too, and a short one if the page has no good block.
 Inside an article a block is never bad for lack of stop words alone.
 
@@ -44,23 +45,29 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are no main text: whole blocks, and inline ones, of which only the own text goes.
 BOILERPLATE = frozenset("head title nav aside footer form fieldset menu dialog".split())
 INLINE = frozenset("button select label datalist optgroup option output".split())
-#: What a class, an id or a role names that is no main text; "has-sidebar" and the like name something else, as do names of a whole page.
-NAMES = re.compile(
-    r"(?i)(?:^|\s|(?<!has)(?<!with)(?<!no)(?<!without)[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|newsletter|subscribe|popup|modal|comments?|commentlist|disqus|repl(?:y|ies)|social|share|sharing|related|widget|login|signup|toolbar|pagination|pager|complementary|contentinfo|search)(?=$|[\s_-])"
-)
+#: Words of class names and ids that name what is no main text: of reader comments and notices, and of other parts.
+REMARKS = frozenset("comment comments commentlist commenters disqus reply replies respond response responses discussion discussions cookie cookies consent gdpr ccpa dialog alertdialog popup modal paywall".split())
+PARTS = frozenset("ad ads adsbygoogle adsense adslot adunit adbox advert adverts advertisement advertisements advertising banner sponsor sponsors sponsored promo promos promotion promotions sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead notice notices alert alerts newsletter subscribe subscription social share sharing sharebar related widget widgets login signup signin toolbar pagination pager search".split())
+#: Words that also begin other names: they count alone, or before one of these words.
+LOOSE = frozenset("social related search share sharing notice alert banner promo promotion response discussion comment reply subscription".split())
+COMPANIONS = frozenset("ad ads area bar block body box button buttons card cards col column container content feed footer form group header icon icons inner inline item items link links list listing media meta module news nav outer panel popup post posts read reading results row section sharing share slider slot stories story strip text thread title toggle tools top topics video videos widget wrap wrapper articles article products small large left right bottom primary secondary main".split())
+#: First words of names that say what an element has, or which kit made it, not what it is.
+NEUTRAL = frozenset("has with no not without elementor".split())
+ROLES = frozenset("dialog alertdialog alert navigation complementary contentinfo banner search menu menubar toolbar".split())
+NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
 PAGE = frozenset("html body main".split())
 #: Words of notices, which mark a text without stop words as bad outside articles.
 NOTICE = re.compile(r"(?i)\u00a9|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|\bnewsletter\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|object|annotation|annotation-xml)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)"
     r"|([^<]+|<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: An unquoted value that ends with a slash, which then closes nothing.
 VALUE = re.compile(r"=[^\s\"']*/\Z")
 WORD = re.compile(r"\w+")
@@ -79,27 +86,60 @@ class Open(NamedTuple):
     dropped: bool
     #: The innermost block-level tag.
     block: str
-    #: Only a form makes it boilerplate; an article in it may stand in a form around the whole page.
-    form: bool
+    #: The innermost element that a name, a role or a form makes suspect: its number, or 0.
+    suspect: int
+
+
+OUTSIDE = Open("", False, False, False, False, "body", 0)
 
 
-OUTSIDE = Open("", False, False, False, False, "body", False)
+def suspicion(attributes: str, article: bool) -> str:
+    """What the names of an element make it: "remark" (comments, notices), "part", or nothing. Names are read by their words, cut at hyphens, underscores and capitals."""
+    found = ""
+    for key, *value in ATTRIBUTE.findall(attributes):
+        for name in "".join(value).split():
+            if key.lower() == "role":
+                if name.lower() in ROLES:
+                    return "remark" if name.lower() in REMARKS else "part"
+                continue
+            words = [w.lower() for w in NAME_WORD.findall(name)]
+            if not words or words[0] in NEUTRAL:
+                continue
+            for k, word in enumerate(words):
+                if word not in REMARKS and word not in PARTS:
+                    continue
+                if word in LOOSE and k + 1 < len(words) and words[k + 1] not in COMPANIONS:
+                    continue
+                if article and key.lower() == "id" and word in ("discussion", "response"):
+                    continue  # a section of the article
+                if word in REMARKS:
+                    return "remark"
+                found = "part"
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[str, str, bool, bool, float]]:
-    """(text, tag, boilerplate, in an article, link density) of each block with text, in page order."""
-    out: list[tuple[str, str, bool, bool, float]] = []
+    """(text, tag, boilerplate, in an article, link density) of each block with text, in page order.
+
+    Names, roles and forms make an element suspect only. One that holds all articles (and main elements) of
+    the page and a third of its text, or more than half of its text, is a wrapper and says nothing; but
+    comments and notices without an article stay so however long they are.
+    """
+    out: list[tuple[str, str, bool, int, bool, float]] = []
     stack: list[Open] = []
     opened: Counter[str] = Counter()
     text: list[str] = []
     state, linked = OUTSIDE, 0
+    kinds, parents, sizes, bodies = ["page"], [0], [0], [0]
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append((whole, state.block, state.bad, state.article, min(1.0, linked / len(whole))))
+                out.append((whole, state.block, state.bad, state.suspect, state.article, min(1.0, linked / len(whole))))
+                if not state.bad:
+                    sizes[state.suspect] += len(whole)
             text.clear()
         linked = 0
 
@@ -145,18 +185,32 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, bool, float]]:
                 state = OUTSIDE
         if tag in VOID or m.group(4).endswith("/") and tag not in BLOCKS and not VALUE.search(m.group(4)):
             continue
-        named = tag not in PAGE and bool(m.group(4)) and any(NAMES.search(a or b or c) for a, b, c in ATTRIBUTE.findall(m.group(4)))
-        inline = tag in INLINE or named and tag not in BLOCKS
+        kind = suspicion(m.group(4), state.article) if m.group(4) and tag not in PAGE else ""
+        inline = tag in INLINE or bool(kind) and tag not in BLOCKS
         if tag in BLOCKS or tag == "a" or inline:
-            body = tag in ("article", "main")
-            own = named or inline or (tag in BOILERPLATE and tag != "form") or (tag == "header" and not state.article)
-            form = not own and not body and (state.form or (tag == "form" and not state.bad))
-            bad = own or form or (state.bad and not (body and state.form))
-            state = Open(tag, bad, state.article or body, state.link or tag == "a", state.dropped or inline, tag if block else state.block, form)
+            body = tag in ("article", "main") and not kind
+            own = inline or (tag in BOILERPLATE and tag != "form") or (tag == "header" and not state.article)
+            suspect = state.suspect
+            if not own and (kind or tag == "form"):
+                kinds.append(kind or "part")
+                parents.append(suspect)
+                sizes.append(0)
+                bodies.append(0)
+                suspect = len(kinds) - 1
+            if body and not state.bad:
+                bodies[suspect] += 1
+            state = Open(tag, own or state.bad, state.article or body, state.link or tag == "a", state.dropped or inline, tag if block else state.block, suspect)
             stack.append(state)
             opened[tag] += 1
     flush()
-    return out
+    for k in range(len(kinds) - 1, 0, -1):  # what an element holds, its parts' included
+        sizes[parents[k]] += sizes[k]
+        bodies[parents[k]] += bodies[k]
+    guilty = [False]
+    for k in range(1, len(kinds)):
+        wrapper = (0 < bodies[0] == bodies[k] and 3 * sizes[k] > sizes[0]) or (kinds[k] == "part" and 2 * sizes[k] > sizes[0])
+        guilty.append(guilty[parents[k]] or not wrapper)
+    return [(whole, tag, bad or guilty[suspect], article, links) for whole, tag, bad, suspect, article, links in out]
 
 
 def weighed(text: str) -> tuple[int, int, int, bool]:

@@ -656,6 +656,38 @@ def test_html_of_languages_without_stop_words():
     assert html.main_text(f"<form><div><article><p>{LONG}</p><form>BAD</form></article>BAD</div></form>") == LONG.strip()
 
 
+@pytest.mark.parametrize("name", ["layout sidebar-right", "two-col left-sidebar", "search-open", "elementor-widget-container", "widget_area", "pageMenu"])
+def test_html_wrappers_with_suspect_names_keep_their_text(name):
+    other = "A wall by the garden is in the light of the day and he had it with the water " * 6
+    want = "\n\n".join([LONG.strip(), other.strip()])
+    assert html.main_text(f"<body><div class='{name}'><article><p>{LONG}</p><p>{other}</p></article></div><div>x</div>") == want
+    assert html.main_text(f"<body><div class='{name}'><p>{LONG}</p><p>{other}</p></div>") == want
+    assert html.main_text(f"<body><div class='{name}'><article><p>{LONG}</p><p>{other}</p><div class=comments><p>{LONG}</p></div></article></div>") == want
+
+
+def test_html_kit_names_and_sections_of_an_article_are_kept():
+    parts = "".join(f'<div class="elementor-widget elementor-widget-text-editor"><div class="elementor-widget-container"><p>{LONG}</p></div></div>' for _ in range(5))
+    assert html.main_text(f"<body>{parts}</body>") == "\n\n".join([LONG.strip()] * 5)
+    got = html.main_text(f"<article><p>{LONG}</p><p class=social-policy>{LONG}</p><section class=related-work><p>{LONG}</p></section><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section></article>")
+    assert got == "\n\n".join([LONG.strip()] * 3 + ["Discussion", LONG.strip()])
+    assert html.main_text(f"<div class=comments-open><article><p>{LONG}</p></article></div>") == LONG.strip()
+    assert html.main_text(f"<form id=page><div><p>{LONG}</p><p>{LONG}</p></div><div class=comments>{LONG}</div></form>") == "\n\n".join([LONG.strip()] * 2)
+    assert html.main_text(f"<article><p>{LONG}<math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>TeX</annotation></math></p></article>") == LONG + "x+1"
+
+
+@pytest.mark.parametrize("attributes", ["role=dialog", "role=alertdialog", "class=gdpr-box", "class=adsbygoogle", "class=userComments", "class=response", "class=discussion", "class=siteFooter", "class=site_footer", "class=share-buttons", "class=ad-slot", "id=cookieBanner"])
+@pytest.mark.parametrize("inner", ["<p>BAD {}</p>", "<article><p>BAD {}</p></article>"])
+def test_html_notices_comments_and_adverts_by_any_name(attributes, inner):
+    bad, want = f"<div {attributes}>{inner.format(LONG)}</div>", "\n\n".join([LONG.strip()] * 2)
+    assert html.main_text(f"<article><p>{LONG}</p><p>{LONG}</p></article>{bad}") == want
+    assert html.main_text(f"<article><p>{LONG}</p>{bad}<p>{LONG}</p></article>") == want
+    assert html.main_text(f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>{bad}") == "\n\n".join([LONG.strip()] * 3)
+
+
+def test_html_comments_longer_than_the_article_go():
+    assert html.main_text(f"<div class=post><p>{LONG}</p></div><div class=comments>" + f"<p>{LONG}</p>" * 5 + "</div>") == LONG.strip()
+
+
 def test_html_takes_time_in_proportion():
     start = time.time()
     html.main_text("<div>" * 8000 + "x" + "</i></b></section></div>" * 8000)
