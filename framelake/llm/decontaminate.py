@@ -36,38 +36,66 @@ from .common import Words, cut, pieces, shingles
 
 #: Words of benchmark items in one block; its seeds, places and hashes take about 40 bytes a word on each executor core.
 BLOCK_WORDS = 2_000_000
-
-
-def tiles(doc: np.ndarray, item: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from seed matches: doc[i] and item[i] are places at which `length` equal words start. Gives (place in document, place in item, words)."""
-    order = np.lexsort((doc, doc - item))
-    p, q = doc[order], item[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(q) != 1)]))
-    ends = np.concatenate([new[1:], [len(p)]])
-    heap = [(-(int(e - s) + length - 1), int(p[s]), int(q[s])) for s, e in zip(new, ends, strict=True)]
+#: So many characters count as a word at least, for items in scripts that hardly part words.
+CHARS = 16
+
+
+def _borders(doc: np.ndarray, item: np.ndarray, beside: int) -> np.ndarray:
+    """Places (in doc, in item) of equal seeds whose neighbours on one side (-1 or 1) differ or are not there, in order of diagonal and place.
+
+    A document's places of one seed are sorted by their neighbour, so those with the item's neighbour are one
+    range that is left out unseen: runs of repeated words give few places, not all pairs.
+    """
+    def neighbours(seeds: np.ndarray) -> np.ndarray:
+        out = np.full(len(seeds), -1)
+        if beside < 0:
+            out[1:] = seeds[:-1]
+        else:
+            out[:-1] = seeds[1:]
+        return out
+
+    wide = int(doc.max(initial=0)) + 2
+    keys = doc * wide + neighbours(doc) + 1
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    q = np.flatnonzero(item >= 0)
+    own, near = item[q], neighbours(item)[q]
+    low, high = np.searchsorted(keys, own * wide), np.searchsorted(keys, (own + 1) * wide)
+    skip, on = (np.where(near >= 0, np.searchsorted(keys, own * wide + near + 1, side), low) for side in ("left", "right"))
+    first, n = np.concatenate([low, on]), np.concatenate([skip - low, high - on])
+    spot = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    found = np.stack([order[spot], np.repeat(np.concatenate([q, q]), n)], 1)
+    return found[np.lexsort((found[:, 0], found[:, 0] - found[:, 1]))]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of an item in a document, each given as the numbers of its seeds of `width` words in order of place, equal for equal seeds; an item's seed that the document lacks is negative. Gives (place in document, place in item, words).
+
+    Matches are kept as stretches of diagonals, found from their first and last places.
+    """
+    starts, ends = _borders(doc, item, -1), _borders(doc, item, 1)
+    lengths = ends[:, 0] - starts[:, 0] + width
+    heap = list(zip((-lengths).tolist(), starts[:, 0].tolist(), starts[:, 1].tolist(), strict=True))
     heapq.heapify(heap)
-    in_doc: set[int] = set()
-    in_item: set[int] = set()
+    in_doc, in_item = np.zeros(len(doc) + width - 1, bool), np.zeros(len(item) + width - 1, bool)
     out = []
+
+    def free(marks: np.ndarray) -> np.ndarray:
+        """First places and ends of the runs without a mark."""
+        return np.flatnonzero(np.diff(np.concatenate([[True], marks, [True]]))).reshape(-1, 2)
+
     while heap:
         n, a, b = heapq.heappop(heap)
-        n = -n
-        free = [a + k not in in_doc and b + k not in in_item for k in range(n)]
-        if all(free):
-            out.append((a, b, n))
-            in_doc.update(range(a, a + n))
-            in_item.update(range(b, b + n))
+        marks = in_doc[a : a - n] | in_item[b : b - n]
+        if not marks.any():
+            out.append((a, b, -n))
+            in_doc[a : a - n] = in_item[b : b - n] = True
+            if (np.diff(free(in_item), axis=1) < width).all():
+                break
             continue
-        k = 0
-        while k < n:  # what is unmarked of it comes again, as shorter matches
-            if not free[k]:
-                k += 1
-                continue
-            first = k
-            while k < n and free[k]:
-                k += 1
-            if k - first >= length:
-                heapq.heappush(heap, (first - k, a + first, b + first))
+        for s, e in free(marks).tolist():  # what is unmarked of it comes again, as shorter matches
+            if e - s >= width:
+                heapq.heappush(heap, (s - e, a + s, b + s))
     return out
 
 
@@ -128,7 +156,7 @@ class Seeds:
 def _matches(texts: list[str], seeds: Seeds, coverage: float) -> list[tuple[int, int, float, int, list[dict]]]:
     """(text, item, coverage, words covered, tiles) of each pair at or above the threshold."""
     words = Words(texts)
-    h, text, place = _widths(words.hash, words.bounds, seeds.widths)
+    h, text, _ = _widths(words.hash, words.bounds, seeds.widths)
     lo, hi = np.searchsorted(seeds.probe, h, "left"), np.searchsorted(seeds.probe, h, "right")
     at = np.flatnonzero(hi > lo)
     if not len(at):
@@ -139,22 +167,26 @@ def _matches(texts: list[str], seeds: Seeds, coverage: float) -> list[tuple[int,
     n = ends - first[1]
     hit = np.repeat(first[1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     pairs = np.unique(np.repeat(first[0], n) * len(seeds.ids) + seeds.probe_item[hit])
-    found_in = np.unique(pairs // len(seeds.ids))
-    keep = np.isin(text, found_in)
-    h, text, place = h[keep], text[keep], place[keep]
-    order = np.lexsort((place, h, text))
-    h, text, place = h[order], text[order], place[order]
-    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+    lengths, at = np.diff(words.bounds), 0
+    by_width = {}  # each width's seeds, in order of text and place
+    for w in seeds.widths:
+        upto = at + np.concatenate([[0], np.cumsum(np.maximum(lengths - w + 1, 0))])
+        by_width[w], at = upto, int(upto[-1])
     out = []
+    numbered, last = {}, -1
     for t, i in zip((pairs // len(seeds.ids)).tolist(), (pairs % len(seeds.ids)).tolist(), strict=True):
-        own, length, width = h[bounds[t] : bounds[t + 1]], int(seeds.length[i]), int(seeds.seed[i])
-        s, e = seeds.bounds[i], seeds.bounds[i + 1]
-        lo, hi = np.searchsorted(own, seeds.hash[s:e], "left"), np.searchsorted(own, seeds.hash[s:e], "right")
-        n = hi - lo
-        if len(np.unique((seeds.place[s:e][n > 0][:, None] + np.arange(width)).ravel())) < coverage * length:
+        length, width = int(seeds.length[i]), int(seeds.seed[i])
+        if t != last:
+            numbered, last = {}, t
+        if width not in numbered:
+            numbered[width] = np.unique(h[by_width[width][t] : by_width[width][t + 1]], return_inverse=True)
+        known, doc = numbered[width]
+        own = seeds.hash[seeds.bounds[i] : seeds.bounds[i + 1]]
+        place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+        there = known[place] == own if len(known) else np.zeros(len(own), bool)
+        if len(np.unique((np.flatnonzero(there)[:, None] + np.arange(width)).ravel())) < coverage * length:
             continue  # even all seeds together cover too little
-        spot = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        found = tiles(place[bounds[t] : bounds[t + 1]][spot], np.repeat(seeds.place[s:e], n), width)
+        found = tiles(doc, np.where(there, place, -1), width)
         covered = sum(x[2] for x in found)
         if covered >= coverage * length:
             out.append((t, seeds.ids[i], covered / length, covered, [{"doc_word": a, "item_word": b, "words": k} for a, b, k in found]))
@@ -166,7 +198,7 @@ def blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int,
     held, words = [], 0
     for row in benchmark.select(F.col(id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").toLocalIterator():
         held.append((row["i"], row["t"]))
-        words += row["t"].count(" ") + 1
+        words += max(len(Words([row["t"]]).start), len(row["t"]) // CHARS)
         if words >= BLOCK_WORDS:
             yield held
             held, words = [], 0

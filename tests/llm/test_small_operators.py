@@ -612,6 +612,59 @@ def test_gif_of_claims_and_broken_streams():
     assert gif.lzw_decode(stream, 8, 100) == bytes(100)
 
 
+# ---------------------------------------------------------------- repeated runs in tiling
+
+
+def test_tiling_of_repeated_runs_takes_little_memory():
+    import tracemalloc
+
+    for phrase, item in ((["a"], 2_000), (["a", "b"], 2_001), (["a", "b", "c", "b"], 1_998)):
+        texts = [" ".join((phrase * 100_000)[:100_000]), "x " + " ".join((phrase * item)[: item // 2]) + " y"]
+        seeds = decontaminate.Seeds([(7, " ".join((phrase * item)[:item]))], 5, 0.5)
+        tracemalloc.start()
+        start = time.time()
+        got = decontaminate._matches(texts, seeds, 0.5)
+        assert time.time() - start < 60 and tracemalloc.get_traced_memory()[1] < 500_000_000
+        tracemalloc.stop()
+        assert got[0][:4] == (0, 7, 1.0, item) and got[0][4] == [{"doc_word": 0, "item_word": 0, "words": item}]
+        assert [x[0] for x in got] == ([0, 1] if item // 2 * 2 == item else [0])
+
+
+def test_tiling_equals_tiling_of_all_seed_pairs():
+    """Texts of few words, so that seeds repeat: the longest unmarked match by trying every pair of places, again and again."""
+    r = random.Random(11)
+    for _ in range(150):
+        doc, item = ([r.randrange(2) for _ in range(r.randint(3, 30))] for _ in range(2))
+        width = 3
+        names = {}
+        seeds = lambda x: [names.setdefault(tuple(x[k : k + width]), len(names)) for k in range(len(x) - width + 1)]  # noqa: B023, E731
+        d, i = seeds(doc), seeds(item)
+        got = decontaminate.tiles(np.array(d), np.array([x if x in d else -1 for x in i]), width)
+        in_doc, in_item, want = [False] * len(doc), [False] * len(item), []
+        while True:
+            best = (0, 0, 0)
+            for a in range(len(doc)):
+                for b in range(len(item)):
+                    n = 0
+                    while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and not in_doc[a + n] and not in_item[b + n]:
+                        n += 1
+                    best = min(best, (-n, a, b))
+            n, a, b = -best[0], *best[1:]
+            if n < width:
+                break
+            want.append((a, b, n))
+            in_doc[a : a + n], in_item[b : b + n] = [True] * n, [True] * n
+        assert got == want
+
+
+def test_benchmarks_are_cut_into_blocks_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1_000)
+    for text in (",".join(f"w{k}" for k in range(400)), "\n".join(f"w{k}" for k in range(400)), "\u4e2d" * 6_400):
+        items = spark.createDataFrame([(k, text) for k in range(10)], "item_id long, text string")
+        sizes = [len(b) for b in decontaminate.blocks(items, "item_id", "text")]
+        assert sizes == [3, 3, 3, 1]
+
+
 # ---------------------------------------------------------------- HTML
 
 
