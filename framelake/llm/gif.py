@@ -7,8 +7,9 @@ of indices) is kept too, so payloads come back without loss.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal payloads give equal
 bytes and columns; a very long text becomes more frames of at most 64 KiB each; a decoded value
-that is null or no GIF, whose code stream ends before its frame is full, or whose canvas or frame
-has more than `PIXELS` pixels, gives no frames and an error text; an empty table gives no rows. Only
+that is null or no GIF, whose code stream ends before its frame is full, whose canvas or frame has
+more than `PIXELS` pixels, or whose frames have more than `SAMPLES` together, gives no frames and an
+error text (so does a text of more bytes than that); an empty table gives no rows. Only
 the id and the text (or media) column are read. A text is held whole, with its GIF, in one task.
 """
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 WIDTH, ROWS, DELAY = 64, 1024, 4
 #: Pixels of a canvas or frame that the decoder takes (4 bytes each); a header can claim 65535 x 65535.
 PIXELS = 1 << 26
+#: Samples of all frames of a file together that the decoder takes; a small file can claim any number.
+SAMPLES = 1 << 28
 #: Colour histogram: the two high bits of red, green and blue.
 BINS = 64
 
@@ -162,7 +165,7 @@ def frames_of(data: bytes) -> Iterator[tuple[int, bytes, np.ndarray]]:
     if width * height > PIXELS:
         raise ValueError("the canvas is too large")
     canvas = np.zeros((height, width), np.uint32)
-    delay, disposal, clear = 0, 0, None
+    delay, disposal, clear, held = 0, 0, None, 0
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             label = data[at + 1]
@@ -182,6 +185,9 @@ def frames_of(data: bytes) -> Iterator[tuple[int, bytes, np.ndarray]]:
             at += 3 * n
         if w * h > PIXELS:
             raise ValueError("a frame is too large")
+        held += w * h
+        if held > SAMPLES:
+            raise ValueError("the frames are too large together")
         least = data[at]
         if not 1 <= least <= 8:
             raise ValueError("no code size of samples")

@@ -612,6 +612,21 @@ def test_gif_of_claims_and_broken_streams():
     assert gif.lzw_decode(stream, 8, 100) == bytes(100)
 
 
+def test_gif_of_many_frames_is_bounded(spark, monkeypatch):
+    """A small file may claim frames without end: they are an error before they are decoded; what fits is read."""
+    one = gif.encode(bytes(64 * 1024))
+    at = one.index(b"\x2c\0\0\0\0")
+    frame = one[at : one.rindex(b"\x3b")]
+    many = one[:at] + frame * 50 + b"\x3b"
+    monkeypatch.setattr(gif, "SAMPLES", 30 * 64 * 1024)
+    with pytest.raises(ValueError, match="together"):
+        list(gif.frames_of(many))
+    assert len(list(gif.frames_of(one[:at] + frame * 30 + b"\x3b"))) == 30
+    monkeypatch.undo()
+    rows = gif.decode(spark.createDataFrame([(1, bytearray(one[:at] + frame * 5000 + b"\x3b")), (2, bytearray(one))], "id long, media binary")).select("id", "error", "n_frames").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "the frames are too large together", 0), (2, None, 1)]
+
+
 # ---------------------------------------------------------------- repeated runs in tiling
 
 
