@@ -412,8 +412,8 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     parts = components(contracted(found.select("node", "low")), "node", "low")
     named = nodes.select("node", "key", "id", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.where("copies > 1 or links > 0"))
-    classes = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(classes, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = cut(named.groupBy("root").agg(F.min("id").alias("class_id")))
+    named = attach(named, classes, ["root"]).select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = attach(base.select("_id", "key"), cut(named), ["key"], "left")
     return out.select(F.col("_id").alias(id), F.when(F.col("n_links").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
