@@ -20,6 +20,7 @@ the text are read, whole.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import itertools
 import os
@@ -43,7 +44,7 @@ BLOCK = 4_000_000
 #: Characters that are encoded, and bytes of packed ids that are aligned, at once; the latter take some 100 times their size.
 PIECE, PACK = 2 << 20, 1 << 20
 #: Words that a worker remembers, some 400 bytes each.
-WORDS = 300_000
+WORDS = 600_000
 #: A blank where both tokenizers start anew, and white space other than blanks and line ends.
 BETWEEN, RARE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[^\S \n]")
 #: Ids are packed in two bytes.
@@ -179,7 +180,10 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         a, b, odd = self.pair.encode(words)
-        packed = [[t.ids[s:e].astype(PACKED).tobytes() if fine else b"" for s, e, fine in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), ~odd, strict=True)] for t in (a, b)]
+        packed = []
+        for t in (a, b):
+            raw = t.ids.astype(PACKED).tobytes()
+            packed.append([raw[s:e] if fine else b"" for (s, e), fine in zip(itertools.pairwise((2 * t.bounds).tolist()), (~odd).tolist(), strict=True)])
         self.written += Aligned(*packed, self.pair.a_size, self.pair.b_size).written()
         for k, tokens in enumerate((a, b)):
             self.ids[k] = np.concatenate([self.ids[k], tokens.ids.astype(PACKED)])
@@ -190,6 +194,13 @@ class Encoder:
         """The packed ids of each text by both tokenizers, and the digest of its groups; empty where a text has no tokens."""
         if len(self.index) > WORDS:
             self.forget()
+        gc.disable()  # what follows makes many lists and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes], list[str]]:
         split = [words_of(t) if t else [] for t in texts]
         ends = np.cumsum([len(s) for s in split])
         known, index = len(self.index), self.index
