@@ -405,7 +405,9 @@ def fit(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 150
 def learn(docs: DataFrame, text: str = "text", sample: int = 200, examples: int = 1500) -> Field:
     """A field learned from `examples` windows, among words from the beginnings (2,000 characters) of at most `sample` texts that a hash of the text draws."""
     rows = docs.where(F.col(text).isNotNull()).select(F.substring(F.col(text), 1, 2000).alias("_t"), F.xxhash64(F.lit("pii"), text).alias("_h"))
-    words = sorted({w for x in rows.orderBy("_h", "_t").limit(sample).collect() for w in re.findall(r"[^\W\d_]{2,12}", x["_t"])})
+    share = min(1.0, 8 * sample / max(rows.count(), 1))  # thinned where it lies, so that tasks do not each send a sample
+    drawn = rows.where(F.pmod("_h", F.lit(1 << 30)) <= int(share * (1 << 30))).dropDuplicates(["_h"])
+    words = sorted({w for x in drawn.orderBy("_h", "_t").limit(sample).collect() for w in re.findall(r"[^\W\d_]{2,12}", x["_t"])})
     return fit(windows(words or ["name"], examples))
 
 
