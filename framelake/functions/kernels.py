@@ -57,8 +57,11 @@ def band_gain(h: int, w: int, lo: float, hi: float, soft: float) -> np.ndarray:
     return np.where(r < lo, np.exp(-(((lo - r) / soft) ** 2) / 2), np.where(r > hi, np.exp(-(((r - hi) / soft) ** 2) / 2), 1.0))
 
 
-def ncc_shift(a: np.ndarray, b: np.ndarray, reach: int, upsample: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shifts with b(y+dy, x+dx) like a(y, x) by normalised cross-correlation over the overlap; a constant overlap has no score (NaN)."""
+def ncc_shift(a: np.ndarray, b: np.ndarray, reach: int, upsample: bool | int = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shifts with b(y+dy, x+dx) like a(y, x) by normalised cross-correlation over the overlap; a constant overlap has no score (NaN).
+
+    upsample True: the vertex of a parabola through the scores; a number above 1: to 1 / upsample of a pixel (`upsampled`).
+    """
     n, h, w = a.shape
     steps = range(-reach, reach + 1)
     scores = np.full((n, 2 * reach + 1, 2 * reach + 1), np.nan)
@@ -77,7 +80,11 @@ def ncc_shift(a: np.ndarray, b: np.ndarray, reach: int, upsample: bool = False)
     best = flat.argmax(1)
     dy, dx = (best // (2 * reach + 1) - reach).astype(float), (best % (2 * reach + 1) - reach).astype(float)
     score = scores.reshape(n, -1)[np.arange(n), best]
-    if upsample:
+    if upsample is not True and upsample > 1:
+        found = np.flatnonzero(~np.isnan(score))
+        if len(found):
+            dy[found], dx[found] = upsampled(a[found], b[found], dy[found], dx[found], int(upsample))
+    elif upsample:
         for k in range(n):
             i, j = divmod(int(best[k]), 2 * reach + 1)
             dy[k] += _vertex(scores[k, :, j], i)
@@ -85,6 +92,24 @@ def ncc_shift(a: np.ndarray, b: np.ndarray, reach: int, upsample: bool = False)
     return dy, dx, score
 
 
+def upsampled(a: np.ndarray, b: np.ndarray, dy: np.ndarray, dx: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shifts refined to 1 / factor of a pixel: the cross-correlation at steps of 1 / factor within 1.5 pixels of (dy, dx), by two matrix products of Fourier sums (Guizar-Sicairos, Thurman and Fienup 2008), so that no upsampled image is made. Frames count as periodic; NaN as the frame's mean."""
+    f = []
+    for v in (a, b):
+        mean = np.nanmean(v, axis=(1, 2), keepdims=True)
+        f.append(np.fft.fft2(np.where(np.isnan(v), mean, v) - mean))
+    cross = np.conj(f[0]) * f[1]
+    steps = np.arange(-(3 * factor // 2), 3 * factor // 2 + 1) / factor
+    sy, sx = dy[:, None] + steps, dx[:, None] + steps
+    rows = np.exp(2j * np.pi * sy[:, :, None] * np.fft.fftfreq(a.shape[1])[None, None, :])
+    columns = np.exp(2j * np.pi * np.fft.fftfreq(a.shape[2])[None, :, None] * sx[:, None, :])
+    values = (rows @ cross @ columns).real.reshape(len(a), -1)
+    top = np.abs(values).max(1, keepdims=True)
+    best = np.round(values / np.where(top > 0, top, 1), 9).argmax(1)  # ties: first dy, then dx
+    k = np.arange(len(a))
+    return sy[k, best // len(steps)], sx[k, best % len(steps)]
+
+
 def _vertex(row: np.ndarray, i: int) -> float:
     """Offset of a parabola's peak through three scores."""
     if i in (0, len(row) - 1) or not np.isfinite(row[i - 1 : i + 2]).all():

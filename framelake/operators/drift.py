@@ -9,29 +9,30 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import map_images, stacked
-from ..sources.stacks import write_frames
-from .frames import select_frames, with_manifest
+from ..sources.stacks import read_frames, write_frames
+from .frames import append_manifest, chosen_keys, read_manifest, with_manifest
 
 #: Frame numbers of a stack that meet one copy of its first frame.
 PIECE = 256
 
 
-def pair_shifts(frames: DataFrame, max_shift: int, upsample: bool = False, against: str = "previous") -> DataFrame:
+def pair_shifts(frames: DataFrame, max_shift: int, upsample: bool | int = False, against: str = "previous") -> DataFrame:
     """stack_id, frame, dy, dx, ncc of each frame against the previous or the first of its stack.
 
     An equi join on keys pairs the payloads, so no window holds images. Against the first, a stack's frames
     meet copies of its first frame, one for each PIECE frame numbers, so no stack meets in one task. A frame
-    whose previous number is missing has no row. ncc is null where the overlap is constant.
+    whose previous number is missing has no row. ncc is null where the overlap is constant. Whole pixels, or
+    with upsample True a parabola's vertex, or with a number steps of 1 / upsample of a pixel.
     """
     keys = frames.select("stack_id", "frame", "height", "width", "px")
     if against == "previous":
         other = keys.select("stack_id", (F.col("frame") + 1).alias("frame"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
         pairs = keys.join(other, ["stack_id", "frame"])
     elif against == "first":
-        first = keys.groupBy("stack_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
-        piece = lambda f: F.expr(f"({f} - f0) div {PIECE}")
-        other = keys.join(first.withColumn("frame", F.col("f0")), ["stack_id", "frame"]).select("stack_id", F.explode(F.sequence(F.lit(0).cast("long"), piece("f1"))).alias("_piece"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
-        pairs = keys.join(first.select("stack_id", "f0"), "stack_id").where("frame > f0").withColumn("_piece", piece("frame")).join(other, ["stack_id", "_piece"])
+        piece = lambda f: F.floor(F.col(f) / PIECE)
+        first = frames.groupBy("stack_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
+        other = keys.join(first.withColumn("frame", F.col("f0")), ["stack_id", "frame"]).select("stack_id", "f0", F.explode(F.sequence(piece("f0"), piece("f1"))).alias("_piece"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
+        pairs = keys.withColumn("_piece", piece("frame")).join(other, ["stack_id", "_piece"]).where("frame > f0")
     else:
         raise ValueError("against is 'previous' or 'first'")
     pairs = pairs.where("height = h0 and width = w0")
@@ -65,9 +66,9 @@ def repair_shifts(shifts: DataFrame, min_ncc: float, half_window: int) -> DataFr
 
 def apply_shift(frames: DataFrame, drift: DataFrame, crop: bool = True) -> DataFrame:
     """Frames moved by minus their drift; frames without a row in `drift` stay. Cropped to the area common to the stack, or NaN outside."""
-    moved = frames.join(drift.select("stack_id", "frame", "drift_y", "drift_x"), ["stack_id", "frame"], "left").fillna(0.0, ["drift_y", "drift_x"])
-    bounds = moved.groupBy("stack_id").agg(*(f(F.ceil(c) if f is F.max else F.floor(c)).cast("int").alias(f"{n}_{c}") for c in ("drift_y", "drift_x") for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    moved = moved.join(bounds, "stack_id")
+    own = frames.select("stack_id", "frame").join(drift.select("stack_id", "frame", "drift_y", "drift_x"), ["stack_id", "frame"], "left").fillna(0.0, ["drift_y", "drift_x"])
+    bounds = own.groupBy("stack_id").agg(*(f(F.ceil(c) if f is F.max else F.floor(c)).cast("int").alias(f"{n}_{c}") for c in ("drift_y", "drift_x") for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    moved = frames.join(own.join(bounds, "stack_id"), ["stack_id", "frame"])  # bounds meet the slim keys, the payload only its own row
 
     def kernel(a: np.ndarray, part: pd.DataFrame) -> dict:
         out = {"px": [], "height": [], "width": [], "y0": [], "x0": []}
@@ -88,19 +89,17 @@ def apply_shift(frames: DataFrame, drift: DataFrame, crop: bool = True) -> DataF
 
 def video_pipeline(frames: DataFrame, select: dict, max_shift: int, min_ncc: float = 0.5, half_window: int = 2, crop: bool = True) -> DataFrame:
     """Selection, then shifts, repair, sum and correction; selected frames are numbered anew."""
-    chosen = select_frames(frames, **select)
-    order = chosen.select("stack_id", "frame").withColumn("_new", (F.row_number().over(Window.partitionBy("stack_id").orderBy("frame")) - 1).cast("long"))
-    chosen = chosen.join(order, ["stack_id", "frame"]).drop("frame").withColumnRenamed("_new", "frame")
+    order = chosen_keys(frames, **select).withColumn("_new", (F.row_number().over(Window.partitionBy("stack_id").orderBy("frame")) - 1).cast("long"))
+    chosen = frames.join(order, ["stack_id", "frame"]).drop("frame").withColumnRenamed("_new", "frame")
     drift = accumulate(repair_shifts(pair_shifts(chosen, max_shift), min_ncc, half_window))
     return apply_shift(chosen, drift, crop)
 
 
 def video_run(frames: DataFrame, out: str, select: dict, max_shift: int, min_ncc: float = 0.5, half_window: int = 2, crop: bool = True, source: str = "") -> tuple[DataFrame, DataFrame]:
-    """The video pipeline to files: corrected frames stamped with their run, written by stack and read back, and the run's manifest, written beside them at `out`-run."""
+    """The video pipeline to files: corrected frames stamped with their run, written and read back, and the run's manifest, appended to the table at `out`-run."""
     spark = frames.sparkSession
     params = {**select, "max_shift": max_shift, "min_ncc": min_ncc, "half_window": half_window, "crop": crop}
     rows, run = with_manifest(video_pipeline(frames, select, max_shift, min_ncc, half_window, crop), "video_pipeline", "1", params, {"max_shift": "px", "half_window": "frames"}, source)
     write_frames(rows, out, [source] if source else [])
-    run.write.mode("errorifexists").parquet(f"{out.rstrip('/')}-run")
-    written = spark.read.parquet(out)
-    return written.withColumn("stack_id", F.col("stack_id").cast("long")), spark.read.parquet(f"{out.rstrip('/')}-run")
+    append_manifest(run, f"{out.rstrip('/')}-run")
+    return read_frames(spark, out), read_manifest(spark, f"{out.rstrip('/')}-run")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import long_form, map_images
+from ..storage import cut, small
 from .frames import from_tiles, to_tiles
 
 KEYS = ["stack_id", "frame"]
@@ -77,7 +78,7 @@ def stretch(frames: DataFrame, p_lo: float, p_hi: float, gamma: float = 1.0, per
     else:
         px = long_form(frames, KEYS).where(~F.isnan("v"))
         ends = px.groupBy("stack_id").agg(F.percentile("v", F.lit(p_lo)).alias("_lo"), F.percentile("v", F.lit(p_hi)).alias("_hi"))
-        frames = frames.join(ends, "stack_id")
+        frames = frames.join(small(cut(ends)), "stack_id")
     scaled = lambda v: F.when(F.isnan(v), v).when(F.col("_hi") > F.col("_lo"), F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))), F.lit(gamma))).otherwise(0.0)
     return frames.withColumn("px", F.transform("px", scaled)).drop("_lo", "_hi")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import long_form, map_images, stacked
+from ..storage import cut, small
 
 POS = ["scan_id", "sy", "sx"]
 
@@ -73,7 +75,7 @@ def ssb(patterns: DataFrame, wavelength: float, semi_angle: float, step: float,
                     yield rows[["scan_id", "sy", "sx", "kh", "kw"]].assign(part=k, v=list(images[:, k::groups]))
 
     packed = patterns.select(*POS, "kh", "kw", "px").mapInPandas(pack, "scan_id long, sy int, sx int, kh int, kw int, part int, v array<double>")
-    packed = packed.join(size.select("scan_id", "h", "w"), "scan_id")
+    packed = packed.join(small(cut(size.select("scan_id", "h", "w"))), "scan_id")
 
     def side_band(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
         h, w = int(part["h"].iloc[0]), int(part["w"].iloc[0])
@@ -103,16 +105,32 @@ def ssb(patterns: DataFrame, wavelength: float, semi_angle: float, step: float,
     return total.groupBy("scan_id").applyInPandas(back, "scan_id long, sy int, sx int, phase double, amplitude double")
 
 
-#: Templates go to every executor; their total number of values is bounded.
+#: Values of the templates that go to every executor at once.
 TEMPLATE_VALUES = 50_000_000
 
 
-def orientation(patterns: DataFrame, templates: DataFrame, top: int = 1, key: str = "pos", template: str = "template_id", px: str = "px") -> DataFrame:
-    """The `top` best templates of each pattern by normalised correlation: key, template, score, rank; ties: smaller id. Constant patterns score 0."""
+def orientation(patterns: DataFrame, templates: DataFrame, top: int = 1, key: str = "pos", template: str = "template_id", px: str = "px", values: int = TEMPLATE_VALUES) -> DataFrame:
+    """The `top` best templates of each pattern by normalised correlation: key, template, score, rank; ties: smaller id. Constant patterns score 0.
+
+    A bank of more than `values` values is taken in blocks, dealt by a hash of the template's id: each block is a
+    pass over the patterns whose best matches are written, and the best of all blocks are kept at the end.
+    """
     first = templates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(px)).alias("m")).first()
-    if (first["n"] or 0) * (first["m"] or 0) > TEMPLATE_VALUES:
-        raise ValueError("too many template values for one pass: give them in parts and keep the best of all")
+    held = max(1, values // max(1, first["m"] or 1))
+    blocks = -(-(first["n"] or 0) // held)
+    if blocks <= 1:
+        return _matches(patterns, templates, top, key, template, px)
+    dealt = cut(templates.select(template, px, F.pmod(F.xxhash64(F.lit("block"), template), F.lit(blocks)).alias("_block")))
+    parts = [cut(_matches(patterns, dealt.where(F.col("_block") == k), top, key, template, px)) for k in range(blocks)]
+    return best_of(functools.reduce(DataFrame.union, parts), key, template, top)
+
+
+def _matches(patterns: DataFrame, templates: DataFrame, top: int, key: str, template: str, px: str) -> DataFrame:
+    """The best of one block of templates."""
     rows = sorted((r[0], r[1]) for r in templates.select(template, px).collect())
+    kinds = f"{key} {dict(patterns.dtypes)[key]}, {template} {dict(templates.dtypes)[template]}, score double, rank int"
+    if not rows:
+        return patterns.sparkSession.createDataFrame([], kinds)
     ids, table = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
 
     def unit(a: np.ndarray) -> np.ndarray:
@@ -132,7 +150,7 @@ def orientation(patterns: DataFrame, templates: DataFrame, top: int = 1, key: st
             n = best.shape[1]
             yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), n), template: ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel(), "rank": np.tile(np.arange(1, n + 1), len(pdf))})
 
-    return patterns.select(key, px).mapInPandas(run, f"{key} {dict(patterns.dtypes)[key]}, {template} {dict(templates.dtypes)[template]}, score double, rank int")
+    return patterns.select(key, px).mapInPandas(run, kinds)
 
 
 def disk_strain(patterns: DataFrame, g1: tuple[float, float], g2: tuple[float, float], radius: int, centre: tuple[float, float], reference: tuple[tuple[float, float], tuple[float, float]]) -> DataFrame:
@@ -155,5 +173,5 @@ def disk_strain(patterns: DataFrame, g1: tuple[float, float], g2: tuple[float, f
 
 def best_of(matches: DataFrame, key: str, template: str, top: int) -> DataFrame:
     """The best of several `orientation` results, for templates given in parts."""
-    order = Window.partitionBy(key).orderBy(F.desc("score"), template)
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), template)
     return matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

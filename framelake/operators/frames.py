@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -12,28 +16,35 @@ from ..storage import small
 RANGES = {"uint8": (0, 255), "uint16": (0, 65535), "float64": (0.0, 1.0)}
 
 
-def select_frames(frames: DataFrame, every_n: int | None = None, every_s: float | None = None, start=None, end=None) -> DataFrame:
-    """Frames inside [start, end), then each n-th by frame order, or the first of each time bucket.
-
-    Only keys go through the window; the payload is joined back.
-    """
+def chosen_keys(frames: DataFrame, every_n: int | None = None, every_s: float | None = None, start=None, end=None) -> DataFrame:
+    """stack_id and frame of the frames inside [start, end), then each n-th by frame order, or the first of each time bucket. Slim: no payload is read."""
     if every_n is not None and every_s is not None:
         raise ValueError("give every_n or every_s")
+    keys = frames.select("stack_id", "frame", "ts")
     if start is not None:
-        frames = frames.where(F.col("ts") >= F.lit(start))
+        keys = keys.where(F.col("ts") >= F.lit(start))
     if end is not None:
-        frames = frames.where(F.col("ts") < F.lit(end))
-    if every_n is None and every_s is None:
-        return frames
-    keys = frames.select("stack_id", "frame", "ts")
+        keys = keys.where(F.col("ts") < F.lit(end))
     if every_n is not None:
         at = F.row_number().over(Window.partitionBy("stack_id").orderBy("ts", "frame")) - 1
-        chosen = keys.withColumn("_at", at).where(F.col("_at") % every_n == 0)
-    else:
+        keys = keys.withColumn("_at", at).where(F.col("_at") % every_n == 0)
+    elif every_s is not None:
         bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(int(every_s * 1_000_000)))
         first = keys.groupBy("stack_id", bucket.alias("_bucket")).agg(F.min(F.struct("ts", "frame")).alias("_first"))
-        chosen = first.select("stack_id", F.col("_first.frame").alias("frame"))
-    return frames.join(chosen.select("stack_id", "frame"), ["stack_id", "frame"], "left_semi")
+        keys = first.select("stack_id", F.col("_first.frame").alias("frame"))
+    return keys.select("stack_id", "frame")
+
+
+def select_frames(frames: DataFrame, every_n: int | None = None, every_s: float | None = None, start=None, end=None) -> DataFrame:
+    """Frames inside [start, end), then each n-th by frame order, or the first of each time bucket.
+
+    Only keys go through the window; the payload is joined back.
+    """
+    if every_n is None and every_s is None:
+        if start is not None:
+            frames = frames.where(F.col("ts") >= F.lit(start))
+        return frames if end is None else frames.where(F.col("ts") < F.lit(end))
+    return frames.join(chosen_keys(frames, every_n, every_s, start, end), ["stack_id", "frame"], "left_semi")
 
 
 def convert_depth(frames: DataFrame, to: str, mode: str = "linear", lo: float | None = None, hi: float | None = None) -> DataFrame:
@@ -89,10 +100,24 @@ def to_pixels(frames: DataFrame) -> DataFrame:
 
 
 def from_pixels(pixels: DataFrame) -> DataFrame:
-    """Packed frames; pixels that are not there are NaN up to the largest y and x."""
-    out = pixels.groupBy("stack_id", "frame").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.map_from_entries(F.collect_list(F.struct(F.struct("y", "x"), "v"))).alias("m"))
-    cell = lambda i: F.coalesce(F.element_at("m", F.struct(F.floor(i / F.col("width")).cast("int").alias("y"), (i % F.col("width")).cast("int").alias("x"))), F.lit(float("nan")))
-    return out.select("stack_id", "frame", "height", "width", F.transform(F.expr("sequence(0, height * width - 1)"), cell).alias("px"))
+    """Packed frames; pixels that are not there are NaN up to the largest y and x; of a pixel that is there twice the largest value counts. A frame's pixels are laid out at once, in time proportional to their number."""
+    listed = pixels.groupBy("stack_id", "frame").agg(F.collect_list(F.struct("y", "x", "v")).alias("_p"))
+    listed = listed.select("stack_id", "frame", *(F.col(f"_p.{c}").alias(f"_{c}") for c in "yxv"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False, name=None):
+                y, x = (np.asarray(c, np.int64) for c in row[2:4])
+                v = np.asarray(row[4], float)
+                order = np.argsort(np.where(np.isnan(v), -np.inf, v), kind="stable")
+                px = np.full((y.max() + 1, x.max() + 1), np.nan)
+                px[y[order], x[order]] = v[order]
+                rows.append((row[0], row[1], *px.shape, px.ravel()))
+            yield pd.DataFrame(rows, columns=["stack_id", "frame", "height", "width", "px"])
+
+    out = listed.mapInPandas(run, "stack_id long, frame long, height int, width int, px array<double>")
+    return out.withColumn("px", F.transform("px", lambda v: F.coalesce(v, F.lit(float("nan")))))
 
 
 def with_manifest(df: DataFrame, operator: str, version: str, params: dict, units: dict, source: str = "") -> tuple[DataFrame, DataFrame]:
@@ -104,6 +129,17 @@ def with_manifest(df: DataFrame, operator: str, version: str, params: dict, unit
     return df.withColumn("run_id", F.md5(F.lit(about))), run
 
 
+def append_manifest(run: DataFrame, path: str) -> None:
+    """Appends a run's row to the manifest table at `path`, which is kept by run: a repeated or retried run replaces its own row, whatever else is there."""
+    schema.require(run, schema.MANIFEST)
+    run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest table; results are joined with it by run_id."""
+    return spark.read.schema(schema.MANIFEST).parquet(path)
+
+
 def _map(values: dict):
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv)) if values else F.create_map().cast("map<string,string>")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.arrays import long_form, map_images
+from ..functions.arrays import explode_images, long_form, map_images
 from ..storage import BROADCAST_ROWS, cut, small
 from .filters import bin_of
 from .frames import to_tiles
@@ -166,8 +166,9 @@ def label_regions(mask: DataFrame, connectivity: int = 4, tile: int | None = Non
 
     keep = ["stack_id", "frame", "ty", "tx", "y0", "x0", "h", "w", "halo", "width"]
     labelled = cut(map_images(tiles.withColumnRenamed("px", "_px"), local, "px array<double>", keep, px="_px", h="h", w="w"))
-    cell = long_form(labelled, [*KEYS, "y0", "x0", "h", "w"], w="w").where("v >= 0")
-    border = cell.where("y = 0 or x = 0 or y = h - 1 or x = w - 1").select(*KEYS, (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), F.col("v").cast("long").alias("label"))
+    cell = long_form(labelled, [*KEYS, "ty", "tx", "y0", "x0", "h", "w"], w="w").where("v >= 0")
+    cell = cell.where("y = 0 or x = 0 or y = h - 1 or x = w - 1")
+    border = cell.select(*KEYS, (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), F.col("v").cast("long").alias("label"))
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]
     near = border.select(*KEYS, F.col("label").alias("a"), F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("to"))
     edges = near.select(*KEYS, "a", F.col("to.y").alias("y"), F.col("to.x").alias("x")).join(border.withColumnRenamed("label", "b"), [*KEYS, "y", "x"]).where("a <> b").select(*KEYS, "a", "b").distinct()
@@ -181,10 +182,24 @@ def label_regions(mask: DataFrame, connectivity: int = 4, tile: int | None = Non
         roots = new.drop("changed")
         if new.where("changed").isEmpty():
             break
-    table = roots.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("a", "root"))).alias("_m"))
-    joined = labelled.join(table, KEYS, "left")
-    px = F.transform("px", lambda v: F.coalesce(F.element_at("_m", v.cast("long")).cast("double"), v))
-    whole = joined.withColumn("px", F.when(F.col("_m").isNull(), F.col("px")).otherwise(px)).drop("_m", "width")
+    # each tile meets the roots of its own border labels
+    own = cell.select(*KEYS, "ty", "tx", F.col("v").cast("long").alias("a")).distinct().join(roots, [*KEYS, "a"])
+    table = own.groupBy(*KEYS, "ty", "tx").agg(F.collect_list(F.struct("a", "root")).alias("_m")).select(*KEYS, "ty", "tx", F.col("_m.a").alias("_a"), F.col("_m.root").alias("_root"))
+    joined = labelled.join(table, [*KEYS, "ty", "tx"], "left").withColumnRenamed("px", "_px")
+
+    def renamed(a: np.ndarray, part: pd.DataFrame) -> dict:
+        out = []
+        for own, was, root in zip(a, part["_a"], part["_root"], strict=True):
+            if was is None or not len(was):
+                out.append(own.ravel())
+                continue
+            order = np.argsort(np.asarray(was))
+            was, root = np.asarray(was, float)[order], np.asarray(root, float)[order]
+            at = np.minimum(np.searchsorted(was, own), len(was) - 1)
+            out.append(np.where(was[at] == own, root[at], own).ravel())
+        return {"px": out}
+
+    whole = map_images(joined, renamed, "px array<double>", ["stack_id", "frame", "ty", "tx", "y0", "x0", "h", "w", "halo"], px="_px", h="h", w="w", extra=["_a", "_root"])
     from .frames import from_tiles
 
     return from_tiles(whole, tile)
@@ -207,20 +222,51 @@ def measure_regions(labels: DataFrame, frames: DataFrame | None = None, min_area
     return out.where(F.col("area_px") >= min_area)
 
 
+def label_areas(labels: DataFrame) -> DataFrame:
+    """stack_id, frame, label, area of each region of packed label images."""
+
+    def kernel(a: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        found = [np.unique(image[image >= 0], return_counts=True) for image in a]
+        at = np.repeat(np.arange(len(a)), [len(k) for k, _ in found])
+        label, area = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
+        return pd.DataFrame({"stack_id": part["stack_id"].to_numpy()[at], "frame": part["frame"].to_numpy()[at], "label": label, "area": area})
+
+    return explode_images(labels, kernel, "stack_id long, frame long, label long, area long", KEYS)
+
+
+def label_overlaps(labels: DataFrame) -> DataFrame:
+    """stack_id, frame, label, prev, shared: the regions of each frame and of the frame before that have pixels in common, with how many; frames of other sizes share their upper left."""
+    before = labels.select("stack_id", (F.col("frame") + 1).alias("frame"), F.col("px").alias("_px"), F.col("height").alias("_h"), F.col("width").alias("_w"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False, name=None):
+                stack_id, frame, h, w, now, h0, w0, was = row
+                now, was = (np.asarray(v, float).reshape(int(a), int(b))[: int(min(h, h0)), : int(min(w, w0))].astype(np.int64) for v, a, b in ((now, h, w), (was, h0, w0)))
+                both = (now >= 0) & (was >= 0)
+                pairs, shared = np.unique(np.stack([now[both], was[both]], 1), axis=0, return_counts=True)
+                rows.append(pd.DataFrame({"stack_id": stack_id, "frame": frame, "label": pairs[:, 0], "prev": pairs[:, 1], "shared": shared}))
+            if rows:
+                yield pd.concat(rows)
+
+    both = labels.select(*KEYS, "height", "width", "px").join(before, KEYS).select(*KEYS, "height", "width", "px", "_h", "_w", "_px")
+    return both.mapInPandas(run, "stack_id long, frame long, label long, prev long, shared long")
+
+
 def track_regions(labels: DataFrame, min_overlap: int = 1) -> DataFrame:
     """Each region with its track, area, area change, and events.
 
     A region's parent is the region of the frame before with which it shares most pixels (ties: the
-    smaller label). A region takes its parent's track if it is that parent's main child (largest
+    smaller label). Label images of successive frames are compared where they lie, packed: a kernel gives
+    the few pairs of labels that share pixels. A region takes its parent's track if it is that parent's main child (largest
     overlap, ties: the smaller label), else it starts a track. `event` is birth, split (a parent but
     not its main child), merge (more than one region before flows into it) or continue; `dies` says
     that no region follows. Track ids are `stack:frame:label` of the first region; the chain is
     followed by doubling over the small table of regions.
     """
-    px = cut(labels_long(labels))
-    area = px.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("area"))
-    before = px.select("stack_id", (F.col("frame") + 1).alias("frame"), "y", "x", F.col("label").alias("prev"))
-    overlap = px.join(before, [*KEYS, "y", "x"]).groupBy(*KEYS, "label", "prev").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_overlap)
+    area, overlap = label_areas(labels), label_overlaps(labels).where(F.col("shared") >= min_overlap)
+    area = cut(area)
     overlap = cut(overlap)
     parent = overlap.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS, "label").orderBy(F.desc("shared"), "prev"))).where("_r = 1").select(*KEYS, "label", F.col("prev").alias("parent"))
     main = overlap.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS, "prev").orderBy(F.desc("shared"), "label"))).where("_r = 1").select(*KEYS, F.col("prev").alias("parent"), F.col("label").alias("main"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import map_images, stacked
+from ..storage import cut, small
 from .atoms import near_pairs
 from .filters import power_spectrum
 
@@ -38,17 +39,33 @@ def fit_lattice(points: DataFrame, pairs: DataFrame, region: str = "true") -> Da
     return ref.groupBy("stack_id").agg(mean("dy", 1).alias("ay"), mean("dx", 1).alias("ax"), mean("dy", 2).alias("by"), mean("dx", 2).alias("bx"), F.count(F.when(F.col("axis") == 1, 1)).alias("n_a"), F.count(F.when(F.col("axis") == 2, 1)).alias("n_b"))
 
 
-def displacement(points: DataFrame, lattice: DataFrame) -> DataFrame:
+def displacement(points: DataFrame, lattice: DataFrame, origin: str = "first") -> DataFrame:
     """Adds the indices (ia, ib) of the nearest lattice node and the displacement (uy, ux) from it.
 
-    The origin is each frame's first point in (y, x). A stack without a lattice has no rows; one whose vectors are parallel is null.
+    origin "first": each frame's first point in (y, x) is node (0, 0) and does not move. origin "stack": one
+    origin for all frames of a stack, the circular mean of its atoms' fractional lattice coordinates, so no
+    atom need be there or in place; the stack's least indices are 0. Only one row a stack is gathered.
+    A stack without a lattice has no rows; one whose vectors are parallel is null.
     """
-    origin = points.groupBy(*KEYS).agg(F.min(F.struct("y", "x")).alias("o"))
-    p = points.join(origin, KEYS).join(F.broadcast(lattice) if lattice.count() <= 200_000 else lattice, "stack_id")
+    known = F.broadcast(lattice) if lattice.count() <= 200_000 else lattice
     det = F.col("ay") * F.col("bx") - F.col("ax") * F.col("by")
-    dy, dx = F.col("y") - F.col("o.y"), F.col("x") - F.col("o.x")
-    p = p.withColumn("_d", F.when(det != 0, det)).withColumn("ia", F.round((dy * F.col("bx") - dx * F.col("by")) / F.col("_d")).cast("int")).withColumn("ib", F.round((dx * F.col("ay") - dy * F.col("ax")) / F.col("_d")).cast("int"))
-    return p.select(*KEYS, "point_id", "y", "x", "ia", "ib", (dy - F.col("ia") * F.col("ay") - F.col("ib") * F.col("by")).alias("uy"), (dx - F.col("ia") * F.col("ax") - F.col("ib") * F.col("bx")).alias("ux"))
+    if origin == "first":
+        first = points.groupBy(*KEYS).agg(F.min(F.struct("y", "x")).alias("o"))
+        p = points.join(first, KEYS).join(known, "stack_id")
+        dy, dx = F.col("y") - F.col("o.y"), F.col("x") - F.col("o.x")
+        p = p.withColumn("_d", F.when(det != 0, det)).withColumn("ia", F.round((dy * F.col("bx") - dx * F.col("by")) / F.col("_d")).cast("int")).withColumn("ib", F.round((dx * F.col("ay") - dy * F.col("ax")) / F.col("_d")).cast("int"))
+        return p.select(*KEYS, "point_id", "y", "x", "ia", "ib", (dy - F.col("ia") * F.col("ay") - F.col("ib") * F.col("by")).alias("uy"), (dx - F.col("ia") * F.col("ax") - F.col("ib") * F.col("bx")).alias("ux"))
+    if origin != "stack":
+        raise ValueError("origin is 'first' or 'stack'")
+    p = points.select(*KEYS, "point_id", "y", "x").join(known, "stack_id").withColumn("_d", F.when(det != 0, det))
+    p = p.withColumn("_u", (F.col("y") * F.col("bx") - F.col("x") * F.col("by")) / F.col("_d")).withColumn("_v", (F.col("x") * F.col("ay") - F.col("y") * F.col("ax")) / F.col("_d"))
+    turn = lambda f, c: F.avg(f(2 * np.pi * F.col(c)))
+    centre = p.groupBy("stack_id").agg(*((F.atan2(turn(F.sin, c), turn(F.cos, c)) / (2 * np.pi)).alias(f"{c}0") for c in ("_u", "_v")))
+    centre = small(cut(centre))
+    p = p.join(centre, "stack_id").withColumn("_i", F.round(F.col("_u") - F.col("_u0"))).withColumn("_j", F.round(F.col("_v") - F.col("_v0")))
+    least = small(cut(p.groupBy("stack_id").agg(F.min("_i").alias("_i0"), F.min("_j").alias("_j0"))))
+    p = p.join(least, "stack_id").withColumn("_du", F.col("_u") - F.col("_u0") - F.col("_i")).withColumn("_dv", F.col("_v") - F.col("_v0") - F.col("_j"))
+    return p.select(*KEYS, "point_id", "y", "x", (F.col("_i") - F.col("_i0")).cast("int").alias("ia"), (F.col("_j") - F.col("_j0")).cast("int").alias("ib"), (F.col("_du") * F.col("ay") + F.col("_dv") * F.col("by")).alias("uy"), (F.col("_du") * F.col("ax") + F.col("_dv") * F.col("bx")).alias("ux"))
 
 
 def pair_strain(pairs: DataFrame, lattice: DataFrame, points: DataFrame) -> DataFrame:

@@ -122,6 +122,20 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(strain.displacement(fx.points(spark, sf), _lattice(spark, sf)).select("stack_id", "point_id", "ia", "ib", "uy", "ux"))
 
 
+#: Two rows of atoms move apart by 0.4; the first atom is missing in every other frame and displaced in the others, as the last one is the other way.
+MOVED = "CASE WHEN point_id = 0 THEN 1.5 WHEN point_id = 63 AND (s_suppkey + f) % 2 = 1 THEN -1.5 WHEN point_id % 8 = 2 THEN 0.4 WHEN point_id % 8 = 3 THEN -0.4 ELSE 0 END"
+GONE = "point_id = 0 AND (s_suppkey + f) % 2 = 0"
+
+
+@query("d9_stack_origin", f"SELECT s_suppkey::BIGINT AS stack_id, f AS frame, point_id, (point_id // 8)::INT AS ia, (point_id % 8)::INT AS ib, ({MOVED})::DOUBLE AS uy, 0.0::DOUBLE AS ux FROM supplier, (SELECT range AS f FROM range(4)), (SELECT range AS point_id FROM range(64)) WHERE NOT ({GONE})")
+def d9_stack(spark: SparkSession, sf: str) -> DataFrame:
+    """One origin for all frames of a stack, whose lattice starts between pixels; no frame's first atom can serve."""
+    rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long"), F.explode(F.expr("sequence(0L, 3L)")).alias("f")).select("*", F.explode(F.expr("sequence(0L, 63L)")).alias("point_id")).where(f"not ({GONE})")
+    pts = rows.select(F.col("s_suppkey").alias("stack_id"), F.col("f").alias("frame"), "point_id", F.expr(f"cast(3.3D + s_suppkey % 4 + 10*(point_id div 8) + ({MOVED}) as double)").alias("y"), F.expr("cast(7.1D + 10*(point_id % 8) as double)").alias("x"))
+    vectors = pts.select("stack_id").distinct().select("stack_id", F.lit(10.0).alias("ay"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("by"), F.lit(10.0).alias("bx"))
+    return rounded(strain.displacement(pts, vectors, origin="stack").select(*KEYS, "point_id", "ia", "ib", "uy", "ux"))
+
+
 STRAIN = f"{fx.POINTS_SQL}, fields AS (SELECT stack_id, point_id, CASE WHEN point_id % 8 >= 4 THEN 0.01 * (1 + stack_id % 3) ELSE 0 END AS exx FROM points WHERE point_id < 56 AND point_id % 8 < 7)"
 
 
@@ -242,6 +256,24 @@ def e6(spark: SparkSession, sf: str) -> DataFrame:
     return regions.track_regions(_labels(spark, sf))
 
 
+#: Bars by frame as (first row, rows, first column, columns): one splits, its parts merge and end, another comes and goes.
+BARS = ((0, 4, 3, 2, 18), (1, 4, 3, 2, 8), (1, 4, 3, 13, 7), (2, 4, 3, 2, 18), (3, 15, 3, 5, 4), (4, 15, 3, 5, 4))
+
+
+@query(
+    "e6_split_merge",
+    """WITH t AS (SELECT * FROM (VALUES (0, 98, 54, NULL, 0, 98, 'birth', false), (1, 98, 24, -30, 0, 98, 'continue', false), (1, 109, 21, -33, 1, 109, 'split', false), (2, 98, 54, 30, 0, 98, 'merge', true), (3, 365, 12, NULL, 3, 365, 'birth', false), (4, 365, 12, 0, 3, 365, 'continue', true)) v(frame, label, area, area_change, f0, l0, event, dies))
+    SELECT s_suppkey::BIGINT AS stack_id, frame::BIGINT AS frame, (label + s_suppkey % 3)::BIGINT AS label, s_suppkey || ':' || f0 || ':' || (l0 + s_suppkey % 3) AS track, area::BIGINT AS area, area_change::BIGINT AS area_change, event, dies FROM supplier, t""",
+)
+def e6_split(spark: SparkSession, sf: str) -> DataFrame:
+    """All four events, planted: birth, split, merge, death."""
+    def value(s: str, f: str, y: str, x: str) -> str:
+        inside = [f"({f} = {k} AND {y} >= {y0} AND {y} < {y0 + h} AND {x} >= {x0} + {s} % 3 AND {x} < {x0 + w} + {s} % 3)" for k, y0, h, x0, w in BARS]
+        return f"(CASE WHEN {' OR '.join(inside)} THEN 200 ELSE 0 END)"
+
+    return regions.track_regions(regions.label_regions(regions.segment(fx._frames(spark, sf, value), 100.0)))
+
+
 @query(
     "e7_area_series",
     f"""WITH {fx.BLOBS_SQL}, a AS (SELECT stack_id, frame, sum(CASE WHEN v > 100 THEN 1 ELSE 0 END) AS n FROM blobs GROUP BY ALL)
@@ -284,6 +316,22 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(regions.classify_tiles(frames.to_tiles(fx.lattice(spark, sf), 24), 2, 8, 0.5).select(*KEYS, "crystallinity", "class"))
 
 
+def _quarters(name: str) -> str:
+    """Tiles of 12 pixels as frames of their own: stack_id stands for the tile too."""
+    return f"{name} AS (SELECT stack_id * 4 + (y // 12) * 2 + x // 12 AS stack_id, frame, y % 12 AS y, x % 12 AS x, v FROM lattice)"
+
+
+@query(
+    "e10_classify_quarters",
+    f"""WITH {fx.LATTICE_SQL}, {_quarters('q')}, {fx.dft_sql('q', n=12)}, b AS (SELECT *, avg(p) OVER (PARTITION BY stack_id, frame, r) AS b FROM dft_p),
+    c AS (SELECT stack_id, frame, sum(greatest(p - b, 0)) / sum(p) AS crystallinity FROM (SELECT * FROM b WHERE ky*ky + kx*kx BETWEEN 4 AND 25) GROUP BY ALL)
+    SELECT stack_id // 4 AS stack_id, frame, (stack_id % 4 // 2)::INT AS ty, (stack_id % 2)::INT AS tx, round(crystallinity, 4) + 0.0 AS crystallinity, CASE WHEN crystallinity >= 0.5 THEN 'crystalline' ELSE 'amorphous' END AS class FROM c""",
+)
+def e10_quarters(spark: SparkSession, sf: str) -> DataFrame:
+    """Four tiles a frame, each with its own spectrum."""
+    return rounded(regions.classify_tiles(frames.to_tiles(fx.lattice(spark, sf), 12), 2, 5, 0.5).select(*KEYS, "ty", "tx", "crystallinity", "class"))
+
+
 @query(
     "e11_phase_fraction",
     """WITH c AS (SELECT user_id::BIGINT AS stack_id, day(ts)::BIGINT AS frame, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM events), f AS (SELECT stack_id, frame, count(*)::BIGINT AS tiles, avg(c) AS fraction FROM c GROUP BY ALL)

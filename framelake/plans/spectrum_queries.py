@@ -69,11 +69,20 @@ def f4(spark: SparkSession, sf: str) -> DataFrame:
 )
 def f5(spark: SparkSession, sf: str) -> DataFrame:
     """Every pattern against the mean pattern of each label."""
+    return rounded(fourd.orientation(*_bank(spark, sf), top=2, key="vec_id"))
+
+
+def _bank(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     vec = fx.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("template_id"), F.col("embedding").cast("array<double>").alias("px"))
     means = vec.select("template_id", F.posexplode("px").alias("i", "e")).groupBy("template_id", "i").agg(F.avg("e").alias("e"))
     templates = means.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("px"))
-    vec = vec.drop("template_id")
-    return rounded(fourd.orientation(vec, templates, top=2, key="vec_id"))
+    return vec.drop("template_id"), templates
+
+
+@query("f5_orientation_blocks", ORACLES["f5_orientation"])
+def f5_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in three blocks of templates, whose best matches are merged."""
+    return rounded(fourd.orientation(*_bank(spark, sf), top=2, key="vec_id", values=4 * 64))
 
 
 @query("f6_disk_strain", "SELECT s_suppkey::BIGINT AS scan_id, sy::INT AS sy, sx::INT AS sx, 0.0::DOUBLE AS g1y, 6.0 + s_suppkey % 2 AS g1x, 6.0::DOUBLE AS g2y, 0.0::DOUBLE AS g2x, round(6.0 / (6.0 + s_suppkey % 2) - 1, 4) + 0.0 AS exx, 0.0::DOUBLE AS eyy, 0.0::DOUBLE AS exy, 0.0::DOUBLE AS rot FROM supplier, (SELECT range AS sy FROM range(4)), (SELECT range AS sx FROM range(4))")
@@ -114,13 +123,17 @@ def g3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_cleaned(spark, sf).select(*POS, "exponent", (F.col("amplitude") / 1e9).alias("amplitude_1e9"), total.alias("total")), 3)
 
 
-@query("g4_remove_plural", "SELECT s_suppkey::BIGINT AS scan_id, sy::INT AS sy, sx::INT AS sx, 100.0::DOUBLE AS total, 100.0 * (40 + s_suppkey % 5)::DOUBLE AS first_moment, 10000.0::DOUBLE AS squares, 100.0::DOUBLE AS at_line FROM supplier, (SELECT range AS sy FROM range(4)), (SELECT range AS sx FROM range(4))")
-def g4(spark: SparkSession, sf: str) -> DataFrame:
-    """A line blurred by a low loss with a plasmon echo comes back as the line and nothing else: its total, first moment, sum of squares and value at its place."""
+def _echoed(spark: SparkSession, sf: str) -> DataFrame:
     low = "transform(sequence(0L, 127L), e -> CASE WHEN e = 0 THEN 0.7D WHEN e = 9 THEN 0.2D WHEN e = 18 THEN 0.1D ELSE 0D END)"
     at = "(40 + s % 5)"
     core = f"transform(sequence(0L, 127L), e -> CASE WHEN e = {at} THEN 70D WHEN e = {at} + 9 THEN 20D WHEN e = {at} + 18 THEN 10D ELSE 0D END)"
-    rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 15L)")).alias("p")).selectExpr("s", "s as scan_id", "cast(p div 4 as int) sy", "cast(p % 4 as int) sx", f"{core} as counts", f"{low} as low_counts")
+    return fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 15L)")).alias("p")).selectExpr("s as scan_id", "cast(p div 4 as int) sy", "cast(p % 4 as int) sx", f"{core} as counts", f"{low} as low_counts")
+
+
+@query("g4_remove_plural", "SELECT s_suppkey::BIGINT AS scan_id, sy::INT AS sy, sx::INT AS sx, 100.0::DOUBLE AS total, 100.0 * (40 + s_suppkey % 5)::DOUBLE AS first_moment, 10000.0::DOUBLE AS squares, 100.0::DOUBLE AS at_line FROM supplier, (SELECT range AS sy FROM range(4)), (SELECT range AS sx FROM range(4))")
+def g4(spark: SparkSession, sf: str) -> DataFrame:
+    """A line blurred by a low loss with a plasmon echo comes back as the line and nothing else: its total, first moment, sum of squares and value at its place."""
+    rows = _echoed(spark, sf)
     out = eels.remove_plural(rows, 0.0)
     total = lambda f: F.aggregate(F.transform("counts", f), F.lit(0.0), lambda a, v: a + v)
     return rounded(out.withColumn("s", F.col("scan_id")).select(*POS, total(lambda v, i: v).alias("total"), total(lambda v, i: v * i).alias("first_moment"), total(lambda v, i: v * v).alias("squares"), F.element_at("counts", F.expr("cast(41 + s % 5 as int)")).alias("at_line")), 3)
@@ -177,3 +190,11 @@ def g8_refit(spark: SparkSession, sf: str) -> DataFrame:
     reps = eels.bootstrap_mlls(_cleaned(spark, sf), fx.references(spark), 450.0, 528.0, 40, 42)
     values = reps.select("scan_id", "rep", F.col("coefficients")[1].alias("c1"), F.col("coefficients")[2].alias("c2")).join(eels.valence(reps, {1: 2.0, 2: 3.0})[0].select("scan_id", "rep", "valence"), ["scan_id", "rep"])
     return rounded(eels.percentiles(values, "scan_id", ["c1", "c2", "valence"]), 3)
+
+
+@query("g4_limited_plural", "SELECT s_suppkey::BIGINT AS scan_id, sy::INT AS sy, sx::INT AS sx, 100.0::DOUBLE AS total, round(100 / sqrt(2 * 3.141592653589793 * 4), 3) + 0.0 AS at_line, round(100 / sqrt(2 * 3.141592653589793 * 4) * exp(-4 / 8.0), 3) + 0.0 AS beside FROM supplier, (SELECT range AS sy FROM range(4)), (SELECT range AS sx FROM range(4))")
+def g4_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """The line of g4 limited by a Gaussian of two channels: its closed form at the line and two channels beside it."""
+    at = F.expr("cast(41 + scan_id % 5 as int)")
+    out = eels.remove_plural(_echoed(spark, sf), 2.0)
+    return rounded(out.select(*POS, F.aggregate("counts", F.lit(0.0), lambda a, v: a + v).alias("total"), F.element_at("counts", at).alias("at_line"), F.element_at("counts", at + 2).alias("beside")), 3)

@@ -92,7 +92,7 @@ def a2(spark: SparkSession, sf: str) -> DataFrame:
 def a3(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "frames")
     stacks.write_frames(fx.lattice(spark, sf), out, [sf])
-    return rounded(summed(spark.read.parquet(out).withColumn("stack_id", F.col("stack_id").cast("long")), "dtype"))
+    return rounded(summed(stacks.read_frames(spark, out), "dtype"))
 
 
 @query("a4_convert_depth", f"WITH {fx.LATTICE_SQL}, c AS (SELECT stack_id, frame, y, x, floor(v / 255.0 * 65535.0 + 0.5) AS v FROM lattice) SELECT stack_id, frame, {SUMS}, 'uint16' AS dtype, 'uint8' AS old_dtype FROM c GROUP BY stack_id, frame")
@@ -125,6 +125,24 @@ def a8(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(about), "run_id").select(F.col("p_partkey").cast("long").alias("key"), "run_id", "radius", "radius_unit")
 
 
+@query(
+    "a8_manifest_table",
+    """WITH r AS (SELECT unnest(['3', '5']) AS radius), m AS (SELECT md5('demo|1.0||radius=' || radius || '|threshold=0.5') AS run_id, radius FROM r)
+    SELECT p_partkey::BIGINT AS key, run_id, radius, 'px' AS radius_unit, 2::BIGINT AS runs FROM part, m WHERE radius = CASE WHEN p_partkey % 2 = 0 THEN '3' ELSE '5' END""",
+)
+def a8_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs appended to a manifest table, the first of them twice: two rows; each result finds its run by run_id."""
+    part, path = fx.table(spark, sf, "part"), new_path(spark, "manifest")
+    results = []
+    for radius, odd in ((3, 0), (5, 1), (3, 0)):
+        rows, run = frames.with_manifest(part.where(F.col("p_partkey") % 2 == odd), "demo", "1.0", {"radius": radius, "threshold": 0.5}, {"radius": "px"})
+        frames.append_manifest(run, path)
+        results.append(rows)
+    about = frames.read_manifest(spark, path)
+    about = about.select("run_id", F.col("params")["radius"].alias("radius"), F.col("units")["radius"].alias("radius_unit"), F.lit(about.count()).cast("long").alias("runs"))
+    return results[0].union(results[1]).join(F.broadcast(about), "run_id").select(F.col("p_partkey").cast("long").alias("key"), "run_id", "radius", "radius_unit", "runs")
+
+
 @query(
     "a9_compare_runs",
     """WITH a AS (SELECT p_partkey::BIGINT AS key, p_retailprice::DOUBLE AS v FROM part WHERE p_partkey % 11 <> 0),
@@ -148,6 +166,27 @@ def b1(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(drift.pair_shifts(fx.lattice(spark, sf), 2))
 
 
+SUBPIXEL = "0.1*((s_suppkey + 2*f) % 7)", "0.1*((2*s_suppkey + f) % 5)"
+
+
+@query(
+    "b1_subpixel_shifts",
+    f"WITH o AS (SELECT s_suppkey::BIGINT AS stack_id, f AS frame, {SUBPIXEL[0]} AS oy, {SUBPIXEL[1]} AS ox FROM supplier, (SELECT range AS f FROM range(6))) SELECT a.stack_id, b.frame, round((b.oy - a.oy)::DOUBLE, 4) + 0.0 AS dy, round((b.ox - a.ox)::DOUBLE, 4) + 0.0 AS dx FROM o a JOIN o b ON b.stack_id = a.stack_id AND b.frame = a.frame + 1",
+)
+def b1_subpixel(spark: SparkSession, sf: str) -> DataFrame:
+    """Three waves moved by tenths of a pixel, found in steps of a twentieth."""
+    oy, ox = (x.replace("s_suppkey", "s").replace("0.1", "0.1D") for x in SUBPIXEL)
+    y, x = f"((i div 24) - {oy})", f"((i % 24) - {ox})"
+    value = lambda s, f, *_: f"(100D + 40D*cos({fx.TWO_PI}D/24 * 2*{y}) + 30D*cos({fx.TWO_PI}D/24 * 3*{x}) + 20D*cos({fx.TWO_PI}D/24 * (2*{y} + {x})))"
+    return rounded(drift.pair_shifts(fx._frames(spark, sf, value), 1, upsample=20).select(*KEYS, "dy", "dx"))
+
+
+@query("b1_first_shifts", f"WITH {fx.OFFSET_SQL} SELECT a.stack_id, a.frame, (a.oy - b.oy)::DOUBLE AS dy, (a.ox - b.ox)::DOUBLE AS dx FROM offsets a JOIN offsets b ON a.stack_id = b.stack_id AND b.frame = 0 WHERE a.frame > 0")
+def b1_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Each frame against its stack's first."""
+    return rounded(drift.pair_shifts(fx.lattice(spark, sf), 2, against="first").select(*KEYS, "dy", "dx"))
+
+
 @query("b2_accumulate", f"WITH {fx.OFFSET_SQL} SELECT a.stack_id, a.frame, (a.oy - b.oy)::DOUBLE AS drift_y, (a.ox - b.ox)::DOUBLE AS drift_x FROM offsets a JOIN offsets b ON a.stack_id = b.stack_id AND b.frame = 0 WHERE a.frame > 0")
 def b2(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(drift.accumulate(drift.pair_shifts(fx.lattice(spark, sf), 2)).select(*KEYS, "drift_y", "drift_x"))
@@ -179,13 +218,15 @@ def b4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "b5_video_pipeline",
-    f"""WITH {fx.LATTICE_SQL}, {fx.OFFSET_SQL}, k AS (SELECT stack_id, (frame // 3) AS f, oy, ox, frame FROM offsets WHERE frame % 3 = 0), d AS (SELECT a.stack_id, a.frame, a.f, a.oy - b.oy AS dy, a.ox - b.ox AS dx FROM k a JOIN k b ON a.stack_id = b.stack_id AND b.f = 0)
-    SELECT l.stack_id, d.f AS frame, count(*)::BIGINT AS n, sum(v)::DOUBLE AS total, '3' AS every_n, 'video_pipeline' AS operator FROM lattice l JOIN d USING (stack_id, frame) GROUP BY ALL""",
+    f"""WITH {fx.LATTICE_SQL}, {fx.OFFSET_SQL}, d AS (SELECT a.stack_id, a.frame, a.oy - b.oy AS dy, a.ox - b.ox AS dx FROM offsets a JOIN offsets b ON a.stack_id = b.stack_id AND b.frame = 0 WHERE a.frame % 2 = 0),
+    e AS (SELECT stack_id, min(dy) AS y0, max(dy) AS y1, min(dx) AS x0, max(dx) AS x1 FROM d GROUP BY stack_id),
+    m AS (SELECT l.stack_id, l.frame // 2 AS frame, l.y - d.dy AS y, l.x - d.dx AS x, l.v, greatest(0, -y0) AS t, greatest(0, -x0) AS q, 24 - greatest(0, y1) AS b, 24 - greatest(0, x1) AS r FROM lattice l JOIN d USING (stack_id, frame) JOIN e USING (stack_id))
+    SELECT stack_id, frame, count(*)::BIGINT AS n, sum(v)::DOUBLE AS total, sum(v * ((y - t) * (r - q) + x - q + 1))::DOUBLE AS weighted, max(b - t)::INT AS height, max(r - q)::INT AS width, '2' AS every_n, 'video_pipeline' AS operator FROM m WHERE y >= t AND y < b AND x >= q AND x < r GROUP BY ALL""",
 )
 def b5(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third frame: the planted drift repeats after three, so the corrected frames are whole. Written with their run's manifest and read back."""
-    out, run = drift.video_run(fx.lattice(spark, sf), new_path(spark, "video"), {"every_n": 3}, 2, source=sf)
-    return summed(out.join(F.broadcast(run), "run_id"), F.col("params")["every_n"].alias("every_n"), "operator").select(*KEYS, "n", "total", "every_n", "operator")
+    """Every second frame, which drift by whole pixels; corrected, cropped to what they share, written with their run's manifest and read back."""
+    out, run = drift.video_run(fx.lattice(spark, sf), new_path(spark, "video"), {"every_n": 2}, 2, source=sf)
+    return rounded(summed(out.join(F.broadcast(run), "run_id"), "height", "width", F.col("params")["every_n"].alias("every_n"), "operator"))
 
 
 DFT = f"WITH {fx.LATTICE_SQL}, {fx.dft_sql('lattice')}"

@@ -70,11 +70,27 @@ def read_stacks(spark: SparkSession, path: str, decoder: Decoder = decode_npy, p
     return decode_stacks(files.select((F.xxhash64("path") if stack_id is None else stack_id).alias("stack_id"), "path", "content"), decoder)
 
 
-def write_frames(frames: DataFrame, out: str, inputs: list[str] = ()) -> None:
-    """Writes Parquet by stack; refuses an output that is, holds or lies in an input."""
+#: Folders of a frame sink, and frame numbers of a stack that are written by one task.
+FOLDERS, CHUNK = 32, 256
+
+
+def write_frames(frames: DataFrame, out: str, inputs: list[str] = (), rows: int = 4096) -> None:
+    """Writes Parquet; refuses an output that is, holds or lies in an input.
+
+    Stacks share FOLDERS folders, dealt by a hash, and a folder's frames of CHUNK numbers are written together,
+    in order of stack and frame, in files of at most `rows` rows. So the number of files follows the rows, not
+    the tasks or the stacks, and no long stack is one task. A stack's rows lie in one folder.
+    """
     schema.require(frames, schema.FRAMES)
     clean = lambda p: p.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
     for path in inputs:
         if clean(out).startswith(clean(path)) or clean(path).startswith(clean(out)):
             raise ValueError(f"output {out} and input {path} overlap")
-    frames.write.mode("errorifexists").partitionBy("stack_id").parquet(out)
+    dealt = frames.withColumn("stacks", F.pmod(F.xxhash64("stack_id"), F.lit(FOLDERS)).cast("int"))
+    dealt = dealt.repartition("stacks", F.floor(F.col("frame") / CHUNK)).sortWithinPartitions("stacks", "stack_id", "frame")
+    dealt.write.mode("errorifexists").option("maxRecordsPerFile", rows).partitionBy("stacks").parquet(out)
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Frames that `write_frames` wrote."""
+    return spark.read.parquet(path).drop("stacks")

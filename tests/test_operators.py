@@ -522,3 +522,115 @@ def test_stats_and_stretch_of_odd_frames(spark):
     assert sorted(got) == [0, 2] and (got[0].n, got[0].median, got[0].min, got[0].max, got[0].std) == (3, 3.0, 1.0, 5.0, 2.0) and got[2].std is None
     px = {r.frame: r.px for r in filters.stretch(df, 0.0, 1.0).collect()}
     assert sorted(px) == [0, 2] and [px[0][i] for i in (0, 2, 3)] == [0.0, 0.5, 1.0] and px[2] == [0.0]
+
+
+def test_a_manifest_table_keeps_one_row_a_run(spark, tmp_path):
+    path, df = str(tmp_path / "runs"), spark.range(3)
+    made = [frames.with_manifest(df, "op", "1", {"k": k}, {"k": "px"})[1] for k in (1, 2)]
+    for run in (made[0], made[1], made[0], made[0]):
+        frames.append_manifest(run, path)
+    rows = frames.read_manifest(spark, path).collect()
+    assert sorted(r.params["k"] for r in rows) == ["1", "2"] and len({r.run_id for r in rows}) == 2
+    assert {r.params["k"]: r.started for r in rows}["1"] > {r.params["k"]: r.started for r in rows}["2"]
+    with pytest.raises(ValueError):
+        frames.append_manifest(made[0].drop("params"), path)
+
+
+def test_the_sink_writes_few_bounded_files(spark, tmp_path, monkeypatch):
+    """Files follow the rows, not the tasks or the stacks; a long stack is written by several tasks."""
+    rows = [(s, f, datetime(2024, 1, 1), 1, 1, "uint8", [float(f)]) for s in range(40) for f in range(4)] + [(99, f, datetime(2024, 1, 1), 1, 1, "uint8", [0.0]) for f in range(1000)]
+    df = spark.createDataFrame(rows, schema.FRAMES).repartition(16)
+    monkeypatch.setattr(stacks, "FOLDERS", 4)
+    monkeypatch.setattr(stacks, "CHUNK", 250)
+    stacks.write_frames(df, str(tmp_path / "out"), rows=200)
+    files = list((tmp_path / "out").glob("stacks=*/*.parquet"))
+    assert len(files) <= 4 + 4 * 2
+    sizes = [spark.read.parquet(str(f)).count() for f in files]
+    assert max(sizes) <= 200 and sum(sizes) == len(rows)
+    got = stacks.read_frames(spark, str(tmp_path / "out"))
+    assert got.columns == df.columns and sorted(got.select("stack_id", "frame").collect()) == sorted(df.select("stack_id", "frame").collect())
+
+
+def test_large_frames_come_back_from_their_pixels(spark):
+    import time
+
+    a = rng(51).random((512, 512))
+    px = frames.to_pixels(stack(spark, [a])).where("y <> 5 or x <> 7")
+    px = px.union(spark.createDataFrame([(1, 0, 5, 7, 3.0), (1, 0, 5, 7, 9.0), (1, 0, 5, 7, 4.0)], schema.PIXELS)).repartition(4)
+    frames.from_pixels(px.limit(10)).collect()
+    start = time.time()
+    (row,) = frames.from_pixels(px).collect()
+    assert time.time() - start < 20
+    a[5, 7] = 9.0
+    assert np.array_equal(image(row), a)
+
+
+def test_labels_with_very_many_borders(spark):
+    """Tiles of three pixels through stripes and a frame around them: more than 10,000 border labels, one region."""
+    a = np.zeros((150, 150))
+    a[:, ::2] = 1
+    a[0] = a[-1] = 1
+    b = np.zeros((150, 150))
+    b[::2, ::2] = 1
+    f = stack(spark, [a, b])
+    whole = {r.frame: image(r) for r in regions.label_regions(f).collect()}
+    tiled = {r.frame: image(r) for r in regions.label_regions(f, tile=3).collect()}
+    assert all(np.array_equal(whole[k], tiled[k]) for k in (0, 1)) and set(np.unique(whole[0])) == {-1.0, 0.0} and len(np.unique(whole[1])) == 75 * 75 + 1
+
+
+@pytest.mark.parametrize("factor", [10, 20])
+def test_shifts_by_a_factor(spark, factor):
+    """A periodic image moved by tenths of a pixel through its spectrum, with noise and NaN; a constant image has no shift to refine."""
+    r = rng(61)
+    base = np.fft.ifft2(np.fft.fft2(r.normal(size=(32, 40))) * np.exp(-20 * (np.fft.fftfreq(32)[:, None] ** 2 + np.fft.fftfreq(40)[None] ** 2))).real
+    planted = [(0.3, -0.6), (1.7, 0.4), (-2.1, 2.9), (0.0, 0.1)]
+    images = [base]
+    for dy, dx in planted:
+        phase = np.exp(-2j * np.pi * (dy * np.fft.fftfreq(32)[:, None] + dx * np.fft.fftfreq(40)[None]))
+        images.append(np.fft.ifft2(np.fft.fft2(base) * phase).real + r.normal(0, 1e-4, base.shape))
+    images[2][3, 4] = np.nan
+    frames_ = stack(spark, images).union(stack(spark, [np.ones((8, 8))] * 2, 2))
+    got = {(x.stack_id, x.frame): (x.dy, x.dx, x.ncc) for x in drift.pair_shifts(frames_, 4, upsample=factor, against="first").collect()}
+    for k, want in enumerate(planted, 1):
+        assert np.allclose(got[1, k][:2], want, atol=1 / factor / 2 + 1e-9)
+    assert got[2, 1][2] is None
+
+
+def test_origin_of_a_stack_near_the_cell_edge(spark):
+    """Fractions around 0 and 1 belong together; atoms are displaced, missing and out of order in different frames; the lattice is oblique."""
+    a, b = np.array([9.0, 2.0]), np.array([-1.0, 11.0])
+    r = rng(71)
+    rows, want = [], {}
+    for f in range(3):
+        for i in range(6):
+            for j in range(5):
+                if (i, j) == (0, 0) and f != 1 or r.random() < 0.1:
+                    continue
+                d = r.normal(0, 0.3, 2)
+                y, x = np.array([0.02, -0.03]) + (i - 2) * a + (j - 2) * b + d
+                k = len(rows)
+                rows.append((7, f, k, float(y), float(x), 1.0))
+                want[k] = (i, j, *d)
+    pts = spark.createDataFrame(rows, schema.POINTS)
+    lattice = spark.createDataFrame([(7, *map(float, (*a, *b)))], "stack_id long, ay double, ax double, by double, bx double")
+    got = strain.displacement(pts, lattice, origin="stack").collect()
+    mean = np.mean([[x.uy - want[x.point_id][2], x.ux - want[x.point_id][3]] for x in got], 0)
+    assert len(got) == len(rows) and np.abs(mean).max() < 0.2
+    for x in got:
+        i, j, dy, dx = want[x.point_id]
+        assert (x.ia, x.ib) == (i, j) and np.allclose([x.uy, x.ux], [dy, dx] + mean, atol=1e-9)
+    with pytest.raises(ValueError):
+        strain.displacement(pts, lattice, origin="frame")
+
+
+def test_templates_in_blocks_equal_the_whole_bank(spark):
+    r = rng(81)
+    table = r.normal(size=(23, 9))
+    table[11] = table[4]  # a tie between blocks goes to the smaller id
+    table[20] = 5.0
+    templates = spark.createDataFrame([(k, [float(v) for v in t]) for k, t in enumerate(table)], "template_id int, px array<double>")
+    patterns = spark.createDataFrame([(k, [float(v) for v in t]) for k, t in enumerate([*table[[4, 7]], *r.normal(size=(20, 9)), np.ones(9)])], "pos long, px array<double>")
+    whole = sorted((x.pos, x.rank, x.template_id, round(x.score, 9)) for x in fourd.orientation(patterns, templates, 3).collect())
+    for values in (9, 45, 100):
+        assert sorted((x.pos, x.rank, x.template_id, round(x.score, 9)) for x in fourd.orientation(patterns, templates, 3, values=values).collect()) == whole
+    assert whole[0][:3] == (0, 1, 4) and whole[1][:3] == (0, 2, 11)
