@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,37 +46,40 @@ A1_SQL = f"WITH {fx.LATTICE_SQL} SELECT stack_id, frame, {SUMS}, 24::INT AS heig
 
 
 def _files(spark: SparkSession, sf: str, broken: bool) -> str:
-    """A folder of npy files, one for each stack, named by it, and one that is cut off, if wanted."""
-    folder = new_path(spark, "stacks").removeprefix("file://").removeprefix("file:")
+    """A folder of npy files, one for each stack, named by it, and one that is cut off, if wanted; written to the shared folder's own store, whatever it is."""
+    folder = new_path(spark, "stacks")
+    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
+        store, at = pyarrow.fs.FileSystem.from_uri(uri)
+        store.create_dir(at)
         part = part.sort_values("frame")
         data = stacks.npy_bytes(np.stack([np.asarray(p).reshape(24, 24) for p in part["px"]]).astype(np.uint8))
-        os.makedirs(folder, exist_ok=True)
-        at = int(part["stack_id"].iloc[0])
-        for name, held in [(f"stack-{at:012d}.npy", data), *([("broken-7.npy", data[:100])] if broken and at == 7 else [])]:
-            with open(f"{folder}/{name}", "wb") as f:
+        stack = int(part["stack_id"].iloc[0])
+        for name, held in [(f"stack-{stack:012d}.npy", data), *([("broken-7.npy", data[:100])] if broken and stack == 7 else [])]:
+            with store.open_output_stream(f"{at}/{name}") as f:
                 f.write(held)
-        return pd.DataFrame({"stack_id": [at]})
+        return pd.DataFrame({"stack_id": [stack]})
 
     fx.lattice(spark, sf).groupBy("stack_id").applyInPandas(pack, "stack_id long").count()
     return folder
 
 
-@query("a1_read_stacks", A1_SQL)
+@query("a1_read_stacks", A1_SQL + " UNION ALL SELECT 7, NULL, NULL, NULL, NULL, NULL, NULL")
 def a1(spark: SparkSession, sf: str) -> DataFrame:
-    """A folder of npy files, one of them broken, read by Spark and decoded; the error row names the broken one."""
-    found, errors = stacks.read_stacks(spark, _files(spark, sf, True), stack_id=F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long"))
-    if [(r.stack_id, "broken" in r.path) for r in errors.select("stack_id", "path").collect()] != [(7, True)]:
-        raise ValueError("the broken file has no error row, or a whole one has")
-    return rounded(summed(found, "height", "dtype"))
+    """A folder of npy files, one of them broken, read by Spark and decoded once; the broken one is a row without a frame."""
+    files = stacks.stack_files(spark, _files(spark, sf, True), stack_id=F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long"))
+    found = stacks.decoded(files)
+    digest = summed(found, "height", "dtype", "error")
+    return rounded(digest.select("stack_id", "frame", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("n", "total", "weighted", "height", "dtype"))))
 
 
 @query("a1_read_ranges", A1_SQL)
 def a1_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """The same files by frame ranges, four frames a task; a file's place in the listing is its stack, as suppliers count from 0."""
+    """The same files by frame ranges, four frames a task, each stack's number in its file's name."""
     large.register(spark)
-    found = spark.read.format("npy_frames").option("path", _files(spark, sf, False)).option("frames", 4).load()
+    folder = _files(spark, sf, False).removeprefix("file://").removeprefix("file:")
+    found = spark.read.format("npy_frames").option("path", folder).option("frames", 4).option("stack", r"(\d+)\.npy$").load()
     return rounded(summed(found, "height", "dtype"))
 
 

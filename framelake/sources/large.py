@@ -4,16 +4,20 @@ For stacks on a file system that all executors mount; where only Spark reaches t
 `stacks.read_stacks`. Register once per session with `register(spark)`, then
 
     spark.read.format("npy_frames").option("path", folder).option("frames", 16).load()
+
+stack_id is that of `stacks.stack_of`, or with the option "stack" the number in that pattern's first group.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import re
 from collections.abc import Iterator
 from datetime import timedelta
 
 import numpy as np
+import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,15 +33,21 @@ class Range(InputPartition):
 
 class NpyReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.frames = options["path"], int(options.get("frames", 16))
+        self.folder, self.frames, self.pattern = options["path"], int(options.get("frames", 16)), options.get("stack")
+
+    def stack(self, path: str) -> int:
+        if self.pattern:
+            return int(re.search(self.pattern, path)[1])
+        value = xxhash.xxh64_intdigest(os.path.abspath(path).encode(), 42)  # as Spark's xxhash64
+        return value - (1 << 64) if value >> 63 else value
 
     def partitions(self) -> list[Range]:
-        """Only headers are read here. stack_id is the file's place in the sorted listing."""
+        """Only headers are read here."""
         out = []
-        for k, path in enumerate(sorted(glob.glob(os.path.join(self.folder, "*.npy")))):
+        for path in sorted(glob.glob(os.path.join(self.folder, "*.npy"))):
             shape = np.load(path, mmap_mode="r", allow_pickle=False).shape
             n = shape[0] if len(shape) == 3 else 1
-            out += [Range(path, k, i, min(n, i + self.frames)) for i in range(0, n, self.frames)]
+            out += [Range(path, self.stack(path), i, min(n, i + self.frames)) for i in range(0, n, self.frames)]
         return out
 
     def read(self, part: Range) -> Iterator[tuple]:

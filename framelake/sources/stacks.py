@@ -39,8 +39,13 @@ def decode_npy(data: bytes) -> Iterator[tuple[int, datetime, int, int, str, np.n
         yield k, EPOCH + timedelta(seconds=k), frame.shape[0], frame.shape[1], np.dtype(head["descr"]).name, frame
 
 
-def decode_stacks(files: DataFrame, decoder: Decoder = decode_npy) -> tuple[DataFrame, DataFrame]:
-    """Frames and errors of a table of files (stack_id, path, content); a file that cannot be decoded gives one error row and no frames."""
+def stack_of(path: Column | str) -> Column:
+    """The stack_id of a file: a hash of its path without the scheme of local files, so that it depends neither on the listing nor on the reader."""
+    return F.xxhash64(F.regexp_replace(path, "^file:/*", "/"))
+
+
+def decoded(files: DataFrame, decoder: Decoder = decode_npy) -> DataFrame:
+    """Frames of a table of files (stack_id, path, content), each with its path, and one row with an error and no frame for a file that cannot be decoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -56,18 +61,25 @@ def decode_stacks(files: DataFrame, decoder: Decoder = decode_npy) -> tuple[Data
                 yield pd.DataFrame(found, columns=["stack_id", "frame", "ts", "height", "width", "dtype", "px", "path", "error"])
 
     out = "stack_id long, frame long, ts timestamp, height int, width int, dtype string, px array<double>, path string, error string"
-    both = files.select("stack_id", "path", "content").mapInPandas(run, out)
+    return files.select("stack_id", "path", "content").mapInPandas(run, out)
+
+
+def decode_stacks(files: DataFrame, decoder: Decoder = decode_npy) -> tuple[DataFrame, DataFrame]:
+    """Frames and errors of a table of files as two tables; using both decodes the files twice, `decoded` once."""
+    both = decoded(files, decoder)
     names = ["stack_id", "frame", "ts", "height", "width", "dtype", "px"]
     return both.where("error is null").select(*names), both.where("error is not null").select("stack_id", "path", "error")
 
 
-def read_stacks(spark: SparkSession, path: str, decoder: Decoder = decode_npy, pattern: str = "*.npy", stack_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Frames and errors of a folder of files. A file's stack_id is a long made of its `path`: a hash, so that it does not depend on listing order, unless an expression is given.
-
-    A file is read whole by one task; for large .npy files on a mounted file system see `large`, which reads frame ranges.
-    """
+def stack_files(spark: SparkSession, path: str, pattern: str = "*.npy", stack_id: Column | None = None) -> DataFrame:
+    """A folder's files as `decoded` takes them; stack_id is `stack_of` the path, unless an expression is given. A file is read whole by one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return decode_stacks(files.select((F.xxhash64("path") if stack_id is None else stack_id).alias("stack_id"), "path", "content"), decoder)
+    return files.select((stack_of("path") if stack_id is None else stack_id).alias("stack_id"), "path", "content")
+
+
+def read_stacks(spark: SparkSession, path: str, decoder: Decoder = decode_npy, pattern: str = "*.npy", stack_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Frames and errors of a folder of files, see `stack_files`. For large .npy files on a mounted file system see `large`, which reads frame ranges."""
+    return decode_stacks(stack_files(spark, path, pattern, stack_id), decoder)
 
 
 #: Folders of a frame sink, and frame numbers of a stack that are written by one task.

@@ -2,6 +2,7 @@
 
 import functools
 import operator
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Where none is set, a local session gets a temporary folder; a cluster's raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="framelake-")
         _own[spark.sparkContext.applicationId] = found

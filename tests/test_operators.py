@@ -55,7 +55,9 @@ def test_large_files_are_read_by_ranges(spark, tmp_path):
     np.save(tmp_path / "b.npy", b)
     large.register(spark)
     df = spark.read.format("npy_frames").option("path", str(tmp_path)).option("frames", 3).load()
-    got = {(r.stack_id, r.frame): (image(r), r.dtype) for r in df.collect()}
+    of = {r.path.rsplit("/", 1)[1]: r.stack_id for r in stacks.stack_files(spark, str(tmp_path)).select("path", "stack_id").collect()}
+    places = {of["a.npy"]: 0, of["b.npy"]: 1}  # both readers name a file alike
+    got = {(places[r.stack_id], r.frame): (image(r), r.dtype) for r in df.collect()}
     assert len(got) == 8 and df.rdd.getNumPartitions() == 4
     assert all((got[0, k][0] == a[k]).all() for k in range(7)) and (got[1, 0][0] == b).all() and got[1, 0][1] == "uint8"
 
