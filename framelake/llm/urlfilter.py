@@ -56,6 +56,10 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
     return rule, verdict
 
 
+#: What stands for variable segments; a literal segment of that name is written with its first letter percent-encoded.
+MARKS = ("~", "*", "{n}", "{date}", "{hex}", "{slug}")
+
+
 def generalised(segment: Column) -> Column:
     """The form of a segment that is variable by its looks, or the segment."""
     ends = F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1)
@@ -67,7 +71,8 @@ def generalised(segment: Column) -> Column:
         .when(stem.rlike(r"\d{2,}") | (F.length(stem) > 40), "{slug}")
         .otherwise(stem)
     )
-    return F.concat(form, F.lower(ends))
+    literal = F.concat(F.lit("%"), F.hex(F.substr(segment, F.lit(1), F.lit(1))), F.substr(segment, F.lit(2)))
+    return F.when(segment.isin(*MARKS), literal).otherwise(F.concat(form, F.lower(ends)))
 
 
 def templates(urls: DataFrame, least: int = 10, variety: float = 0.5, alike: float = 0.7, weight: float = 5.0) -> DataFrame:
@@ -156,10 +161,11 @@ DEPTH = 4
 
 def _oracle() -> str:
     """The same judgement in DuckDB SQL, level by level."""
-    form = "(CASE WHEN regexp_matches({m}, '^\\d+$') THEN '{{n}}' WHEN regexp_matches({m}, '^\\d{{4}}-\\d{{1,2}}(-\\d{{1,2}})?$') THEN '{{date}}' WHEN regexp_matches({m}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({m}, '\\d') THEN '{{hex}}' WHEN regexp_matches({m}, '\\d{{2,}}') OR length({m}) > 40 THEN '{{slug}}' ELSE {m} END || lower({e}))"
+    marks = ", ".join(f"'{m}'" for m in MARKS).replace("{", "{{").replace("}", "}}")
+    form = "(CASE WHEN {s} IN (" + marks + ") THEN '%' || hex(substr({s}, 1, 1)) || substr({s}, 2) ELSE CASE WHEN regexp_matches({m}, '^\\d+$') THEN '{{n}}' WHEN regexp_matches({m}, '^\\d{{4}}-\\d{{1,2}}(-\\d{{1,2}})?$') THEN '{{date}}' WHEN regexp_matches({m}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({m}, '\\d') THEN '{{hex}}' WHEN regexp_matches({m}, '\\d{{2,}}') OR length({m}) > 40 THEN '{{slug}}' ELSE {m} END || lower({e}) END)"
     ends = lambda d: f"regexp_extract(seg[{d}], '(\\.[A-Za-z]{{1,5}})$', 1)"
     stem = lambda d: f"substr(seg[{d}], 1, length(seg[{d}]) - length({ends(d)}))"
-    segments = ", ".join(f"coalesce({form.format(m=stem(d), e=ends(d))}, '') AS s{d}" for d in range(1, DEPTH + 1))
+    segments = ", ".join(f"coalesce({form.format(s=f"seg[{d}]", m=stem(d), e=ends(d))}, '') AS s{d}" for d in range(1, DEPTH + 1))
     fits = lambda rule: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}'))".format(*rule.split("/", 1))
     ordered_rules = sorted(RULES, key=lambda r: -len(r[0]))
     case = lambda at: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[at]}'" for r in ordered_rules) + " END"

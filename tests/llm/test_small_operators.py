@@ -182,6 +182,24 @@ def test_templates_generalise_and_reject_by_purity(spark):
     assert urlfilter.judge(pages.limit(0)).collect() == []
 
 
+def test_tree_blocks_urls_without_a_rule_at_the_registered_settings(spark):
+    """The rules label most of one host and a part of others; the rest of the first host is blocked by its purity."""
+    rows = [(i, f"http://www.example.com/de/page/{i}") for i in range(200)] + [(1000 + i, f"http://www.example.com/shop/{'abc'[i % 3]}/{i}") for i in range(30)]
+    rows += [(2000 + i, f"http://clean.example.org/{'fr' if i < 100 else 'it'}/page/{i}") for i in range(150)] + [(3000 + i, f"http://plain.test/page/{i}") for i in range(50)]
+    got = {x.page_id: x for x in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[1000 + i].rule is None and got[1000 + i].verdict == "block" and got[1000 + i].purity >= 0.7 for i in range(30))
+    assert all(got[k].verdict == "allow" for k in got if k >= 2000) and all(got[i].verdict == "block" for i in range(200))
+
+
+def test_literal_marks_do_not_meet_generalised_segments(spark):
+    rows = [(i, f"http://h.org/x/{i}") for i in range(40)] + [(100, "http://h.org/x/{n}"), (101, "http://h.org/~/1"), (102, "http://h.org/*/1"), (103, "http://h.org/%7E/1")]
+    rows += [(200 + i, f"http://h.org/v{chr(97 + i % 26)}{chr(97 + i // 26)}/1") for i in range(60)]
+    got = {x.page_id: x.template for x in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=()).collect()}
+    forms = {r[0]: r[1] for r in spark.createDataFrame([(m,) for m in urlfilter.MARKS], "m string").select("m", urlfilter.generalised(F.col("m"))).collect()}
+    assert forms == {"~": "%7E", "*": "%2A", "{n}": "%7Bn}", "{date}": "%7Bdate}", "{hex}": "%7Bhex}", "{slug}": "%7Bslug}"}
+    assert got[101] == got[103] and len(got) == len(rows)
+
+
 def test_segments_beyond_the_fourth_are_judged(spark):
     """Paths that agree in four segments and part in the fifth get templates and verdicts of their own."""
     rows = [(i, f"http://h.org/a/b/c/d/{'bad' if i % 2 else 'good'}/e/x{chr(97 + i % 5)}") for i in range(80)]
@@ -627,6 +645,21 @@ def test_gif_of_many_frames_is_bounded(spark, monkeypatch):
     assert sorted(tuple(r) for r in rows) == [(1, "the frames are too large together", 0), (2, None, 1)]
 
 
+def test_mixing_search_beyond_its_bits_keeps_the_last_sum(monkeypatch):
+    """Where the next search would not fit, the best sum of the one before is taken: never above the budget, never more than there is."""
+    r = random.Random(3)
+    lengths, counts = np.array(sorted(r.sample(range(5_000, 60_000), 40))) * 2 + 1, np.array([r.randint(1, 4) for _ in range(40)])
+    budget = int((lengths * counts).sum()) // 2 + 1
+    whole = mixing.fit(lengths, counts, budget)
+    for bits in (1, 1 << 16, 1 << 21, 1 << 24):
+        monkeypatch.setattr(mixing, "BITS", bits)
+        some = mixing.fit(lengths, counts, budget)
+        assert (some >= 0).all() and (some <= counts).all()
+        assert budget - 3 * mixing.FIT - int(lengths.max()) <= int((some * lengths).sum()) <= int((whole * lengths).sum()) <= budget
+    monkeypatch.setattr(mixing, "BITS", 1)
+    assert mixing._search(lengths, counts, np.zeros(40, np.int64), budget) is None
+
+
 # ---------------------------------------------------------------- repeated runs in tiling
 
 

@@ -40,6 +40,20 @@ def test_a_broken_chain_ends_the_file(spark, tmp_path):
     assert [r.offset for r in warc.read_warc(spark, str(tmp_path)).collect()] == [0]
 
 
+def test_broken_chains_are_named_with_their_offsets(spark, tmp_path):
+    """A chain that breaks in the middle, one that never starts, one cut off in its last record, whole files and an empty one."""
+    good = FAKE.replace("abc", "one")
+    middle = good + "WARC/1.1\r\nno length\r\n\r\n" + good
+    for name, text in (("middle", middle), ("never", "junk " + good), ("short", good + good[:-9]), ("whole", good * 3), ("empty", "")):
+        (tmp_path / f"{name}.warc").write_bytes(text.encode())
+    records, errors = warc.read_archives(spark, str(tmp_path))
+    found = {r.file.rsplit("/", 1)[1]: (r.offset, r.left) for r in errors.collect()}
+    n, m = len(good.encode()), len(middle.encode())
+    assert found["middle.warc"] == (n, m - n) and found["never.warc"] == (0, n + 5) and "whole.warc" not in found and "empty.warc" not in found
+    assert found["short.warc"][0] in (n, 2 * n) and len(found) == 3
+    assert sum(r.file.endswith("whole.warc") for r in records.select("file").collect()) == 3
+
+
 def test_an_empty_table(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string, _id int"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
