@@ -10,8 +10,8 @@ Defined results: a null payload is written as an empty one; a null or blank targ
 WARC-Target-URI; control characters and blanks in targets are percent-encoded; a null id has no
 WARC-Page-ID and reads back as null; rows with equal payloads and the same largest id are all
 responses; an empty table makes an archive without records, which reads back as no rows. A chain
-that meets no valid record ends there: what follows in that file is not returned. Payloads are
-text, so archives hold valid UTF-8; other columns of the input are ignored.
+that meets no valid record ends there: what follows in that file is no record, and `read_archives`
+names the file, the offset and the number of bytes left. Payloads are text, so archives hold valid UTF-8; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -114,6 +114,11 @@ def _jump(edges: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The true records: file, offset, record_type, record_id, target_uri, page_id, digest, refers_to, payload."""
+    return read_archives(spark, path)[0]
+
+
+def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The true records as `read_warc` gives them, and one row for each file whose chain does not end with the file: file, offset (where a valid record should start; beyond the file's end if the last record is cut off), left (bytes from there to the end, 0 or less if cut off)."""
     pieces = _pieces(spark, path)
     head = F.substring_index("value", END, 1)
     size = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*(\d{1,18})[ \t]*\r?$", 1)
@@ -154,6 +159,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     marked = cands.join(entries.withColumn("e", F.lit(True)), ["file", "at"], "left")
     marked = marked.select("file", "block", "at", F.col("next").cast("double").alias("next"), F.coalesce("e", F.lit(False)).alias("entry"))
     hits = cut(marked.groupBy("file", "block").applyInPandas(walk, "file string, block long, at long, hit boolean"))
+    true = hits.where("hit").join(cands.select("file", "block", "at", "next"), ["file", "block", "at"]).groupBy("file").agg(F.max("next").alias("offset"))
+    sizes = blocks.groupBy("file").agg((F.max(F.col("base") + F.col("total")) - step).alias("size"))
+    errors = sizes.join(true, "file", "left").withColumn("offset", F.coalesce("offset", F.lit(0).cast("long"))).where("offset <> size").select("file", "offset", (F.col("size") - F.col("offset")).alias("left"))
     last = hits.where("hit").groupBy("file", "block").agg(F.max("at").alias("last"))
     carried = blocks.join(last, ["file", "block"], "left").withColumn("carry", F.max("last").over(before)).select("file", "block", "base", "carry")
     upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -176,13 +184,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     records = whole.withColumn("head", head).withColumn("body", F.substr("value", F.length("head") + len(END) + 1))
     payload = F.substr("body", F.instr("body", END) + len(END))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    return records.select(
+    found = records.select(
         "file", F.col("owner").alias("offset"), _header("WARC-Type", F.col("head")).alias("record_type"), _header("WARC-Record-ID", F.col("head")).alias("record_id"),
         _header("WARC-Target-URI", F.col("head")).alias("target_uri"), _header("WARC-Page-ID", F.col("head")).cast("long").alias("page_id"),
         F.regexp_replace(_header("WARC-Payload-Digest", F.col("head")), "^sha1:", "").alias("digest"),
         F.when(number(_header("WARC-Refers-To", F.col("head"))) != "", number(_header("WARC-Refers-To", F.col("head"))).cast("long")).alias("refers_to"),
         F.when(F.length(payload) >= len(END), F.substr(payload, F.lit(1), F.length(payload) - len(END))).otherwise("").alias("payload"),
     )
+    return found, errors
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
