@@ -187,21 +187,18 @@ def peaks(a: np.ndarray, radius: int, threshold: float, border: int) -> list[np.
     return [np.argwhere(k) for k in ok]
 
 
-def window_at(a: np.ndarray, y: float, x: float, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def centroids(a: np.ndarray, y: float, x: float, r: int) -> np.ndarray:
+    """Intensity-weighted centre (n, 2) of the window of each image around the pixel nearest (y, x), its minimum taken off; (y, x) itself where nothing is left."""
     cy, cx = int(np.floor(y + 0.5)), int(np.floor(x + 0.5))
-    ys, xs = np.arange(max(0, cy - r), min(a.shape[0], cy + r + 1)), np.arange(max(0, cx - r), min(a.shape[1], cx + r + 1))
-    return ys, xs, a[np.ix_(ys, xs)]
-
-
-def centroid(a: np.ndarray, y: float, x: float, r: int) -> tuple[float, float]:
-    """Intensity-weighted centre of the window around (y, x), its minimum taken off."""
-    ys, xs, v = window_at(a, y, x, r)
-    v = v - np.nanmin(v)
-    v = np.where(np.isnan(v), 0, v)
-    total = v.sum()
-    if total <= 0:
-        return float(y), float(x)
-    return float((v.sum(1) * ys).sum() / total), float((v.sum(0) * xs).sum() / total)
+    ys, xs = np.arange(max(0, cy - r), min(a.shape[1], cy + r + 1)), np.arange(max(0, cx - r), min(a.shape[2], cx + r + 1))
+    v = a[:, ys[:, None], xs]
+    some = ~np.isnan(v)
+    low = np.where(some, v, np.inf).min((1, 2), initial=np.inf, keepdims=True)
+    v = np.where(some, v - np.where(np.isfinite(low), low, 0), 0)
+    total = v.sum((1, 2))
+    safe = np.where(total > 0, total, 1)
+    found = np.stack([(v.sum(2) * ys).sum(1) / safe, (v.sum(1) * xs).sum(1) / safe], 1)
+    return np.where(total[:, None] > 0, found, [float(y), float(x)])
 
 
 def demodulate(a: np.ndarray, gy: float, gx: float, sigma: float) -> np.ndarray:

@@ -37,14 +37,15 @@ def detect_peaks(frames: DataFrame, radius: int, threshold: float, border: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                a = np.asarray(row.px, float).reshape(1, row.h, row.w)
-                for y, x in kernels.peaks(a, radius, threshold, 0)[0]:
-                    gy, gx = y + row.y0, x + row.x0
-                    if gy // tile == row.ty and gx // tile == row.tx and border <= gy < row.height - border and border <= gx < row.width - border:
-                        rows.append((row.stack_id, row.frame, gy * row.width + gx, float(gy), float(gx), a[0, y, x]))
-            yield pd.DataFrame(rows, columns=["stack_id", "frame", "point_id", "y", "x", "intensity"])
+            for (h, w), part in pdf.groupby(["h", "w"], sort=False):
+                a = stacked(part, int(h), int(w))
+                found = kernels.peaks(a, radius, threshold, 0)
+                at, yx = np.repeat(np.arange(len(a)), [len(k) for k in found]), np.concatenate(found)
+                of = part.iloc[at]
+                y, x = yx[:, 0] + of["y0"].to_numpy(), yx[:, 1] + of["x0"].to_numpy()
+                own = (y // tile == of["ty"].to_numpy()) & (x // tile == of["tx"].to_numpy()) & (y >= border) & (x >= border) & (y < of["height"].to_numpy() - border) & (x < of["width"].to_numpy() - border)
+                made = pd.DataFrame({"stack_id": of["stack_id"].to_numpy(), "frame": of["frame"].to_numpy(), "point_id": y * of["width"].to_numpy() + x, "y": y.astype(float), "x": x.astype(float), "intensity": a[at, yx[:, 0], yx[:, 1]]})
+                yield made[own]
 
     return tiles.mapInPandas(run, "stack_id long, frame long, point_id long, y double, x double, intensity double")
 

@@ -56,16 +56,15 @@ def remove_plural(paired: DataFrame, sigma: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for core, low in zip(pdf["counts"], pdf["low_counts"], strict=True):
-                core, low = np.asarray(core, float), np.asarray(low, float)
-                n = max(len(core), len(low))
-                low = np.pad(low, (0, n - len(low)))
-                low = np.roll(low, -int(low.argmax()))
+            for (m, k), part in pdf.groupby([pdf["counts"].map(len), pdf["low_counts"].map(len)], sort=False):
+                core, low = (np.stack([np.asarray(v, float) for v in part[c]]) for c in ("counts", "low_counts"))
+                n = int(max(m, k))
+                low = np.pad(low, ((0, 0), (0, n - int(k))))
+                low = np.take_along_axis(low, (np.arange(n) + low.argmax(1)[:, None]) % n, 1)
                 f = np.fft.fft(low)
-                limit = np.exp(-2 * np.pi**2 * sigma**2 * np.fft.fftfreq(n) ** 2) * low.sum()
-                out.append(np.fft.ifft(np.fft.fft(np.pad(core, (0, n - len(core)))) * limit / np.where(np.abs(f) > 1e-12, f, 1e-12)).real[: len(core)])
-            yield pdf[keep].assign(counts=out)
+                limit = np.exp(-2 * np.pi**2 * sigma**2 * np.fft.fftfreq(n) ** 2) * low.sum(1, keepdims=True)
+                out = np.fft.ifft(np.fft.fft(core, n) * limit / np.where(np.abs(f) > 1e-12, f, 1e-12)).real[:, : int(m)]
+                yield part[keep].assign(counts=list(out))
 
     return paired.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "counts array<double>"]))
 

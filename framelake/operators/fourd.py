@@ -158,15 +158,14 @@ def disk_strain(patterns: DataFrame, g1: tuple[float, float], g2: tuple[float, f
     inverse = np.linalg.inv(np.array(reference, float).T)
 
     def kernel(a: np.ndarray, _) -> dict:
-        out = {k: [] for k in ("g1y", "g1x", "g2y", "g2x", "exx", "eyy", "exy", "rot")}
-        for image in a:
-            c = np.array(kernels.centroid(image, *centre, radius))
-            v = [np.array(kernels.centroid(image, centre[0] + g[0], centre[1] + g[1], radius)) - c for g in (g1, g2)]
-            d = np.array(v).T @ inverse  # measured = d @ reference, axes y, x
-            e = np.linalg.inv(d).T - np.eye(2) if abs(np.linalg.det(d)) > 1e-12 else np.full((2, 2), np.nan)
-            for k, x in zip(out, (*v[0], *v[1], e[1, 1], e[0, 0], (e[0, 1] + e[1, 0]) / 2, (e[0, 1] - e[1, 0]) / 2), strict=True):
-                out[k].append(float(x))
-        return out
+        c = kernels.centroids(a, *centre, radius)
+        v = np.stack([kernels.centroids(a, centre[0] + g[0], centre[1] + g[1], radius) - c for g in (g1, g2)], 2)  # (n, axes y and x, vectors)
+        d = v @ inverse  # measured = d @ reference
+        det = d[:, 0, 0] * d[:, 1, 1] - d[:, 0, 1] * d[:, 1, 0]
+        safe = np.where(np.abs(det) > 1e-12, det, np.nan)
+        # the inverse transpose of d, less the identity, by axes y and x
+        e = np.stack([d[:, 1, 1] / safe - 1, -d[:, 1, 0] / safe, -d[:, 0, 1] / safe, d[:, 0, 0] / safe - 1])
+        return {"g1y": v[:, 0, 0], "g1x": v[:, 1, 0], "g2y": v[:, 0, 1], "g2x": v[:, 1, 1], "exx": e[3], "eyy": e[0], "exy": (e[1] + e[2]) / 2, "rot": (e[1] - e[2]) / 2}
 
     return map_images(patterns, kernel, ", ".join(f"{k} double" for k in ("g1y", "g1x", "g2y", "g2x", "exx", "eyy", "exy", "rot")), POS, h="kh", w="kw")
 
