@@ -302,6 +302,25 @@ def e9(spark: SparkSession, sf: str) -> DataFrame:
     return hit.groupBy(*KEYS, "roi_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
+@query("e1_contrast_patchy", f"WITH {fx.PATCHY_SQL} SELECT stack_id, frame, {STATS} FROM patchy GROUP BY stack_id, frame")
+def e1_patchy(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of odd sizes with holes and gaps."""
+    return rounded(regions.contrast_stats(fx.patchy(spark, sf)))
+
+
+@query(
+    "d1_peaks_patchy",
+    f"""WITH {fx.PATCHY_SQL}, p AS (SELECT p.stack_id, p.frame, p.y, p.x, p.w, p.v FROM patchy p JOIN patchy q ON p.stack_id = q.stack_id AND p.frame = q.frame AND abs(p.y - q.y) <= 2 AND abs(p.x - q.x) <= 2
+    WHERE p.v > 70 GROUP BY ALL HAVING count(CASE WHEN (q.y, q.x) <> (p.y, p.x) AND (q.v > p.v OR (q.v = p.v AND (q.y < p.y OR (q.y = p.y AND q.x < p.x)))) THEN 1 END) = 0)
+    SELECT p.stack_id, p.frame, (p.y * p.w + p.x)::BIGINT AS point_id, p.v::DOUBLE AS intensity, sum(q.v)::DOUBLE AS sum, count(*)::BIGINT AS n FROM p JOIN patchy q ON p.stack_id = q.stack_id AND p.frame = q.frame AND (p.y-q.y)*(p.y-q.y) + (p.x-q.x)*(p.x-q.x) <= 4 GROUP BY ALL""",
+)
+def d1_patchy(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks and their disks in frames of odd sizes with holes, in tiles that do not divide them."""
+    f = fx.patchy(spark, sf)
+    pts = atoms.detect_peaks(f, 2, 70.0, tile=8)
+    return rounded(pts.select(*KEYS, "point_id", "intensity").join(atoms.atom_intensity(pts, f, 2.0, tile=8).select(*KEYS, "point_id", "sum", "n"), [*KEYS, "point_id"]))
+
+
 @query("e1_contrast_rois", f"WITH {fx.BLOBS_SQL}, r AS (SELECT * FROM blobs, (SELECT unnest([1, 2, 3]) AS roi_id) WHERE (roi_id = 1 AND y < 10 AND x < 10) OR (roi_id = 2 AND y < 6 AND x < 8 - y * 8 / 6.0) OR (roi_id = 3 AND ((y < 4 AND x < 2) OR (y < 2 AND x < 4)))) SELECT stack_id, frame, roi_id::BIGINT AS roi_id, {STATS} FROM r GROUP BY stack_id, frame, roi_id")
 def e1_rois(spark: SparkSession, sf: str) -> DataFrame:
     """Contrast in hand-drawn regions: their spans meet the packed rows of every frame."""

@@ -68,6 +68,21 @@ def _pixels_sql(name: str, value) -> str:
     return f"{name} AS (SELECT s AS stack_id, f AS frame, y, x, {value('s', 'f', 'y', 'x')} AS v FROM (SELECT s_suppkey::BIGINT AS s FROM supplier), (SELECT range AS f FROM range({FRAMES})), (SELECT range AS y FROM range({N})), (SELECT range AS x FROM range({N})))"
 
 
+#: Frames of odd sizes, with pixels that are no number and frame numbers that are missing.
+PATCHY_SIZE = "(15 + {s} % 4)", "(20 + {s} % 3)"
+PATCHY_HOLE, PATCHY_GONE = "({y}*7 + {x}*3 + {s} + {f}) % 11 = 0", "({s} + {f}) % 5 = 0"
+
+
+def patchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr(f"sequence(0L, {FRAMES - 1}L)")).alias("f")).where("not " + PATCHY_GONE.format(s="s", f="f"))
+    rows = spread(rows, "s", "f").selectExpr("s", "f", *(f"cast({n.format(s='s')} as int) {c}" for n, c in zip(PATCHY_SIZE, "hw", strict=True)))
+    y, x = "(i div w)", "(i % w)"
+    px = f"transform(sequence(0L, cast(h*w - 1 as long)), i -> CASE WHEN {PATCHY_HOLE.format(s='s', f='f', y=y, x=x)} THEN double('NaN') ELSE cast({lattice_value('s', 'f', y, x)} as double) END)"
+    return rows.select(F.col("s").alias("stack_id"), F.col("f").alias("frame"), F.expr("timestamp_seconds(1704067200 + f)").alias("ts"), F.col("h").alias("height"), F.col("w").alias("width"), F.lit("uint8").alias("dtype"), F.expr(px).alias("px"))
+
+
+PATCHY_SQL = f"patchy AS (SELECT s AS stack_id, f AS frame, h, w, y, x, {lattice_value('s', 'f', 'y', 'x')} AS v FROM (SELECT s_suppkey::BIGINT AS s, {PATCHY_SIZE[0].format(s='s_suppkey')} AS h, {PATCHY_SIZE[1].format(s='s_suppkey')} AS w FROM supplier), (SELECT range AS f FROM range({FRAMES})), (SELECT range AS y FROM range({N})), (SELECT range AS x FROM range({N})) WHERE y < h AND x < w AND NOT {PATCHY_GONE.format(s='s', f='f')} AND NOT {PATCHY_HOLE.format(s='s', f='f', y='y', x='x')})"
+
 LATTICE_SQL = _pixels_sql("lattice", lattice_value)
 BLOBS_SQL = _pixels_sql("blobs", blob_value)
 #: Planted shift from the previous frame, and the drift from the first.

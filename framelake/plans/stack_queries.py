@@ -284,6 +284,19 @@ def c6(spark: SparkSession, sf: str) -> DataFrame:
     return med.select(*KEYS, F.col("total").alias("median_total"), F.col("weighted").alias("median_weighted")).join(mean.select(*KEYS, (F.round("total", 3) + F.lit(0.0)).alias("mean_total")), KEYS)
 
 
+@query(
+    "c6_mean_patchy",
+    f"""WITH {fx.PATCHY_SQL}, {REFLECT}, s AS (SELECT DISTINCT stack_id, frame, h, w FROM patchy), c AS (SELECT s.*, y, x FROM s, (SELECT range AS y FROM range(24)), (SELECT range AS x FROM range(24)) WHERE y < h AND x < w),
+    n AS (SELECT stack_id, frame, y, x, w, (CASE WHEN y + dy < 0 THEN -y - dy - 1 WHEN y + dy >= h THEN 2*h - 1 - y - dy ELSE y + dy END) AS yy, (CASE WHEN x + dx < 0 THEN -x - dx - 1 WHEN x + dx >= w THEN 2*w - 1 - x - dx ELSE x + dx END) AS xx FROM c, o),
+    m AS (SELECT n.stack_id, n.frame, n.y, n.x, n.w, avg(p.v) AS v FROM n JOIN patchy p ON p.stack_id = n.stack_id AND p.frame = n.frame AND p.y = n.yy AND p.x = n.xx GROUP BY ALL)
+    SELECT stack_id, frame, count(*)::BIGINT AS n, round(sum(v), 3) + 0.0 AS total, round(sum(v * (y*w + x + 1)), 2) + 0.0 AS weighted FROM m GROUP BY ALL""",
+)
+def c6_patchy(spark: SparkSession, sf: str) -> DataFrame:
+    """Means over what is there, in frames of odd sizes with holes, edges mirrored."""
+    out = summed(filters.spatial_filter(fx.patchy(spark, sf), "mean", 3))
+    return out.select(*KEYS, "n", (F.round("total", 3) + F.lit(0.0)).alias("total"), (F.round("weighted", 2) + F.lit(0.0)).alias("weighted"))
+
+
 @query("c7_stretch", f"WITH {fx.BLOBS_SQL}, q AS (SELECT stack_id, frame, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.95) AS hi FROM blobs GROUP BY ALL), s AS (SELECT stack_id, frame, y, x, CASE WHEN hi > lo THEN greatest(0, least(1, (v - lo) / (hi - lo))) ELSE 0 END AS v FROM blobs JOIN q USING (stack_id, frame)) SELECT stack_id, frame, {SUMS} FROM s GROUP BY stack_id, frame")
 def c7(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(summed(filters.stretch(fx.blobs(spark, sf), 0.1, 0.95)))
