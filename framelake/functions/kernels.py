@@ -271,21 +271,30 @@ class SummedWindow:
 
 
 def components_of(mask: np.ndarray, eight: bool) -> np.ndarray:
-    """Labels of the connected regions of one mask: the least y * width + x in each; -1 outside."""
+    """Labels of the connected regions of one mask: the least y * width + x in each; -1 outside.
+
+    Rows are taken as runs of set pixels; runs that touch the row above are edges, and edges join the runs'
+    roots, always the earlier run, until every edge lies within one region.
+    """
     h, w = mask.shape
-    label = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    while True:
-        low = label.copy()
-        for dy, dx in steps:
-            a = (slice(0, h - dy), slice(max(0, -dx), w - max(0, dx)))
-            b = (slice(dy, h), slice(max(0, dx), w + min(0, dx)))
-            both = mask[a] & mask[b]
-            least = np.where(both, np.minimum(low[a], low[b]), h * w)
-            low[a] = np.where(both, np.minimum(low[a], least), low[a])
-            low[b] = np.where(both, np.minimum(low[b], least), low[b])
-        flat = np.append(low.ravel(), h * w)
-        low = np.where(mask, np.minimum(low, flat[low]), h * w)
-        if (low == label).all():
-            return np.where(mask, label, -1)
-        label = low
+    wide = w + 2
+    step = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, x0), x1 = np.nonzero(step == 1), np.nonzero(step == -1)[1]
+    begin, end, slack = row * wide + x0, row * wide + x1, int(eight)
+    first, last = np.searchsorted(end, begin - wide - slack, "right"), np.searchsorted(begin, end - wide + slack)
+    n = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    root = np.arange(len(row))
+    while len(a):
+        p, q = root[a], root[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root != root[root]).any():
+            root = root[root]
+    out = np.full(h * w, -1)
+    size = x1 - x0
+    at = np.repeat(row * w + x0 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    out[at] = np.repeat((row * w + x0)[root], size)
+    return out.reshape(h, w)
