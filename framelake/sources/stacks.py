@@ -89,17 +89,19 @@ FOLDERS, CHUNK = 32, 256
 def write_frames(frames: DataFrame, out: str, inputs: list[str] = (), rows: int = 4096) -> None:
     """Writes Parquet; refuses an output that is, holds or lies in an input.
 
-    Stacks share FOLDERS folders, dealt by a hash, and a folder's frames of CHUNK numbers are written together,
-    in order of stack and frame, in files of at most `rows` rows. So the number of files follows the rows, not
-    the tasks or the stacks, and no long stack is one task. A stack's rows lie in one folder.
+    Stacks share FOLDERS folders, dealt by a hash, so that a stack's rows lie in one folder. A folder's rows are
+    written by several tasks, the more the session's shuffle partitions are; each takes whole runs of CHUNK frame
+    numbers of some stacks, in order, so that no long stack is one task. Little data comes to few tasks, as
+    Spark joins small partitions: files follow the rows, at most `rows` of them each, not the tasks or stacks.
     """
     schema.require(frames, schema.FRAMES)
     clean = lambda p: p.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
     for path in inputs:
         if clean(out).startswith(clean(path)) or clean(path).startswith(clean(out)):
             raise ValueError(f"output {out} and input {path} overlap")
+    parts = max(4, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FOLDERS)
     dealt = frames.withColumn("stacks", F.pmod(F.xxhash64("stack_id"), F.lit(FOLDERS)).cast("int"))
-    dealt = dealt.repartition("stacks", F.floor(F.col("frame") / CHUNK)).sortWithinPartitions("stacks", "stack_id", "frame")
+    dealt = dealt.repartition("stacks", F.pmod(F.xxhash64("stack_id", F.floor(F.col("frame") / CHUNK)), F.lit(parts))).sortWithinPartitions("stacks", "stack_id", "frame")
     dealt.write.mode("errorifexists").option("maxRecordsPerFile", rows).partitionBy("stacks").parquet(out)
 
 
