@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import map_images, stacked
-from ..storage import cut, small
+from ..storage import cut, meet, small
 from .atoms import near_pairs
 from .filters import power_spectrum
 
@@ -93,7 +93,7 @@ def gpa_phase(frames: DataFrame, g: tuple[float, float], sigma: float) -> DataFr
 
 def gpa_strain(phase1: DataFrame, phase2: DataFrame, g1: tuple[float, float], g2: tuple[float, float]) -> DataFrame:
     """exx, eyy, exy, rot images: displacement gradient e = -(1 / 2 pi) G^-1 grad phase."""
-    both = phase1.join(phase2.select(*KEYS, F.col("phase").alias("phase2")), KEYS)
+    both = meet(phase1, phase2.select(*KEYS, F.col("phase").alias("phase2")), KEYS)
     inverse = np.linalg.inv(2 * np.pi * np.array([g1, g2], float))  # rows: y, x
 
     def kernel(p1: np.ndarray, part: pd.DataFrame) -> dict:

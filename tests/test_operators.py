@@ -636,3 +636,18 @@ def test_templates_in_blocks_equal_the_whole_bank(spark):
     for values in (9, 45, 100):
         assert sorted((x.pos, x.rank, x.template_id, round(x.score, 9)) for x in fourd.orientation(patterns, templates, 3, values=values).collect()) == whole
     assert whole[0][:3] == (0, 1, 4) and whole[1][:3] == (0, 2, 11)
+
+
+# ---------------------------------------------------------------- joins at size
+
+
+def sent(df):
+    """The number of sides that the plan of a table sends through the driver."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_phase_images_are_not_sent_through_the_driver(spark):
+    waves = fx.waves(spark, SF)
+    out = strain.gpa_strain(strain.gpa_phase(waves, (0.0, 1 / 6), 3.0), strain.gpa_phase(waves, (1 / 6, 0.0), 3.0), (0.0, 1 / 6), (1 / 6, 0.0))
+    assert sent(out) == 0
+    assert out.count() == waves.count()
