@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import explode_images, long_form, stacked
+from ..storage import meet
 from .frames import to_tiles
 
 KEYS = ["stack_id", "frame"]
@@ -33,7 +34,7 @@ def detect_peaks(frames: DataFrame, radius: int, threshold: float, border: int =
             return pd.DataFrame({"stack_id": part["stack_id"].to_numpy()[at], "frame": part["frame"].to_numpy()[at], "point_id": yx[:, 0] * a.shape[2] + yx[:, 1], "y": yx[:, 0].astype(float), "x": yx[:, 1].astype(float), "intensity": a[at, yx[:, 0], yx[:, 1]]})
 
         return explode_images(frames, kernel, "stack_id long, frame long, point_id long, y double, x double, intensity double", KEYS)
-    tiles = to_tiles(frames, tile, radius).join(frames.select(*KEYS, "height", "width"), KEYS)
+    tiles = meet(to_tiles(frames, tile, radius), frames.select(*KEYS, "height", "width"), KEYS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -65,12 +66,12 @@ def _windows(points: DataFrame, frames: DataFrame, reach: int, kernel: Callable[
         keys = KEYS
     else:
         size = frames.select(*KEYS, "height", "width")
-        images = to_tiles(frames, tile, reach).join(size, KEYS).drop("halo")
+        images = meet(to_tiles(frames, tile, reach), size, KEYS).drop("halo")
         owner = lambda c, n: F.expr(f"cast(greatest(0, least({n} - 1, floor(_p.{c} + 0.5D))) div {tile} as int)")
-        named = named.join(size, KEYS).select(*KEYS, owner("y", "height").alias("ty"), owner("x", "width").alias("tx"), "_p")
+        named = meet(named, size, KEYS).select(*KEYS, owner("y", "height").alias("ty"), owner("x", "width").alias("tx"), "_p")
         keys = [*KEYS, "ty", "tx"]
     listed = named.groupBy(*keys).agg(F.collect_list("_p").alias("_p")).select(*keys, *(F.col(f"_p.{c}").alias(f"_{c}") for c in columns))
-    both = images.join(listed, keys).select(*KEYS, "height", "width", "y0", "x0", "h", "w", "px", *(f"_{c}" for c in columns))
+    both = meet(images, listed, keys).select(*KEYS, "height", "width", "y0", "x0", "h", "w", "px", *(f"_{c}" for c in columns))
     dy, dx = (d.ravel() for d in np.mgrid[-reach : reach + 1, -reach : reach + 1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +178,7 @@ def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> Dat
     left = left.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumn("gy", F.col("gy") + F.col("_i")).withColumn("gx", F.col("gx") + F.col("_j")).drop("_i", "_j")
     right = b.select(*keys, F.struct(*[c for c in b.columns if c not in keys]).alias("b")).withColumn("gy", F.floor(F.col("b.y") / reach)).withColumn("gx", F.floor(F.col("b.x") / reach))
     d = F.sqrt((F.col("a.y") - F.col("b.y")) ** 2 + (F.col("a.x") - F.col("b.x")) ** 2)
-    return left.join(right, [*keys, "gy", "gx"]).withColumn("d", d).where(F.col("d") <= reach).drop("gy", "gx")
+    return meet(left, right, [*keys, "gy", "gx"]).withColumn("d", d).where(F.col("d") <= reach).drop("gy", "gx")
 
 
 def score_detections(pred: DataFrame, truth: DataFrame, max_dist: float) -> DataFrame:
@@ -185,5 +186,6 @@ def score_detections(pred: DataFrame, truth: DataFrame, max_dist: float) -> Data
     pairs = near_pairs(pred.select(*KEYS, "point_id", "y", "x"), truth.select(*KEYS, "point_id", "y", "x"), KEYS, max_dist)
     first = lambda own, other: F.row_number().over(Window.partitionBy(*KEYS, f"{own}.point_id").orderBy("d", f"{other}.point_id"))
     hits = pairs.withColumn("_p", first("a", "b")).withColumn("_t", first("b", "a")).where("_p = 1 and _t = 1").groupBy("stack_id").agg(F.count(F.lit(1)).alias("tp"), F.avg("d").alias("mean_error"))
-    n = pred.groupBy("stack_id").agg(F.count(F.lit(1)).alias("np")).join(truth.groupBy("stack_id").agg(F.count(F.lit(1)).alias("nt")), "stack_id", "full_outer").join(hits, "stack_id", "left").fillna(0, ["np", "nt", "tp"])
+    n = meet(pred.groupBy("stack_id").agg(F.count(F.lit(1)).alias("np")), truth.groupBy("stack_id").agg(F.count(F.lit(1)).alias("nt")), "stack_id", "full_outer")
+    n = meet(n, hits, "stack_id", "left").fillna(0, ["np", "nt", "tp"])
     return n.select("stack_id", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"), F.when(F.col("np") > 0, F.col("tp") / F.col("np")).alias("precision"), F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")).alias("recall"), "mean_error")

@@ -651,3 +651,13 @@ def test_phase_images_are_not_sent_through_the_driver(spark):
     out = strain.gpa_strain(strain.gpa_phase(waves, (0.0, 1 / 6), 3.0), strain.gpa_phase(waves, (1 / 6, 0.0), 3.0), (0.0, 1 / 6), (1 / 6, 0.0))
     assert sent(out) == 0
     assert out.count() == waves.count()
+
+
+def test_points_and_their_pairs_are_not_sent_through_the_driver(spark):
+    pts = fx.points(spark, SF)
+    assert sent(atoms.near_pairs(pts, pts, ["stack_id", "frame"], 2.0)) == 0
+    assert sent(atoms.score_detections(pts, pts, 2.0)) == 0
+    pairs = strain.peak_pairs(pts, (10.0, 0.0), (0.0, 10.0), 2.0)
+    lattice = strain.fit_lattice(pts, pairs)
+    assert sent(lattice) == 0
+    assert sent(strain.displacement(pts, lattice)) == sent(strain.pair_strain(pairs, lattice, pts)) == 1  # the counted table of lattices
