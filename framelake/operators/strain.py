@@ -34,7 +34,7 @@ def peak_pairs(points: DataFrame, a: tuple[float, float], b: tuple[float, float]
 
 def fit_lattice(points: DataFrame, pairs: DataFrame, region: str = "true") -> DataFrame:
     """Mean vectors per stack over pairs whose point fulfils `region` (SQL over the point's columns): ay, ax, by, bx and the numbers of pairs."""
-    ref = pairs.join(points.where(region).select(*KEYS, "point_id"), [*KEYS, "point_id"])
+    ref = meet(pairs, points.where(region).select(*KEYS, "point_id"), [*KEYS, "point_id"])
     mean = lambda c, k: F.avg(F.when(F.col("axis") == k, F.col(c)))
     return ref.groupBy("stack_id").agg(mean("dy", 1).alias("ay"), mean("dx", 1).alias("ax"), mean("dy", 2).alias("by"), mean("dx", 2).alias("bx"), F.count(F.when(F.col("axis") == 1, 1)).alias("n_a"), F.count(F.when(F.col("axis") == 2, 1)).alias("n_b"))
 
@@ -47,11 +47,11 @@ def displacement(points: DataFrame, lattice: DataFrame, origin: str = "first") -
     atom need be there or in place; the stack's least indices are 0. Only one row a stack is gathered.
     A stack without a lattice has no rows; one whose vectors are parallel is null.
     """
-    known = F.broadcast(lattice) if lattice.count() <= 200_000 else lattice
+    known = small(cut(lattice))
     det = F.col("ay") * F.col("bx") - F.col("ax") * F.col("by")
     if origin == "first":
         first = points.groupBy(*KEYS).agg(F.min(F.struct("y", "x")).alias("o"))
-        p = points.join(first, KEYS).join(known, "stack_id")
+        p = meet(points, first, KEYS).join(known, "stack_id")
         dy, dx = F.col("y") - F.col("o.y"), F.col("x") - F.col("o.x")
         p = p.withColumn("_d", F.when(det != 0, det)).withColumn("ia", F.round((dy * F.col("bx") - dx * F.col("by")) / F.col("_d")).cast("int")).withColumn("ib", F.round((dx * F.col("ay") - dy * F.col("ax")) / F.col("_d")).cast("int"))
         return p.select(*KEYS, "point_id", "y", "x", "ia", "ib", (dy - F.col("ia") * F.col("ay") - F.col("ib") * F.col("by")).alias("uy"), (dx - F.col("ia") * F.col("ax") - F.col("ib") * F.col("bx")).alias("ux"))
@@ -71,7 +71,7 @@ def displacement(points: DataFrame, lattice: DataFrame, origin: str = "first") -
 def pair_strain(pairs: DataFrame, lattice: DataFrame, points: DataFrame) -> DataFrame:
     """FIELDS: exx, eyy, exy and rotation at each point that has both pair vectors, from F = P L^-1 with vectors as columns."""
     v = pairs.groupBy(*KEYS, "point_id").agg(*(F.max(F.when(F.col("axis") == k, F.col(c))).alias(f"{n}{c[1]}") for k, n in ((1, "p"), (2, "q")) for c in ("dy", "dx"))).dropna(subset=["py", "qy"])
-    v = v.join(lattice, "stack_id").join(points.select(*KEYS, "point_id", "y", "x"), [*KEYS, "point_id"])
+    v = meet(v.join(small(cut(lattice)), "stack_id"), points.select(*KEYS, "point_id", "y", "x"), [*KEYS, "point_id"])
     det = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
     v = v.withColumn("_d", F.when(det != 0, det))
     xx = (F.col("px") * F.col("by") - F.col("qx") * F.col("ay")) / F.col("_d") - 1
