@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import map_images, stacked
+from ..storage import meet
 from ..sources.stacks import read_frames, write_frames
 from .frames import append_manifest, chosen_keys, read_manifest, with_manifest
 
@@ -27,12 +28,12 @@ def pair_shifts(frames: DataFrame, max_shift: int, upsample: bool | int = False,
     keys = frames.select("stack_id", "frame", "height", "width", "px")
     if against == "previous":
         other = keys.select("stack_id", (F.col("frame") + 1).alias("frame"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
-        pairs = keys.join(other, ["stack_id", "frame"])
+        pairs = meet(keys, other, ["stack_id", "frame"])
     elif against == "first":
         piece = lambda f: F.floor(F.col(f) / PIECE)
         first = frames.groupBy("stack_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
-        other = keys.join(first.withColumn("frame", F.col("f0")), ["stack_id", "frame"]).select("stack_id", "f0", F.explode(F.sequence(piece("f0"), piece("f1"))).alias("_piece"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
-        pairs = keys.withColumn("_piece", piece("frame")).join(other, ["stack_id", "_piece"]).where("frame > f0")
+        other = meet(keys, first.withColumn("frame", F.col("f0")), ["stack_id", "frame"]).select("stack_id", "f0", F.explode(F.sequence(piece("f0"), piece("f1"))).alias("_piece"), F.col("px").alias("px0"), F.col("height").alias("h0"), F.col("width").alias("w0"))
+        pairs = meet(keys.withColumn("_piece", piece("frame")), other, ["stack_id", "_piece"]).where("frame > f0")
     else:
         raise ValueError("against is 'previous' or 'first'")
     pairs = pairs.where("height = h0 and width = w0")
@@ -66,9 +67,9 @@ def repair_shifts(shifts: DataFrame, min_ncc: float, half_window: int) -> DataFr
 
 def apply_shift(frames: DataFrame, drift: DataFrame, crop: bool = True) -> DataFrame:
     """Frames moved by minus their drift; frames without a row in `drift` stay. Cropped to the area common to the stack, or NaN outside."""
-    own = frames.select("stack_id", "frame").join(drift.select("stack_id", "frame", "drift_y", "drift_x"), ["stack_id", "frame"], "left").fillna(0.0, ["drift_y", "drift_x"])
+    own = meet(frames.select("stack_id", "frame"), drift.select("stack_id", "frame", "drift_y", "drift_x"), ["stack_id", "frame"], "left").fillna(0.0, ["drift_y", "drift_x"])
     bounds = own.groupBy("stack_id").agg(*(f(F.ceil(c) if f is F.max else F.floor(c)).cast("int").alias(f"{n}_{c}") for c in ("drift_y", "drift_x") for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    moved = frames.join(own.join(bounds, "stack_id"), ["stack_id", "frame"])  # bounds meet the slim keys, the payload only its own row
+    moved = meet(frames, meet(own, bounds, "stack_id"), ["stack_id", "frame"])  # bounds meet the slim keys, the payload only its own row
 
     def kernel(a: np.ndarray, part: pd.DataFrame) -> dict:
         out = {"px": [], "height": [], "width": [], "y0": [], "x0": []}
@@ -90,7 +91,7 @@ def apply_shift(frames: DataFrame, drift: DataFrame, crop: bool = True) -> DataF
 def video_pipeline(frames: DataFrame, select: dict, max_shift: int, min_ncc: float = 0.5, half_window: int = 2, crop: bool = True) -> DataFrame:
     """Selection, then shifts, repair, sum and correction; selected frames are numbered anew."""
     order = chosen_keys(frames, **select).withColumn("_new", (F.row_number().over(Window.partitionBy("stack_id").orderBy("frame")) - 1).cast("long"))
-    chosen = frames.join(order, ["stack_id", "frame"]).drop("frame").withColumnRenamed("_new", "frame")
+    chosen = meet(frames, order, ["stack_id", "frame"]).drop("frame").withColumnRenamed("_new", "frame")
     drift = accumulate(repair_shifts(pair_shifts(chosen, max_shift), min_ncc, half_window))
     return apply_shift(chosen, drift, crop)
 
