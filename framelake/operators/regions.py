@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import explode_images, long_form, map_images
-from ..storage import BROADCAST_ROWS, cut, small
+from ..storage import BROADCAST_ROWS, cut, meet, small
 from .filters import bin_of
 from .frames import to_tiles
 
@@ -82,7 +82,7 @@ def _in_spans(frames: DataFrame, spans: DataFrame) -> DataFrame:
     packed = packed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     cut_ = frames.select(*KEYS, "width", "height", "px", F.explode(F.expr(f"sequence(0L, cast((height - 1) div {BAND} as long))")).alias("band"))
     cut_ = cut_.select(*KEYS, "width", "band", F.slice("px", F.col("band").cast("int") * BAND * F.col("width") + 1, F.col("width") * BAND).alias("px"), F.pmod(F.xxhash64(*KEYS), F.lit(copies)).cast("int").alias("_copy"))
-    both = cut_.join(F.broadcast(packed) if few else packed, ["band", "_copy"])
+    both = cut_.join(F.broadcast(packed), ["band", "_copy"]) if few else meet(cut_, packed, ["band", "_copy"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,7 +133,7 @@ def otsu(frames: DataFrame, lo: float, hi: float, bins: int = 256) -> DataFrame:
 def segment(frames: DataFrame, threshold: float | str = "otsu", above: bool = True, lo: float = 0.0, hi: float = 255.0, bins: int = 256) -> DataFrame:
     """px becomes 1 where the value is above (or not above) the threshold, else 0; NaN is 0. Frames of one value have no Otsu threshold and no 1."""
     if threshold == "otsu":
-        frames = frames.join(otsu(frames, lo, hi, bins), KEYS, "left")
+        frames = meet(frames, otsu(frames, lo, hi, bins), KEYS, "left")
     else:
         frames = frames.withColumn("threshold", F.lit(float(threshold)))
     hit = lambda v: F.when(F.isnan(v) | v.isNull() | F.col("threshold").isNull(), 0.0).when((v > F.col("threshold")) if above else (v <= F.col("threshold")), 1.0).otherwise(0.0)
@@ -154,7 +154,7 @@ def label_regions(mask: DataFrame, connectivity: int = 4, tile: int | None = Non
         keep = [c for c in mask.columns if c != "px"]
         return map_images(mask.withColumnRenamed("px", "_px"), lambda a, _: {"px": np.stack([kernels.components_of(m > 0, eight) for m in a]).reshape(len(a), -1).astype(float)}, "px array<double>", keep, px="_px")
     size = mask.select(*KEYS, "width")
-    tiles = to_tiles(mask, tile).join(size, KEYS)
+    tiles = meet(to_tiles(mask, tile), size, KEYS)
 
     def local(a: np.ndarray, part: pd.DataFrame) -> dict:
         out = []
@@ -171,21 +171,21 @@ def label_regions(mask: DataFrame, connectivity: int = 4, tile: int | None = Non
     border = cell.select(*KEYS, (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), F.col("v").cast("long").alias("label"))
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]
     near = border.select(*KEYS, F.col("label").alias("a"), F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("to"))
-    edges = near.select(*KEYS, "a", F.col("to.y").alias("y"), F.col("to.x").alias("x")).join(border.withColumnRenamed("label", "b"), [*KEYS, "y", "x"]).where("a <> b").select(*KEYS, "a", "b").distinct()
+    edges = meet(near.select(*KEYS, "a", F.col("to.y").alias("y"), F.col("to.x").alias("x")), border.withColumnRenamed("label", "b"), [*KEYS, "y", "x"]).where("a <> b").select(*KEYS, "a", "b").distinct()
     edges = cut(edges.union(edges.select(*KEYS, F.col("b").alias("a"), F.col("a").alias("b"))))
     roots = cut(edges.groupBy(*KEYS, "a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
     while True:
-        low = edges.join(roots.select(*KEYS, F.col("a").alias("b"), "root"), [*KEYS, "b"]).groupBy(*KEYS, "a").agg(F.min("root").alias("low"))
-        mid = cut(roots.join(low, [*KEYS, "a"]).select(*KEYS, "a", F.col("root").alias("old"), F.least("root", "low").alias("mid")))
-        up = mid.join(roots.select(*KEYS, F.col("a").alias("mid"), F.col("root").alias("up")), [*KEYS, "mid"])
+        low = meet(edges, roots.select(*KEYS, F.col("a").alias("b"), "root"), [*KEYS, "b"]).groupBy(*KEYS, "a").agg(F.min("root").alias("low"))
+        mid = cut(meet(roots, low, [*KEYS, "a"]).select(*KEYS, "a", F.col("root").alias("old"), F.least("root", "low").alias("mid")))
+        up = meet(mid, roots.select(*KEYS, F.col("a").alias("mid"), F.col("root").alias("up")), [*KEYS, "mid"])
         new = cut(up.select(*KEYS, "a", F.least("mid", "up").alias("root"), (F.least("mid", "up") < F.col("old")).alias("changed")))
         roots = new.drop("changed")
         if new.where("changed").isEmpty():
             break
     # each tile meets the roots of its own border labels
-    own = cell.select(*KEYS, "ty", "tx", F.col("v").cast("long").alias("a")).distinct().join(roots, [*KEYS, "a"])
+    own = meet(cell.select(*KEYS, "ty", "tx", F.col("v").cast("long").alias("a")).distinct(), roots, [*KEYS, "a"])
     table = own.groupBy(*KEYS, "ty", "tx").agg(F.collect_list(F.struct("a", "root")).alias("_m")).select(*KEYS, "ty", "tx", F.col("_m.a").alias("_a"), F.col("_m.root").alias("_root"))
-    joined = labelled.join(table, [*KEYS, "ty", "tx"], "left").withColumnRenamed("px", "_px")
+    joined = meet(labelled, table, [*KEYS, "ty", "tx"], "left").withColumnRenamed("px", "_px")
 
     def renamed(a: np.ndarray, part: pd.DataFrame) -> dict:
         out = []
@@ -215,7 +215,7 @@ def measure_regions(labels: DataFrame, frames: DataFrame | None = None, min_area
     px = labels_long(labels)
     extra = []
     if frames is not None:
-        both = labels.select(*KEYS, "width", F.arrays_zip(F.col("px").alias("l"), F.col("p").alias("v")).alias("px")) if "p" in labels.columns else labels.join(frames.select(*KEYS, F.col("px").alias("p")), KEYS).select(*KEYS, "width", F.zip_with("px", "p", lambda a, b: F.struct(a.alias("l"), b.alias("v"))).alias("px"))
+        both = labels.select(*KEYS, "width", F.arrays_zip(F.col("px").alias("l"), F.col("p").alias("v")).alias("px")) if "p" in labels.columns else meet(labels, frames.select(*KEYS, F.col("px").alias("p")), KEYS).select(*KEYS, "width", F.zip_with("px", "p", lambda a, b: F.struct(a.alias("l"), b.alias("v"))).alias("px"))
         px = long_form(both, KEYS).where("v.l >= 0").select(*KEYS, "y", "x", F.col("v.l").cast("long").alias("label"), F.col("v.v").alias("v"))
         extra = [F.avg(F.when(~F.isnan("v"), F.col("v"))).alias("mean")]
     out = px.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("area_px"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.min("y").alias("y_min"), F.min("x").alias("x_min"), F.max("y").alias("y_max"), F.max("x").alias("x_max"), *extra)
@@ -250,7 +250,7 @@ def label_overlaps(labels: DataFrame) -> DataFrame:
             if rows:
                 yield pd.concat(rows)
 
-    both = labels.select(*KEYS, "height", "width", "px").join(before, KEYS).select(*KEYS, "height", "width", "px", "_h", "_w", "_px")
+    both = meet(labels.select(*KEYS, "height", "width", "px"), before, KEYS).select(*KEYS, "height", "width", "px", "_h", "_w", "_px")
     return both.mapInPandas(run, "stack_id long, frame long, label long, prev long, shared long")
 
 
@@ -270,21 +270,21 @@ def track_regions(labels: DataFrame, min_overlap: int = 1) -> DataFrame:
     overlap = cut(overlap)
     parent = overlap.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS, "label").orderBy(F.desc("shared"), "prev"))).where("_r = 1").select(*KEYS, "label", F.col("prev").alias("parent"))
     main = overlap.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS, "prev").orderBy(F.desc("shared"), "label"))).where("_r = 1").select(*KEYS, F.col("prev").alias("parent"), F.col("label").alias("main"))
-    inflow = overlap.join(parent.select(*KEYS, "label", "parent"), [*KEYS, "label"]).groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("inflow"))
-    rows = area.join(parent, [*KEYS, "label"], "left").join(main, [*KEYS, "parent"], "left").join(inflow, [*KEYS, "label"], "left")
+    inflow = meet(overlap, parent.select(*KEYS, "label", "parent"), [*KEYS, "label"]).groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("inflow"))
+    rows = meet(meet(meet(area, parent, [*KEYS, "label"], "left"), main, [*KEYS, "parent"], "left"), inflow, [*KEYS, "label"], "left")
     rows = cut(rows.withColumn("follows", F.coalesce(F.col("main") == F.col("label"), F.lit(False))))
     # chain: (frame, label) -> start of its track
     link = cut(rows.select(*KEYS, "label", F.when(F.col("follows"), F.col("frame") - 1).otherwise(F.col("frame")).alias("f0"), F.when(F.col("follows"), F.col("parent")).otherwise(F.col("label")).alias("l0")))
     while True:
         up = link.select("stack_id", F.col("frame").alias("f0"), F.col("label").alias("l0"), F.col("f0").alias("f1"), F.col("l0").alias("l1"))
-        new = cut(link.join(up, ["stack_id", "f0", "l0"]).select(*KEYS, "label", F.col("f1").alias("f0"), F.col("l1").alias("l0"), ((F.col("f1") != F.col("f0")) | (F.col("l1") != F.col("l0"))).alias("moved")))
+        new = cut(meet(link, up, ["stack_id", "f0", "l0"]).select(*KEYS, "label", F.col("f1").alias("f0"), F.col("l1").alias("l0"), ((F.col("f1") != F.col("f0")) | (F.col("l1") != F.col("l0"))).alias("moved")))
         link = new.drop("moved")
         if new.where("moved").isEmpty():
             break
     child = main.select("stack_id", (F.col("frame") - 1).alias("frame"), F.col("parent").alias("label"), F.lit(True).alias("has_child"))
-    out = rows.join(link, [*KEYS, "label"]).join(child, [*KEYS, "label"], "left")
+    out = meet(meet(rows, link, [*KEYS, "label"]), child, [*KEYS, "label"], "left")
     prior = area.select("stack_id", (F.col("frame") + 1).alias("frame"), F.col("label").alias("parent"), F.col("area").alias("area_before"))
-    out = out.join(prior, [*KEYS, "parent"], "left")
+    out = meet(out, prior, [*KEYS, "parent"], "left")
     event = F.when(F.col("parent").isNull(), "birth").when(~F.col("follows"), "split").when(F.col("inflow") > 1, "merge").otherwise("continue")
     return out.select(*KEYS, "label", F.concat_ws(":", "stack_id", "f0", "l0").alias("track"), "area", (F.col("area") - F.col("area_before")).alias("area_change"), event.alias("event"), F.col("has_child").isNull().alias("dies"))
 
@@ -292,11 +292,11 @@ def track_regions(labels: DataFrame, min_overlap: int = 1) -> DataFrame:
 def area_series(regions: DataFrame, frames: DataFrame, calib: DataFrame | None = None) -> DataFrame:
     """Total area, its fraction of the frame and its rate per frame (nm2, nm2/s with calibration); frames without regions have area 0."""
     total = regions.groupBy(*KEYS).agg(F.sum("area_px").alias("area_px"))
-    out = frames.select(*KEYS, (F.col("height") * F.col("width")).alias("_all")).join(total, KEYS, "left").fillna(0, ["area_px"])
+    out = meet(frames.select(*KEYS, (F.col("height") * F.col("width")).alias("_all")), total, KEYS, "left").fillna(0, ["area_px"])
     step = Window.partitionBy("stack_id").orderBy("frame")
     out = out.withColumn("fraction", F.col("area_px") / F.col("_all")).withColumn("rate", (F.col("area_px") - F.lag("area_px").over(step)) / (F.col("frame") - F.lag("frame").over(step)))
     if calib is not None:
-        out = out.join(calib, "stack_id").withColumn("area_nm2", F.col("area_px") * F.col("nm_per_px") * F.col("nm_per_px")).withColumn("rate_nm2_s", F.col("rate") * F.col("nm_per_px") * F.col("nm_per_px") / F.col("s_per_frame")).drop("nm_per_px", "s_per_frame")
+        out = meet(out, calib, "stack_id").withColumn("area_nm2", F.col("area_px") * F.col("nm_per_px") * F.col("nm_per_px")).withColumn("rate_nm2_s", F.col("rate") * F.col("nm_per_px") * F.col("nm_per_px") / F.col("s_per_frame")).drop("nm_per_px", "s_per_frame")
     return out.drop("_all")
 
 
@@ -329,7 +329,7 @@ def in_roi(pixels: DataFrame, rois: DataFrame, cell: int = 64) -> DataFrame:
     bands = F.sequence(F.floor(F.least("y", "y2") / cell), F.floor(F.greatest("y", "y2") / cell))
     edges = cut(_edges(rois).where("vertices >= 3 and y <> y2").withColumn("_gy", F.explode(bands)))
     listed = edges.groupBy("roi_id", "_gy").agg(F.min(F.least("x", "x2")).alias("_x0"), F.max(F.greatest("x", "x2")).alias("_x1"), F.collect_list(F.struct("y", "x", "y2", "x2")).alias("_e"))
-    listed = F.broadcast(listed) if edges.count() <= BROADCAST_ROWS else listed
+    listed = F.broadcast(listed) if edges.count() <= BROADCAST_ROWS else listed.hint("merge")
     both = pixels.withColumn("_gy", F.floor(F.col("y") / cell)).join(listed, "_gy").where("x >= _x0 and x < _x1")
     crosses = lambda s: ((s["y"] <= F.col("y")) != (s["y2"] <= F.col("y"))) & (F.col("x") < s["x"] + (F.col("y") - s["y"]) / (s["y2"] - s["y"]) * (s["x2"] - s["x"]))
     return both.where(F.size(F.filter("_e", crosses)) % 2 == 1).drop("_x0", "_x1", "_e", "_gy")

@@ -661,3 +661,15 @@ def test_points_and_their_pairs_are_not_sent_through_the_driver(spark):
     lattice = strain.fit_lattice(pts, pairs)
     assert sent(lattice) == 0
     assert sent(strain.displacement(pts, lattice)) == sent(strain.pair_strain(pairs, lattice, pts)) == 1  # the counted table of lattices
+
+
+def test_frames_and_labels_are_not_sent_through_the_driver(spark):
+    lat, mask = fx.lattice(spark, SF), regions.segment(fx.blobs(spark, SF), 100.0)
+    for against in ("previous", "first"):
+        assert sent(drift.pair_shifts(lat, 2, against=against)) == 0
+    assert sent(drift.apply_shift(lat, drift.accumulate(drift.pair_shifts(lat, 2)))) == 0
+    assert sent(regions.label_regions(mask, tile=7)) == 0
+    labels = regions.label_regions(mask)
+    assert sent(regions.measure_regions(labels, fx.blobs(spark, SF))) == 0
+    assert sent(regions.label_overlaps(labels)) == 0
+    assert sent(regions.track_regions(labels)) == 0
