@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import attach, cut, numbered
+from ..storage import attach, cut, meet, numbered
 
 POS = ["scan_id", "sy", "sx"]
 #: Numbers that a task of `bootstrap_mlls` holds before it hands them on.
@@ -20,8 +20,8 @@ def pair_dual(spectra: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Core-loss and low-loss spectra of one position side by side, and what has no partner."""
     core, low = (spectra.where(F.col("kind") == k) for k in ("core", "low"))
     named = low.select(*POS, F.col("e0").alias("low_e0"), F.col("de").alias("low_de"), F.col("counts").alias("low_counts"))
-    paired = core.drop("kind").join(named, POS)
-    alone = core.join(low, POS, "left_anti").select(*POS, "kind").union(low.join(core, POS, "left_anti").select(*POS, "kind"))
+    paired = meet(core.drop("kind"), named, POS)
+    alone = meet(core, low, POS, "left_anti").select(*POS, "kind").union(meet(low, core, POS, "left_anti").select(*POS, "kind"))
     return paired, alone
 
 
@@ -43,7 +43,7 @@ def remove_background(spectra: DataFrame, e_from: float, e_to: float) -> DataFra
     """
     w = channels(spectra).where((F.col("e") >= e_from) & (F.col("e") < e_to) & (F.col("c") > 0) & (F.col("e") > 0))
     fit = w.groupBy(*POS).agg(F.regr_slope(F.log("c"), F.log("e")).alias("_s"), F.regr_intercept(F.log("c"), F.log("e")).alias("_i"))
-    out = spectra.join(fit, POS, "left").withColumn("amplitude", F.exp("_i")).withColumn("exponent", -F.col("_s"))
+    out = meet(spectra, fit, POS, "left").withColumn("amplitude", F.exp("_i")).withColumn("exponent", -F.col("_s"))
     e = lambda i: F.col("e0") + i * F.col("de")
     sub = F.transform("counts", lambda c, i: F.when((e(i) >= e_from) & (e(i) > 0) & F.col("amplitude").isNotNull(), c - F.col("amplitude") * F.pow(e(i), -F.col("exponent"))).otherwise(c))
     return out.withColumn("counts", sub).drop("_s", "_i")
@@ -157,7 +157,7 @@ def draws(rows: DataFrame, group: str, index: str, reps: int, seed: int) -> Data
 
 def bootstrap(rows: DataFrame, group: str, index: str, value: str, reps: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Means of resamples with replacement within each group: group, mean, low, high. `index` numbers a group's rows gaplessly from 0."""
-    drawn = draws(rows, group, index, reps, seed).join(rows.select(group, F.col(index).alias("j"), F.col(value).alias("v")), [group, "j"])
+    drawn = meet(draws(rows, group, index, reps, seed), rows.select(group, F.col(index).alias("j"), F.col(value).alias("v")), [group, "j"])
     means = drawn.groupBy(group, "rep").agg(F.avg("v").alias("m"))
     return means.groupBy(group).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
 
@@ -189,7 +189,7 @@ def bootstrap_mlls(spectra: DataFrame, references: DataFrame, e_from: float, e_t
     # a written table: its numbers must be the same in both uses
     own = cut(numbered(normal_equations(spectra, references, e_from, e_to), ["scan_id"], ["sy", "sx"], "i", 2 * spectra.sparkSession.sparkContext.defaultParallelism))
     drawn = draws(own, "scan_id", "i", reps, seed).groupBy("scan_id", F.col("j").alias("i")).agg(F.collect_list("rep").alias("_reps"))
-    weighted = own.select("scan_id", "i", "equations").join(drawn, ["scan_id", "i"]).select("scan_id", "equations", "_reps")
+    weighted = meet(own.select("scan_id", "i", "equations"), drawn, ["scan_id", "i"]).select("scan_id", "equations", "_reps")
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -223,7 +223,7 @@ def percentiles(reps: DataFrame, group: str, values: list[str], low: float = 0.0
 
 def bootstrap_fit(rows: DataFrame, group: str, index: str, statistic: Callable[[pd.DataFrame], float], reps: int, seed: int) -> DataFrame:
     """As `bootstrap`, for any statistic of a resample's rows: group, rep, value."""
-    drawn = draws(rows, group, index, reps, seed).join(rows.withColumnRenamed(index, "j"), [group, "j"])
+    drawn = meet(draws(rows, group, index, reps, seed), rows.withColumnRenamed(index, "j"), [group, "j"])
     kind = dict(rows.dtypes)[group]
 
     def one(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import long_form, map_images
-from ..storage import cut, small
+from ..storage import cut, meet, small
 from .frames import from_tiles, to_tiles
 
 KEYS = ["stack_id", "frame"]
@@ -98,7 +98,7 @@ def equalise(frames: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
     shares = counts.withColumn("c", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy(*KEYS)))
     table = shares.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("_map"))
     look = lambda v: F.when(F.isnan(v), v).otherwise(F.element_at("_map", F.greatest(F.lit(0), F.least(F.lit(bins - 1), bin_of(v, lo, hi, bins)))))
-    return frames.join(table, KEYS).withColumn("px", F.transform("px", look)).drop("_map")
+    return meet(frames, table, KEYS).withColumn("px", F.transform("px", look)).drop("_map")
 
 
 def temporal_denoise(frames: DataFrame, half_window: int, stat: str = "mean", chunk: int = 16, tile: int | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ def temporal_denoise(frames: DataFrame, half_window: int, stat: str = "mean", ch
         parts, at = frames.select(*KEYS, "height", "width", F.col("height").alias("h"), F.col("width").alias("w"), "px"), []
     else:
         at = ["ty", "tx", "y0", "x0"]
-        parts = to_tiles(frames, tile).join(frames.select(*KEYS, "height", "width"), KEYS).select(*KEYS, "height", "width", "h", "w", "px", *at)
+        parts = meet(to_tiles(frames, tile), frames.select(*KEYS, "height", "width"), KEYS).select(*KEYS, "height", "width", "h", "w", "px", *at)
     reach = F.sequence(F.expr(f"floor((frame - {half_window}) / {chunk})"), F.expr(f"floor((frame + {half_window}) / {chunk})"))
     sent = parts.withColumn("_chunk", F.explode(reach))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.arrays import long_form, map_images, stacked
-from ..storage import cut, small
+from ..storage import cut, meet, small
 
 POS = ["scan_id", "sy", "sx"]
 
@@ -39,7 +39,7 @@ def dpc(patterns: DataFrame, centre: tuple[float, float] | None = None) -> DataF
     com = com.select(*POS, F.when(F.col("m") != 0, F.col("my") / F.col("m")).alias("my"), F.when(F.col("m") != 0, F.col("mx") / F.col("m")).alias("mx"))
     if centre is None:
         mean = com.groupBy("scan_id").agg(F.avg("my").alias("oy"), F.avg("mx").alias("ox"))
-        com = com.join(mean, "scan_id")
+        com = meet(com, mean, "scan_id")
     else:
         com = com.withColumn("oy", F.lit(centre[0])).withColumn("ox", F.lit(centre[1]))
     out = com.select(*POS, (F.col("my") - F.col("oy")).alias("dy"), (F.col("mx") - F.col("ox")).alias("dx"))

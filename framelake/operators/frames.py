@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.arrays import long_form
-from ..storage import small
+from ..storage import meet, small
 
 RANGES = {"uint8": (0, 255), "uint16": (0, 65535), "float64": (0.0, 1.0)}
 
@@ -44,7 +44,7 @@ def select_frames(frames: DataFrame, every_n: int | None = None, every_s: float
         if start is not None:
             frames = frames.where(F.col("ts") >= F.lit(start))
         return frames if end is None else frames.where(F.col("ts") < F.lit(end))
-    return frames.join(chosen_keys(frames, every_n, every_s, start, end), ["stack_id", "frame"], "left_semi")
+    return meet(frames, chosen_keys(frames, every_n, every_s, start, end), ["stack_id", "frame"], "left_semi")
 
 
 def convert_depth(frames: DataFrame, to: str, mode: str = "linear", lo: float | None = None, hi: float | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ def compare_runs(before: DataFrame, after: DataFrame, keys: list[str], tolerance
     """One row a key: both values, their difference for each column of `tolerances`, and a status; NaN equals NaN, null equals null."""
     a, b = before.select(*keys, *tolerances, F.lit(1).alias("_a")).alias("a"), after.select(*keys, *tolerances, F.lit(1).alias("_b")).alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    both = a.join(b, on, "full_outer")
+    both = meet(a, b, on, "full_outer")
     same, within, out = F.lit(True), F.lit(True), [F.when(F.col("_a").isNotNull(), F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in keys]
     for c, most in tolerances.items():
         x, y = F.col(f"a.{c}"), F.col(f"b.{c}")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import atoms, frames, regions, strain
+from ..storage import meet
 from . import fixtures as fx
 from .stack_queries import DFT, KEYS, rounded
 
@@ -57,7 +58,7 @@ def d2_d3(spark: SparkSession, sf: str) -> DataFrame:
     """Centres and sums of atoms that meet haloed tiles instead of frames; windows reach over the tiles' borders."""
     pts, lat = _peaks(spark, sf), fx.lattice(spark, sf)
     moved = atoms.refine_centroids(pts, lat, 2, tile=7).select(*KEYS, "point_id", "y", "x")
-    return rounded(moved.join(atoms.atom_intensity(pts, lat, 2.0, tile=7).select(*KEYS, "point_id", "sum"), [*KEYS, "point_id"]))
+    return rounded(meet(moved, atoms.atom_intensity(pts, lat, 2.0, tile=7).select(*KEYS, "point_id", "sum"), [*KEYS, "point_id"]))
 
 
 @query("d3_atom_intensity", f"WITH {PEAKS} SELECT p.stack_id, p.frame, p.point_id::BIGINT AS point_id, sum(q.v)::DOUBLE AS sum, round(avg(q.v), 4) + 0.0 AS mean, max(q.v)::DOUBLE AS max, count(*)::BIGINT AS n FROM peaks p JOIN lattice q ON p.stack_id = q.stack_id AND p.frame = q.frame AND (p.y-q.y)*(p.y-q.y) + (p.x-q.x)*(p.x-q.x) <= 4 GROUP BY ALL")
@@ -69,7 +70,7 @@ def d3(spark: SparkSession, sf: str) -> DataFrame:
 def d4(spark: SparkSession, sf: str) -> DataFrame:
     pts = fx.points(spark, sf)
     cut = atoms.classify_atoms(pts, cuts=[120.0]).select("stack_id", "point_id", F.col("class").alias("by_cut"))
-    return cut.join(atoms.classify_atoms(pts, k=2).select("stack_id", "point_id", F.col("class").alias("by_means")), ["stack_id", "point_id"])
+    return meet(cut, atoms.classify_atoms(pts, k=2).select("stack_id", "point_id", F.col("class").alias("by_means")), ["stack_id", "point_id"])
 
 
 def _stub(a: np.ndarray) -> list[np.ndarray]:
@@ -218,7 +219,7 @@ def e2(spark: SparkSession, sf: str) -> DataFrame:
 def e3(spark: SparkSession, sf: str) -> DataFrame:
     n = F.aggregate("px", F.lit(0.0), lambda a, v: a + v).cast("long")
     blobs = fx.blobs(spark, sf)
-    return regions.segment(blobs, 100.0).select(*KEYS, n.alias("fixed")).join(regions.segment(blobs, "otsu", lo=0, hi=256).select(*KEYS, n.alias("otsu")), KEYS)
+    return meet(regions.segment(blobs, 100.0).select(*KEYS, n.alias("fixed")), regions.segment(blobs, "otsu", lo=0, hi=256).select(*KEYS, n.alias("otsu")), KEYS)
 
 
 def _labels(spark: SparkSession, sf: str, tile: int | None = None) -> DataFrame:
@@ -318,7 +319,7 @@ def d1_patchy(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks and their disks in frames of odd sizes with holes, in tiles that do not divide them."""
     f = fx.patchy(spark, sf)
     pts = atoms.detect_peaks(f, 2, 70.0, tile=8)
-    return rounded(pts.select(*KEYS, "point_id", "intensity").join(atoms.atom_intensity(pts, f, 2.0, tile=8).select(*KEYS, "point_id", "sum", "n"), [*KEYS, "point_id"]))
+    return rounded(meet(pts.select(*KEYS, "point_id", "intensity"), atoms.atom_intensity(pts, f, 2.0, tile=8).select(*KEYS, "point_id", "sum", "n"), [*KEYS, "point_id"]))
 
 
 @query("e1_contrast_rois", f"WITH {fx.BLOBS_SQL}, r AS (SELECT * FROM blobs, (SELECT unnest([1, 2, 3]) AS roi_id) WHERE (roi_id = 1 AND y < 10 AND x < 10) OR (roi_id = 2 AND y < 6 AND x < 8 - y * 8 / 6.0) OR (roi_id = 3 AND ((y < 4 AND x < 2) OR (y < 2 AND x < 4)))) SELECT stack_id, frame, roi_id::BIGINT AS roi_id, {STATS} FROM r GROUP BY stack_id, frame, roi_id")

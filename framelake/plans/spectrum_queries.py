@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import eels, fourd
-from ..storage import numbered
+from ..storage import meet, numbered
 from . import fixtures as fx
 from .stack_queries import rounded
 
@@ -188,7 +188,7 @@ def g8(spark: SparkSession, sf: str) -> DataFrame:
 def g8_refit(spark: SparkSession, sf: str) -> DataFrame:
     """Both coefficients and the valence of each scan, refitted to 40 resamples of its positions; a ten-thousandth is added before rounding, as means of whole coefficients lie on ties."""
     reps = eels.bootstrap_mlls(_cleaned(spark, sf), fx.references(spark), 450.0, 528.0, 40, 42)
-    values = reps.select("scan_id", "rep", F.col("coefficients")[1].alias("c1"), F.col("coefficients")[2].alias("c2")).join(eels.valence(reps, {1: 2.0, 2: 3.0})[0].select("scan_id", "rep", "valence"), ["scan_id", "rep"])
+    values = meet(reps.select("scan_id", "rep", F.col("coefficients")[1].alias("c1"), F.col("coefficients")[2].alias("c2")), eels.valence(reps, {1: 2.0, 2: 3.0})[0].select("scan_id", "rep", "valence"), ["scan_id", "rep"])
     found = eels.percentiles(values, "scan_id", ["c1", "c2", "valence"])
     return rounded(found.select("scan_id", *((F.col(c) + 0.0001).alias(c) for c in found.columns[1:])), 3)
 

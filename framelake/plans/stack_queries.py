@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drift, filters, frames
 from ..sources import large, stacks
-from ..storage import new_path
+from ..storage import meet, new_path
 from . import fixtures as fx
 
 KEYS = ["stack_id", "frame"]
@@ -111,7 +111,7 @@ def a5(spark: SparkSession, sf: str) -> DataFrame:
 @query("a6_tiles", f"WITH {fx.LATTICE_SQL} SELECT stack_id, frame, {SUMS}, 9::BIGINT AS tiles FROM lattice GROUP BY stack_id, frame")
 def a6(spark: SparkSession, sf: str) -> DataFrame:
     tiles = frames.to_tiles(fx.lattice(spark, sf), 10, 3)
-    return rounded(summed(frames.from_tiles(tiles, 10)).join(tiles.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("tiles")), KEYS))
+    return rounded(meet(summed(frames.from_tiles(tiles, 10)), tiles.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("tiles")), KEYS))
 
 
 @query("a7_pixels", f"WITH {fx.LATTICE_SQL} SELECT stack_id, frame, {SUMS} FROM lattice GROUP BY stack_id, frame")
@@ -281,7 +281,7 @@ REFLECT = "o AS (SELECT a AS dy, b AS dx FROM (SELECT range - 1 AS a FROM range(
 def c6(spark: SparkSession, sf: str) -> DataFrame:
     lat = fx.lattice(spark, sf)
     med, mean = summed(filters.spatial_filter(lat, "median", 3)), summed(filters.spatial_filter(lat, "mean", 3))
-    return med.select(*KEYS, F.col("total").alias("median_total"), F.col("weighted").alias("median_weighted")).join(mean.select(*KEYS, (F.round("total", 3) + F.lit(0.0)).alias("mean_total")), KEYS)
+    return meet(med.select(*KEYS, F.col("total").alias("median_total"), F.col("weighted").alias("median_weighted")), mean.select(*KEYS, (F.round("total", 3) + F.lit(0.0)).alias("mean_total")), KEYS)
 
 
 @query(
