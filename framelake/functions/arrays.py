@@ -19,9 +19,16 @@ def stacked(part: pd.DataFrame, h: int, w: int, column: str = "px") -> np.ndarra
     return np.stack([np.asarray(px, float) for px in part[column]]).reshape(-1, h, w)
 
 
+#: Values of the images that a kernel gets at once; its own arrays are some ten times as large.
+VALUES = 1 << 19
+
+
 def by_size(pdf: pd.DataFrame, h: str, w: str) -> Iterator[tuple[pd.DataFrame, int, int]]:
+    """A batch's rows by size of their images, at most VALUES values of them at once (one image at least), so that a worker's memory does not follow the rows of a batch."""
     for (hh, ww), part in pdf.groupby([h, w], sort=False):
-        yield part, int(hh), int(ww)
+        step = max(1, VALUES // max(1, int(hh) * int(ww)))
+        for k in range(0, len(part), step):
+            yield part.iloc[k : k + step], int(hh), int(ww)
 
 
 def map_images(df: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame], dict], out: str, keep: list[str], px: str = "px", h: str = "height", w: str = "width", extra: list[str] = ()) -> DataFrame:

@@ -673,3 +673,16 @@ def test_frames_and_labels_are_not_sent_through_the_driver(spark):
     assert sent(regions.measure_regions(labels, fx.blobs(spark, SF))) == 0
     assert sent(regions.label_overlaps(labels)) == 0
     assert sent(regions.track_regions(labels)) == 0
+
+
+def test_a_kernel_gets_a_bounded_number_of_values_at_once(monkeypatch):
+    import pandas as pd
+
+    from framelake.functions import arrays
+
+    monkeypatch.setattr(arrays, "VALUES", 100, raising=False)
+    sizes = [(3, 4)] * 50 + [(11, 10)] * 3 + [(0, 5)]
+    pdf = pd.DataFrame({"id": range(54), "h": [h for h, _ in sizes], "w": [w for _, w in sizes]})
+    parts = list(arrays.by_size(pdf, "h", "w"))
+    assert all(len(part) * h * w <= 100 or len(part) == 1 for part, h, w in parts)
+    assert sorted(i for part, *_ in parts for i in part["id"]) == list(range(54))
