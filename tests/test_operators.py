@@ -686,3 +686,14 @@ def test_a_kernel_gets_a_bounded_number_of_values_at_once(monkeypatch):
     parts = list(arrays.by_size(pdf, "h", "w"))
     assert all(len(part) * h * w <= 100 or len(part) == 1 for part, h, w in parts)
     assert sorted(i for part, *_ in parts for i in part["id"]) == list(range(54))
+
+
+def test_ranges_of_many_small_files_share_partitions(tmp_path):
+    for k in range(40):
+        np.save(tmp_path / f"{k}.npy", rng(k).integers(0, 9, (6, 5, 4)).astype(np.uint8))
+    reader = large.NpyReader({"path": str(tmp_path), "frames": "4", "stack": r"(\d+)\.npy$", "partitions": "3"})
+    parts = reader.partitions()
+    assert len(parts) <= 4
+    assert sorted(r[1:] for p in parts for r in p.ranges) == sorted((k, i, j) for k in range(40) for i, j in ((0, 4), (4, 6)))
+    few = large.NpyReader({"path": str(tmp_path), "frames": "4", "bytes": "200", "stack": r"(\d+)\.npy$"}).partitions()
+    assert max(sum((r[3] - r[2]) * 20 for r in p.ranges) for p in few) <= 200
