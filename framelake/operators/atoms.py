@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.arrays import explode_images, long_form, stacked
+from ..functions.arrays import by_size, explode_images, long_form, stacked
 from ..storage import meet
 from .frames import to_tiles
 
@@ -38,7 +38,7 @@ def detect_peaks(frames: DataFrame, radius: int, threshold: float, border: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (h, w), part in pdf.groupby(["h", "w"], sort=False):
+            for part, h, w in by_size(pdf, "h", "w"):
                 a = stacked(part, int(h), int(w))
                 found = kernels.peaks(a, radius, threshold, 0)
                 at, yx = np.repeat(np.arange(len(a)), [len(k) for k in found]), np.concatenate(found)
@@ -76,7 +76,7 @@ def _windows(points: DataFrame, frames: DataFrame, reach: int, kernel: Callable[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (h, w), part in pdf.groupby(["h", "w"], sort=False):
+            for part, h, w in by_size(pdf, "h", "w"):
                 image = stacked(part, int(h), int(w))
                 own = np.repeat(np.arange(len(part)), part["_y"].map(len).to_numpy())
                 p = pd.DataFrame({c: np.concatenate(part[f"_{c}"].to_list()) for c in columns})
@@ -160,7 +160,7 @@ def predict_atoms(tiles: DataFrame, model: str | Callable[[np.ndarray], list[np.
         score = scorer()
         for pdf in batches:
             rows = []
-            for (h, w), part in pdf.groupby(["h", "w"], sort=False):
+            for part, h, w in by_size(pdf, "h", "w"):
                 for row, found in zip(part.itertuples(index=False), score(stacked(part, int(h), int(w))), strict=True):
                     for y, x, s in found:
                         gy, gx = y + row.y0, x + row.x0
