@@ -7,13 +7,15 @@ steps. Frames keep their size. NaN pixels make a whole spectrum NaN: fill them f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.arrays import long_form, map_images
+from ..functions.arrays import VALUES, long_form, map_images
 from ..storage import cut, meet, small
 from .frames import from_tiles, to_tiles
 
@@ -107,7 +109,8 @@ def temporal_denoise(frames: DataFrame, half_window: int, stat: str = "mean", ch
     Frame numbers are cut into chunks of `chunk`, and a frame goes to the chunks that its window reaches, so it
     is sent 1 + 2 * half_window / chunk times on average, and a task holds chunk + 2 * half_window frames, of
     which with `tile` only one tile. A chunk's frames are gone through in order, keeping the window's
-    frames, or for the median each pixel's values in order of size (`kernels.SortedWindow`).
+    frames, or for the median each pixel's values in order of size (`kernels.SortedWindow`). Chunks lie
+    in order within partitions and are gone through one by one, as small ones would each cost a call otherwise.
     """
     if stat not in ("mean", "median"):
         raise ValueError("stat is 'mean' or 'median'")
@@ -119,12 +122,14 @@ def temporal_denoise(frames: DataFrame, half_window: int, stat: str = "mean", ch
     reach = F.sequence(F.expr(f"floor((frame - {half_window}) / {chunk})"), F.expr(f"floor((frame + {half_window}) / {chunk})"))
     sent = parts.withColumn("_chunk", F.explode(reach))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame", kind="stable")
-        numbers, px = part["frame"].to_numpy(), part["px"].to_numpy()
-        first = part["_chunk"].iloc[0] * chunk
+    keys, fixed = ["stack_id", "_chunk", "height", "width", *at[:2]], ["stack_id", "height", "width", "h", "w", *at]
+    dealt = sent.repartition(*keys).sortWithinPartitions(*keys, "frame").select(*fixed, "_chunk", "frame", "px")
+
+    def smoothed(of: tuple, numbers: np.ndarray, px: list[np.ndarray]) -> Iterator[tuple]:
+        """The frames of one chunk, which may hold other chunks' neighbours only."""
+        first = of[-1] * chunk
         window = kernels.SortedWindow(2 * half_window + 1, len(px[0])) if stat == "median" else kernels.SummedWindow()
-        rows, out, begin, end = [], [], 0, 0
+        begin, end = 0, 0
         for k in np.flatnonzero((numbers >= first) & (numbers < first + chunk)):
             while end < len(numbers) and numbers[end] <= numbers[k] + half_window:
                 window.add(np.asarray(px[end], float))
@@ -132,13 +137,34 @@ def temporal_denoise(frames: DataFrame, half_window: int, stat: str = "mean", ch
             while numbers[begin] < numbers[k] - half_window:
                 window.remove(np.asarray(px[begin], float))
                 begin += 1
-            rows.append(k)
-            out.append(window.value())
-        made = part.iloc[rows].drop(columns=["px", "_chunk"])
-        return made.assign(px=pd.Series(out, made.index, object))  # a chunk may hold other chunks' neighbours only
-
-    whole = ["stack_id", "frame", "height", "width", "h", "w", *at]
-    made = sent.groupBy("stack_id", "_chunk", "height", "width", *at[:2]).applyInPandas(run, ", ".join([*(f"{c} {'long' if c in KEYS else 'int'}" for c in whole), "px array<double>"]))
+            yield *of[:-1], numbers[k], window.value()
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        of, numbers, px = None, [], []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                if row[:-2] != of and px:
+                    yield of, np.array(numbers), px
+                    numbers, px = [], []
+                of = row[:-2]
+                numbers.append(row[-2])
+                px.append(row[-1])
+        if px:
+            yield of, np.array(numbers), px
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, values = [], 0
+        for found in chunks(batches):
+            for row in smoothed(*found):
+                rows.append(row)
+                values += len(row[-1])
+                if values >= VALUES:
+                    yield pd.DataFrame(rows, columns=[*fixed, "frame", "px"])
+                    rows, values = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=[*fixed, "frame", "px"])
+
+    made = dealt.mapInPandas(run, ", ".join([*(f"{c} {'long' if c in KEYS else 'int'}" for c in (*fixed, "frame")), "px array<double>"]))
     return made.select(*KEYS, "height", "width", "px") if tile is None else from_tiles(made.withColumn("halo", F.lit(0)), tile)
 
 

@@ -697,3 +697,9 @@ def test_ranges_of_many_small_files_share_partitions(tmp_path):
     assert sorted(r[1:] for p in parts for r in p.ranges) == sorted((k, i, j) for k in range(40) for i, j in ((0, 4), (4, 6)))
     few = large.NpyReader({"path": str(tmp_path), "frames": "4", "bytes": "200", "stack": r"(\d+)\.npy$"}).partitions()
     assert max(sum((r[3] - r[2]) * 20 for r in p.ranges) for p in few) <= 200
+
+
+def test_small_chunks_share_calls(spark):
+    kept = fx.lattice(spark, SF).where("(stack_id + frame) % 5 <> 0")
+    plan = filters.temporal_denoise(kept, 2, chunk=3, tile=9)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
