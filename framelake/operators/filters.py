@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.arrays import VALUES, long_form, map_images
+from ..functions.arrays import VALUES, explode_images, long_form, map_images
 from ..storage import cut, meet, small
 from .frames import from_tiles, to_tiles
 
@@ -28,13 +28,25 @@ def power_spectrum(frames: DataFrame, window: str = "none") -> DataFrame:
 
 
 def radial_profile(frames: DataFrame, bin: float = 1.0, centre: tuple[float, float] | None = None, angle_from: float | None = None, angle_to: float | None = None) -> DataFrame:
-    """stack_id, frame, r, mean, n by radius bin floor(radius / bin + 0.5); default centre: height div 2, width div 2. Angles by atan2(y, x), half-open."""
-    px = long_form(frames.withColumn("_cy", F.floor(F.col("height") / 2) if centre is None else F.lit(centre[0])).withColumn("_cx", F.floor(F.col("width") / 2) if centre is None else F.lit(centre[1])), [*KEYS, "_cy", "_cx"])
-    dy, dx = F.col("y") - F.col("_cy"), F.col("x") - F.col("_cx")
-    if angle_from is not None:
-        px = px.where((F.atan2(dy, dx) >= angle_from) & (F.atan2(dy, dx) < angle_to))
-    px = px.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return px.groupBy(*KEYS, F.floor(F.sqrt(dy * dy + dx * dx) / bin + 0.5).alias("r")).agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
+    """stack_id, frame, r, mean, n by radius bin floor(radius / bin + 0.5); default centre: height div 2, width div 2. Angles by atan2(y, x), half-open. Frames are summed where they lie; only sums travel."""
+
+    def kernel(a: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        h, w = a.shape[1:]
+        cy, cx = (h // 2, w // 2) if centre is None else centre
+        dy, dx = np.meshgrid(np.arange(h) - cy, np.arange(w) - cx, indexing="ij")
+        r = np.floor(np.sqrt(dy * dy + dx * dx) / bin + 0.5).astype(np.int64).ravel()
+        angle = np.arctan2(dy, dx).ravel()
+        inside = np.ones(h * w, bool) if angle_from is None else (angle >= angle_from) & (angle < angle_to)
+        v, most = a.reshape(len(a), -1)[:, inside], int(r.max(initial=-1)) + 1
+        at, some = (np.arange(len(v))[:, None] * most + r[inside]).ravel(), ~np.isnan(v.ravel())
+        n = np.bincount(at[some], minlength=len(v) * most)
+        total = np.bincount(at[some], v.ravel()[some], minlength=len(v) * most)
+        there = np.flatnonzero(n)
+        own = there // max(1, most)
+        return pd.DataFrame({**{c: part[c].to_numpy()[own] for c in KEYS}, "r": there % max(1, most), "sum": total[there], "n": n[there]})
+
+    found = explode_images(frames, kernel, "stack_id long, frame long, r long, sum double, n long", KEYS)
+    return found.groupBy(*KEYS, "r").agg((F.sum("sum") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
 
 
 def _spectral(frames: DataFrame, gain) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.arrays import explode_images, long_form, map_images
 from ..storage import BROADCAST_ROWS, cut, meet, small
-from .filters import bin_of
 from .frames import to_tiles
 
 KEYS = ["stack_id", "frame"]
@@ -113,9 +112,21 @@ def _in_spans(frames: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def histogram(frames: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
-    """stack_id, frame, bin, n; bin -1 below lo, `bins` above hi. Empty bins have no row."""
-    px = long_form(frames, KEYS).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return px.groupBy(*KEYS, bin_of(F.col("v"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """stack_id, frame, bin, n; bin -1 below lo, `bins` above hi. Empty bins have no row. Frames are counted where they lie; only counts travel."""
+
+    def kernel(a: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        v = a.reshape(len(a), -1)
+        with np.errstate(invalid="ignore"):
+            inner = np.floor((np.clip(v, lo, hi) - lo) / (hi - lo) * bins)
+        at = np.where(v < lo, -1, np.where(v > hi, bins, np.where(v == hi, bins - 1, inner)))
+        row, some = np.repeat(np.arange(len(v)), v.shape[1]), ~np.isnan(v.ravel())
+        n = np.bincount(row[some] * (bins + 2) + at.ravel()[some].astype(int) + 1, minlength=len(v) * (bins + 2))
+        there = np.flatnonzero(n)
+        own, bin = np.divmod(there, bins + 2)
+        return pd.DataFrame({**{c: part[c].to_numpy()[own] for c in KEYS}, "bin": bin - 1, "n": n[there]})
+
+    found = explode_images(frames, kernel, "stack_id long, frame long, bin int, n long", KEYS)
+    return found.groupBy(*KEYS, "bin").agg(F.sum("n").alias("n"))
 
 
 def otsu(frames: DataFrame, lo: float, hi: float, bins: int = 256) -> DataFrame:

@@ -703,3 +703,12 @@ def test_small_chunks_share_calls(spark):
     kept = fx.lattice(spark, SF).where("(stack_id + frame) % 5 <> 0")
     plan = filters.temporal_denoise(kept, 2, chunk=3, tile=9)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_histograms_and_profiles_explode_no_pixels(spark):
+    blobs = fx.blobs(spark, SF)
+    for df in (regions.histogram(blobs, 21, 172, 16), filters.radial_profile(blobs)):
+        assert "posexplode" not in df._jdf.queryExecution().executedPlan().toString()
+    odd = np.array([[-np.inf, 0.0, 1.0], [np.nan, 2.0, np.inf]])
+    got = {r.bin: r.n for r in regions.histogram(stack(spark, [odd]), 0, 2, 2).collect()}
+    assert got == {-1: 1, 0: 1, 1: 2, 2: 1}
