@@ -3,8 +3,10 @@
 A text is its set of shingles of `width` words. Equal sets form one node. A node's set is embedded
 as `SKETCH` minhash values. In every run a node follows the values that a hash of the path so far
 chooses, 1 / `spread` of them on average; nodes on one path form a bucket. Buckets of at most
-`LIMIT` nodes are compared by brute force on their sketches, larger ones are split again, and those
-still large after `LEVELS` levels (their nodes agree on as many chosen values) are taken whole.
+`LIMIT` nodes are compared by brute force on their sketches. From a larger one the nodes that are alike
+leave, so that near copies make no paths in every level: `DRAWN` of its nodes are drawn, and what meets one of them by its
+sketch is tied to it. The others are split again, and buckets still large after `LEVELS` levels (their
+nodes agree on as many chosen values) are taken whole.
 
 Runs are repeated, `batch` at a time, until the target recall. It is measured on planted partners:
 `PLANTS` nodes or more, drawn by a hash, each get one partner whose sketch agrees with theirs in as many values
@@ -12,7 +14,8 @@ as that of a text exactly at the threshold does on average. A partner takes part
 links to nothing, and counts as found once it meets its node. Runs end when `recall` of them are
 found, so hot passages, under which paths are deeper and pairs meet less often, add runs.
 
-Nodes of a large bucket of the first level are also joined exactly, by a prefix filter: of n
+Nodes of a large bucket of the first level, those that leave it among them, are also joined exactly, so a
+planted partner and its node that part where one of them leaves count as found. It goes by a prefix filter: of n
 shingles in one order of all (rare ones first, as counted over these nodes) the first
 n - ceil(threshold * n) + 1 hold one of any node at the threshold. Nodes that share such a shingle
 meet by their sketches, more than `WIDE` of about one size without a look.
@@ -44,6 +47,8 @@ from pyspark.sql import functions as F
 from .common import Words, attach, components, contracted, cut, mixed, pieces, shingles, small
 
 SKETCH, LIMIT, LEVELS = 64, 64, 4
+#: Nodes of a large bucket with which all others are compared before it is split.
+DRAWN = 4
 #: Planted partners by which recall is measured, about; all nodes have one where there are fewer nodes.
 PLANTS = 8_192
 #: Agreement of two sketches from which a small bucket's pair counts as a meeting: at similarity 0.8 fewer than 1 in a million pairs fall below.
@@ -163,6 +168,25 @@ def _meetings(buckets: DataFrame) -> DataFrame:
     return buckets.mapInArrow(run, "node long, low long")
 
 
+def _alike(large: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, node, drawn, leaves) of large buckets: whether the sketch of `node` meets that of one of DRAWN nodes of the bucket, drawn by hashes, and the first it meets. From a bucket of partners only none leaves."""
+    held = cut(large.select("path", "node").join(members, "node"))
+    draws = [F.min(F.struct(F.xxhash64(F.lit(f"drawn{k}"), "path", "node").alias("h"), "node", "sketch")).alias(f"m{k}") for k in range(DRAWN)]
+    each = lambda c: [F.col(f"m{k}.{c}") for k in range(DRAWN)]
+    first = cut(held.where("node >= 0").groupBy("path").agg(*draws).select("path", F.array(*each("node")).alias("drawn"), F.concat(*each("sketch")).alias("other")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = lambda c, n: np.frombuffer(b"".join(x or bytes(4 * n * SKETCH) for x in batch.column(c).to_pylist()), np.uint32).reshape(-1, n, SKETCH)  # noqa: B023, E731
+            drawn = np.array([x or [-1] * DRAWN for x in batch.column("drawn").to_pylist()], np.int64).reshape(-1, DRAWN)
+            meets = ((values("sketch", 1) == values("other", DRAWN)).mean(2) >= MEETING) & (drawn >= 0)
+            met = drawn[np.arange(len(drawn)), meets.argmax(1)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("node"), pa.array(met), pa.array(meets.any(1))], names=["path", "node", "drawn", "leaves"])
+
+    looked = attach(held, first, ["path"], "left").select("path", "node", "sketch", "drawn", "other")
+    return cut(looked.mapInArrow(run, "path long, node long, drawn long, leaves boolean"))
+
+
 def _linked(groups: DataFrame, by: list[str], count: str) -> DataFrame:
     """(node, low): ties all nodes of each group through the least nodes of about sqrt(count) parts, so that no node gets more partners than that from a group."""
     parts = groups.select(*by, "node", F.pmod(F.xxhash64(F.lit("part"), "node"), F.ceil(F.sqrt(count)).cast("int")).alias("_part"))
@@ -176,7 +200,7 @@ def _least(near: np.ndarray) -> np.ndarray:
     """The least index of each row's component in a symmetric boolean matrix with a true diagonal."""
     low = np.arange(len(near))
     while True:
-        new = np.where(near, low[None, :], len(near)).min(1)
+        new = np.where(near, low[None, :], len(near)).min(1, initial=len(near))
         new = np.minimum(new, new[new])
         if (new == low).all():
             return low
@@ -274,7 +298,17 @@ def _run(nodes: DataFrame, members: DataFrame, runs: range, spread: float) -> tu
             break
         if level == 1:
             hot = large.where("node >= 0").select("node").distinct()
-        frontier = large.select("path", "node").join(members, "node")
+        if level == LEVELS:
+            break
+        looked = _alike(large, members)
+        ties = looked.where("leaves and node >= 0 and node <> drawn").select(F.greatest("node", "drawn").alias("node"), F.least("node", "drawn").alias("low"))
+        plants = looked.where("node < 0").select("path", "node", (-1 - F.col("node")).alias("low"), F.col("leaves").alias("_leaves"))
+        parted = plants.join(looked.select("path", F.col("node").alias("low"), "leaves"), ["path", "low"]).where("leaves or _leaves").select("node", "low")
+        edges = edges.union(cut(ties.union(parted).distinct()))
+        stay = looked.where("not leaves").select("path", "node")
+        if stay.isEmpty():
+            break
+        frontier = stay.join(members, "node")
     return edges, hot
 
 

@@ -158,6 +158,30 @@ def test_runs_go_on_until_the_target(spark, monkeypatch):
     assert few <= 2 and sum(seen) - few >= 3
 
 
+def test_near_copies_leave_large_buckets_and_lose_no_link(spark, monkeypatch):
+    """A large group of near copies makes few paths beneath the first level, and its links are still those of an exact index."""
+    r, rows, made = random.Random(9), [], []
+    base = [f"w{r.randrange(400)}" for _ in range(120)]
+    for i in range(300):
+        copy = list(base)
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"{i}v{j}" for j in range(30))) for i in range(100)]
+    real = jaccard._children
+
+    def counted(rows, runs, spread):
+        out = common.cut(real(rows, runs, spread))
+        if "path" in rows.columns:
+            made.append(out.where("node >= 0").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_children", counted)
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == exact(rows)
+    assert sum(made) < 10 * len(rows)
+
+
 def test_planted_partners_stand_at_the_threshold(spark):
     docs = spark.createDataFrame([(i, " ".join(f"{i}w{j}" for j in range(30))) for i in range(50)], "doc_id long, text string")
     base = jaccard.sketches(docs, "doc_id", "text", 5).withColumn("node", F.col("_id"))
