@@ -126,11 +126,14 @@ def atom_intensity(points: DataFrame, frames: DataFrame, radius: float, tile: in
 
 
 def classify_atoms(points: DataFrame, k: int | None = None, cuts: list[float] | None = None, seed: int = 7) -> DataFrame:
-    """Adds class by intensity: number of cut-offs at or below it, or seeded k-means with classes ordered by centre."""
+    """Adds class by intensity: number of cut-offs at or below it, or seeded k-means over the intensities, weighted by their points, with classes ordered by centre."""
     if cuts is not None:
         return points.withColumn("class", sum((F.when(F.col("intensity") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    packed = VectorAssembler(inputCols=["intensity"], outputCol="_v").transform(points)
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(packed)
+    assembler = VectorAssembler(inputCols=["intensity"], outputCol="_v")
+    packed = assembler.transform(points)
+    # equal intensities are one weighted row, dealt by a shuffle: no task holds the points of a large file
+    weighted = assembler.transform(points.groupBy("intensity").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c", weightCol="_n").fit(weighted)
     order = {int(c): i for i, c in enumerate(np.argsort([c[0] for c in model.clusterCenters()]))}
     rank = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
     return model.transform(packed).withColumn("class", F.element_at(rank, F.col("_c"))).drop("_v", "_c")

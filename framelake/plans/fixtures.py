@@ -102,6 +102,7 @@ def dft_sql(source: str, name: str = "dft", n: int = N) -> str:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lattice of step 10 whose right half is strained along x."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 63L)")).alias("id"))
+    rows = spread(rows, "s", "id")
     i, j = "(id div 8)", "(id % 8)"
     return rows.select(F.col("s").alias("stack_id"), F.lit(0).cast("long").alias("frame"), F.col("id").alias("point_id"), F.expr(f"10.0D*{i}").alias("y"), F.expr(f"10.0D*{j} + 0.1D*(1 + s%3)*greatest(0, {j}-4)").alias("x"), F.expr(f"cast(100 + 40*(({i}+{j}) % 2) as double)").alias("intensity"))
 

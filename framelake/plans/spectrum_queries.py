@@ -89,6 +89,7 @@ def f5_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def f6(spark: SparkSession, sf: str) -> DataFrame:
     """Three disks of radius 1; the one along x stands a step further out in odd scans."""
     rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 15L)")).alias("p"))
+    rows = fx.spread(rows, "s", "p")
     disk = lambda y, x: f"(CASE WHEN ((i div 19)-{y})*((i div 19)-{y}) + ((i % 19)-{x})*((i % 19)-{x}) <= 1 THEN 100 ELSE 0 END)"
     px = f"transform(sequence(0L, 360L), i -> cast({disk(6, 6)} + {disk(6, '(12 + s % 2)')} + {disk(12, 6)} as double))"
     patterns = rows.select(F.col("s").alias("scan_id"), F.expr("cast(p div 4 as int)").alias("sy"), F.expr("cast(p % 4 as int)").alias("sx"), F.lit(19).alias("kh"), F.lit(19).alias("kw"), F.expr(px).alias("px"))
@@ -127,7 +128,8 @@ def _echoed(spark: SparkSession, sf: str) -> DataFrame:
     low = "transform(sequence(0L, 127L), e -> CASE WHEN e = 0 THEN 0.7D WHEN e = 9 THEN 0.2D WHEN e = 18 THEN 0.1D ELSE 0D END)"
     at = "(40 + s % 5)"
     core = f"transform(sequence(0L, 127L), e -> CASE WHEN e = {at} THEN 70D WHEN e = {at} + 9 THEN 20D WHEN e = {at} + 18 THEN 10D ELSE 0D END)"
-    return fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 15L)")).alias("p")).selectExpr("s as scan_id", "cast(p div 4 as int) sy", "cast(p % 4 as int) sx", f"{core} as counts", f"{low} as low_counts")
+    rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s"), F.explode(F.expr("sequence(0L, 15L)")).alias("p"))
+    return fx.spread(rows, "s", "p").selectExpr("s as scan_id", "cast(p div 4 as int) sy", "cast(p % 4 as int) sx", f"{core} as counts", f"{low} as low_counts")
 
 
 @query("g4_remove_plural", "SELECT s_suppkey::BIGINT AS scan_id, sy::INT AS sy, sx::INT AS sx, 100.0::DOUBLE AS total, 100.0 * (40 + s_suppkey % 5)::DOUBLE AS first_moment, 10000.0::DOUBLE AS squares, 100.0::DOUBLE AS at_line FROM supplier, (SELECT range AS sy FROM range(4)), (SELECT range AS sx FROM range(4))")
