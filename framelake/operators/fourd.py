@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.arrays import long_form, map_images, stacked
+from ..functions.arrays import by_size, map_images, stacked
 from ..storage import cut, meet, small
 
 POS = ["scan_id", "sy", "sx"]
@@ -26,8 +26,36 @@ def detector_image(patterns: DataFrame, r_in: float, r_out: float, centre: tuple
 
 
 def mean_pattern(patterns: DataFrame) -> DataFrame:
-    """scan_id, ky, kx, mean, max over a scan."""
-    return long_form(patterns, ["scan_id"], w="kw").where(~F.isnan("v")).groupBy("scan_id", F.col("y").alias("ky"), F.col("x").alias("kx")).agg(F.avg("v").alias("mean"), F.max("v").alias("max"))
+    """scan_id, ky, kx, mean, max over a scan; NaN and null do not count, and a pixel that has nothing else has no row.
+
+    Patterns are added up packed, where they lie and once more where a scan's sums meet; only these sums become rows.
+    """
+    sums = "scan_id long, kh int, kw int, total array<double>, n array<double>, most array<double>"
+
+    def added(part: pd.DataFrame, total: np.ndarray, n: np.ndarray, most: np.ndarray) -> pd.DataFrame:
+        scan = part["scan_id"].to_numpy()
+        order = np.argsort(scan, kind="stable")
+        first = np.flatnonzero(np.diff(scan[order], prepend=scan[order[0]] - 1))
+        parts = {k: list(f.reduceat(v[order].reshape(len(scan), -1), first)) for k, f, v in (("total", np.add, total), ("n", np.add, n), ("most", np.maximum, most))}
+        return pd.DataFrame({"scan_id": scan[order][first], "kh": part["kh"].iloc[0], "kw": part["kw"].iloc[0], **parts})
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, h, w in by_size(pdf, "kh", "kw"):
+                a = stacked(part, h, w)
+                some = ~np.isnan(a)
+                yield added(part, np.where(some, a, 0), some.astype(float), np.where(some, a, -np.inf))
+
+    def meet_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, h, w in by_size(pdf, "kh", "kw"):
+                yield added(part, *(stacked(part, h, w, c) for c in ("total", "n", "most")))
+
+    here = patterns.where("px is not null").select("scan_id", "kh", "kw", "px").mapInPandas(lay, sums)
+    scans = here.repartition("scan_id").sortWithinPartitions("scan_id").mapInPandas(meet_, sums)
+    rows = scans.select("scan_id", "kw", F.posexplode(F.arrays_zip("total", "n", "most")).alias("_i", "_p")).where("_p.n > 0")
+    rows = rows.select("scan_id", F.expr("cast(_i div kw as int)").alias("ky"), F.expr("cast(_i % kw as int)").alias("kx"), "_p.*")
+    return rows.groupBy("scan_id", "ky", "kx").agg((F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("max"))
 
 
 def dpc(patterns: DataFrame, centre: tuple[float, float] | None = None) -> DataFrame:
