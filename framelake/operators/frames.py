@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +102,26 @@ def to_pixels(frames: DataFrame) -> DataFrame:
 
 def from_pixels(pixels: DataFrame) -> DataFrame:
     """Packed frames; pixels that are not there are NaN up to the largest y and x; of a pixel that is there twice the largest value counts. A frame's pixels are laid out at once, in time proportional to their number."""
-    listed = pixels.groupBy("stack_id", "frame").agg(F.collect_list(F.struct("y", "x", "v")).alias("_p"))
-    listed = listed.select("stack_id", "frame", *(F.col(f"_p.{c}").alias(f"_{c}") for c in "yxv"))
+    kinds = dict(pixels.dtypes)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in ("stack_id", "frame")]
+            sorts = [np.asarray(k) for key in keys for k in (key.is_null(), key.fill_null(0))]
+            order = np.lexsort(sorts)
+            new = np.any([np.diff(k[order].astype(np.int64), prepend=0) != 0 for k in sorts], 0)
+            new[0] = True
+            first = np.flatnonzero(new)
+            ends = pa.array(np.append(first, len(order)), pa.int32())
+            packed = [pa.ListArray.from_arrays(ends, batch.column(c).take(pa.array(order))) for c in "yxv"]
+            yield pa.RecordBatch.from_arrays([*(k.take(pa.array(order[first])) for k in keys), *packed], names=["stack_id", "frame", "y", "x", "v"])
+
+    # a task packs what it holds of a frame, so that packed pieces travel and no pixel is a row of a shuffle
+    packed = pixels.select("stack_id", "frame", "y", "x", "v").mapInArrow(pieces, ", ".join([*(f"{c} {kinds[c]}" for c in ("stack_id", "frame")), *(f"{c} array<{kinds[c]}>" for c in "yxv")]))
+    listed = packed.groupBy("stack_id", "frame").agg(F.collect_list(F.struct("y", "x", "v")).alias("_p"))
+    listed = listed.select("stack_id", "frame", *(F.flatten(F.col(f"_p.{c}")).alias(f"_{c}") for c in "yxv"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
