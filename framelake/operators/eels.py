@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import VALUES
 from ..storage import attach, cut, meet, numbered
 
 POS = ["scan_id", "sy", "sx"]
 #: Numbers that a task of `bootstrap_mlls` holds before it hands them on.
-SUMS = 1 << 24
+SUMS = 1 << 20
 
 
 def pair_dual(spectra: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +57,7 @@ def remove_plural(paired: DataFrame, sigma: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (m, k), part in pdf.groupby([pdf["counts"].map(len), pdf["low_counts"].map(len)], sort=False):
+            for (m, k), part in _slices(pdf, [pdf["counts"].map(len), pdf["low_counts"].map(len)]):
                 core, low = (np.stack([np.asarray(v, float) for v in part[c]]) for c in ("counts", "low_counts"))
                 n = int(max(m, k))
                 low = np.pad(low, ((0, 0), (0, n - int(k))))
@@ -113,10 +114,18 @@ def mlls(spectra: DataFrame, references: DataFrame, e_from: float, e_to: float,
     return spectra.select(*POS, "e0", "de", "counts").mapInPandas(run, "scan_id long, sy int, sx int, coefficients map<int,double>, residual double, r2 double")
 
 
+def _slices(pdf: pd.DataFrame, by: list[pd.Series]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """A batch's rows that agree in `by`, at most VALUES counts at once (one spectrum at least), so that a worker's memory does not follow the rows of a batch."""
+    for keys, part in pdf.groupby(by, sort=False):
+        step = max(1, VALUES // max(1, len(part["counts"].iloc[0])))
+        for k in range(0, len(part), step):
+            yield keys, part.iloc[k : k + step]
+
+
 def _systems(pdf: pd.DataFrame, axis: np.ndarray, refs: np.ndarray, e_from: float, e_to: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Rows that share an axis and the channels without a count: the rows, the references on these channels (channels x references) and the counts (rows x channels)."""
     size = pdf["counts"].map(len)
-    for (e0, de, n), part in pdf.groupby([pdf["e0"], pdf["de"], size], sort=False):
+    for (e0, de, n), part in _slices(pdf, [pdf["e0"], pdf["de"], size]):
         e = e0 + de * np.arange(int(n))
         m = np.stack([np.interp(e, a + d * np.arange(len(r)), r) for (a, d), r in zip(axis, refs, strict=True)], 1)
         y = np.stack([np.asarray(c, float) for c in part["counts"]])
