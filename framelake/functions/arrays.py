@@ -62,9 +62,18 @@ def explode_images(df: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame], p
     return df.select(*dict.fromkeys([*needed, "height", "width", "px"])).mapInPandas(run, out)
 
 
+def unpacked(df: DataFrame, keep: list, array: str, at: str, value: str) -> DataFrame:
+    """One row a value of an array: the kept columns, its place and the value; a null or empty array has no row.
+
+    Of the inner posexplode Spark infers a filter on the array's size, which it pushes to the source with the expression
+    that makes the array: arrays were made twice, once by as few tasks as the source has. Of the outer one it infers none.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, value)).where(F.col(at).isNotNull())
+
+
 def long_form(df: DataFrame, keys: list[str], px: str = "px", w: str = "width") -> DataFrame:
     """One row a pixel: keys, y, x, v."""
-    return df.select(*keys, F.col(w).alias("_w"), F.posexplode(px).alias("_i", "v")).select(*keys, F.expr("cast(_i div _w as int)").alias("y"), F.expr("cast(_i % _w as int)").alias("x"), "v")
+    return unpacked(df, [*keys, F.col(w).alias("_w")], px, "_i", "v").select(*keys, F.expr("cast(_i div _w as int)").alias("y"), F.expr("cast(_i % _w as int)").alias("x"), "v")
 
 
 def measured(v, one=1):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import VALUES
+from ..functions.arrays import VALUES, unpacked
 from ..storage import attach, cut, meet, numbered
 
 POS = ["scan_id", "sy", "sx"]
@@ -34,7 +34,7 @@ def align_energy(paired: DataFrame) -> DataFrame:
 
 
 def channels(spectra: DataFrame, keys: list[str] = POS) -> DataFrame:
-    return spectra.select(*keys, "e0", "de", F.posexplode("counts").alias("i", "c")).select(*keys, "i", (F.col("e0") + F.col("i") * F.col("de")).alias("e"), "c")
+    return unpacked(spectra, [*keys, "e0", "de"], "counts", "i", "c").select(*keys, "i", (F.col("e0") + F.col("i") * F.col("de")).alias("e"), "c")
 
 
 def remove_background(spectra: DataFrame, e_from: float, e_to: float) -> DataFrame:
@@ -139,7 +139,7 @@ def _systems(pdf: pd.DataFrame, axis: np.ndarray, refs: np.ndarray, e_from: floa
 def edge_ratio(spectra: DataFrame, w1: tuple[float, float], w2: tuple[float, float]) -> DataFrame:
     """Integrals over two half-open windows and their ratio (null for an empty second one)."""
     part = lambda w: F.sum(F.when((F.col("e") >= w[0]) & (F.col("e") < w[1]), F.col("c") * F.col("de")).otherwise(0.0))
-    rows = spectra.select(*POS, "e0", "de", F.posexplode("counts").alias("i", "c")).withColumn("e", F.col("e0") + F.col("i") * F.col("de"))
+    rows = unpacked(spectra, [*POS, "e0", "de"], "counts", "i", "c").withColumn("e", F.col("e0") + F.col("i") * F.col("de"))
     out = rows.groupBy(*POS).agg(part(w1).alias("i1"), part(w2).alias("i2"))
     return out.withColumn("ratio", F.when(F.col("i2") != 0, F.col("i1") / F.col("i2")))
 
